@@ -2,68 +2,21 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..scratch import fresh_path, materialize, shared_dir
+
+__all__ = ["fresh_path", "materialize", "shared_dir"]
+
 TYPES = {"long": T.LongType(), "string": T.StringType(), "double": T.DoubleType(), "binary": T.BinaryType(), "boolean": T.BooleanType(), "int": T.IntegerType()}
 
 #: A word is a run of characters other than space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A folder, as a URI, that the driver and all executors see: below ``spark.checkpoint.dir``.
-
-    Only where that setting is absent (tests in local mode) a folder of this machine is taken.
-    """
-    sc = spark.sparkContext
-    top = sc.getConf().get("spark.checkpoint.dir", None)
-    if not top:
-        top = _own.get(sc.applicationId)
-        if not top:
-            top = _own[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="tracklake-")
-            sc.setCheckpointDir(top)
-    if "://" not in top and top.startswith("/"):
-        top = f"file://{top}" if str(sc._jsc.hadoopConfiguration().get("fs.defaultFS")).startswith("file:") else top
-    return f"{top.rstrip('/')}/tracklake-{sc.applicationId}"
-
-
-def fresh_path(spark: SparkSession, label: str) -> str:
-    """A new folder name in the shared folder; it goes when the application ends."""
-    top = shared_dir(spark)
-    if top not in _own:
-        _own[top] = ""
-        atexit.register(_drop, spark, top)
-    return f"{top}/{label}-{uuid.uuid4().hex[:12]}"
-
-
-def _drop(spark: SparkSession, path: str) -> None:
-    try:
-        if spark.sparkContext._jsc is not None:
-            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the JVM may be gone already; the folder is the cluster's scratch space
-        return
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back.
-
-    It cuts the lineage at a copy that outlives any executor and later stages read only the
-    columns they need.
-    """
-    path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def struct(fields: str) -> T.StructType:
     """A struct type of "name type, ..."; unlike a DDL string it needs no session."""
     return T.StructType([T.StructField(name, TYPES[kind]) for name, kind in map(str.split, fields.split(","))])
