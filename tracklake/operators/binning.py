@@ -147,7 +147,7 @@ def binned_statistics(
     """
     coords = [coords] if isinstance(coords, str) else list(coords)
     data = [data] if isinstance(data, str) else list(data or [])
-    stats = [statistics] if isinstance(statistics, (str, tuple)) or callable(statistics) else list(statistics)
+    stats = list(statistics) if isinstance(statistics, list) else [statistics]
     for s in stats:
         if isinstance(s, str) and s not in NAMES:
             raise ValueError(f"unknown statistic {s!r}")
