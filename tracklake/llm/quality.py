@@ -14,6 +14,7 @@ from .common import struct
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 WINDOW = 8
+THRESHOLD = 0.25  # a text goes if it is three times as likely to be bad
 RULES = ("length", "repeats", "symbols", "lines", "word_size", "capitals", "variety", "shouts", "plain")
 GOOD, BAD, ABSTAIN = "1", "0", "-"
 RESULT = struct("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, votes string")
@@ -115,15 +116,17 @@ class Model:
         return 1 / (1 + F.exp(-logit))
 
 
-def fit(patterns: dict[str, int], rounds: int = 50, prior: float = 0.8, accuracy: float = 0.8) -> Model:
+def fit(patterns: dict[str, int], rounds: int = 50, prior: float = 0.8, on_good: float = 0.98, on_bad: float = 0.4, least: float = 0.98) -> Model:
     """Expectation-maximisation over counts of vote patterns.
 
-    Each rule counts as better than chance (0.55 to 0.99 right on either kind of text) and the
-    prior stays within 0.5 and 0.99, so that the two classes keep their meaning. Without votes
-    the model is the one it starts from.
+    Bad text is of many kinds and a rule knows few of them, so a rule may miss most of it. What
+    the rules are made for is to let good text pass: their votes on it are right at a rate of
+    ``least`` or better, which keeps a common kind of bad text from being taken for good, and
+    they say bad of bad text more readily than of good. With a prior within 0.5 and 0.99 the two classes keep their
+    meaning. Without votes the model is the one it starts from.
     """
     k = len(RULES)
-    model = Model(prior, np.full(k, accuracy), np.full(k, accuracy))
+    model = Model(prior, np.full(k, on_good), np.full(k, on_bad))
     if not patterns:
         return model
     keys = sorted(patterns)
@@ -135,10 +138,10 @@ def fit(patterns: dict[str, int], rounds: int = 50, prior: float = 0.8, accuracy
         logit = np.log(model.prior / (1 - model.prior)) + (good * [o[GOOD] for o in odds] + (said & ~good) * [o[BAD] for o in odds]).sum(1)
         p = 1 / (1 + np.exp(-logit))
         wg, wb = n * p, n * (1 - p)
-        # two doubtful votes at the starting accuracy go with the counts
-        on_good = ((wg[:, None] * good).sum(0) + 2 * accuracy) / ((wg[:, None] * said).sum(0) + 2)
-        on_bad = ((wb[:, None] * (said & ~good)).sum(0) + 2 * accuracy) / ((wb[:, None] * said).sum(0) + 2)
-        model = Model(float(np.clip(wg.sum() / n.sum(), 0.5, 0.99)), np.clip(on_good, 0.55, 0.99), np.clip(on_bad, 0.55, 0.99))
+        # two doubtful votes at the starting rates go with the counts
+        right_good = np.clip(((wg[:, None] * good).sum(0) + 2 * on_good) / ((wg[:, None] * said).sum(0) + 2), least, 0.998)
+        right_bad = ((wb[:, None] * (said & ~good)).sum(0) + 2 * on_bad) / ((wb[:, None] * said).sum(0) + 2)
+        model = Model(float(np.clip(wg.sum() / n.sum(), 0.5, 0.99)), right_good, np.clip(right_bad, 1.01 - right_good, 0.99))
     return model
 
 
@@ -157,7 +160,7 @@ def failed(q: Column) -> Column:
     return (q["n_words"] < 20) | (100 * q["n_repeat_words"] > 30 * q["n_words"])
 
 
-def filter_quality(df: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
+def filter_quality(df: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Rows whose posterior probability of good text reaches ``threshold`` and that no base rule fails.
 
     Null and empty texts fail (no words). Repeated rows share their fate. Columns stay as they

@@ -56,7 +56,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality.fit_on(feats, "votes")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     out = feats.withColumn("p_good", model.posterior(F.col("votes"))).withColumn("base_failed", failed)
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= 0.5))
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= quality.THRESHOLD))
 
 
 def queries() -> dict:
