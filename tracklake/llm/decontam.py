@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -184,17 +185,19 @@ def _ready(docs: DataFrame, items: list[tuple[object, list[str]]]):
 def _search(docs: DataFrame, items: list[tuple[object, list[str]]], schema: str) -> DataFrame:
     ready = _ready(docs, items)
 
-    def search(frames):
+    def search(batches):
         index = cloudpickle.loads(ready.value)
-        for frame in frames:
-            found = [(d, *hit) for d, t in zip(frame["doc_id"], frame["text"], strict=True) for hit in index.search(words_of(t))]
-            if found:
-                frame = pd.DataFrame(found, columns=["doc_id", "item_id", "score", "start", "end"])
-                if frame["doc_id"].dtype.kind == "f":
-                    frame["doc_id"] = frame["doc_id"].astype("Int64")
-                yield frame
-
-    return docs.mapInPandas(search, schema)
+        for batch in batches:  # Arrow keeps ids exact beside nulls
+            for i in range(0, len(batch), 500):
+                part = batch.slice(i, 500)
+                found = [(d, *hit) for d, t in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True) for hit in index.search(words_of(t))]
+                if found:
+                    names = ["doc_id", "item_id", "score", "start", "end"]
+                    columns = dict(zip(names, map(list, zip(*found, strict=True)), strict=True))
+                    ids = pa.array(columns["doc_id"], batch.schema.field("doc_id").type)
+                    yield pa.RecordBatch.from_arrays([ids, *(pa.array(columns[n]) for n in names[1:])], names=names)
+
+    return docs.mapInArrow(search, schema)
 
 
 def remove_leaks(df: DataFrame, items: DataFrame, text: str = "text", item_text: str = "text") -> DataFrame:

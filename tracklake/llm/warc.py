@@ -214,7 +214,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
                         else:
                             n, digest = int(head["X-Payload-Length"]), head["WARC-Payload-Digest"].removeprefix("sha1:")
                         out.append((entry["page_id"], n, digest, kind, entry["refers_to"]))
-                frame_out = pd.DataFrame(out, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
-                yield frame_out.astype({"page_id": "Int64", "refers_to": "Int64"})
+                frame_out = pd.DataFrame(out, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"], dtype=object)
+                yield frame_out.astype({"page_id": "Int64", "payload_bytes": "int64", "refers_to": "Int64"})
 
     return archives.repartition(max(1, partitions(archives.sparkSession)), "path").mapInPandas(read, struct("page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"))
