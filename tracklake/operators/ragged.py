@@ -16,19 +16,25 @@ from ..scratch import materialize
 # ---- index ----
 
 
-def running_total(df: DataFrame, order: str, value: str, out: str) -> DataFrame:
+def running_total(df: DataFrame, order: str | list[str], value: str, out: str) -> DataFrame:
     """Add the sum of ``value`` over all earlier rows in ``order``: by range partition, then within it.
 
     The range-sorted table is written once, since partition bounds are sampled anew each time.
     """
-    placed = materialize(df.repartitionByRange(order).sortWithinPartitions(order).withColumn("__part", F.spark_partition_id()), "ranges")
+    keys = [order] if isinstance(order, str) else order
+    placed = materialize(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__part", F.spark_partition_id()), "ranges")
     parts = placed.groupBy("__part").agg(F.sum(value).alias("__sum"))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # over as many rows as there are partitions
     parts = parts.select("__part", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__before"))
-    inner = Window.partitionBy("__part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy("__part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
     return placed.join(F.broadcast(parts), "__part").withColumn(out, F.col("__before") + F.coalesce(F.sum(value).over(inner), F.lit(0))).drop("__part", "__before")
 
 
+def ranked(df: DataFrame, order: str | list[str], out: str = ROW) -> DataFrame:
+    """Number rows from 0 in ``order``, without gathering them in one task."""
+    return running_total(df.withColumn("__one", F.lit(1).cast("long")), order, "__one", out).drop("__one")
+
+
 def offsets(rows: DataFrame) -> DataFrame:
     """Add ``start`` and ``stop``, a row's place in the flat order of all observations."""
     return running_total(rows, ROW, "rowsize", "start").withColumn("stop", F.col("start") + F.col("rowsize"))

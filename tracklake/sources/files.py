@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..model import OBS, ROW, RaggedFrame
+from ..operators.ragged import ranked
 
 
 def from_files(
@@ -122,9 +123,9 @@ def fields(df: DataFrame, names: Sequence[str], pattern: str = r"\s+") -> DataFr
 def number_rows(df: DataFrame, key: str, order: Sequence[str]) -> RaggedFrame:
     """Rows by a string or number key in its order, observations by ``order``: indices are ranks.
 
-    Ranks are over the distinct keys, one record a row.
+    Records without a key are left out.
     """
-    keys = df.select(key).distinct().withColumn(ROW, F.row_number().over(Window.orderBy(key)).cast("long") - 1)
+    keys = ranked(df.select(key).distinct().filter(F.col(key).isNotNull()), key)
     obs = df.join(keys, key).withColumn(OBS, F.row_number().over(Window.partitionBy(ROW).orderBy(*order)).cast("long") - 1)
     rows = obs.groupBy(ROW).agg(F.first(key).alias(key), F.count(F.lit(1)).alias("rowsize"))
     return RaggedFrame(rows, obs.drop(key))

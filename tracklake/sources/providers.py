@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from ..functions import cleaning
 from ..model import OBS, ROW, RaggedFrame
+from ..operators.ragged import ranked
 from .files import fields, lines, number_rows, zipped_lines
 
 # ---- surface drifters in white-space columns ----
@@ -253,8 +254,7 @@ def gdp_source(spark: SparkSession, paths: str | list[str], metadata: DataFrame,
     if use_fill_values:
         unknown = F.col("wmo_number").isNull() & F.col("start_date").isNull() & F.col("buoys_type").isNull()
         found = found.withColumns({c: F.when(unknown, F.lit(v).cast(dict(found.dtypes)[c])).otherwise(F.col(c)) for c, v in FILLS.items()})
-    rank = Window.orderBy("start_date", "id")
-    rows = found.withColumn(ROW, F.row_number().over(rank).cast("long") - 1)
+    rows = ranked(found, ["start_date", "id"])
     placed = obs.join(rows.select("id", ROW), "id").withColumn(OBS, F.row_number().over(Window.partitionBy(ROW).orderBy("obs_index")).cast("long") - 1)
     return RaggedFrame(rows, placed.drop("id")).recounted()
 
