@@ -174,3 +174,9 @@ def test_rows_are_mapped_and_reduced(spark):
         apply.map_rows(f, lambda x: x[:1], ["x"], "s").collect()
     got = {tuple(r) for r in apply.wavelets(of(spark, RNG.normal(size=32).tolist()), "x", 3, 4, [0.5, 1.0], order=2).select("order", "freq_idx").distinct().collect()}
     assert got == {(0, 0), (0, 1), (1, 0), (1, 1)}
+
+
+def test_rows_of_arrays(spark):
+    f = of(spark, [[1.0, 2.0], [3.0, 4.0]], [[5.0, 6.0]])
+    assert values(apply.map_rows(f, lambda x: np.cumsum(x, 0), ["x"], "s", kind="array<double>"), "s") == [([1, 2],), ([4, 6],), ([5, 6],)]
+    assert values(apply.reduce_rows(f, lambda x: float(x.sum()), ["x"], "s"), "s") == [(10,), (11,)]

@@ -17,11 +17,19 @@ def _chosen(frame: RaggedFrame, columns: Sequence[str], rows: Sequence[int] | No
     return obs if rows is None else obs.filter(obs[ROW].isin(list(rows)))
 
 
+def _array(pdf: pd.DataFrame, column: str) -> np.ndarray:
+    """Values of a row; array columns give an axis more, with the observations first."""
+    values = pdf[column].to_numpy()
+    return np.stack(values) if len(values) and isinstance(values[0], np.ndarray) else values
+
+
 def map_rows(frame: RaggedFrame, function: Callable, columns: Sequence[str], outputs: str | Sequence[str], *args, rows: Sequence[int] | None = None, kind: str = "double", **kwargs) -> DataFrame:
     """(row_idx, obs_idx, outputs): a function of a row's columns that gives one array (or a tuple of arrays) of its length.
 
     Each row is one group and goes to one task with its observations in order; ``rows`` selects
-    rows before anything is moved. Complex results become name_re and name_im.
+    rows before anything is moved. Complex results become name_re and name_im. Values may be arrays
+    of one length: the function sees them with the observations as first axis, and may give such
+    back (``kind`` array<double>).
     """
     names = [outputs] if isinstance(outputs, str) else list(outputs)
     parts = [f"{n}_{p}" for n in names for p in ("re", "im")] if kind == "complex" else names
@@ -29,14 +37,14 @@ def map_rows(frame: RaggedFrame, function: Callable, columns: Sequence[str], out
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(OBS)
-        out = function(*(pdf[c].to_numpy() for c in columns), *args, **kwargs)
+        out = function(*(_array(pdf, c) for c in columns), *args, **kwargs)
         out = out if isinstance(out, tuple) else (out,)
         data = {ROW: pdf[ROW].to_numpy(), OBS: pdf[OBS].to_numpy()}
         for name, values in zip(names, out, strict=True):
             values = np.asarray(values)
             if len(values) != len(pdf):
                 raise ValueError(f"{len(values)} values for {len(pdf)} observations")
-            data |= {f"{name}_re": values.real, f"{name}_im": values.imag} if kind == "complex" else {name: values}
+            data |= {f"{name}_re": values.real, f"{name}_im": values.imag} if kind == "complex" else {name: list(values) if values.ndim > 1 else values}
         return pd.DataFrame(data)
 
     return _chosen(frame, columns, rows).groupBy(ROW).applyInPandas(run, schema)
@@ -48,7 +56,7 @@ def reduce_rows(frame: RaggedFrame, function: Callable, columns: Sequence[str],
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(OBS)
-        out = function(*(pdf[c].to_numpy() for c in columns), *args, **kwargs)
+        out = function(*(_array(pdf, c) for c in columns), *args, **kwargs)
         return pd.DataFrame([[pdf[ROW].iloc[0], *(out if isinstance(out, tuple) else (out,))]], columns=[ROW, *names])
 
     return _chosen(frame, columns, rows).groupBy(ROW).applyInPandas(run, f"{ROW} long, " + ", ".join(f"`{n}` {kind}" for n in names))
@@ -59,7 +67,7 @@ def expand_rows(frame: RaggedFrame, function: Callable[..., pd.DataFrame], colum
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(OBS)
-        out = function(*(pdf[c].to_numpy() for c in columns))
+        out = function(*(_array(pdf, c) for c in columns))
         out.insert(0, ROW, pdf[ROW].iloc[0])
         return out
 

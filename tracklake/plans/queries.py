@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from ..functions import cleaning, complexes, sphere
 from ..model import OBS, ROW, RaggedFrame, along
 from ..operators import apply, binning, kinematics, lines, pairs, ragged, signals
+from ..scratch import fresh_path
 from ..sources import files, providers
 from .tables import DRIFTS, ORDERS, TRACKS, bearing, distance, drifts, orders, table, tracks
 
@@ -509,10 +510,10 @@ def row_combinations(spark, sf):
 # ---- functions of rows ----
 
 
-@query(f"WITH {TRACKS} SELECT row_idx, obs_idx, round(value - avg(value) OVER (PARTITION BY row_idx), 6) + 0.0 AS anomaly FROM obs")
+@query(f"WITH {TRACKS} SELECT row_idx, obs_idx, round(value - avg(value) OVER (PARTITION BY row_idx), 9) + 0.0 AS anomaly FROM obs")
 def apply_map(spark, sf):
     out = apply.map_rows(tracks(spark, sf), lambda x: x - x.mean(), ["value"], "anomaly")
-    return out.select(ROW, OBS, r("anomaly", 6).alias("anomaly"))
+    return out.select(ROW, OBS, r("anomaly", 9).alias("anomaly"))
 
 
 @query(f"WITH {TRACKS} SELECT row_idx, round(avg(value), 6) AS mean FROM obs WHERE row_idx IN (2, 4, 6) GROUP BY 1")
@@ -556,12 +557,12 @@ def rotary(spark, sf):
 
 
 @query(
-    f"""WITH {DRIFTS}, s AS (SELECT event_id, u AS xr, value / 50 AS xi, v + 0.05::DOUBLE AS yr, lat / 70 AS yi FROM drift), h AS (SELECT *, sqrt(pow(xr - yi, 2) + pow(xi + yr, 2)) / 2 AS p, sqrt(pow(xr + yi, 2) + pow(xi - yr, 2)) / 2 AS n FROM s)
+    f"""WITH {DRIFTS}, s AS (SELECT event_id, u AS xr, value / 50 AS xi, v + 0.0537::DOUBLE AS yr, lat / 70 AS yi FROM drift), h AS (SELECT *, sqrt(pow(xr - yi, 2) + pow(xi + yr, 2)) / 2 AS p, sqrt(pow(xr + yi, 2) + pow(xi - yr, 2)) / 2 AS n FROM s)
  SELECT event_id, round(sqrt(p * p + n * n), 7) AS kappa, round(2 * p * n * sign(p - n) / (p * p + n * n), 7) + 0.0 AS lambda, round(xr, 7) + 0.0 AS x_re, round(yi, 7) + 0.0 AS y_im FROM h"""
 )
 def ellipse(spark, sf):
     """Ellipse parameters of complex components, and the components back from them."""
-    x, y = complexes.of("u", F.col("value") / 50), complexes.of(F.col("v") + 0.05, F.col("lat") / 70)
+    x, y = complexes.of("u", F.col("value") / 50), complexes.of(F.col("v") + 0.0537, F.col("lat") / 70)
     o = drifts(spark, sf).obs.withColumn("e", complexes.ellipse(x, y))
     o = o.withColumn("s", complexes.from_ellipse("e.kappa", "e.lambda", "e.theta", "e.phi"))
     return o.select("event_id", r("e.kappa", 7).alias("kappa"), r("e.lambda", 7).alias("lambda"), r("s.x.re", 7).alias("x_re"), r("s.y.im", 7).alias("y_im"))
@@ -631,7 +632,93 @@ def inertial(spark, sf):
     return apply.inertial(f, relative_bandwidth=0.5)
 
 
-# ---- sources, cleaning ----
+# ---- sources: tables as a provider's text, read by its parser ----
+
+
+def _lines(df: DataFrame, *columns: Column, sep: str = " ") -> DataFrame:
+    return df.select(*(c for c in ("row_idx", "at") if c in df.columns), F.concat_ws(sep, *columns).alias("value"))
+
+
+def _text(df: DataFrame, label: str) -> str:
+    """Write lines as text files in the scratch folder; with row_idx and at, a row's lines stay together and in order."""
+    path = fresh_path(df.sparkSession, label)
+    if "at" in df.columns:
+        df = df.repartition(ROW).sortWithinPartitions(ROW, "at")
+    df.select("value").write.text(path)
+    return path
+
+
+def _fixed(c: Column | str, digits: int = 4) -> Column:
+    return (F.col(c) if isinstance(c, str) else c).cast(f"decimal(20,{digits})").cast("string")
+
+
+@query(f"WITH {TRACKS} SELECT 'D' || row_idx AS id, obs_idx, us, round(CAST(lat AS DECIMAL(20,4))::FLOAT::DOUBLE, 3) + 0.0 AS latitude, round(CAST(value AS DECIMAL(20,4))::FLOAT::DOUBLE, 3) AS u FROM obs")
+def glad_text(spark, sf):
+    """Columns parted by white space: id, date, time, positions, velocities."""
+    o = tracks(spark, sf).obs
+    t = F.date_format(F.timestamp_micros("us"), "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    path = _text(_lines(o.drop("at"), F.concat(F.lit("D"), ROW), t, _fixed("lat"), _fixed("lon"), F.lit("5.0"), _fixed("value"), F.lit("0.5"), F.lit("0.01")), "glad")
+    f = providers.glad(spark, path, header=0)
+    return f.joined(["id"]).select("id", OBS, F.unix_micros("time").alias("us"), r(F.col("latitude").cast("double"), 3).alias("latitude"), r(F.col("u").cast("double"), 3).alias("u"))
+
+
+@query(f"WITH {TRACKS} SELECT 'Q' || row_idx AS drifter_id, obs_idx, CASE WHEN event_id % 50 = 0 THEN -1 ELSE us // 1000000 * 1000000 END AS us, CASE WHEN event_id % 3 = 0 THEN '' ELSE event_type END AS battery_state FROM (SELECT * EXCLUDE obs_idx, row_number() OVER (PARTITION BY row_idx ORDER BY CASE WHEN event_id % 50 = 0 THEN NULL ELSE us // 1000000 END NULLS FIRST, event_id) - 1 AS obs_idx FROM obs)")
+def quicche_text(spark, sf):
+    """Ten columns, the last two of which may be absent; bad times are null and sort first."""
+    o = tracks(spark, sf).obs.withColumn("at", F.col("event_id"))
+    t = F.when(F.col("event_id") % 50 == 0, "unknown").otherwise(F.date_format(F.timestamp_micros("us"), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    state = F.when(F.col("event_id") % 3 != 0, F.concat_ws(" ", "event_type", F.lit("F")))
+    path = _text(_lines(o, F.lit("1"), F.lit("2"), F.concat(F.lit("Q"), ROW), t, F.lit("0"), _fixed("lat"), _fixed("lon"), F.lit("X"), state), "quicche")
+    f = providers.quicche(spark, path, "qc1")
+    return f.joined(["drifter_id"]).select("drifter_id", OBS, F.coalesce(F.unix_micros("time"), F.lit(-1)).alias("us"), "battery_state")
+
+
+@query(f"WITH {TRACKS} SELECT 'AL' || lpad(row_idx::VARCHAR, 2, '0') || '2024' AS id, obs_idx, round(CAST(lat AS DECIMAL(20,2))::DOUBLE, 2) + 0.0 AS lat, CASE WHEN event_id % 4 = 0 THEN NULL ELSE round(floor(value) * 1825 / 3600, 6) END AS wind_speed, CASE WHEN event_id % 5 = 0 THEN NULL ELSE 100.0 * (900 + event_id % 100) END AS pressure FROM obs WHERE row_idx < 100")
+def hurdat2_text(spark, sf):
+    """A header line before each storm's data lines; -999 and negative winds are missing."""
+    f = ragged.subset(tracks(spark, sf), {ROW: lambda c: c < 100})
+    storm = F.concat(F.lit("AL"), F.lpad(F.col(ROW).cast("string"), 2, "0"), F.lit("2024"))
+    head = f.rows.withColumn("at", F.lit(-1).cast("long")).select(ROW, "at", F.concat_ws(", ", storm, F.lit("UNNAMED"), F.col("rowsize").cast("string"), F.lit("")).alias("value"))
+    t = F.timestamp_micros("us")
+    lat = F.col("lat").cast("decimal(20,2)")
+    north = F.concat(F.abs(lat).cast("string"), F.when(lat < 0, "S").otherwise("N"))
+    east = F.concat(F.abs(F.col("lon").cast("decimal(20,1)")).cast("string"), F.when(F.col("lon") < 0, "W").otherwise("E"))
+    wind = F.when(F.col("event_id") % 4 == 0, F.when(F.col("event_id") % 8 == 0, "-99").otherwise("-999")).otherwise(F.floor("value").cast("string"))
+    pressure = F.when(F.col("event_id") % 5 == 0, "-999").otherwise((900 + F.col("event_id") % 100).cast("string"))
+    data = f.obs.select(ROW, F.col(OBS).alias("at"), F.concat_ws(", ", F.date_format(t, "yyyyMMdd"), F.date_format(t, "HHmm"), F.lit(" "), F.lit("HU"), north, east, wind, pressure, *[F.lit("-999")] * 13).alias("value"))
+    path = _text(head.unionByName(data), "hurdat2")
+    return providers.hurdat2(spark, path).joined(["id"]).select("id", OBS, r("lat", 2).alias("lat"), r("wind_speed", 6).alias("wind_speed"), "pressure")
+
+
+@query(f"WITH {TRACKS} SELECT row_idx AS id, obs_idx, CASE WHEN event_id % 6 = 0 THEN NULL ELSE round(CAST(lon AS DECIMAL(20,4))::DOUBLE, 4) + 0.0 END AS lon_d, round(CAST(lat AS DECIMAL(20,4))::DOUBLE, 4) + 0.0 AS lat_d, 900 + row_idx AS wmo_id, CASE WHEN row_idx % 3 = 0 THEN 'METOCEAN' WHEN row_idx % 3 = 1 THEN 'APEX' END AS float_type FROM obs")
+def yomaha_text(spark, sf):
+    """28 columns with a mark of missing values for each, and two lookups by left join."""
+    f = tracks(spark, sf)
+    o = f.obs.withColumn("at", F.col(OBS))
+    lon = F.when(F.col("event_id") % 6 == 0, "-999.9999").otherwise(_fixed("lon"))
+    path = _text(_lines(o, lon, _fixed("lat"), *[F.lit("1.5")] * 23, F.col(ROW).cast("string"), F.lit("7"), F.lit("0")), "yomaha")
+    ids = _text(_lines(f.rows, F.col(ROW).cast("string"), (F.col(ROW) + 900).cast("string"), F.lit("1"), (F.col(ROW) % 3).cast("string")), "wmo")
+    kinds = _text(spark.createDataFrame([("0 : X",), ("1 : APEX ",)], "value string"), "types")
+    y = providers.yomaha(spark, path, ids, types=kinds)
+    return y.joined(["id", "wmo_id", "float_type"]).select("id", OBS, r("lon_d", 4).alias("lon_d"), r("lat_d", 4).alias("lat_d"), "wmo_id", "float_type")
+
+
+@query(f"WITH {TRACKS} SELECT row_idx AS id, count(*) AS rowsize, CASE WHEN row_idx % 4 = 0 THEN -999 ELSE row_idx + 5000 END AS wmo_number, min(epoch_us(date_trunc('day', make_timestamp(us)))) AS first_day FROM obs WHERE event_id % 9 <> 0 GROUP BY 1")
+def gdp_text(spark, sf):
+    """Raw fixes with fractional days, anomalous lines to leave out, and metadata that some drifters lack."""
+    f = tracks(spark, sf)
+    t = F.timestamp_micros("us")
+    day = F.concat(F.dayofmonth(t).cast("string"), F.lit(".25"))
+    year = F.when(F.col("event_id") % 9 == 0, "9999").otherwise(F.year(t).cast("string"))
+    month = F.month(t).cast("string")
+    raw = _text(_lines(f.obs.withColumn("at", F.col(OBS)), F.col(ROW).cast("string"), month, day, year, _fixed("lat"), _fixed("lon"), month, day, F.year(t).cast("string"), *[F.lit("1.0")] * 7), "gdp")
+    meta = _lines(f.rows.filter(F.col(ROW) % 4 != 0), F.col(ROW).cast("string"), (F.col(ROW) + 5000).cast("string"), F.lit("1 SVP 2024/01/01 00:00 1.0 2.0 2024/02/01 00:00 3.0 4.0 0000/00/00 00:00 1"))
+    g = providers.gdp_source(spark, raw, providers.directory(spark, _text(meta, "dirfl")))
+    days = g.obs.groupBy(ROW).agg(F.min(F.unix_micros(F.date_trunc("day", "position_datetime"))).alias("first_day"))
+    return g.rows.join(days, ROW).select("id", "rowsize", "wmo_number", "first_day")
+
+
+# ---- cleaning ----
 
 
 @query("SELECT doc_id, substr(source, 1, 4) AS source, coalesce(try_cast(regexp_extract(source, '([0-9]+)$', 1) AS DOUBLE), -1) AS number, CASE WHEN n_chars < 100 THEN NULL ELSE n_chars::DOUBLE END AS n_chars, regexp_replace(lang, 'n$', '') AS lang, trim(regexp_replace(substr(text, 1, 40), '[^\\x00-\\x7F]', '', 'g')) AS ascii FROM documents")
