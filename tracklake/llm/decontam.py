@@ -12,11 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import struct
+from .common import struct, text_batches
 
-GRAM, SPREAD = 3, 4  # words of a seed; of so many seeds in a row the rarest is kept
+GRAM, SPREAD = 3, 3  # words of a seed; of so many seeds in a row the rarest is kept
 MATCH, MISMATCH, GAP = 2, -1, -1
-LEAST = 0.6  # share of the best possible score
+LEAST = 0.4  # share of the best possible score; a third of the words may be others
 ITEMS = 20_000  # items of a block; the documents are read twice for each block
 WORD = re.compile(r"[^\W_]+")
 
@@ -162,6 +162,7 @@ def find_leaks(df: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: st
 
 def _ready(docs: DataFrame, items: list[tuple[object, list[str]]]):
     """A block's index with seeds chosen by counts over all texts, as a broadcast variable."""
+    text_batches(docs.sparkSession)
     index = Index(items)
     send = lambda x: docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(x))  # noqa: E731  by value, as executors need not have this package
     shared = send(index)
