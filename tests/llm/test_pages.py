@@ -86,6 +86,13 @@ def test_cut_pages_and_no_pages():
     assert html.extract("words &eacute; only") == "words é only"
 
 
+def test_marks_around_the_article():
+    art = "<article class='post tag-sidebar'><p>The text of the article.</p></article>"
+    assert html.extract(f"<body><div class='layout with-sidebar'>{art}<div class=sidebar><p>side</p></div></div></body>") == "The text of the article."
+    assert html.extract(f"<body>{art}<div id=comments><article class='comment even'><p>A reader's view of it, at some length.</p></article></div></body>") == "The text of the article."
+    assert html.extract("<body><div class='search-page'><p>All text stands here.</p></div></body>") == "All text stands here."
+
+
 def test_strange_pages_do_not_fail():
     rng = random.Random(1)
     parts = ["<p>", "</p>", "<div class=ad>", "</div>", "<b>", "</b>", "<li>", "<table>", "<td>", "</tr>", "text ", "&amp;", "&#0;", "&#xZ;", "<", ">", "<a href='", "'", '"', "<!--", "-->", "<![CDATA[", "]]>", "<script>", "</script>", "<br/>", "</x>", "\x00"]
