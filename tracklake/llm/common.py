@@ -53,3 +53,23 @@ def put_file(uri: str, write) -> None:
     with system.open_output_stream(part) as out:
         write(out)
     system.move(part, path)
+
+
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Send texts to Python workers by the thousand: they are long. A batch size that was set already stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+
+
+def release() -> None:
+    """Give freed memory of a worker back to the machine, as its next task may be of another kind."""
+    import ctypes
+
+    try:
+        import pyarrow as pa
+
+        pa.default_memory_pool().release_unused()
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # other C libraries have no such call
+        return

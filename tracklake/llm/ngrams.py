@@ -12,16 +12,17 @@ import struct as packing
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, partitions, struct
+from .common import materialize, partitions, release, struct, text_batches
 from .graph import components
 
 WIDTH, NUM, DEN = 5, 3, 4  # words of a shingle; least similarity 3/4
-BATCH_CHARS, BATCH_DOCS = 8_000_000, 60_000
+BATCH_CHARS, BATCH_DOCS = 4_000_000, 60_000
 BLOCK = 1024  # sets of a row block
 SETS = T.StructType([*struct("sid long, n long").fields, T.StructField("hs", T.ArrayType(T.LongType()))])
 INCIDENCE = struct("r int, kind int, batch long, blob binary")
@@ -131,6 +132,8 @@ def _from_texts(blocks: int):
                     sets, ids, chars, batch = [], [], 0, batch + 1
         if sets:
             yield _incidence(sets, ids, (part << 24) + batch, blocks)
+        sets.clear()
+        release()
 
     return run
 
@@ -149,6 +152,8 @@ def _from_sets(blocks: int):
                     sets, ids, size, batch = [], [], 0, batch + 1
         if sets:
             yield _incidence(sets, ids, (part << 24) + batch, blocks)
+        sets.clear()
+        release()
 
     return run
 
@@ -167,6 +172,8 @@ def _shared(frame: pd.DataFrame) -> pd.DataFrame:
             keep = own > 1
             if keep.any():
                 out.append((batch, 0, _pack(h[keep], idx[keep]) + np.minimum(own[keep], (1 << 32) - 1).astype("<u4").tobytes()))
+    parts = mine = None
+    release()
     return pd.DataFrame(out, columns=BACK.names)
 
 
@@ -259,7 +266,8 @@ def linked_sets(df: DataFrame, text: str = "text") -> DataFrame:
        that size and each two blocks meet once, so no task holds an unbounded group.
     """
     spark = df.sparkSession
-    blocks = max(8, partitions(spark))
+    text_batches(spark)
+    blocks = max(32, 4 * partitions(spark))
     texts = df.select(F.col(text).alias("text"))
     sets = _counted(texts.mapInPandas(_from_texts(blocks), INCIDENCE), _survivors, SETS)
     sets = materialize(sets.groupBy("sid").agg(F.first("n").alias("n"), F.first("hs").alias("hs")), "sets")
@@ -282,16 +290,13 @@ def linked_sets(df: DataFrame, text: str = "text") -> DataFrame:
     return components(links).select(F.col("node").alias("sid"), "root")
 
 
-def _named(frames):
-    for frame in frames:
-        sets = []
-        texts = frame["text"].tolist()
+def _named(batches):
+    for batch in batches:  # Arrow keeps ids exact beside nulls
+        sets, texts = [], batch.column("text")
         for i in range(0, len(texts), 500):
-            sets += [(len(x), set_id(x) if len(x) else None) for x in shingle_sets(texts[i : i + 500])]
-        frame = frame.drop(columns="text")
-        frame["n_shingles"] = pd.array([n for n, _ in sets], "Int64")
-        frame["sid"] = pd.array([s for _, s in sets], "Int64")
-        yield frame
+            sets += [(len(x), set_id(x) if len(x) else None) for x in shingle_sets(texts.slice(i, 500).to_pylist())]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([n for n, _ in sets], pa.int64()), pa.array([s for _, s in sets], pa.int64())], names=["doc_id", "n_shingles", "sid"])
+    release()
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -304,11 +309,13 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     """
     kind = df.schema[doc_id].dataType.simpleString()
     groups = linked_sets(df, text)
-    ids = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInPandas(_named, f"doc_id {kind}, n_shingles bigint, sid bigint")
+    ids = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(_named, f"doc_id {kind}, n_shingles bigint, sid bigint")
     ids = materialize(ids, "named")
     keyed = ids.join(groups.withColumnRenamed("sid", "node"), F.col("sid") == F.col("node"), "left").withColumn("group", F.coalesce("root", "sid"))
     keyed = materialize(keyed.select("doc_id", "n_shingles", "sid", "group"), "grouped")
+    # written, so that the hot group's side of the join has an exchange of its own, which Spark can split
     least = keyed.filter("group IS NOT NULL").groupBy(F.col("group").alias("of")).agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("members")).filter("members > 1")
+    least = materialize(least, "least")
     out = keyed.join(least, F.col("group") == F.col("of"), "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("of").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), "sid", "group")
 

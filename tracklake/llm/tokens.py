@@ -6,34 +6,44 @@ import json
 import os
 import re
 import struct
+import sys
+import types
 import zlib
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import files, fresh_path, partitions, put_file
+from .common import files, fresh_path, partitions, put_file, release, text_batches
 
 #: (ids in a word, bits of each) by selector; selector 0 says that the next word is one raw id.
 SELECTORS = ((1, 0), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
 BLOCK = 1024
+TOGETHER = 256  # blocks packed in one go
 MAGIC = b"TLS8B\x01\n\x00"
 
 
 def encode(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
     """Pack unsigned ids into words; returns the words and the first word of each block.
 
-    A block holds ``block`` ids (the last one the rest) and is packed on its own. All blocks
-    advance together, one word at a time, so the greedy choice of selectors is vectorised.
+    A block holds ``block`` ids (the last one the rest) and is packed on its own.
     """
-    ids = np.ascontiguousarray(ids, np.uint64)
+    words, starts, total = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], 0
+    for i in range(0, len(ids), TOGETHER * block):
+        w, s = _encode(np.ascontiguousarray(ids[i : i + TOGETHER * block], np.uint64), block)
+        words.append(w)
+        starts.append(s + total)
+        total += len(w)
+    return np.concatenate(words), np.concatenate(starts)
+
+
+def _encode(ids: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same for as many blocks as fit in memory easily: they advance together, one word at a time, so the greedy choice of selectors is vectorised."""
     n = len(ids)
-    if not n:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
     nb = -(-n // block)
     grid = np.zeros((nb, block + 128), np.uint64)
     grid[:-1, :block] = ids[: (nb - 1) * block].reshape(nb - 1, block)
@@ -183,10 +193,19 @@ def read_shard(handle, first: int = 0, last: int | None = None) -> Iterator[tupl
 
 #: Where a byte-level BPE always starts a new piece: at a single space between two other characters.
 _GAP = re.compile(r"(?<=\S)(?= \S)")
-_WIDE = re.compile(r"\s | \s|^ | $")
+#: White space other than space and newline, where no text is cut without a closer look.
+_SPACES = "\t\r\v\f\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
 #: After a space, letters are one piece of the pattern, and a full stop or comma after them another.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
-_KEPT = 400_000
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_KEPT = 200_000
+
+
+def kept_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
+    """One encoder for each file and process: a worker's next task starts with what it remembers."""
+    home = sys.modules.setdefault("tracklake_encoders", types.ModuleType("tracklake_encoders")).__dict__
+    if path not in home:
+        home[path] = bpe_encoder(path)
+    return home[path]
 
 
 def bpe_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
@@ -195,62 +214,61 @@ def bpe_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     The names of special tokens in a text are ordinary text. Pieces between single spaces are
     encoded once and remembered, as a byte-level BPE never merges across a space that stands
     between two other characters; a text with wider gaps is cut at such spaces alone. A new piece
-    of letters goes straight to the library's BPE model; other new pieces go through the whole
-    tokenizer in one run, and the byte lengths of ids tell where each of them ends.
+    of letters goes straight to the library's BPE model, any other goes through the whole tokenizer.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
     tok.encode_special_tokens = True
-    size = np.zeros(tok.get_vocab_size(), np.int64)
-    for piece, i in tok.get_vocab().items():
-        size[i] = len(piece)  # one character of a byte-level piece stands for one byte
-    kept: dict[str, bytes] = {}
-
-    def encode_all(pieces: list[str]) -> None:
-        ids = np.array(tok.encode(" " + " ".join(pieces), add_special_tokens=False).ids, np.uint32)
-        ends = np.searchsorted(np.cumsum(size[ids]), np.cumsum([len(p.encode()) + 1 for p in pieces])) + 1
-        first = 0
-        for piece, last in zip(pieces, ends.tolist(), strict=True):
-            kept[piece] = ids[first:last].tobytes()
-            first = last
-
     letters = bytes_to_chars()
-    marks = {x: b"".join(struct.pack("<I", t.id) for t in tok.model.tokenize(x)) if x else b"" for x in ("", ".", ",")}
-
-    def encode_new(pieces: list[str]) -> None:
-        other = []
-        for piece in pieces:
-            if m := _PLAIN.fullmatch(piece):
-                stem, mark = m.groups()
-                if stem not in kept:
-                    ids = [t.id for t in tok.model.tokenize("Ġ" + (stem if stem.isascii() else stem.encode().decode("latin-1").translate(letters)))]
-                    kept[stem] = struct.pack(f"<{len(ids)}I", *ids)
-                kept[piece] = kept[stem] + marks[mark]
-            else:
-                other.append(piece)
-        if other:
-            encode_all(other)
+    packed = [struct.pack("<I", i) for i in range(tok.get_vocab_size())]
+    tokenize = tok.model.tokenize
+    marks = {x: b"".join(packed[t.id] for t in tokenize(x)) for x in (".", ",")}
 
     def whole(text: str) -> bytes:
         return np.array(tok.encode(text, add_special_tokens=False).ids, np.uint32).tobytes() if text else b""
 
+    class Kept(dict):
+        """Pieces without the space before them, and their ids; a new piece is encoded when it is asked for.
+
+        When there are many, a new generation starts and takes over what is asked for again.
+        """
+
+        before: dict[str, bytes]
+
+        def __missing__(self, piece: str) -> bytes:
+            if ids := self.before.get(piece):
+                pass
+            elif piece.isalpha() and (piece.isascii() or _LETTERS.fullmatch(piece)):
+                chars = piece if piece.isascii() else piece.encode().decode("latin-1").translate(letters)
+                ids = b"".join([packed[t.id] for t in tokenize("Ġ" + chars)])
+            elif piece and piece[-1] in marks and _LETTERS.fullmatch(piece, 0, len(piece) - 1):
+                ids = self[piece[:-1]] + marks[piece[-1]]
+            else:
+                ids = whole(" " + piece)
+            self[piece] = ids
+            return ids
+
+    kept = Kept()
+    kept.before = {}
+
     def run(texts: list[str]) -> list[bytes]:
+        nonlocal kept
         if len(kept) > _KEPT:
-            kept.clear()
-        heads, tails = [], []
+            kept.before = {}
+            young = Kept()
+            young.before = kept
+            kept = young
+        out = []
         for text in texts:
-            if _WIDE.search(text):
+            if "  " in text or "\n " in text or " \n" in text or text[:1] == " " or text[-1:] == " " or any(c in text for c in _SPACES):
                 first, *rest = _GAP.split(text)
                 rest = [x[1:] for x in rest]
             else:
                 first, *rest = text.split(" ")
-            heads.append(first)
-            tails.append(rest)
-        if new := list(set(chain.from_iterable(tails)).difference(kept)):
-            encode_new(new)
-        return [whole(head) + b"".join(map(kept.__getitem__, tail)) for head, tail in zip(heads, tails, strict=True)]
+            out.append(whole(first) + b"".join(map(kept.__getitem__, rest)))
+        return out
 
     return run
 
@@ -277,6 +295,7 @@ def write_tokens(df: DataFrame, doc_id: str = "doc_id", text: str = "text", toke
     document. The table has (shard, path, n_docs, n_ids, start): a row a shard.
     """
     spark = df.sparkSession
+    text_batches(spark)
     folder = folder or fresh_path(spark, "tokens")
     tokenizer = tokenizer or default_tokenizer()
     src = df.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text")).withColumn("at", F.monotonically_increasing_id())
@@ -284,14 +303,14 @@ def write_tokens(df: DataFrame, doc_id: str = "doc_id", text: str = "text", toke
     src = src.repartitionByRange(shards or partitions(spark), *keys).sortWithinPartitions(*keys)
 
     def write(batches):
-        run = bpe_encoder(tokenizer)
+        run = kept_encoder(tokenizer)
         doc_ids, lengths, parts = [], [], []
         end = b"" if end_id is None else struct.pack("<I", end_id)
         for batch in batches:
-            texts = batch["text"].tolist()
-            doc_ids += [None if pd.isna(x) else int(x) if not isinstance(x, str) else x for x in batch["id"]]
+            doc_ids += batch.column("id").to_pylist()
+            texts = batch.column("text")
             for i in range(0, len(texts), 64):
-                for ids in run(texts[i : i + 64]):
+                for ids in run(texts.slice(i, 64).to_pylist()):
                     lengths.append(len(ids) // 4 + len(end) // 4)
                     parts += [ids, end]
         if not doc_ids:
@@ -301,9 +320,10 @@ def write_tokens(df: DataFrame, doc_id: str = "doc_id", text: str = "text", toke
         parts.clear()
         path = f"{folder}/shard-{shard:06d}.s8b"
         put_file(path, lambda out: write_shard(out, doc_ids, np.array(lengths), ids))
-        yield pd.DataFrame({"shard": [shard], "path": [path], "n_docs": [len(doc_ids)], "n_ids": [len(ids)]})
+        yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [path], "n_docs": [len(doc_ids)], "n_ids": [len(ids)]})
+        release()
 
-    rows = src.select("id", "text").mapInPandas(write, "shard long, path string, n_docs long, n_ids long").collect()
+    rows = src.select("id", "text").mapInArrow(write, "shard long, path string, n_docs long, n_ids long").collect()
     start, out = 0, []
     for r in sorted(rows):
         out.append((r.shard, r.path, r.n_docs, r.n_ids, start))
@@ -323,9 +343,7 @@ def read_tokens(shards: DataFrame, id_type: str = "long") -> DataFrame:
                     for doc, ids in read_shard(handle):
                         out.append((doc, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
                         start += len(ids)
-                frame = pd.DataFrame(out, columns=["doc_id", "start", "n_tokens", "ids_crc32"])
-                if id_type == "long":
-                    frame["doc_id"] = frame["doc_id"].astype("Int64")
-                yield frame
+                frame = pd.DataFrame(out, columns=["doc_id", "start", "n_tokens", "ids_crc32"], dtype=object)
+                yield frame.astype({"start": "int64", "n_tokens": "int64", "ids_crc32": "int64"} | ({"doc_id": "Int64"} if id_type == "long" else {}))
 
     return shards.repartition(max(1, partitions(shards.sparkSession)), "shard").mapInPandas(read, f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long")

@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import files, fresh_path, partitions, put_file, struct
+from .common import files, fresh_path, partitions, put_file, struct, text_batches
 
 LEAST = 1000  # bytes from which equal payloads are stored once
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.jsonl"
@@ -169,6 +169,7 @@ def assign(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: s
 def write_archives(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", folder: str | None = None) -> DataFrame:
     """Write all pages, a package a task, each whole or not at all; returns (path, records), a row a package."""
     spark = pages.sparkSession
+    text_batches(spark)
     folder = folder or fresh_path(spark, "warc")
 
     def write(frames):
