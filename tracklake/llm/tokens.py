@@ -195,8 +195,8 @@ def read_shard(handle, first: int = 0, last: int | None = None) -> Iterator[tupl
 _GAP = re.compile(r"(?<=\S)(?= \S)")
 #: White space other than space and newline, where no text is cut without a closer look.
 _SPACES = "\t\r\v\f\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
-#: After a space, letters are one piece of the pattern, and a full stop or comma after them another.
-_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: Runs that a byte-level BPE keeps apart: letters, digits, marks other than the apostrophe, single newlines.
+_RUNS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]+|[!-&(-/:-@\[-`{-~]+|\n")
 _KEPT = 200_000
 
 
@@ -214,52 +214,54 @@ def bpe_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     The names of special tokens in a text are ordinary text. Pieces between single spaces are
     encoded once and remembered, as a byte-level BPE never merges across a space that stands
     between two other characters; a text with wider gaps is cut at such spaces alone. A new piece
-    of letters goes straight to the library's BPE model, any other goes through the whole tokenizer.
+    of plain runs goes straight to the library's BPE model, run by run; any other goes through the
+    whole tokenizer.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
     tok.encode_special_tokens = True
-    letters = bytes_to_chars()
+    chars = bytes_to_chars()
     packed = [struct.pack("<I", i) for i in range(tok.get_vocab_size())]
     tokenize = tok.model.tokenize
-    marks = {x: b"".join(packed[t.id] for t in tokenize(x)) for x in (".", ",")}
 
     def whole(text: str) -> bytes:
         return np.array(tok.encode(text, add_special_tokens=False).ids, np.uint32).tobytes() if text else b""
 
     class Kept(dict):
-        """Pieces without the space before them, and their ids; a new piece is encoded when it is asked for.
+        """Pieces and their ids, with or without a space before them; a new piece is encoded when it is asked for.
 
         When there are many, a new generation starts and takes over what is asked for again.
         """
 
-        before: dict[str, bytes]
+        def __init__(self, space: str, bare: Kept | None, before: dict[str, bytes]):
+            self.space, self.bare, self.before = space, bare, before
 
         def __missing__(self, piece: str) -> bytes:
-            if ids := self.before.get(piece):
-                pass
-            elif piece.isalpha() and (piece.isascii() or _LETTERS.fullmatch(piece)):
-                chars = piece if piece.isascii() else piece.encode().decode("latin-1").translate(letters)
-                ids = b"".join([packed[t.id] for t in tokenize("Ġ" + chars)])
-            elif piece and piece[-1] in marks and _LETTERS.fullmatch(piece, 0, len(piece) - 1):
-                ids = self[piece[:-1]] + marks[piece[-1]]
-            else:
-                ids = whole(" " + piece)
+            ids = self.before.get(piece)
+            if ids is None:
+                runs = _RUNS.findall(piece)
+                if len(runs) == 1 and runs[0] == piece:
+                    raw = piece if piece.isascii() and piece != "\n" else piece.encode().decode("latin-1").translate(chars)
+                    ids = b"".join([packed[t.id] for t in tokenize(self.space + raw)])
+                elif self.bare is not None and runs and "\n\n" not in piece and "".join(runs) == piece:
+                    first, *rest = runs
+                    ids = self[first] + b"".join(map(self.bare.__getitem__, rest))
+                else:
+                    ids = whole(" " + piece)
             self[piece] = ids
             return ids
 
-    kept = Kept()
-    kept.before = {}
+    bare = Kept("", None, {})
+    kept = Kept("Ġ", bare, {})
 
     def run(texts: list[str]) -> list[bytes]:
-        nonlocal kept
-        if len(kept) > _KEPT:
-            kept.before = {}
-            young = Kept()
-            young.before = kept
-            kept = young
+        nonlocal kept, bare
+        if len(kept) + len(bare) > _KEPT:
+            bare.before, kept.before = {}, {}
+            bare = Kept("", None, bare)
+            kept = Kept("Ġ", bare, kept)
         out = []
         for text in texts:
             if "  " in text or "\n " in text or " \n" in text or text[:1] == " " or text[-1:] == " " or any(c in text for c in _SPACES):
