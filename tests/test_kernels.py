@@ -67,7 +67,7 @@ def test_wind_gradients_and_limits():
     near, at = (transfer.wind([w], [15.0], FREQ, **p)[0] for w in (-FREQ * (1 + 1e-9), -FREQ))
     assert np.allclose(near, at, rtol=1e-4)
     assert np.isnan(transfer.wind([1.0], [60.0], FREQ, **p)[0]).all() and np.isinf(transfer.wind([-FREQ], [1.0], FREQ, 20, 0, math.inf)[0]).all()
-    for bad in ({"delta": -1}, {"mu": -1}, {"depth": -1}, {"boundary": "half"}, {"method": "x"}):
+    for bad in ({"delta": -1}, {"mu": -1}, {"depth": -1}, {"boundary": "half"}):
         with pytest.raises(ValueError):
             transfer.wind([1.0], [1.0], FREQ, **(p | bad))
 

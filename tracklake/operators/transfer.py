@@ -84,21 +84,21 @@ def slab(omega, f: float, friction: float, depth: float, density: float = 1025.0
     return 1 / (density * depth * (friction + 1j * turn))
 
 
-def wind(omega, z, f: float, delta: float, mu: float, depth: float, boundary: str = "no-slip", density: float = 1025.0, corrected: bool = False, method: str = "lilly"):
+def wind(omega, z, f: float, delta: float, mu: float, depth: float, boundary: str = "no-slip", density: float = 1025.0, corrected: bool = False):
     """(response, its derivative by delta, by depth) over depths ``z`` and frequencies ``omega`` (radians a day).
 
     The viscosity K0 + K1 z has K0 = delta^2 |f| / 2 and K1 = mu |f| / 2; the layer is ``depth``
     deep (it may be infinite without slip). All cases are ratios of scaled Bessel or hyperbolic
     functions whose exponents are combined first, so none overflows. Below the layer the
     response is NaN. Derivatives exist for constant viscosity without slip, else they are empty.
-    ``method`` lilly with free slip and both scales takes I of order 0 at the bottom, as published
-    values do; elipot and ``corrected`` take order 1, which is the one without a slope there.
+    With free slip and both scales I of order 0 stands at the bottom, as in published values;
+    ``corrected`` takes order 1, which is the one without a slope there.
     """
     z = np.atleast_1d(np.asarray(z, float))
     if (z < 0).any() or depth < 0 or delta < 0 or mu < 0 or density < 0:
         raise ValueError("depths, scales and density must not be negative")
-    if boundary not in ("no-slip", "free-slip") or method not in ("lilly", "elipot"):
-        raise ValueError("boundary must be no-slip or free-slip, method lilly or elipot")
+    if boundary not in ("no-slip", "free-slip"):
+        raise ValueError("boundary must be no-slip or free-slip")
     om, zz = np.meshgrid(np.atleast_1d(omega) / EARTH_DAY_SECONDS, z)
     f = f / EARTH_DAY_SECONDS
     k0, k1 = delta**2 * abs(f) / 2, mu * abs(f) / 2
@@ -108,10 +108,10 @@ def wind(omega, z, f: float, delta: float, mu: float, depth: float, boundary: st
     with np.errstate(all="ignore"):
         if k1 == 0:
             g, by_delta, by_depth = _constant(turn, zz, k0, delta, depth, slip, density)
-            if slip or method != "lilly":
+            if slip:
                 by_delta = by_depth = empty
         else:
-            g = _linear(turn, zz, k0, k1, depth, slip, density, order=0 if slip and k0 and method == "lilly" and not corrected else 1)
+            g = _linear(turn, zz, k0, k1, depth, slip, density, order=0 if slip and k0 and not corrected else 1)
             by_delta = by_depth = empty
         still = om == -f
         if still.any() and not slip:
