@@ -1,9 +1,9 @@
 """Every query with SQL gives the rows that DuckDB gives."""
 
-import math
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -22,7 +22,7 @@ def duck():
 
 def rows(df):
     df = df[sorted(df.columns)].astype(object)
-    return sorted(repr([None if x is None or (isinstance(x, float) and math.isnan(x)) or x != x else x for x in r]) for r in df.itertuples(index=False, name=None))
+    return sorted(repr([None if pd.isna(x) else x for x in r]) for r in df.itertuples(index=False, name=None))
 
 
 @pytest.mark.parametrize("name", [n for n in ALL if n in SQL])
