@@ -163,3 +163,45 @@ def test_leaks_of_the_query(spark):
     assert whole <= set(got)
     for (d, i), r in got.items():
         assert abs(plain_align(items[i], texts[d][max(0, r.start - 5) : r.end + 5]) / (2 * len(items[i])) - r.score) < 1e-9
+
+
+def edited_copies(seed, vocabulary):
+    """Items and texts with copies of them, a fifth to a third of whose words are replaced, inserted or left out, at random or in a period."""
+    rng = random.Random(seed)
+    word = lambda: f"w{int(vocabulary * rng.random() ** 3)}"  # noqa: E731  some words are common
+    items = [[word() for _ in range(rng.choice((3, 4, 7, 12, 20, 40)))] for _ in range(12)]
+    texts = []
+    for k in range(120):
+        period, kind, copy = rng.choice((3, 4, 5)), rng.choice(("replace", "insert", "leave", "any")), []
+        for n, w in enumerate(items[k % len(items)]):
+            hit = n % period == period // 2 if k % 2 else rng.random() < 1 / period
+            edit = rng.choice(("replace", "insert", "leave")) if kind == "any" else kind
+            copy += [w] if not hit else {"replace": [word()], "insert": [w, word()], "leave": []}[edit]
+        texts.append([*(word() for _ in range(rng.randint(0, 60))), *copy, *(word() for _ in range(rng.randint(0, 60)))])
+    texts += [[x for w in items[5] for x in (w, "z")], items[0], items[1][1:]]
+    return items, texts
+
+
+def test_edited_copies_are_those_of_brute_force():
+    for seed, vocabulary in enumerate((8, 40, 400, 4000)):
+        items, texts = edited_copies(seed, vocabulary)
+        index = decontam.Index(list(enumerate(items)))
+        total = np.zeros(len(index.keys), np.int64)
+        for text in texts:
+            for numbers in index.hits(text)[1:]:
+                np.add.at(total, numbers[numbers >= 0], 1)
+        index.choose(total)
+        got = {(n, i): round(score * 2 * len(items[i])) for n, text in enumerate(texts) for i, score, _, _ in index.search(text)}
+        names = {w: k for k, w in enumerate({w for t in (*items, *texts) for w in t})}
+        numbers = lambda ws: np.array([names[w] for w in ws], np.int64)
+        best = {(n, i): decontam.align(numbers(item), numbers(text))[0] for n, text in enumerate(texts) for i, item in enumerate(items)}
+        assert got == {k: s for k, s in best.items() if s >= decontam.LEAST * 2 * len(items[k[1]])}
+
+
+def test_every_fifth_word_replaced(spark, docs):
+    """No five words in a row are as they were, and the words put in make absent grams."""
+    items = [" ".join(f"w{(7 * i + k * k) % 50}" for k in range(40)) for i in range(8)]
+    texts = [" ".join(f"new{k}" if k % 5 == 4 else w for k, w in enumerate(t.split())) for t in items]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert {(k, k) for k in range(8)} <= {(r.doc_id, r.item_id) for r in decontam.find_leaks(docs(texts), bench).collect()}
+    assert decontam.remove_leaks(docs(texts), bench).count() == 0

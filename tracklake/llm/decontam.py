@@ -1,7 +1,8 @@
-"""Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them."""
+"""Benchmark decontamination: rare word pairs find passages, Smith-Waterman alignment scores them."""
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -14,7 +15,7 @@ from pyspark.sql import types as T
 
 from .common import struct, text_batches
 
-GRAM, SPREAD = 3, 3  # words of a seed; of so many seeds in a row the rarest is kept
+SHORTEST = 3  # words of the shortest item
 MATCH, MISMATCH, GAP = 2, -1, -1
 LEAST = 0.4  # share of the best possible score; a third of the words may be others
 ITEMS = 20_000  # items of a block; the documents are read twice for each block
@@ -47,80 +48,110 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
 
 
 class Index:
-    """Seeds of a block of items: sorted gram keys, and where in which item each stands."""
+    """Seeds of a block of items: sorted word-pair keys, and where in which item each stands.
+
+    No alignment that reaches ``LEAST`` is missed. Two matches after one another cost what the wider of
+    their steps (in the item, in the passage) leaves out. With p steps of one word on both sides and q of
+    at most two, the score is at most 2 + 2 p + q; so a passage holds word pairs of the item, a step of one
+    or two words apart, whose weights (two if both steps are one, else one) add up to ``need``.
+    """
 
     def __init__(self, items: list[tuple[int, list[str]]]):
         self.vocab: dict[str, int] = {}
-        self.items = [(i, np.array([self.vocab.setdefault(w, len(self.vocab)) for w in ws], np.int64)) for i, ws in items if len(ws) >= GRAM]
+        self.items = [(i, np.array([self.vocab.setdefault(w, len(self.vocab)) for w in ws], np.int64)) for i, ws in items if len(ws) >= SHORTEST]
         self.base = len(self.vocab) + 1
-        keys = [self.grams(ids) for _, ids in self.items]
-        self.keys = np.unique(np.concatenate(keys)) if keys else np.empty(0, np.int64)
-        self.where = [np.searchsorted(self.keys, k) for k in keys]
+        pairs = [[ids[:-step] * self.base + ids[step:] for step in (1, 2)] for _, ids in self.items]
+        self.keys = np.unique(np.concatenate([k for two in pairs for k in two])) if pairs else np.empty(0, np.int64)
+        self.where = [[np.searchsorted(self.keys, k) for k in two] for two in pairs]
+        self.size = np.array([len(ids) for _, ids in self.items], np.int64)
+        self.weight = np.zeros(len(self.keys) + 1, np.int64)  # of one item's pairs, while it is looked at
         self.choose(np.zeros(len(self.keys), np.int64))
 
-    def grams(self, ids: np.ndarray) -> np.ndarray:
-        if len(ids) < GRAM:
-            return np.empty(0, np.int64)
-        key = ids[: len(ids) - GRAM + 1].copy()
-        for k in range(1, GRAM):
-            key = key * self.base + ids[k : len(ids) - GRAM + 1 + k]
-        return key
+    def need(self, size: int) -> float:
+        return LEAST * MATCH * size - MATCH - 1e-9
 
     def choose(self, count: np.ndarray) -> None:
-        """Keep of every ``SPREAD`` grams in a row of an item the one that the corpus has least (the first, if equal).
+        """Seeds are the pairs from all places of an item but those that the corpus has most.
 
-        Any stretch of GRAM + SPREAD - 1 words that a passage has in common holds a seed, however common the item is.
+        Places left out weigh less than ``need`` together, so a passage holds one of the others.
         """
-        seeds: dict[int, list[tuple[int, int]]] = {}
-        for n, where in enumerate(self.where):
-            cost = count[where]
-            picked = {i + int(cost[i : i + SPREAD].argmin()) for i in range(max(1, len(where) - SPREAD + 1))}
-            for p in sorted(picked):
-                seeds.setdefault(int(where[p]), []).append((n, p))
-        self.seeds = seeds
-        self.is_seed = np.zeros(len(self.keys), bool)
-        self.is_seed[list(seeds)] = True
+        none = np.empty(0, np.int64)
+        number, item, place = [none], [none], [none]
+        for n, (near, far) in enumerate(self.where):
+            cost = count[near]
+            cost[: len(far)] += count[far]
+            spare = max(0, math.ceil(self.need(len(near) + 1) / MATCH) - 1)
+            kept = np.argsort(cost, kind="stable")[: len(near) - spare]
+            for pairs, at in ((near, kept), (far, kept[kept < len(far)])):
+                number.append(pairs[at])
+                item.append(np.full(len(at), n))
+                place.append(at)
+        number = np.concatenate(number)
+        order = np.argsort(number, kind="stable")
+        self.item, self.place = np.concatenate(item)[order], np.concatenate(place)[order]
+        self.first = np.searchsorted(number[order], np.arange(len(self.keys) + 1))
+        self.is_seed = np.append(np.diff(self.first) > 0, False)
 
     def hits(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The words' ids (-1 for others), places of known grams and their numbers."""
-        ids = np.array([self.vocab.get(w, -1) for w in words], np.int64)
-        if len(ids) < GRAM or not len(self.keys):
-            return ids, ids[:0], ids[:0]
-        known = ids >= 0
-        ok = known[: len(ids) - GRAM + 1].copy()
-        for k in range(1, GRAM):
-            ok &= known[k : len(ids) - GRAM + 1 + k]
-        at = np.flatnonzero(ok)
-        if not len(at):
-            return ids, at, at
-        key = ids[at]
-        for k in range(1, GRAM):
-            key = key * self.base + ids[at + k]
-        n = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        same = self.keys[n] == key
-        return ids, at[same], n[same]
+        """The words' ids (-1 for others), and by place the number (or -1) of the pair with the next word and the one after."""
+        get = self.vocab.get
+        ids = np.array([get(w, -1) for w in words], np.int64)
+        out = []
+        for step in (1, 2):
+            found = np.full(len(ids), -1, np.int64)
+            if len(ids) > step and len(self.keys):
+                at = np.flatnonzero((ids[:-step] >= 0) & (ids[step:] >= 0))
+                key = ids[at] * self.base + ids[at + step]
+                n = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                same = self.keys[n] == key
+                found[at[same]] = n[same]
+            out.append(found)
+        return ids, *out
 
     def search(self, words: list[str]):
         """(item id, score, first word, end word) of each item whose best alignment in the text reaches ``LEAST``."""
-        ids, at, n = self.hits(words)
-        pick = self.is_seed[n] if len(n) else np.zeros(0, bool)
-        windows: dict[int, list[list[int]]] = {}
-        for a, g in zip(at[pick].tolist(), n[pick].tolist(), strict=True):
-            for item, p in self.seeds[g]:
-                size = len(self.items[item][1])
-                room = size // 2 + 4  # words that edits may have put in
-                low, high = max(0, a - p - room), min(len(ids), a - p + size + room)
-                spans = windows.setdefault(item, [])
-                if spans and low <= spans[-1][1]:
-                    spans[-1][1] = max(spans[-1][1], high)
-                    spans[-1][0] = min(spans[-1][0], low)
-                else:
-                    spans.append([low, high])
-        for item, spans in sorted(windows.items()):
-            name, target = self.items[item]
-            best = max((self._scored(target, ids, low, high) for low, high in spans), default=None)
-            if best and best[0] >= LEAST:
-                yield name, *best
+        ids, near, far = self.hits(words)
+        at = [np.flatnonzero(self.is_seed[x]) for x in (near, far)]
+        number = np.concatenate([near[at[0]], far[at[1]]])
+        if not len(number):
+            return
+        times = self.first[number + 1] - self.first[number]
+        k = np.arange(times.sum()) + np.repeat(self.first[number] - np.cumsum(times) + times, times)
+        item, start = self.item[k], np.repeat(np.concatenate(at), times) - self.place[k]
+        order = np.lexsort((start, item))
+        item, start = item[order], start[order]
+        size = self.size[item]
+        room = (size * (1 - LEAST) * MATCH).astype(np.int64) + 1  # words that edits may have put in
+        low, high = start - room, start + size + room
+        new = np.flatnonzero(np.append(True, (item[1:] != item[:-1]) | (low[1:] > high[:-1])))
+        last = np.append(new[1:], len(item)) - 1
+        found: dict[int, tuple[float, int, int]] = {}
+        for n, a, b in zip(item[new].tolist(), np.maximum(low[new], 0).tolist(), np.minimum(high[last], len(ids)).tolist(), strict=True):
+            for x, y in self._dense(n, near[a:b], far[a:b]):
+                got = self._scored(self.items[n][1], ids, a + x, a + y)
+                if n not in found or got > found[n]:
+                    found[n] = got
+        for n, best in found.items():
+            if best[0] >= LEAST:
+                yield self.items[n][0], *best
+
+    def _dense(self, n: int, near: np.ndarray, far: np.ndarray) -> list[tuple[int, int]]:
+        """Stretches of a text with enough of an item's pairs for an alignment within them."""
+        size = int(self.size[n])
+        one, two = self.where[n]
+        self.weight[two], self.weight[one] = 1, 2
+        total = np.append(0, np.cumsum(np.maximum(self.weight[near], np.minimum(self.weight[far], 1))))
+        self.weight[two] = self.weight[one] = 0
+        need = self.need(size)
+        if total[-1] < need:
+            return []
+        span = int(size * (MATCH + 1 - LEAST * MATCH)) + 1  # the longest passage that can reach the score
+        end = np.minimum(np.arange(len(near)) + span, len(near))
+        at = np.flatnonzero(total[end] - total[:-1] >= need)
+        if not len(at):
+            return []
+        new = np.flatnonzero(np.append(True, at[1:] > end[at[:-1]]))
+        return list(zip(at[new].tolist(), end[at[np.append(new[1:], len(at)) - 1]].tolist(), strict=True))
 
     def _scored(self, target: np.ndarray, ids: np.ndarray, low: int, high: int) -> tuple[float, int, int]:
         part = ids[low:high]
@@ -139,7 +170,7 @@ def find_leaks(df: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: st
 
     Score is the Smith-Waterman score of the best passage over that of an exact copy; start and
     end count words. Items are the stated query set: blocks of 20,000 go to all executors, and
-    every row of ``df`` is searched for every block. Of a block's grams the whole corpus is
+    every row of ``df`` is searched for every block. Of a block's word pairs the whole corpus is
     counted first, pre-aggregated by task. Items of fewer than three words give nothing; null and
     empty texts hold nothing; equal rows give equal results; a repeated item gives one row.
     """
@@ -172,7 +203,8 @@ def _ready(docs: DataFrame, items: list[tuple[object, list[str]]]):
         total = np.zeros(len(index.keys), np.int64)
         for frame in frames:
             for text in frame["text"]:
-                np.add.at(total, index.hits(words_of(text))[2], 1)
+                for numbers in index.hits(words_of(text))[1:]:
+                    np.add.at(total, numbers[numbers >= 0], 1)
         at = np.flatnonzero(total)
         yield pd.DataFrame({"g": at, "n": total[at]})
 
