@@ -119,3 +119,32 @@ def test_operator_on_awkward_rows(spark):
     out = html.extract_text(df)
     assert out.columns == [*df.columns, "main"] and [tuple(r.main) for r in out.orderBy("page_id").collect()] == [("", 0), ("a", 1), ("a", 1)]
     assert html.extract_text(df.limit(0)).count() == 0
+
+
+PARTS = ["<p>%s</p>" % " ".join([f"Paragraph {k} of the article has a good many words in it, so that it is dense."] * 2) for k in range(6)]
+LINKS = "".join(f"<li><a href=/{k}>Link number {k} of the list</a></li>" for k in range(9))
+BOXES = [
+    f"<div class=col2><ul>{LINKS}</ul></div>",
+    "<div class=box><h3><a href=1>Teaser one</a></h3><p><a href=1>Read what is in it</a></p><h3><a href=2>Teaser two</a></h3><p>More <a href=2>of it</a></p></div>",
+    "<div class=teaser><a href=x>Buy these things now</a></div>",
+    "<div class=box>Things at a low price</div>",
+    f"<h3>Seen by many</h3><ul>{LINKS}</ul>",
+]
+
+
+def words_in(parts):
+    return "\n".join(p[3:-4] for p in parts)
+
+
+@pytest.mark.parametrize("box", BOXES)
+@pytest.mark.parametrize("around", ["<div class=wrap><div class=post>%s</div>%s</div>", "<section>%s</section>%s", "<div><div><div>%s</div>%s</div></div>"])
+def test_unlabelled_boxes_beside_the_article(around, box):
+    assert html.extract(f"<body>{around % (''.join(PARTS), box)}</body>") == words_in(PARTS)
+
+
+def test_unlabelled_lists_and_sections():
+    table = f"<table><tr><td><ul>{LINKS}</ul></td><td>{''.join(PARTS)}</td></tr></table>"
+    assert html.extract(f"<body>{table}</body>") == words_in(PARTS)
+    assert html.extract(f"<body><div>{''.join(PARTS)}<ul>{LINKS}</ul></div></body>") == words_in(PARTS)
+    two = f"<div><h1>Title</h1><section>{''.join(PARTS[:3])}</section><h2>Next</h2><section>{''.join(PARTS[3:])}</section><p>Short end.</p>{BOXES[0]}</div>"
+    assert html.extract(f"<body>{two}</body>") == f"Title\n{words_in(PARTS[:3])}\nNext\n{words_in(PARTS[3:])}\nShort end."

@@ -22,6 +22,8 @@ BLOCK = frozenset(
 #: Elements that end an open paragraph, item or cell of the kinds on the right, as browsers do.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPE = frozenset("html body table ul ol dl td th div section article aside nav header footer main form blockquote".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+PROSE = HEADINGS | frozenset("p pre blockquote li dt dd td th caption figcaption".split())
 DROP = frozenset("nav header footer aside form button menu dialog head".split())
 #: Words in class, id or role that mark what is not the article.
 MARKS = frozenset(
@@ -162,12 +164,12 @@ def weigh(root: Node) -> tuple[float, Node]:
 
 
 def main_node(root: Node) -> Node:
-    """The subtree of the article.
+    """The subtree of the article; what is beside it in there is dropped.
 
-    The body's maximum density sum leads to the paragraphs' parent. The threshold is the least
-    density on the path from it to the body; the subtree grows to the highest ancestor on that
-    path whose density reaches it, so that sections around several groups of paragraphs stay
-    whole. An ``article`` or ``main`` element on or over the path ends the climb.
+    The body's maximum density sum leads to the paragraphs' parent. An ``article`` or ``main``
+    element on or over it is the article. Else the threshold is the least density on the path to
+    the body. Of what stands beside the path a block stays if its density reaches the threshold,
+    or if it is prose with few links; of what stands below the node, lists and boxes of links go.
     """
     _, body = weigh(root)
     best, stack = body, [body]
@@ -183,7 +185,41 @@ def main_node(root: Node) -> Node:
         if node.tag in ("article", "main"):
             return node
     threshold = min(n.density for n in path)
-    return next(n for n in reversed(path) if n.density >= threshold)
+    for node in path[1:]:
+        _beside(node, path, threshold)
+    stack = [best]
+    while stack:
+        for c in stack.pop().items:
+            if not isinstance(c, str) and not c.drop:
+                c.drop = c.density < threshold and c.tag in BLOCK and c.tag not in PROSE and 2 * c.link_chars > c.chars
+                stack.append(c)
+    return path[-1]
+
+
+def _beside(node: Node, path: list[Node], threshold: float) -> None:
+    """Drop the blocks beside the path that are no part of the article, and headings right before them."""
+    kept = True
+    for c in reversed(node.items):
+        if isinstance(c, str) or c.drop or c.tag not in BLOCK:
+            continue
+        if c in path:
+            kept = True
+        elif c.tag in HEADINGS:
+            c.drop = not kept
+        elif c.chars:
+            few = 4 * c.link_chars < c.chars
+            kept = c.density >= threshold and 2 * c.link_chars <= c.chars or few and _prose(c)
+            c.drop = not kept
+
+
+def _prose(node: Node) -> bool:
+    stack = [node]
+    while stack:
+        x = stack.pop()
+        if x.tag in PROSE:
+            return True
+        stack += [c for c in x.items if not isinstance(c, str) and not c.drop]
+    return False
 
 
 def blocks(node: Node) -> list[str]:
