@@ -148,3 +148,23 @@ def test_unlabelled_lists_and_sections():
     assert html.extract(f"<body><div>{''.join(PARTS)}<ul>{LINKS}</ul></div></body>") == words_in(PARTS)
     two = f"<div><h1>Title</h1><section>{''.join(PARTS[:3])}</section><h2>Next</h2><section>{''.join(PARTS[3:])}</section><p>Short end.</p>{BOXES[0]}</div>"
     assert html.extract(f"<body>{two}</body>") == f"Title\n{words_in(PARTS[:3])}\nNext\n{words_in(PARTS[3:])}\nShort end."
+
+
+def test_marks_are_no_verdict():
+    text = "".join(PARTS)
+    inside = f"<h2 id='related-work'>Related work</h2>{text}<section id='discussion'><p>A discussion of it.</p></section><h2 id=search>Search</h2><p class=notice>A notice.</p><div class=legal><p>The law of it.</p></div>"
+    want = f"Related work\n{words_in(PARTS)}\nA discussion of it.\nSearch\nA notice.\nThe law of it."
+    side = "<div class=related><ul><li><a href=1>Another article</a></li></ul></div><div class=share>Share it</div><div class=comments><p>I think so too.</p></div>"
+    for around in ("<article>%s</article>", "<main>%s</main>", "<div><div class=post>%s</div></div>"):
+        assert html.extract(f"<body>{around % (inside + side)}<div class=notice>We use cookies.</div></body>") == want, around
+    for layout in ("layout has-sidebar", "page-header-top", "with-ads"):
+        page = f"<body><div class='{layout}'><div>{text}</div><div class=sidebar><p>Side matter.</p></div></div><div class=cookie><p>Other text</p></div></body>"
+        assert html.extract(page) == words_in(PARTS), layout
+
+
+def test_forms_around_the_article():
+    field = "<form><label>Mail</label><input name=a></form>"
+    for article in ("<div>%s</div>", "<article>%s</article>", "%s"):
+        assert html.extract(f"<body><form action=/><nav><a href=1>Home</a></nav>{article % ''.join(PARTS)}</form></body>") == words_in(PARTS)
+        assert html.extract(f"<body>{article % ''.join(PARTS)}{field}</body>") == words_in(PARTS)
+    assert html.extract("<body><form>Some words.</form></body>") == "Some words."

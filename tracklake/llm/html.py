@@ -24,8 +24,8 @@ CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "t
 SCOPE = frozenset("html body table ul ol dl td th div section article aside nav header footer main form blockquote".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PROSE = HEADINGS | frozenset("p pre blockquote li dt dd td th caption figcaption".split())
-DROP = frozenset("nav header footer aside form button menu dialog head".split())
-#: Words in class, id or role that mark what is not the article.
+DROP = frozenset("nav header footer aside button menu dialog head".split())
+#: Words in class, id or role that speak for side matter; how much of the page's text a node holds can speak against it.
 MARKS = frozenset(
     "ad ads advert advertisement adverts sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs header masthead footer "
     "sidebar aside widget related recommended share sharing social comment comments disqus respond replies reply discussion cookie cookies consent notice "
@@ -33,6 +33,9 @@ MARKS = frozenset(
 )
 #: Those that count for an article element, whose classes often list its subjects.
 COMMENTS = frozenset("comment comments disqus reply replies".split())
+#: Those that may as well name a part of an article.
+PARTS = frozenset("related recommended header banner discussion respond notice notices alert tags copyright legal disclaimer search".split())
+SURE, MAYBE, THREAD = 1, 2, 3  # what Node.mark says: side matter by its words, maybe a part of the article, readers' comments
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 ATTR = re.compile(r"(?:^|[\s\"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 WORD = re.compile(r"[a-z]+")
@@ -40,28 +43,82 @@ RESULT = struct("text string, n_chars long")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "drop", "chars", "tags", "link_chars", "link_tags", "sum", "density")
+    __slots__ = ("tag", "parent", "items", "drop", "chars", "tags", "link_chars", "link_tags", "sum", "density", "mark")
 
-    def __init__(self, tag: str, parent: Node | None, drop: bool = False):
-        self.tag, self.parent, self.drop = tag, parent, drop
+    def __init__(self, tag: str, parent: Node | None, drop: bool = False, mark: int = 0):
+        self.tag, self.parent, self.drop, self.mark = tag, parent, drop or mark > 0, mark
         self.items: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.sum = self.density = 0.0
 
 
-def _dropped(tag: str, attrs: str) -> bool:
+def _dropped(tag: str, attrs: str) -> tuple[bool, int]:
+    """Whether an element is no text of the page in any case, and what its words say of it."""
     if tag in DROP:
-        return True
+        return True, 0
+    mark = SURE if tag == "form" else 0
     if not attrs or tag in ("html", "body", "main"):
-        return False
-    marks = MARKS if tag != "article" else COMMENTS
+        return False, mark
+    marks, found = MARKS if tag != "article" else COMMENTS, set()
     for name, value in ATTR.findall(attrs):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
-            return True
-        if name in ("class", "id", "role") and any(w in marks for w in WORD.findall(value)):
-            return True
-    return False
+            return True, 0
+        if name in ("class", "id", "role") and tag not in HEADINGS:
+            found.update(w for w in WORD.findall(value) if w in marks)
+    if found & COMMENTS:
+        return False, THREAD
+    return False, mark or (0 if not found else MAYBE if found <= PARTS else SURE)
+
+
+def judge(root: Node) -> None:
+    """Keep marked nodes that hold most of the page's text outside links, but for readers' comments.
+
+    Beside an article element that holds a quarter of as much they stay side matter.
+    """
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack += [c for c in node.items if not isinstance(c, str) and (not c.drop or c.mark)]
+    if not any(n.mark for n in order):
+        return
+    plain: dict[int, int] = {}
+    for node in reversed(order):
+        plain[id(node)] = 0 if node.tag == "a" else sum(len(c.strip()) if isinstance(c, str) else plain.get(id(c), 0) for c in node.items)
+    article = max((plain[id(n)] for n in order if n.tag in ("article", "main") and not n.drop), default=0)
+    for node in order:
+        if node.mark in (SURE, MAYBE) and 2 * plain[id(node)] > plain[id(root)] and plain[id(node)] > 4 * article:
+            node.drop = False
+
+
+def restore(article: Node) -> None:
+    """Keep parts inside the article whose words may be its own, unless they are mostly links."""
+    stack = [article]
+    while stack:
+        for c in stack.pop().items:
+            if isinstance(c, str):
+                continue
+            if c.drop and c.mark == MAYBE:
+                chars, links = _text_and_links(c)
+                c.drop = 2 * links > chars
+            if not c.drop:
+                stack.append(c)
+
+
+def _text_and_links(node: Node) -> tuple[int, int]:
+    chars = links = 0
+    stack = [(node, False)]
+    while stack:
+        x, link = stack.pop()
+        link = link or x.tag == "a"
+        for c in x.items:
+            if isinstance(c, str):
+                chars += len(c.strip())
+                links += len(c.strip()) if link else 0
+            elif not c.drop:
+                stack.append((c, link))
+    return chars, links
 
 
 def parse(html: str) -> Node:
@@ -106,7 +163,7 @@ def parse(html: str) -> Node:
             node = _end(node, ("p",)) if tag not in ("li", "td", "th", "tr") or node.tag == "p" else node
             if tag in CLOSES:
                 node = _end(node, CLOSES[tag])
-        child = Node(tag, node, _dropped(tag, attrs))
+        child = Node(tag, node, *_dropped(tag, attrs))
         if tag in ("article", "main") and not child.drop:
             up = node  # what holds the article is no side matter, whatever its class says
             while up is not None and up.tag not in DROP and not up.tag == "article":
@@ -183,7 +240,10 @@ def main_node(root: Node) -> Node:
         path.append(path[-1].parent)
     for node in path:
         if node.tag in ("article", "main"):
+            restore(node)
             return node
+    if best is not body:
+        restore(best)
     threshold = min(n.density for n in path)
     for node in path[1:]:
         _beside(node, path, threshold)
@@ -260,6 +320,7 @@ def extract(html: str | None) -> str:
     if not html:
         return ""
     root = parse(html)
+    judge(root)
     text = "\n".join(blocks(main_node(root)))
     if not text:  # all of it stands in something that its class marks as side matter
         stack = [root]
