@@ -534,7 +534,12 @@ _DFT = """e AS (SELECT vec_id AS row_idx, unnest(range(0, 16)) AS j, unnest(list
 
 
 def _vectors(spark, sf) -> RaggedFrame:
-    e = table(spark, sf, "embeddings").filter("vec_id < 40").select(F.col("vec_id").alias(ROW), F.posexplode(F.slice("embedding", 1, 16)).alias(OBS, "x"))
+    e = table(spark, sf, "embeddings").filter("vec_id < 40").select(F.col("vec_id").alias(ROW), F.slice("embedding", 1, 16).alias("embedding"))
+    return _components(e)
+
+
+def _components(e: DataFrame) -> RaggedFrame:
+    e = e.select(ROW, F.posexplode("embedding").alias(OBS, "x"))
     obs = e.select(ROW, F.col(OBS).cast("long").alias(OBS), F.col("x").cast("double").alias("x"))
     return RaggedFrame(obs.groupBy(ROW).agg(F.count(F.lit(1)).alias("rowsize")), obs)
 
@@ -617,7 +622,8 @@ def morse_freqs(spark, sf):
 
 @query()
 def morse_transform(spark, sf):
-    return apply.wavelets(_vectors(spark, sf), "x", 3.0, 4.0, [0.5, 1.0, 2.0], order=2)
+    f = _components(table(spark, sf, "embeddings").select(F.col("vec_id").alias(ROW), "embedding"))
+    return apply.wavelets(f, "x", 3.0, 4.0, [0.5, 1.0, 2.0], order=2)
 
 
 @query()
