@@ -4,6 +4,7 @@ import numpy as np
 
 from tracklake.operators import signals
 from tracklake.plans.queries import QUERIES
+from tracklake.plans.tables import drifts
 
 SF = "/root/testdata/sf0.001"
 
@@ -16,3 +17,9 @@ def test_wavelets_of_whole_vectors(spark):
     for i in (min(vectors), max(vectors)):
         want = signals.morse_transform(vectors[i], 3.0, 4.0, [0.5, 1.0, 2.0], 2)
         assert np.allclose(parts[i].re + 1j * parts[i].im, np.ravel(want))
+
+
+def test_positions_of_all_rows(spark):
+    rows = {r.row_idx: r["count"] for r in drifts(spark, SF).obs.groupBy("row_idx").count().collect()}
+    for name, times in (("morse_sphere", 2), ("inertial", 1)):
+        assert {r.row_idx: r["count"] for r in QUERIES[name](spark, SF).groupBy("row_idx").count().collect()} == {i: times * n for i, n in rows.items()}

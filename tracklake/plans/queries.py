@@ -628,14 +628,12 @@ def morse_transform(spark, sf):
 
 @query()
 def morse_sphere(spark, sf):
-    f = ragged.subset(drifts(spark, sf), {ROW: lambda c: c < 20})
-    return apply.wavelets_on_sphere(f, "lon", "lat", 3.0, 4.0, [0.5, 1.0])
+    return apply.wavelets_on_sphere(drifts(spark, sf), "lon", "lat", 3.0, 4.0, [0.5, 1.0])
 
 
 @query()
 def inertial(spark, sf):
-    f = ragged.subset(drifts(spark, sf), {ROW: lambda c: c < 20})
-    return apply.inertial(f, relative_bandwidth=0.5)
+    return apply.inertial(drifts(spark, sf), relative_bandwidth=0.5)
 
 
 # ---- sources: tables as a provider's text, read by its parser ----
