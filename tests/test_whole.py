@@ -6,7 +6,7 @@ from tracklake.operators import signals
 from tracklake.plans.queries import QUERIES
 from tracklake.plans.tables import drifts
 
-SF = "/root/testdata/sf0.001"
+SF, MORE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"  # the second has more than 20 rows of positions
 
 
 def test_wavelets_of_whole_vectors(spark):
@@ -20,6 +20,6 @@ def test_wavelets_of_whole_vectors(spark):
 
 
 def test_positions_of_all_rows(spark):
-    rows = {r.row_idx: r["count"] for r in drifts(spark, SF).obs.groupBy("row_idx").count().collect()}
+    rows = {r.row_idx: r["count"] for r in drifts(spark, MORE).obs.groupBy("row_idx").count().collect()}
     for name, times in (("morse_sphere", 2), ("inertial", 1)):
-        assert {r.row_idx: r["count"] for r in QUERIES[name](spark, SF).groupBy("row_idx").count().collect()} == {i: times * n for i, n in rows.items()}
+        assert {r.row_idx: r["count"] for r in QUERIES[name](spark, MORE).groupBy("row_idx").count().collect()} == {i: times * n for i, n in rows.items()}
