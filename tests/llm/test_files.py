@@ -89,6 +89,25 @@ def test_tokens_of_awkward_rows(spark, docs):
     nulls = spark.createDataFrame([(None, "b"), (5, "a")], "doc_id long, text string")
     assert [r.doc_id for r in tokens.read_tokens(tokens.write_tokens(nulls)).orderBy("start").collect()] == [None, 5]
     assert tokens.read_tokens(tokens.write_tokens(df.limit(0))).count() == 0
+    rolled = tokens.write_tokens(df, shards=2, most=3)  # files close after three ids: the same documents
+    assert rolled.count() > 2 and sorted(map(tuple, tokens.read_tokens(rolled).collect())) == sorted(map(tuple, got))
+
+
+def test_what_an_encoder_remembers_is_bounded(monkeypatch):
+    monkeypatch.setattr(tokens, "_KEPT", 3000)
+    run = tokens.bpe_encoder(tokens.default_tokenizer())
+    rng = random.Random(6)
+    for _ in range(60):
+        text = " ".join("".join(rng.choices("abcdé'1", k=rng.choice((3, 6, 90)))) for _ in range(30))
+        assert np.frombuffer(run([text])[0], "<u4").tolist() == library(text)
+
+
+def test_whole_documents_of_each_language(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("lang", "text").collect()
+    run = tokens.kept_encoder(tokens.default_tokenizer())
+    for lang in {r.lang for r in docs}:
+        for text in [r.text or "" for r in docs if r.lang == lang][:60]:
+            assert np.frombuffer(run([text])[0], "<u4").tolist() == library(text), lang
 
 
 # ---- archives ----
@@ -146,3 +165,13 @@ def test_archives_of_awkward_pages(spark):
         want.append((i, len(raw), hashlib.sha1(raw).hexdigest(), "revisit" if to else "response", to))
     assert got == sorted(map(repr, want))
     assert warc.read_archives(warc.write_archives(pages.limit(0))).count() == 0
+    rolled = warc.write_archives(pages.coalesce(1), records=2)
+    assert rolled.count() == 5 and sorted(map(repr, (tuple(r) for r in warc.read_archives(rolled).collect()))) == got
+
+
+def test_many_repeated_payloads_are_joined(spark, monkeypatch):
+    rows = [(i, f"u{i}", f"{i % 7} " * 800) for i in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = sorted(map(tuple, warc.read_archives(warc.write_archives(pages)).collect()))
+    monkeypatch.setattr(warc, "FEW", 2)
+    assert sorted(map(tuple, warc.read_archives(warc.write_archives(pages)).collect())) == want and sum(r[3] == "response" for r in want) == 7

@@ -1,6 +1,7 @@
 """URL rules and main texts."""
 
 import random
+import time
 
 import pytest
 
@@ -56,7 +57,7 @@ def test_rules_are_indexed_by_their_rarest_token(spark):
 
 
 def test_many_rules_are_joined(spark, monkeypatch):
-    df = spark.createDataFrame([(u,) for u in URLS if u], "url string")
+    df = spark.createDataFrame([(u, "a", "b", "c", "d") for u in URLS], "url string, u string, hp string, rule_url string, `__best` string")
     want = {r.url: tuple(r["filter"]) for r in urls.judge(df).collect()}
     monkeypatch.setattr(urls, "INLINE", 3)
     assert {r.url: tuple(r["filter"]) for r in urls.judge(df).collect()} == want
@@ -168,3 +169,90 @@ def test_forms_around_the_article():
         assert html.extract(f"<body><form action=/><nav><a href=1>Home</a></nav>{article % ''.join(PARTS)}</form></body>") == words_in(PARTS)
         assert html.extract(f"<body>{article % ''.join(PARTS)}{field}</body>") == words_in(PARTS)
     assert html.extract("<body><form>Some words.</form></body>") == "Some words."
+
+
+def unlabelled_page(rng):
+    """(page, its article's blocks, the other blocks): random class names, nesting and order; nothing but the density tells them apart."""
+    word = lambda: "".join(rng.choices("abcdefghijklmnoprstuvz", k=rng.randint(2, 9)))
+    say = lambda a, b: " ".join(word() for _ in range(rng.randint(a, b)))
+    name = lambda: f"{rng.choice('qxyz')}{rng.randint(10, 9999)}"
+    box = lambda inside: f"<{(t := rng.choice(('div', 'section', 'div')))} class={name()}>{inside}</{t}>"
+    article, inside, side = [], "", []
+    for k in range(rng.randint(4, 14)):
+        text = say(15, 70)
+        if k and rng.random() < 0.2:
+            head = say(2, 5)
+            article.append(head)
+            inside += f"<h2>{head}</h2>"
+        article.append(text)
+        middle = text.split(" ")
+        middle[3] = f"<a href=/{k}>{middle[3]}</a>" if rng.random() < 0.3 else f"<b>{middle[3]}</b>"
+        inside += f"<p>{' '.join(middle)}</p>"
+
+    def links():
+        some = [say(1, 5) for _ in range(rng.randint(4, 15))]
+        side.extend(some)
+        return box("<ul>" + "".join(f"<li><a href=/{i}>{t}</a></li>" for i, t in enumerate(some)) + "</ul>")
+
+    def teasers():
+        out = ""
+        for i in range(rng.randint(2, 6)):
+            head, text = say(2, 6), say(3, 8)
+            side.extend((head, text))
+            out += box(f"<h4><a href=/{i}>{head}</a></h4><a href=/{i}>{text}</a>")
+        return box(out)
+
+    def line():
+        text = say(2, 6)
+        side.append(text)
+        return box(text)
+
+    around = [rng.choice((links, teasers, line))() for _ in range(rng.randint(2, 6))]
+    main = inside if rng.random() < 0.3 else box(inside)
+    for _ in range(rng.randint(0, 2)):
+        cut = rng.randint(0, len(around))
+        main = box("".join(around[:cut]) + main) if rng.random() < 0.5 else box(main + "".join(around[:cut]))
+        around = around[cut:]
+    cut = rng.randint(0, len(around))
+    if main == inside:
+        main = box(main)
+    return f"<html><body>{''.join(around[:cut])}{main}{''.join(around[cut:])}</body></html>", article, side
+
+
+def blocks_found(seed, monkeypatch, **change):
+    monkeypatch.setattr(html, "MARKS", frozenset())
+    for k, v in change.items():
+        monkeypatch.setattr(html, k, v)
+    rng, right, wrong, missed = random.Random(seed), 0, 0, 0
+    for _ in range(300):
+        page, article, _ = unlabelled_page(rng)
+        got = html.extract(page).split("\n")
+        right += sum(b in article for b in got)
+        wrong += sum(b not in article for b in got)
+        missed += sum(b not in got for b in article)
+    return right / (right + wrong), right / (right + missed)
+
+
+def test_density_alone_finds_the_article(monkeypatch):
+    """Block precision and recall without any list of class words."""
+    precision, recall = blocks_found(5, monkeypatch)
+    assert precision >= 0.95 and recall >= 0.95, (precision, recall)
+
+
+def test_without_the_density_the_page_comes_whole(monkeypatch):
+    """The result comes through the density: with the body for the main node much else is in it."""
+    body = lambda root: next((n for n in root.items if not isinstance(n, str)), root)
+    precision, _ = blocks_found(5, monkeypatch, main_node=body)
+    assert precision < 0.7, precision
+
+
+def test_parsing_time_grows_with_the_page():
+    def took(page):
+        start = time.perf_counter()
+        html.extract(page)
+        return time.perf_counter() - start
+
+    for piece in ("<b>x", "<b></i>", "<a '", "<a \"<b '", "<svg/>", "<div class=notice>", "<p>x", "<i><div><b>", "<div><article>x", "</div>", "<td>"):
+        assert min(took(piece * 16_000) for _ in range(2)) < 4 * min(took(piece * 8_000) for _ in range(2)) + 0.1, piece
+    n = 8000
+    assert took("<b>" * n + "</i>" * n) < 2 and took("<i><div>" + "<b>" * n + "</i>" * n) < 2

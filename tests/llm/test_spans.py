@@ -2,7 +2,9 @@
 
 import hashlib
 import math
+import random
 import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -77,6 +79,75 @@ def test_checksums_and_context():
     assert pii.scan("order 078-05-1120")[1] == []
 
 
+def plain_entropy_spans(text):
+    """Windows one by one: entropy by counting each anew, each test by its words."""
+    taken = set()
+    for name, (pattern, width, least) in secrets.CLASSES.items():
+        for m in pattern.finditer(text):
+            for i in range(m.start(), m.end() - width + 1):
+                w = text[i : i + width]
+                bits = -sum(w.count(c) / width * math.log2(w.count(c) / width) for c in set(w))
+                if bits < least - 1e-12 or any(x.start() < i + width and x.end() > i for x in secrets.ALLOW.finditer(text)):
+                    continue
+                switches = sum(a.isalpha() and b.isalpha() and a.isupper() != b.isupper() for a, b in zip(w, w[1:]))
+                if w.isdigit() or (not any(c.isdigit() for c in w) and (name == "hex" or switches < secrets.SWITCHES * (width - 1) or min(sum(map(str.isupper, w)), sum(map(str.islower, w))) < secrets.SWITCHES * width)):
+                    continue
+                taken |= set(range(i, i + width))
+    return taken
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["q9ZtR4vLx8", "KpW2mNc7Bd", "abcdef0123", "QwErTyUiOp", "wordsalone", "-", " ", "example", "2024-01-02", "aG5kLmPqXz", "/", "77"]), max_size=8).map("".join))
+def test_entropy_spans_are_those_of_brute_force(text):
+    got = secrets.entropy_spans(text)
+    assert {i for a, b in got for i in range(a, b)} == plain_entropy_spans(text) and got == sorted(got)
+
+
+def test_allow_list_is_by_span():
+    key, letters = "q9ZtR4vLx8KpW2mNc7Bd", "qXzRtBvLxKpWgmNcJyBdHs"
+    assert [b - a for a, b in secrets.entropy_spans(f"use {letters} here")] == [22]
+    assert secrets.entropy_spans("use SomeCamelCaseNameOfManyWords or someverylongplainwordalone") == []
+    assert secrets.entropy_spans(f"see example_{key}") == [(12, 32)] and secrets.entropy_spans("see example_q9ZtR4vLx8Kp") == []
+
+
+def test_recall_by_kind():
+    """Planted personal data of each kind in plain text, with and without a word beside it."""
+    rng = random.Random(2)
+    digits = lambda n: "".join(rng.choices("0123456789", k=n))
+
+    def card():
+        body = "4" + digits(14)
+        return next(body + c for c in "0123456789" if pii.luhn(body + c))
+
+    def iban():
+        body = "DE" + "%02d", digits(18)
+        return next(x for k in range(2, 99) if pii.mod97(x := body[0] % k + body[1]))
+
+    made = {
+        "email": lambda: f"u{digits(3)}@mail.example.com", "ip": lambda: ".".join(str(rng.randrange(256)) for _ in range(4)), "card": card, "phone": lambda: f"+1 ({digits(3)}) 555-{digits(4)}",
+        "iban": iban, "ssn": lambda: f"SSN {rng.randrange(100, 600)}-{rng.randrange(10, 99)}-{rng.randrange(1000, 9999)}", "credential": lambda: f'token = "{rng.randbytes(20).hex()}"',
+    }
+    for kind, one in made.items():
+        texts = [f"some words before {one()} and after" for _ in range(200)]
+        assert sum(any(pii.KINDS[k] == kind and s >= 0.5 for k, _, _, s in pii.scan(t)[1]) for t in texts) >= 196, kind
+    clean = ["plain words 98079157628 and 3.14 or 12-34-56", "hash da39a3ee5e6b4b0d3255bfef95601890afd80709 of a file", "in 2024-01-01 there were 100,000"]
+    assert all(not pii.scan(t)[1] for t in clean)
+
+
+def test_time_grows_with_the_text():
+    """Twice the text takes about twice the time, also where every place could be a span."""
+    def took(f, text):
+        best = 1e9
+        for _ in range(3):
+            start = time.perf_counter()
+            f(text)
+            best = min(best, time.perf_counter() - start)
+        return best
+
+    for f, piece in ((pii.scan, "1.2.3.4 078-05-1120 "), (secrets.scan, "token=abcdefgh q9ZtR4vLx8KpW2mNc7Bd "), (pii.scan, "GB82 WEST 1234 5698 7654 32 a@b.co "), (secrets.scan, "q9ZtR4vLx8KpW2mNc7Bd")):
+        assert took(f, piece * 8000) < 3.5 * took(f, piece * 4000) + 0.05, piece
+
+
 def test_long_texts_stay_linear():
     for text in ("a" * 200_000, "1" * 200_000, "a@" * 50_000, "1.1." * 50_000, "+1(" * 50_000, "token=" * 30_000, "AKIA" * 50_000):
         secrets.scan(text)

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..scratch import fresh_path, materialize, shared_dir
+from ..scratch import discard, fresh_path, materialize, shared_dir
 
-__all__ = ["fresh_path", "materialize", "shared_dir"]
+__all__ = ["discard", "fresh_path", "materialize", "shared_dir"]
 
 TYPES = {"long": T.LongType(), "string": T.StringType(), "double": T.DoubleType(), "binary": T.BinaryType(), "boolean": T.BooleanType(), "int": T.IntegerType()}
 
@@ -30,6 +30,14 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have (names count without their case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def word_count(text):
     """Words of a string column; null counts as none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -15,15 +15,26 @@ from pyspark.sql import types as T
 
 from .common import struct, text_batches
 
-SHORTEST = 3  # words of the shortest item
+SHORTEST = 3  # words of the shortest item that is aligned; shorter ones are found word for word
 MATCH, MISMATCH, GAP = 2, -1, -1
-LEAST = 0.4  # share of the best possible score; a third of the words may be others
+LEAST, HIGH, RUN = 0.4, 0.8, 8  # share of the best possible score: see ``least``
 ITEMS = 20_000  # items of a block; the documents are read twice for each block
-WORD = re.compile(r"[^\W_]+")
+#: Scripts that put no spaces between words; there each character counts as one.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+WORD = re.compile(rf"[{UNSPACED}]|[^\W_{UNSPACED}]+")
+
+
+def least(size: int) -> float:
+    """Share of an item's best possible score that makes a copy.
+
+    Two fifths of it (a third of the words may be others), but no less than eight words in a row
+    give, and four fifths of items under ten words: a common phrase of a short item is no copy.
+    """
+    return max(LEAST, min(HIGH, RUN / size))
 
 
 def words_of(text: str | None) -> list[str]:
-    """Runs of letters and digits, lower case."""
+    """Runs of letters and digits, lower case; single characters of scripts that are written without spaces."""
     return WORD.findall((text or "").lower())
 
 
@@ -50,7 +61,7 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
 class Index:
     """Seeds of a block of items: sorted word-pair keys, and where in which item each stands.
 
-    No alignment that reaches ``LEAST`` is missed. Two matches after one another cost what the wider of
+    No alignment that reaches ``least`` is missed. Two matches after one another cost what the wider of
     their steps (in the item, in the passage) leaves out. With p steps of one word on both sides and q of
     at most two, the score is at most 2 + 2 p + q; so a passage holds word pairs of the item, a step of one
     or two words apart, whose weights (two if both steps are one, else one) add up to ``need``.
@@ -65,10 +76,14 @@ class Index:
         self.where = [[np.searchsorted(self.keys, k) for k in two] for two in pairs]
         self.size = np.array([len(ids) for _, ids in self.items], np.int64)
         self.weight = np.zeros(len(self.keys) + 1, np.int64)  # of one item's pairs, while it is looked at
+        self.short: dict[tuple[str, ...], list[int]] = {}
+        for i, ws in items:
+            if 0 < len(ws) < SHORTEST:
+                self.short.setdefault(tuple(ws), []).append(i)
         self.choose(np.zeros(len(self.keys), np.int64))
 
     def need(self, size: int) -> float:
-        return LEAST * MATCH * size - MATCH - 1e-9
+        return least(size) * MATCH * size - MATCH - 1e-9
 
     def choose(self, count: np.ndarray) -> None:
         """Seeds are the pairs from all places of an item but those that the corpus has most.
@@ -109,7 +124,9 @@ class Index:
         return ids, *out
 
     def search(self, words: list[str]):
-        """(item id, score, first word, end word) of each item whose best alignment in the text reaches ``LEAST``."""
+        """(item id, score, first word, end word) of each item whose best alignment in the text reaches ``least``."""
+        if self.short:
+            yield from self._word_for_word(words)
         ids, near, far = self.hits(words)
         at = [np.flatnonzero(self.is_seed[x]) for x in (near, far)]
         number = np.concatenate([near[at[0]], far[at[1]]])
@@ -121,7 +138,8 @@ class Index:
         order = np.lexsort((start, item))
         item, start = item[order], start[order]
         size = self.size[item]
-        room = (size * (1 - LEAST) * MATCH).astype(np.int64) + 1  # words that edits may have put in
+        share = np.maximum(LEAST, np.minimum(HIGH, RUN / size))
+        room = (size * (1 - share) * MATCH).astype(np.int64) + 1  # words that edits may have put in
         low, high = start - room, start + size + room
         new = np.flatnonzero(np.append(True, (item[1:] != item[:-1]) | (low[1:] > high[:-1])))
         last = np.append(new[1:], len(item)) - 1
@@ -132,9 +150,19 @@ class Index:
                 if n not in found or got > found[n]:
                     found[n] = got
         for n, best in found.items():
-            if best[0] >= LEAST:
+            if best[0] >= least(len(self.items[n][1])):
                 yield self.items[n][0], *best
 
+    def _word_for_word(self, words: list[str]):
+        """Items of one or two words where a text has them as they are, the first place of each."""
+        seen = set()
+        for n in (1, 2):
+            for i, some in enumerate(zip(*(words[k:] for k in range(n)))):
+                if some in self.short and some not in seen:
+                    seen.add(some)
+                    for item in self.short[some]:
+                        yield item, 1.0, i, i + n
+
     def _dense(self, n: int, near: np.ndarray, far: np.ndarray) -> list[tuple[int, int]]:
         """Stretches of a text with enough of an item's pairs for an alignment within them."""
         size = int(self.size[n])
@@ -145,7 +173,7 @@ class Index:
         need = self.need(size)
         if total[-1] < need:
             return []
-        span = int(size * (MATCH + 1 - LEAST * MATCH)) + 1  # the longest passage that can reach the score
+        span = int(size * (MATCH + 1 - least(size) * MATCH)) + 1  # the longest passage that can reach the score
         end = np.minimum(np.arange(len(near)) + span, len(near))
         at = np.flatnonzero(total[end] - total[:-1] >= need)
         if not len(at):
@@ -156,10 +184,10 @@ class Index:
     def _scored(self, target: np.ndarray, ids: np.ndarray, low: int, high: int) -> tuple[float, int, int]:
         part = ids[low:high]
         most = MATCH * int(np.isin(target, part).sum())
-        if most < LEAST * MATCH * len(target):
+        if most < least(len(target)) * MATCH * len(target):
             return 0.0, low, low
         score, end = align(target, part)
-        if score < LEAST * MATCH * len(target):
+        if score < least(len(target)) * MATCH * len(target):
             return score / (MATCH * len(target)), low, low + end
         back, start = align(target[::-1], part[:end][::-1])
         return score / (MATCH * len(target)), low + end - start, low + end
@@ -171,8 +199,9 @@ def find_leaks(df: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: st
     Score is the Smith-Waterman score of the best passage over that of an exact copy; start and
     end count words. Items are the stated query set: blocks of 20,000 go to all executors, and
     every row of ``df`` is searched for every block. Of a block's word pairs the whole corpus is
-    counted first, pre-aggregated by task. Items of fewer than three words give nothing; null and
-    empty texts hold nothing; equal rows give equal results; a repeated item gives one row.
+    counted first, pre-aggregated by task. Items of one or two words are found word for word, items
+    without words nowhere; null and empty texts hold nothing; equal rows give equal results; a
+    repeated item gives one row.
     """
     spark = df.sparkSession
     kind, item_kind = (d.schema[c].dataType.simpleString() for d, c in ((df, doc_id), (items, item_id)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import defaultdict
 from html import unescape
 
 import pandas as pd
@@ -36,20 +37,23 @@ COMMENTS = frozenset("comment comments disqus reply replies".split())
 #: Those that may as well name a part of an article.
 PARTS = frozenset("related recommended header banner discussion respond notice notices alert tags copyright legal disclaimer search".split())
 SURE, MAYBE, THREAD = 1, 2, 3  # what Node.mark says: side matter by its words, maybe a part of the article, readers' comments
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.S)
+#: A tag with an open quote: it ends at the next angle bracket, whatever the quotes say.
+LOOSE = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)")
 ATTR = re.compile(r"(?:^|[\s\"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 WORD = re.compile(r"[a-z]+")
 RESULT = struct("text string, n_chars long")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "drop", "chars", "tags", "link_chars", "link_tags", "sum", "density", "mark")
+    __slots__ = ("tag", "parent", "items", "drop", "chars", "tags", "link_chars", "link_tags", "sum", "density", "mark", "held")
 
     def __init__(self, tag: str, parent: Node | None, drop: bool = False, mark: int = 0):
         self.tag, self.parent, self.drop, self.mark = tag, parent, drop or mark > 0, mark
         self.items: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.sum = self.density = 0.0
+        self.held = False
 
 
 def _dropped(tag: str, attrs: str) -> tuple[bool, int]:
@@ -121,70 +125,113 @@ def _text_and_links(node: Node) -> tuple[int, int]:
     return chars, links
 
 
+class Open:
+    """The open elements by name, in all and since the last one that bounds its parts, so that no end tag has to look for what is not there."""
+
+    def __init__(self, root: Node):
+        self.node, self.all = root, defaultdict(int)
+        self.scopes = [defaultdict(int)]
+        self.bounds = [root.tag]
+
+    def push(self, node: Node) -> None:
+        self.all[node.tag] += 1
+        self.scopes[-1][node.tag] += 1
+        if node.tag in SCOPE:
+            self.scopes.append(defaultdict(int))
+            self.bounds.append(node.tag)
+        self.node = node
+
+    def pop(self) -> Node:
+        node = self.node
+        if node.tag in SCOPE:
+            self.scopes.pop()
+            self.bounds.pop()
+        self.scopes[-1][node.tag] -= 1
+        self.all[node.tag] -= 1
+        self.node = node.parent
+        return node
+
+    def end(self, tag: str) -> bool:
+        """Close the nearest open element of a name; an inline one only inside its block."""
+        if not (self.all if tag in BLOCK else self.scopes[-1])[tag]:
+            return False
+        while self.pop().tag != tag:
+            pass
+        return True
+
+    def end_near(self, tags: tuple[str, ...]) -> None:
+        """Close the nearest open element of these kinds, if it is inside the block at hand."""
+        here = self.scopes[-1]
+        if self.bounds[-1] in tags or any(here[t] for t in tags):
+            while self.pop().tag not in tags:
+                pass
+
+
 def parse(html: str) -> Node:
     """A tree of elements and text; script-like elements are skipped, missing end tags are supplied.
 
     An end tag closes the nearest open element of its name, up to the block around it; other end
-    tags count for nothing. A block start ends an open paragraph. A page that breaks off ends there.
+    tags count for nothing. A block start ends an open paragraph. A page that breaks off ends
+    there. From a tag on whose quotes do not close, quotes count for nothing. The time is
+    proportional to the page, whatever it holds.
     """
     root = Node("#root", None)
-    node, at, end = root, 0, len(html)
+    here, at, end, token = Open(root), 0, len(html), TOKEN
+    text_at = 0
     while at < end:
-        m = TOKEN.search(html, at)
-        text = html[at : m.start() if m else end]
+        start = html.find("<", at)
+        m = token.match(html, start) if start >= 0 else None
+        if start >= 0 and m is None:
+            if html[start + 1 : start + 2].isalpha() or html[start + 1 : start + 2] == "/":
+                token = LOOSE
+                m = token.match(html, start)
+            elif token is LOOSE:
+                m = TOKEN.match(html, start)
+            if m is None:
+                at = start + 1
+                continue
+        text = html[text_at : start if m else end]
         if text:
-            node.items.append(unescape(text))
-        if not m:
+            here.node.items.append(unescape(text))
+        if m is None:
             break
-        at = m.end()
+        at = text_at = m.end()
         slash, tag, attrs = m.groups()
         if tag is None:
             if m[0].startswith("<![CDATA["):
-                node.items.append(m[0][9:].removesuffix("]]>"))
+                here.node.items.append(m[0][9:].removesuffix("]]>"))
             continue
         tag = tag.lower()
         if slash:
-            up = node
-            while up.parent is not None and up.tag != tag:
-                if up.tag in SCOPE and tag not in BLOCK:
-                    break  # an inline end tag does not reach out of its block
-                up = up.parent
-            if up.tag == tag and up.parent is not None:
-                node = up.parent
-            elif tag in ("p", "br"):
-                node.items.append(Node(tag, node))
+            if not here.end(tag) and tag in ("p", "br"):
+                here.node.items.append(Node(tag, here.node))
             continue
         if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(html, at)
             if not attrs.rstrip().endswith("/"):
-                at = close.end() if close else end
+                close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(html, at)
+                at = text_at = close.end() if close else end
             continue
         if tag in BLOCK:
-            node = _end(node, ("p",)) if tag not in ("li", "td", "th", "tr") or node.tag == "p" else node
+            if tag not in ("li", "td", "th", "tr") or here.node.tag == "p":
+                here.end_near(("p",))
             if tag in CLOSES:
-                node = _end(node, CLOSES[tag])
+                here.end_near(CLOSES[tag])
+        node = here.node
         child = Node(tag, node, *_dropped(tag, attrs))
         if tag in ("article", "main") and not child.drop:
             up = node  # what holds the article is no side matter, whatever its class says
-            while up is not None and up.tag not in DROP and not up.tag == "article":
-                up.drop = False
+            while up is not None and up.tag not in DROP and up.tag != "article" and not up.held:
+                up.drop, up.held = False, True
                 up = up.parent
         node.items.append(child)
         if tag not in VOID and not attrs.endswith("/"):
-            node = child
+            here.push(child)
+    else:
+        if text_at < end:
+            here.node.items.append(unescape(html[text_at:]))
     return root
 
 
-def _end(node: Node, tags: tuple[str, ...]) -> Node:
-    """Close the nearest open element of these kinds, if it is inside the block at hand."""
-    up = node
-    while up.parent is not None and up.tag not in tags:
-        if up.tag in SCOPE and up.tag not in tags:
-            return node
-        up = up.parent
-    return up.parent if up.tag in tags and up.parent is not None else node
-
-
 def weigh(root: Node) -> tuple[float, Node]:
     """Set counts, densities and density sums bottom-up; dropped subtrees count for nothing.
 
@@ -224,9 +271,10 @@ def main_node(root: Node) -> Node:
     """The subtree of the article; what is beside it in there is dropped.
 
     The body's maximum density sum leads to the paragraphs' parent. An ``article`` or ``main``
-    element on or over it is the article. Else the threshold is the least density on the path to
-    the body. Of what stands beside the path a block stays if its density reaches the threshold,
-    or if it is prose with few links; of what stands below the node, lists and boxes of links go.
+    element on or over it is the article. Else the threshold is the least density on the path
+    below the body. Of what stands beside the path prose stays if its density reaches the threshold or
+    its links are few, a bare block if it is as dense as the densest node of the path; of what
+    stands below the node, lists and boxes of links go.
     """
     _, body = weigh(root)
     best, stack = body, [body]
@@ -244,9 +292,10 @@ def main_node(root: Node) -> Node:
             return node
     if best is not body:
         restore(best)
-    threshold = min(n.density for n in path)
+    below = [n.density for n in path[:-1] or path]
+    threshold, on = min(below), set(map(id, path))
     for node in path[1:]:
-        _beside(node, path, threshold)
+        _beside(node, on, threshold, max(below))
     stack = [best]
     while stack:
         for c in stack.pop().items:
@@ -256,19 +305,19 @@ def main_node(root: Node) -> Node:
     return path[-1]
 
 
-def _beside(node: Node, path: list[Node], threshold: float) -> None:
+def _beside(node: Node, path: set[int], threshold: float, most: float) -> None:
     """Drop the blocks beside the path that are no part of the article, and headings right before them."""
     kept = True
     for c in reversed(node.items):
         if isinstance(c, str) or c.drop or c.tag not in BLOCK:
             continue
-        if c in path:
+        if id(c) in path:
             kept = True
         elif c.tag in HEADINGS:
             c.drop = not kept
         elif c.chars:
-            few = 4 * c.link_chars < c.chars
-            kept = c.density >= threshold and 2 * c.link_chars <= c.chars or few and _prose(c)
+            prose = _prose(c)
+            kept = c.density >= (threshold if prose else most) and 2 * c.link_chars <= c.chars or prose and 4 * c.link_chars < c.chars
             c.drop = not kept
 
 

@@ -8,50 +8,55 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, word_count
+from ..operators.ragged import ranked
+from .common import discard, materialize, partitions, unused, word_count
 
 #: Weights by source in code-point order, repeating; the share of all words to take; the most of a source.
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
-BINS, SMALL, SOURCES = 4096, 20_000, 1_000_000
+FEW = 10_000  # sources that are broadcast; more are joined
 SEED = 20
 
 
-def targets(sizes: dict[str | None, int], weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> dict[str | None, float]:
-    """Words to take from each source: by weight, none above ``most`` times its size.
+def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """(source, rank, source_size, target) of a table (source, n) of sources and their words.
 
-    What a full source leaves goes to the others by weight, again until none is above. Sources
-    without words get 0.
+    By weight, none above ``most`` times its size; what a full source leaves goes to the others by
+    weight, again until none is above. Sources without words get 0; the null source ranks last.
+    Each round moves the words a unit of weight gets and is one aggregation: the table, of any
+    number of sources, never comes to the driver.
     """
-    order = sorted(sizes, key=lambda s: (s is None, s or ""))
-    weight = {s: float(weights[i % len(weights)]) for i, s in enumerate(order)}
-    out = {s: 0.0 for s in order}
-    left, open_ = share * sum(sizes.values()), [s for s in order if sizes[s]]
-    while open_:
-        level = left / sum(weight[s] for s in open_)
-        full = [s for s in open_ if weight[s] * level > most * sizes[s]]
-        if not full:
-            return out | {s: weight[s] * level for s in open_}
-        for s in full:
-            out[s] = float(most * sizes[s])
-            left -= out[s]
-        open_ = [s for s in open_ if s not in set(full)]
-    return out
+    order = ranked(sizes.withColumn("none", F.col("source").isNull()), ["none", "source"], "rank").drop("none")
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("rank") % len(weights) + 1).cast("int"))
+    table = materialize(order.select("source", F.col("rank").cast("int").alias("rank"), F.col("n").alias("source_size"), F.when(F.col("n") > 0, weight).otherwise(0.0).alias("weight")), "mix-sources")
+    budget = share * (table.agg(F.sum("source_size")).first()[0] or 0)
+    level, cap = 0.0, most * F.col("source_size")
+    while True:
+        full = F.col("weight") * level > cap
+        spent, open_ = table.agg(F.sum(F.when(full, cap)), F.sum(F.when(~full, F.col("weight")))).first()
+        if not open_:
+            break
+        new = (budget - (spent or 0.0)) / open_
+        if new <= level:
+            break
+        level = new
+    return table.select("source", "rank", "source_size", F.least(F.col("weight") * level, cap).cast("double").alias("target"))
 
 
 @dataclass
 class Plan:
-    """A schedule: rows with virtual times, the last copy taken, the sources' table."""
+    """A schedule: rows with virtual times, the copies in global order of their finish times, the last one taken, the sources' table."""
 
     rows: DataFrame
+    copies: DataFrame
     sources: DataFrame
     last: tuple[float, int, int] | None
 
-    def copies(self) -> Column:
-        """How many copies of a row of ``rows`` are taken."""
+    def taken(self) -> Column:
+        """How many copies of a row of ``rows`` stand before the cut."""
         if self.last is None:
             return F.lit(0)
-        taken = lambda e: F.when(F.col("size") == 0, 0).otherwise((F.struct(finish(e), F.col("rank"), F.lit(e)) <= F.struct(*map(F.lit, self.last))).cast("int"))
-        return sum((taken(e) for e in range(1, int(MOST))), taken(0))
+        one = lambda e: F.when(F.col("size") == 0, 0).otherwise((F.struct(finish(e), F.col("rank"), F.lit(e)) <= F.struct(*map(F.lit, self.last))).cast("int"))
+        return sum((one(e) for e in range(1, int(MOST))), one(0))
 
 
 def finish(copy: int) -> Column:
@@ -64,26 +69,19 @@ def shuffle_key(doc_id: str, text: str) -> Column:
 
 
 def plan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> Plan:
-    """Give each shuffled document its virtual time and find where the total budget ends.
+    """Give each shuffled document its virtual finish times, sort all copies by them, cut at the total budget.
 
     Documents stand in a hash order within their source. Running sums are made in two levels,
-    over hash ranges of a source and within a range, so no source has to fit in one task. The cut
-    is found by histograms of finish times, each narrowing the range that holds it, until that
-    range is small enough to sort. Texts are read once and never shuffled. Null sources form one
-    source; documents without words are never taken; equal rows are interchangeable.
+    over hash ranges of a source and within a range, so no source has to fit in one task. Copies
+    (numbers only, no texts) are sorted by range over all partitions; the partition sums tell in
+    which of them the budget ends, and the copy is looked up there. Texts are read once and never
+    shuffled. Null sources form one source; null texts and texts without words are never taken;
+    equal rows are interchangeable; without words nothing is taken.
     """
     small = materialize(df.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), shuffle_key(doc_id, text).alias("h")), "mix")
-    spark = df.sparkSession
-    by_range = small.groupBy("source", F.shiftright("h", 52).alias("part")).agg(F.sum("size").alias("words"))
-    by_range = materialize(by_range, "mix-ranges")
-    found = by_range.groupBy("source").agg(F.sum("words").alias("n")).limit(SOURCES + 1).collect()
-    if len(found) > SOURCES:
-        raise ValueError(f"more than {SOURCES} sources")
-    sizes = {r.source: r.n for r in found}
-    goal = targets(sizes)
-    order = sorted(sizes, key=lambda s: (s is None, s or ""))
-    sources = spark.createDataFrame([(s, i, sizes[s], goal[s]) for i, s in enumerate(order)], "source string, rank int, source_size long, target double")
-    few = F.broadcast if len(order) <= 10_000 else (lambda d: d)
+    by_range = materialize(small.groupBy("source", F.shiftright("h", 52).alias("part")).agg(F.sum("size").alias("words")), "mix-ranges")
+    sources = materialize(targets(by_range.groupBy("source").agg(F.sum("words").alias("n"))), "mix-targets")
+    few = F.broadcast if sources.count() <= FEW else (lambda d: d)
     w = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = by_range.withColumn("before", F.coalesce(F.sum("words").over(w), F.lit(0))).drop("words")
     inner = Window.partitionBy("source", "part").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
@@ -92,62 +90,59 @@ def plan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     offsets = before.select(F.col("source").alias("o_source"), F.col("part").alias("o_part"), "before")
     joined = rows.join(offsets, rows["source"].eqNullSafe(F.col("o_source")) & (rows["part"] == F.col("o_part")), "left")
     joined = joined.withColumn("upto", F.col("within") + F.col("before")).select("doc_id", F.col("source").alias("r_source"), "size", "h", "upto")
-    rows = joined.join(few(sources), F.col("r_source").eqNullSafe(F.col("source"))).drop("r_source")
-    rows = materialize(rows, "mix-times")
-    return Plan(rows, sources, _cut(rows, SHARE * sum(sizes.values())))
-
-
-def _cut(rows: DataFrame, budget: float) -> tuple[float, int, int] | None:
-    """The last (finish, rank, copy) in global order whose running sum of words is within the budget."""
-    copies = rows.filter(F.col("size") > 0).select("size", "rank", F.explode(F.array(*(F.struct(finish(e).alias("f"), F.lit(e).alias("e")) for e in range(int(MOST))))).alias("x"))
-    copies = copies.select("size", "rank", "x.f", "x.e")
-    low, high = 0.0, copies.agg(F.max("f")).first()[0]
-    if high is None:
-        return None
-    high, sums = high * (1 + 1e-9), 0
-    best = None
-    while True:
-        width = (high - low) / BINS
-        inside = copies.filter((F.col("f") >= low) & (F.col("f") < high))
-        bins = inside.groupBy(F.least(F.floor((F.col("f") - low) / width), F.lit(BINS - 1)).alias("b")).agg(F.sum("size").alias("w"), F.count(F.lit(1)).alias("n"), F.max(F.struct("f", "rank", "e")).alias("m"), F.min("f").alias("a")).orderBy("b").collect()
-        for r in bins:
-            if sums + r.w > budget:
-                break
-            sums += r.w
-            best = tuple(r.m)
-        else:
-            return best
-        if r.n <= SMALL or width <= 1e-12 * max(1.0, high):
-            break
-        low, high = r.a, r.m.f * (1 + 1e-15) + 1e-300
-    for x in inside.filter(F.col("f").between(r.a, r.m.f)).orderBy("f", "rank", "e", "size").toLocalIterator():
-        if sums + x.size > budget:
-            break
-        sums += x.size
-        best = (x.f, x.rank, x.e)
-    return best
+    rows = materialize(joined.join(few(sources), F.col("r_source").eqNullSafe(F.col("source"))).drop("r_source"), "mix-times")
+    each = F.explode(F.array(*(F.struct(finish(e).alias("finish"), F.lit(e).alias("copy")) for e in range(int(MOST)))))
+    copies = rows.filter(F.col("size") > 0).select("doc_id", "size", "rank", "h", each.alias("x")).select("doc_id", "size", "rank", "h", "x.finish", "x.copy")
+    key = ["finish", "rank", "copy", "h", "doc_id"]
+    copies = copies.repartitionByRange(partitions(df.sparkSession), *key).sortWithinPartitions(*key)
+    copies = materialize(copies.withColumn("part", F.spark_partition_id()), "mix-order")
+    discard(small, by_range)
+    total = sources.agg(F.sum("source_size")).first()[0] or 0
+    return Plan(rows, copies, sources, _cut(copies, SHARE * total))
+
+
+def _cut(copies: DataFrame, budget: float) -> tuple[float, int, int] | None:
+    """The last (finish, rank, copy) in global order whose running sum of words is within the budget.
+
+    The driver gets a sum a partition; the one where the budget ends is summed by a task.
+    """
+    last, left = None, budget
+    for r in sorted(copies.groupBy("part").agg(F.sum("size").alias("w"), F.max(F.struct("finish", "rank", "copy")).alias("m")).collect()):
+        if r.w <= left:
+            last, left = tuple(r.m), left - r.w
+            continue
+        sums = Window.partitionBy("part").orderBy("finish", "rank", "copy", "h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+        inside = copies.filter(F.col("part") == r.part).withColumn("sum", F.sum("size").over(sums)).filter(F.col("sum") <= left)
+        found = inside.agg(F.max(F.struct("finish", "rank", "copy"))).first()[0]
+        return tuple(found) if found else last
+    return last
 
 
 def mix(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The documents that the mix takes, as often as it takes them, with the columns of ``df``.
 
     A copy is taken exactly when its document's hash lies at or before the last one taken of its
-    source, so the plan comes back as two hashes a source and texts stay where they are.
+    source, so the schedule's cut comes back as two hashes a source and texts stay where they
+    are. Rows of null or empty text are not taken; repeated rows are taken alike; without rows
+    there are none.
     """
     p = plan(df, doc_id, text, source)
-    n = "__n"
-    cuts = p.rows.withColumn(n, p.copies()).filter(F.col(n) > 0).groupBy("rank").agg(*(F.max(F.when(F.col(n) > e, F.col("h"))).alias(f"__h{e}") for e in range(int(MOST))))
-    cuts = cuts.join(p.sources, "rank").select(F.col("source").alias("__source"), *(f"__h{e}" for e in range(int(MOST))))
-    cols = df.columns
-    h = shuffle_key(doc_id, text)
-    few = F.broadcast if p.sources.count() <= 10_000 else (lambda d: d)
-    out = df.withColumn("__key", h).join(few(cuts), F.col(source).eqNullSafe(F.col("__source")))
-    copies = sum(((F.coalesce(F.col("__key") <= F.col(f"__h{e}"), F.lit(False))).cast("int") for e in range(1, int(MOST))), F.coalesce(F.col("__key") <= F.col("__h0"), F.lit(False)).cast("int"))
-    out = out.filter(word_count(F.col(text)) > 0).withColumn("__copy", F.explode(F.array_repeat(F.lit(1), copies)))
-    return out.select(*cols)
+    key, at, of, copy, *cut = (unused(df, n) for n in ("mix_key", "mix_n", "mix_source", "mix_copy", *(f"mix_h{e}" for e in range(int(MOST)))))
+    cuts = p.rows.withColumn(at, p.taken()).filter(F.col(at) > 0).groupBy("rank").agg(*(F.max(F.when(F.col(at) > e, F.col("h"))).alias(c) for e, c in enumerate(cut)))
+    cuts = cuts.join(p.sources, "rank").select(F.col("source").alias(of), *cut)
+    few = F.broadcast if p.sources.count() <= FEW else (lambda d: d)
+    out = df.withColumn(key, shuffle_key(doc_id, text)).join(few(cuts), F.col(source).eqNullSafe(F.col(of)))
+    copies = sum((F.coalesce(F.col(key) <= F.col(c), F.lit(False)).cast("int") for c in cut[1:]), F.coalesce(F.col(key) <= F.col(cut[0]), F.lit(False)).cast("int"))
+    out = out.filter(word_count(F.col(text)) > 0).withColumn(copy, F.explode(F.array_repeat(F.lit(1), copies)))
+    return out.select(*df.columns)
 
 
 def ordered(p: Plan) -> DataFrame:
-    """Training order: a row for each copy taken, range-sorted by finish time over all partitions."""
-    out = p.rows.withColumn("n", p.copies()).select("doc_id", "rank", F.explode(F.filter(F.array(*map(F.lit, range(int(MOST)))), lambda e: e < F.col("n"))).alias("copy"), (F.col("upto") / F.col("target")).alias("first"), (F.col("source_size") / F.col("target")).alias("lap"))
-    return out.select("doc_id", "copy", (F.col("first") + F.col("copy") * F.col("lap")).alias("finish"), "rank").orderBy("finish", "rank", "copy").drop("rank")
+    """(doc_id, copy, finish) in training order: the copies before the cut, in the global order of finish times.
+
+    The order is that of the written, range-sorted table: a hot source is spread by finish time.
+    Ties go by source, copy, hash and id; a repeated row stands there once for each; an empty
+    schedule has no rows.
+    """
+    taken = p.copies.filter(F.lit(False)) if p.last is None else p.copies.filter(F.struct("finish", "rank", "copy") <= F.struct(*map(F.lit, p.last)))
+    return taken.orderBy("part", "finish", "rank", "copy", "h", "doc_id").select("doc_id", "copy", "finish")

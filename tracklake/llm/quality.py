@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 import numpy as np
@@ -9,12 +10,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import struct, text_batches
+from .common import materialize, struct, text_batches, unused
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 WINDOW = 8
-THRESHOLD = 0.25  # a text goes if it is three times as likely to be bad
+THRESHOLD = 0.5  # a text goes if it is more likely bad than good
 RULES = ("length", "repeats", "symbols", "lines", "word_size", "capitals", "variety", "shouts", "plain")
 GOOD, BAD, ABSTAIN = "1", "0", "-"
 RESULT = struct("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, votes string")
@@ -61,10 +62,9 @@ def features(text: str | None) -> tuple[int, int, int, int, int, str]:
     repeats = repeated_words(words)
     if not n:
         return 0, 0, 0, 0, 0, BAD + ABSTAIN * (len(RULES) - 1)
-    letters = text.replace(" ", "")
-    lower = sum(map(str.islower, letters)) if len(letters) < 64 else 0
-    caps = shouted(text, letters, lower)
-    plain = sum(w.rstrip(".,;:?!\"')").isalpha() for w in text.split()) / n
+    caps = shouted(text)
+    # a word has no white space, so joined words split where they were joined
+    plain = sum(w.rstrip(".,;:?!\"')").isalpha() for w in b"\n".join(words).decode("utf-8", "surrogatepass").split("\n")) / n
     mean, variety, shouts = chars / n, len(set(words)) / n, text.count("!") / n
     votes = (
         _vote(n >= 40, n < 20)
@@ -80,15 +80,20 @@ def features(text: str | None) -> tuple[int, int, int, int, int, str]:
     return n, chars, symbols, dup_lines, repeats, votes
 
 
-def shouted(text: str, letters: str, lower: int) -> float:
-    """Share of upper-case letters among the cased letters."""
-    if len(letters) >= 64:  # translate in C instead of looking at each letter
-        raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        up = int(((raw >= 65) & (raw <= 90)).sum() + ((raw >= 0xC0) & (raw <= 0xDE) & (raw != 0xD7)).sum())
-        low = int(((raw >= 97) & (raw <= 122)).sum() + ((raw >= 0xDF) & (raw <= 0xFF) & (raw != 0xF7)).sum())
-        return up / max(1, up + low)
-    up = sum(map(str.isupper, letters))
-    return up / max(1, up + lower)
+@functools.cache
+def _cases() -> np.ndarray:
+    """1 for each code point of an upper-case letter, 2 for a lower-case one, else 0."""
+    kinds = np.zeros(0x110000, np.uint8)
+    for c in range(0x20000):  # no letter beyond has a case
+        ch = chr(c)
+        kinds[c] = 1 if ch.isupper() else 2 if ch.islower() else 0
+    return kinds
+
+
+def shouted(text: str) -> float:
+    """Share of upper-case letters among the cased letters, of any script and in texts of any size."""
+    kinds = np.bincount(_cases()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)], minlength=3)
+    return float(kinds[1] / max(1, kinds[1] + kinds[2]))
 
 
 @F.pandas_udf(RESULT)
@@ -116,14 +121,14 @@ class Model:
         return 1 / (1 + F.exp(-logit))
 
 
-def fit(patterns: dict[str, int], rounds: int = 50, prior: float = 0.8, on_good: float = 0.98, on_bad: float = 0.4, least: float = 0.98) -> Model:
+def fit(patterns: dict[str, int], rounds: int = 200, prior: float = 0.8, on_good: float = 0.95, on_bad: float = 0.4, trust: float = 0.05, anchors: bool = True) -> Model:
     """Expectation-maximisation over counts of vote patterns.
 
-    Bad text is of many kinds and a rule knows few of them, so a rule may miss most of it. What
-    the rules are made for is to let good text pass: their votes on it are right at a rate of
-    ``least`` or better, which keeps a common kind of bad text from being taken for good, and
-    they say bad of bad text more readily than of good. With a prior within 0.5 and 0.99 the two classes keep their
-    meaning. Without votes the model is the one it starts from.
+    Texts on which the rules agree hold the two classes apart: what two rules call bad stays bad,
+    and what none calls bad of six or more that vote stays good, in every round. All rates move
+    freely; a prior of ``trust`` times the number of texts (for bad texts two fifths of that), at
+    ``on_good`` and ``on_bad``, goes with the counts, so that a rule which has never been seen to
+    fail a good text still can. Without votes the model is the one it starts from.
     """
     k = len(RULES)
     model = Model(prior, np.full(k, on_good), np.full(k, on_bad))
@@ -133,20 +138,31 @@ def fit(patterns: dict[str, int], rounds: int = 50, prior: float = 0.8, on_good:
     n = np.array([patterns[x] for x in keys], float)
     v = np.array([list(x) for x in keys])
     said, good = v != ABSTAIN, v == GOOD
+    bad = said & ~good
+    surely_bad, surely_good = bad.sum(1) >= 2, ~bad.any(1) & (said.sum(1) >= 6)
+    more, less = trust * n.sum(), 0.4 * trust * n.sum()
     for _ in range(rounds):
         odds = model.log_odds()
-        logit = np.log(model.prior / (1 - model.prior)) + (good * [o[GOOD] for o in odds] + (said & ~good) * [o[BAD] for o in odds]).sum(1)
+        logit = np.log(model.prior / (1 - model.prior)) + (good * [o[GOOD] for o in odds] + bad * [o[BAD] for o in odds]).sum(1)
         p = 1 / (1 + np.exp(-logit))
+        if anchors:
+            p = np.where(surely_bad, 0.0, np.where(surely_good, 1.0, p))
         wg, wb = n * p, n * (1 - p)
-        # two doubtful votes at the starting rates go with the counts
-        right_good = np.clip(((wg[:, None] * good).sum(0) + 2 * on_good) / ((wg[:, None] * said).sum(0) + 2), least, 0.998)
-        right_bad = ((wb[:, None] * (said & ~good)).sum(0) + 2 * on_bad) / ((wb[:, None] * said).sum(0) + 2)
-        model = Model(float(np.clip(wg.sum() / n.sum(), 0.5, 0.99)), right_good, np.clip(right_bad, 1.01 - right_good, 0.99))
+        right_good = ((wg[:, None] * good).sum(0) + more * on_good) / ((wg[:, None] * said).sum(0) + more)
+        right_bad = ((wb[:, None] * bad).sum(0) + less * on_bad) / ((wb[:, None] * said).sum(0) + less)
+        before, model = model, Model(float(np.clip(wg.sum() / n.sum(), 0.01, 0.99)), right_good, right_bad)
+        if max(abs(model.prior - before.prior), np.abs(model.on_good - before.on_good).max(), np.abs(model.on_bad - before.on_bad).max()) < 1e-7:
+            break
     return model
 
 
 def add_features(df: DataFrame, text: str | Column = "text", out: str = "quality") -> DataFrame:
-    """Add a struct column ``out`` with the base counts and votes of a text column, row by row."""
+    """Add a struct column ``out`` with the base counts and votes of a text column.
+
+    Row by row, without a shuffle, so no key can be hot; whole texts are read. Null and empty
+    texts have counts of 0 and one vote. Equal rows get equal results. A column of the name
+    ``out`` is replaced; all other columns stay.
+    """
     text_batches(df.sparkSession)
     return df.withColumn(out, _features(F.col(text) if isinstance(text, str) else text))
 
@@ -158,20 +174,20 @@ def fit_on(df: DataFrame, votes: str | Column) -> Model:
 
 
 def failed(q: Column) -> Column:
+    """The base rule of the query's contract."""
     return (q["n_words"] < 20) | (100 * q["n_repeat_words"] > 30 * q["n_words"])
 
 
 def filter_quality(df: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Rows whose posterior probability of good text reaches ``threshold`` and that no base rule fails.
+    """Rows whose posterior probability of good text reaches ``threshold``.
 
-    Null and empty texts fail (no words). Repeated rows share their fate. Columns stay as they
-    are, whatever their names. The text is read twice: votes of all rows, then the decision.
+    The posterior stands in place of rules that all must pass: a short text that every other
+    rule calls good stays. Null texts and texts without words go. Repeated rows share their fate.
+    Columns stay as they are, whatever their names. Votes are made once and written beside the
+    rows; the model is fitted to the votes of all rows, then decides over what was written.
     """
-    text_batches(df.sparkSession)
-    feats = lambda d: _features(d[text])
-    model = fit_on(df.select(feats(df).alias("q")), F.col("q.votes"))
-    name = "__quality"
-    while name in df.columns:
-        name += "_"
+    name = unused(df, "quality")
+    voted = materialize(add_features(df, text, name), "voted")
     q = F.col(name)
-    return df.withColumn(name, feats(df)).filter(~failed(q) & (model.posterior(q["votes"]) >= threshold)).drop(name)
+    model = fit_on(voted, q["votes"])
+    return voted.filter((q["n_words"] > 0) & (model.posterior(q["votes"]) >= threshold)).drop(name)

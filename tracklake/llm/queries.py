@@ -29,7 +29,7 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = mix.plan(table(spark, sf_dir, "documents"))
-    return p.rows.select("doc_id", "size", "source_size", "target", (F.col("size") * p.copies()).alias("taken"))
+    return p.rows.select("doc_id", "size", "source_size", "target", (F.col("size") * p.taken()).alias("taken"))
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,8 +54,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     feats = materialize(quality.add_features(docs).select("doc_id", "quality.*"), "quality")
     model = quality.fit_on(feats, "votes")
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    out = feats.withColumn("p_good", model.posterior(F.col("votes"))).withColumn("base_failed", failed)
+    out = feats.withColumn("p_good", model.posterior(F.col("votes"))).withColumn("base_failed", quality.failed(F.struct("n_words", "n_repeat_words")))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= quality.THRESHOLD))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import re
 
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import struct, text_batches
+from .pii import Taken
 
 # The base patterns that results must follow.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -24,15 +26,13 @@ CLASSES = {
     "alnum": (re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9]{20,}"), 20, 3.6),
     "base64": (re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/=_-]{24,}"), 24, 4.0),
 }
-#: Strings that look random and are no secrets: UUIDs, dates with times, versioned paths, digits alone, placeholders, alphabets in order.
-ALLOW = (
-    re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"),
-    re.compile(r"[0-9TZ:+-]*[0-9]{4}-[0-9]{2}-[0-9]{2}[0-9TZ:+-]*"),
-    re.compile(r"[0-9_+/=-]+"),
-    re.compile(r"[A-Za-z_+/=-]+"),
-    re.compile(r"(?i).*(example|placeholder|changeme|xxxx|your[_-]).*"),
-    re.compile(r"(?i).*(0123456789|abcdefghij).*"),
+#: Strings that look random and are no secrets, wherever they stand: UUIDs, dates with times, placeholders, alphabets in order.
+ALLOW = re.compile(
+    r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9]{4}-[0-9]{2}-[0-9]{2}(?:T[0-9:+Z-]*)?"
+    r"|(?:example|placeholder|changeme|xxxx+|your[_-])|(?:0123456789|abcdefghij)[0-9a-z]*",
+    re.I | re.A,
 )
+SWITCHES = 0.35  # share of steps between neighbouring letters that change case, and of letters of the rarer case; words, also in camel case, have fewer
 RESULT = struct("n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_entropy long")
 
 
@@ -43,7 +43,7 @@ def window_entropy(s: str, width: int):
     """
     if len(s) < width:
         return
-    terms = [0.0] + [c * math.log2(c) for c in range(1, width + 1)]
+    terms = [0.0] + [c * math.log2(c) for c in range(1, width + 2)]
     counts: dict[str, int] = {}
     total, top = 0.0, math.log2(width)
     for i, ch in enumerate(s):
@@ -60,24 +60,39 @@ def window_entropy(s: str, width: int):
 
 
 def entropy_spans(text: str) -> list[tuple[int, int]]:
-    """Merged windows of high entropy in any class, without runs that the allow-list names."""
+    """Merged windows of high entropy in any class.
+
+    A window counts for nothing where it meets a stretch that the allow-list names, or where it
+    has no digit (in hex: no letter) and its letters change case as seldom as words do. What else
+    stands in the same run is looked at all the same.
+    """
+    allowed = None
     found = []
-    for pattern, width, least in CLASSES.values():
+    for name, (pattern, width, least) in CLASSES.items():
         for m in pattern.finditer(text):
-            run = m[0]
-            if any(p.fullmatch(run) for p in ALLOW):
-                continue
+            if allowed is None:
+                allowed = Taken((x.start(), x.end()) for x in ALLOW.finditer(text))
+            run, first = m[0], m.start()
+            digits, switches = _sums(c.isdigit() for c in run), _sums(a.isalpha() and b.isalpha() and a.isupper() != b.isupper() for a, b in itertools.pairwise(run))
+            upper, lower = _sums(map(str.isupper, run)), _sums(map(str.islower, run))
             start = end = -1
             for i, bits in enumerate(window_entropy(run, width)):
-                if bits >= least:
-                    if start < 0:
-                        start = i
-                    elif i > end:
-                        found.append((m.start() + start, m.start() + end))
-                        start = i
-                    end = i + width
+                if bits < least or allowed.meets(first + i, first + i + width):
+                    continue
+                n = digits[i + width] - digits[i]
+                if n == width:
+                    continue
+                rarer = min(upper[i + width] - upper[i], lower[i + width] - lower[i])
+                if n == 0 and (name == "hex" or rarer < SWITCHES * width or switches[i + width - 1] - switches[i] < SWITCHES * (width - 1)):
+                    continue
+                if start < 0:
+                    start = i
+                elif i > end:
+                    found.append((first + start, first + end))
+                    start = i
+                end = i + width
             if start >= 0:
-                found.append((m.start() + start, m.start() + end))
+                found.append((first + start, first + end))
     merged: list[list[int]] = []
     for a, b in sorted(found):
         if merged and a <= merged[-1][1]:
@@ -87,6 +102,10 @@ def entropy_spans(text: str) -> list[tuple[int, int]]:
     return [(a, b) for a, b in merged]
 
 
+def _sums(flags) -> list[int]:
+    return [0, *itertools.accumulate(map(int, flags))]
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, rank of kind, end) of the base patterns' matches."""
     out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
@@ -103,7 +122,13 @@ def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int,
     """
     text = text or ""
     base = base_spans(text)
-    more = [(a, 3, b) for a, b in entropy_spans(text) if not any(s <= a and b <= e for s, _, e in base)]
+    more, top, reach = [], 0, -1
+    for a, b in entropy_spans(text):  # both in order; of the base spans that start by a, the one that reaches furthest
+        while top < len(base) and base[top][0] <= a:
+            reach = max(reach, base[top][2])
+            top += 1
+        if reach < b:
+            more.append((a, 3, b))
     return base, sorted(base + more)
 
 

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import re
 import struct
-import sys
-import types
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -18,11 +17,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import files, fresh_path, partitions, put_file, release, text_batches
+from ..operators.ragged import running_total
+from .common import files, fresh_path, materialize, partitions, put_file, release, text_batches
 
 #: (ids in a word, bits of each) by selector; selector 0 says that the next word is one raw id.
 SELECTORS = ((1, 0), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
 BLOCK = 1024
+SHARD = 4_000_000  # ids of a file, but for the document that goes beyond
 TOGETHER = 256  # blocks packed in one go
 MAGIC = b"TLS8B\x01\n\x00"
 
@@ -197,15 +198,16 @@ _GAP = re.compile(r"(?<=\S)(?= \S)")
 _SPACES = "\t\r\v\f\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
 #: Runs that a byte-level BPE keeps apart: letters, digits, marks other than the apostrophe, single newlines.
 _RUNS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]+|[!-&(-/:-@\[-`{-~]+|\n")
-_KEPT = 200_000
+#: Bytes of pieces and ids that an encoder remembers, and the longest piece among them.
+_KEPT, _LONG = 16_000_000, 64
+_encoders: dict[str, Callable[[list[str]], list[bytes]]] = {}
 
 
 def kept_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     """One encoder for each file and process: a worker's next task starts with what it remembers."""
-    home = sys.modules.setdefault("tracklake_encoders", types.ModuleType("tracklake_encoders")).__dict__
-    if path not in home:
-        home[path] = bpe_encoder(path)
-    return home[path]
+    if path not in _encoders:
+        _encoders[path] = bpe_encoder(path)
+    return _encoders[path]
 
 
 def bpe_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
@@ -232,9 +234,12 @@ def bpe_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     class Kept(dict):
         """Pieces and their ids, with or without a space before them; a new piece is encoded when it is asked for.
 
-        When there are many, a new generation starts and takes over what is asked for again.
+        When they take much memory, a new generation starts and takes over what is asked for
+        again. Long pieces are not remembered.
         """
 
+        size = 0
+
         def __init__(self, space: str, bare: Kept | None, before: dict[str, bytes]):
             self.space, self.bare, self.before = space, bare, before
 
@@ -250,7 +255,9 @@ def bpe_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
                     ids = self[first] + b"".join(map(self.bare.__getitem__, rest))
                 else:
                     ids = whole(" " + piece)
-            self[piece] = ids
+            if len(piece) <= _LONG:
+                self[piece] = ids
+                self.size += 2 * len(piece) + len(ids)
             return ids
 
     bare = Kept("", None, {})
@@ -258,7 +265,7 @@ def bpe_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
 
     def run(texts: list[str]) -> list[bytes]:
         nonlocal kept, bare
-        if len(kept) + len(bare) > _KEPT:
+        if kept.size + bare.size > _KEPT:
             bare.before, kept.before = {}, {}
             bare = Kept("", None, bare)
             kept = Kept("Ġ", bare, kept)
@@ -288,13 +295,15 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def write_tokens(df: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None, end_id: int | None = 0, shards: int | None = None, folder: str | None = None) -> DataFrame:
-    """Encode all texts, write shards in ascending order of document id, return the shards' table.
+def write_tokens(df: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None, end_id: int | None = 0, shards: int | None = None, folder: str | None = None, most: int = SHARD) -> DataFrame:
+    """Encode all texts, write files in ascending order of document id, return the files' table.
 
-    One range shuffle deals documents to shards (by id, then text and input place, so that equal
-    ids can be split); each task tokenizes its range and writes one file under its shard number,
-    whole or not at all. Null ids come first, null texts are empty, ``end_id`` closes every
-    document. The table has (shard, path, n_docs, n_ids, start): a row a shard.
+    One range shuffle deals documents to tasks (by id, then text and input place, so that equal
+    ids can be split); each task tokenizes its range and closes a file when it holds ``most`` ids,
+    so a worker's memory follows the file and the longest document, not the task. A file appears
+    whole or not at all, under the number of its task and its own. Null ids come first, null texts
+    are empty, ``end_id`` closes every document; repeated rows are repeated. The table has (shard,
+    path, n_docs, n_ids, start): a row a file.
     """
     spark = df.sparkSession
     text_batches(spark)
@@ -306,46 +315,64 @@ def write_tokens(df: DataFrame, doc_id: str = "doc_id", text: str = "text", toke
 
     def write(batches):
         run = kept_encoder(tokenizer)
-        doc_ids, lengths, parts = [], [], []
         end = b"" if end_id is None else struct.pack("<I", end_id)
+        task, file = TaskContext.get().partitionId(), 0
+        doc_ids, lengths, parts, n = [], [], [], 0
+
+        def close():
+            nonlocal file, n
+            ids = np.frombuffer(b"".join(parts), "<u4")
+            path = f"{folder}/shard-{task:06d}-{file:06d}.s8b"
+            put_file(path, lambda out: write_shard(out, doc_ids, np.array(lengths), ids))
+            row = {"shard": [(task << 24) + file], "path": [path], "n_docs": [len(doc_ids)], "n_ids": [len(ids)]}
+            for x in (doc_ids, lengths, parts):
+                x.clear()
+            file, n = file + 1, 0
+            return pa.RecordBatch.from_pydict(row)
+
         for batch in batches:
-            doc_ids += batch.column("id").to_pylist()
             texts = batch.column("text")
             for i in range(0, len(texts), 64):
-                for ids in run(texts.slice(i, 64).to_pylist()):
-                    lengths.append(len(ids) // 4 + len(end) // 4)
+                for doc, ids in zip(batch.column("id").slice(i, 64).to_pylist(), run(texts.slice(i, 64).to_pylist()), strict=True):
+                    doc_ids.append(doc)
+                    lengths.append((len(ids) + len(end)) // 4)
                     parts += [ids, end]
-        if not doc_ids:
-            return
-        shard = TaskContext.get().partitionId()
-        ids = np.frombuffer(b"".join(parts), "<u4")
-        parts.clear()
-        path = f"{folder}/shard-{shard:06d}.s8b"
-        put_file(path, lambda out: write_shard(out, doc_ids, np.array(lengths), ids))
-        yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [path], "n_docs": [len(doc_ids)], "n_ids": [len(ids)]})
+                    n += lengths[-1]
+                    if n >= most:
+                        yield close()
+        if doc_ids:
+            yield close()
         release()
 
-    rows = src.select("id", "text").mapInArrow(write, "shard long, path string, n_docs long, n_ids long").collect()
-    start, out = 0, []
-    for r in sorted(rows):
-        out.append((r.shard, r.path, r.n_docs, r.n_ids, start))
-        start += r.n_ids
-    return spark.createDataFrame(out, "shard long, path string, n_docs long, n_ids long, start long")
+    rows = src.select("id", "text").mapInArrow(write, "shard long, path string, n_docs long, n_ids long")
+    return _started(materialize(rows, "token-files"))
+
+
+def _started(files: DataFrame) -> DataFrame:
+    """Add ``start``, the ids of all files before: a running sum over the files' table alone."""
+    total = running_total(files, "shard", "n_ids", "start")
+    return total.select("shard", "path", "n_docs", "n_ids", F.col("start").cast("long").alias("start"))
 
 
 def read_tokens(shards: DataFrame, id_type: str = "long") -> DataFrame:
-    """Documents of the shards: (doc_id, start, n_tokens, ids_crc32), read from their files."""
+    """Documents of the files: (doc_id, start, n_tokens, ids_crc32), read from them.
+
+    A task reads files one after another by ranges of blocks and gives up to 10,000 documents at a
+    time. Null ids come back null, empty texts with their end id; without files there are no rows.
+    """
 
     def read(batches):
         for batch in batches:
             for row in batch.itertuples():
                 system, path = files(row.path)
-                out, start = [], row.start
+                start = row.start
                 with system.open_input_file(path) as handle:
-                    for doc, ids in read_shard(handle):
-                        out.append((doc, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
-                        start += len(ids)
-                frame = pd.DataFrame(out, columns=["doc_id", "start", "n_tokens", "ids_crc32"], dtype=object)
-                yield frame.astype({"start": "int64", "n_tokens": "int64", "ids_crc32": "int64"} | ({"doc_id": "Int64"} if id_type == "long" else {}))
-
-    return shards.repartition(max(1, partitions(shards.sparkSession)), "shard").mapInPandas(read, f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long")
+                    docs = read_shard(handle)
+                    while some := list(itertools.islice(docs, 10_000)):
+                        n = np.array([len(ids) for _, ids in some])
+                        frame = pd.DataFrame({"doc_id": pd.array([d for d, _ in some], "Int64" if id_type == "long" else object), "start": start + np.cumsum(n) - n, "n_tokens": n})
+                        frame["ids_crc32"] = [zlib.crc32(ids.astype("<u4").tobytes()) for _, ids in some]
+                        start += int(n.sum())
+                        yield frame
+
+    return shards.repartition(max(1, partitions(shards.sparkSession)), "path").mapInPandas(read, f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long")

@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TOKEN = "[a-z0-9]+"
 #: Rules that fit in an expression; more are joined as a table.
@@ -104,13 +106,18 @@ def judge(df: DataFrame, url: str = "url", rules: tuple[Rule, ...] = RULES, defa
 
 
 def _judge_joined(df: DataFrame, url: str, rules: tuple[Rule, ...], default: str, out: str) -> DataFrame:
-    """The same with the index as a table, for long lists: tokens of distinct urls meet rules in a join."""
-    host, path = host_path(F.col("u"))
-    urls = df.select(F.col(url).alias("u")).distinct().withColumn("hp", F.concat(host, path))
+    """The same with the index as a table, for long lists: tokens of distinct urls meet rules in a join.
+
+    Only urls that some rule fits come back, a row each, so a url of any number of rows is one
+    row of that side. Names of columns cannot clash: those made here are chosen against ``df``.
+    """
+    u, best = unused(df, "rule_url"), unused(df, "rule_best")
+    host, path = host_path(F.col(u))
+    urls = df.select(F.col(url).alias(u)).distinct().filter(F.col(u).isNotNull()).withColumn("hp", F.concat(host, path))
     index = rarest(urls, F.col("hp"), rules)
     table = df.sparkSession.createDataFrame([(t, r.rank, r.name, r.pattern, r.verdict) for t, rs in index.items() for r in rs], "t string, rank int, name string, pattern string, verdict string")
-    hits = urls.filter("u IS NOT NULL").select("u", "hp", F.explode(tokens(F.col("hp"))).alias("t")).join(table, "t").filter(F.rlike("hp", F.col("pattern")))
-    best = hits.groupBy("u").agg(F.max(F.struct("rank", "name", "pattern", "verdict")).alias("__best"))
+    hits = urls.select(u, "hp", F.explode(tokens(F.col("hp"))).alias("t")).join(table, "t").filter(F.rlike("hp", F.col("pattern")))
+    found = hits.groupBy(u).agg(F.max(F.struct("rank", "name", "pattern", "verdict")).alias(best))
     host, path = host_path(F.col(url))
-    cols = F.struct(host.alias("host"), path.alias("path"), F.nullif(F.col("__best.name"), F.lit("")).alias("rule"), F.coalesce(F.col("__best.verdict"), F.lit(default)).alias("verdict"))
-    return df.join(best, F.col(url) == F.col("u"), "left").withColumn(out, cols).drop("u", "__best")
+    cols = F.struct(host.alias("host"), path.alias("path"), F.nullif(F.col(best)["name"], F.lit("")).alias("rule"), F.coalesce(F.col(best)["verdict"], F.lit(default)).alias("verdict"))
+    return df.join(found, F.col(url) == F.col(u), "left").withColumn(out, cols).drop(u, best)

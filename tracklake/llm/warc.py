@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import itertools
 import json
 import struct as packing
 import zipfile
@@ -14,12 +15,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import files, fresh_path, partitions, put_file, struct, text_batches
+from .common import files, fresh_path, materialize, partitions, put_file, struct, text_batches
 
 LEAST = 1000  # bytes from which equal payloads are stored once
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.jsonl"
 DATE = "2020-01-01T00:00:00Z"
 RANGE = 8 << 20  # bytes of neighbouring records fetched at a time
+PACKAGE, RECORDS = 1 << 30, 50_000  # bytes and records of a package at most
+FEW = 200_000  # repeated digests that are broadcast
 CLEAN = {i: f"%{i:02X}" for i in [*range(0x21), 0x7F]}
 
 
@@ -110,12 +113,16 @@ def directory(handle, size: int) -> dict[str, tuple[int, int, int]]:
     return out
 
 
-def write_package(out, pages: Iterator[tuple[dict, bytes | None]]) -> int:
-    """A ZIP of one stored member of records and one stored member with their byte ranges; returns the number of records."""
+def write_package(out, pages: Iterator[tuple[dict, bytes | None]], most: int = PACKAGE, records: int = RECORDS) -> int:
+    """A ZIP of one stored member of records and one stored member with their byte ranges; returns the number of records.
+
+    It takes pages until it holds ``most`` bytes or ``records`` records; the others stay in ``pages``.
+    """
     index, at = [], 0
     with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED, allowZip64=True) as z:
         with z.open(zipfile.ZipInfo(DATA), "w", force_zip64=True) as data:
-            for page, payload in pages:
+            while at < most and len(index) < records and (pair := next(pages, None)) is not None:
+                page, payload = pair
                 member = record(page, payload)
                 data.write(member)
                 index.append(json.dumps({"page_id": page["page_id"], "refers_to": page["refers_to"], "offset": at, "length": len(member)}))
@@ -154,50 +161,64 @@ def assign(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: s
     """(page_id, url, html, digest, bytes, refers_to): which record a page becomes.
 
     Of pages with equal payloads of at least 1,000 bytes the largest page_id is stored and the
-    others refer to it and lose their html. Digests are aggregated before anything is joined, so
-    a payload that a third of all pages share is one row there. Rows that repeat the largest
-    page_id are all stored; null ids refer to it, and if all ids are null all rows are stored.
+    others refer to it and lose their html. Digests that repeat are aggregated and written, a row
+    each, however many pages share one. Up to 200,000 of them are broadcast and html stays where
+    it is; more are joined, with an exchange on either side, so that Spark splits a hot payload.
+    Rows that repeat the largest page_id are all stored; null ids refer to it, and if all ids are
+    null all rows are stored. Null html is empty.
     """
     body = F.coalesce(F.col(html), F.lit(""))
     src = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), body.alias("html"), F.sha1(F.encode(body, "UTF-8")).alias("digest"), F.octet_length(body).cast("long").alias("bytes"))
     first = src.filter(F.col("bytes") >= LEAST).groupBy(F.col("digest").alias("of"), F.col("bytes").alias("of_bytes")).agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1 AND first IS NOT NULL").drop("n")
-    joined = src.join(first, (F.col("digest") == F.col("of")) & (F.col("bytes") == F.col("of_bytes")), "left")
+    first = materialize(first, "repeated")
+    few = F.broadcast if first.count() <= FEW else (lambda d: d)
+    joined = src.join(few(first), (F.col("digest") == F.col("of")) & (F.col("bytes") == F.col("of_bytes")), "left")
     to = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
     return joined.select("page_id", "url", F.when(to.isNull(), F.col("html")).alias("html"), "digest", "bytes", to.alias("refers_to"))
 
 
-def write_archives(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", folder: str | None = None) -> DataFrame:
-    """Write all pages, a package a task, each whole or not at all; returns (path, records), a row a package."""
+def write_archives(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", folder: str | None = None, most: int = PACKAGE, records: int = RECORDS) -> DataFrame:
+    """Write all pages to packages of up to ``most`` bytes and ``records`` records; returns (path, records), a row a package.
+
+    A package appears whole or not at all, under the number of its task and its own; a worker
+    holds one package's index and one page. Page ids are integers or null. Repeated rows are
+    repeated records, in the order of their partition.
+    """
     spark = pages.sparkSession
     text_batches(spark)
     folder = folder or fresh_path(spark, "warc")
 
     def write(frames):
-        n = 0
-
         def rows():
             for frame in frames:
                 for p, u, h, d, b, to in zip(*(frame[c] for c in ("page_id", "url", "html", "digest", "bytes", "refers_to")), strict=True):
                     yield {"page_id": None if pd.isna(p) else int(p), "url": u, "digest": d, "bytes": int(b), "refers_to": None if pd.isna(to) else int(to)}, None if h is None else h.encode("utf-8", "surrogatepass")
 
-        def save(out):
-            nonlocal n
-            n = write_package(out, rows())
+        left, file = rows(), 0
+        while (head := next(left, None)) is not None:
+            n = 0
+
+            def save(out):
+                nonlocal n
+                n = write_package(out, whole, most, records)
 
-        path = f"{folder}/part-{TaskContext.get().partitionId():06d}.zip"
-        put_file(path, save)
-        yield pd.DataFrame({"path": [path], "records": [n]})
+            whole = itertools.chain([head], left)
+            path = f"{folder}/part-{TaskContext.get().partitionId():06d}-{file:06d}.zip"
+            put_file(path, save)
+            file += 1
+            yield pd.DataFrame({"path": [path], "records": [n]})
 
     # one id column may hold nulls, which pandas would turn into inexact floats
     src = assign(pages, page_id, url, html).withColumn("page_id", F.col("page_id").cast("string")).withColumn("refers_to", F.col("refers_to").cast("string"))
-    rows = src.mapInPandas(write, struct("path string, records long")).collect()
-    return spark.createDataFrame([tuple(r) for r in rows], struct("path string, records long"))
+    return materialize(src.mapInPandas(write, struct("path string, records long")), "packages")
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of all records, from the packages.
 
     Responses are measured and hashed from their payloads; a revisit's figures stand in its headers.
+    A task reads packages one after another, by ranges. Null ids come back null; without packages
+    there are no rows.
     """
 
     def read(frames):
