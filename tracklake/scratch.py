@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -14,11 +15,13 @@ _own: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """A folder, as a URI, that the driver and all executors see: below ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests in local mode) a folder of this machine is taken.
+    Where that setting is absent a local master takes a folder of its machine; any other raises.
     """
     sc = spark.sparkContext
     top = sc.getConf().get("spark.checkpoint.dir", None)
     if not top:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         top = _own.get(sc.applicationId)
         if not top:
             top = _own[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="tracklake-")
@@ -54,4 +57,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more, so that a long session does not fill the shared folder."""
+    for df in tables:
+        _drop(df.sparkSession, df._scratch_path)
