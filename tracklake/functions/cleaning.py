@@ -94,3 +94,13 @@ def drogue_on(lost: Column, time: Column, row: str = "row_idx") -> Column:
     """Whether the drogue is on: always, if its loss is unknown or not before the row's last time; else until the loss."""
     last = F.max(time).over(Window.partitionBy(row))
     return F.when(lost.isNull() | (lost >= last), True).otherwise(time < lost)
+
+
+def number_in(name: Column, pattern: str) -> Column:
+    """The digits that a pattern's first group finds in a name; null where it finds none."""
+    return F.nullif(F.regexp_extract(name, pattern, 1), F.lit(""))
+
+
+def flat(value: Column) -> Column:
+    """Arrays in an array as one array."""
+    return F.flatten(value)

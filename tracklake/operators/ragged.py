@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import warnings
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -58,7 +59,14 @@ def checked(found: DataFrame) -> DataFrame:
 
 # ---- filters ----
 
-Criterion = tuple | list | Column | Callable | int | float | str | bool
+@dataclass(frozen=True)
+class WholeRow:
+    """A criterion that sees the whole vector of a row (an array for each column) and gives a truth value for each observation."""
+
+    function: Callable
+
+
+Criterion = tuple | list | Column | Callable | WholeRow | int | float | str | bool
 
 
 def predicate(name: str | tuple[str, ...], criterion: Criterion) -> Column:
@@ -83,11 +91,17 @@ def subset(frame: RaggedFrame, criteria: dict[str | tuple[str, ...], Criterion],
     """Rows and observations that meet all criteria.
 
     A row stays if it meets the row criteria and one of its observations the others. With
-    ``full_rows`` all observations of such a row stay. ``rowsize`` is counted anew, by row.
+    ``full_rows`` all observations of such a row stay. ``rowsize`` is counted anew, by row. A
+    ``WholeRow`` criterion gets each row's vector as it is before the other criteria.
     """
-    on_rows, on_obs = [], []
+    on_rows, on_obs, whole = [], [], []
     for name, criterion in criteria.items():
         names = name if isinstance(name, tuple) else (name,)
+        if isinstance(criterion, WholeRow):
+            if not all(n in frame.obs.columns for n in names):
+                raise ValueError(f"a criterion of whole rows needs columns of observations: {names}")
+            whole.append((names, criterion.function))
+            continue
         if all(n in frame.rows.columns for n in names) and not all(n in frame.obs.columns for n in names if n != ROW):
             on_rows.append(predicate(name, criterion))
         elif all(n in frame.obs.columns for n in names):
@@ -98,7 +112,12 @@ def subset(frame: RaggedFrame, criteria: dict[str | tuple[str, ...], Criterion],
             raise ValueError(f"unknown column {name!r}")
     rows = frame.rows.filter(reduce(Column.__and__, on_rows)) if on_rows else frame.rows
     kept = frame.obs.filter(reduce(Column.__and__, on_obs)) if on_obs else frame.obs
-    if full_rows and on_obs:
+    for names, function in whole:
+        from .apply import map_rows
+
+        mask = map_rows(frame, function, names, "__keep", kind="boolean").filter("__keep").select(ROW, OBS)
+        kept = kept.join(mask, [ROW, OBS], "left_semi")
+    if full_rows and (on_obs or whole):
         kept = frame.obs.join(kept.select(ROW).distinct(), ROW, "left_semi")
     if on_rows:
         kept = kept.join(rows.select(ROW), ROW, "left_semi")
@@ -215,4 +234,11 @@ def sample_rows(rows: DataFrame, n: int, seed: int = 0) -> DataFrame:
     if rows.limit(n + 1).count() <= n:
         warnings.warn("fewer rows than asked for; all are taken", stacklevel=2)
         return rows
-    return rows.orderBy(F.xxhash64(F.lit(seed), F.col(ROW)), ROW).limit(n)
+    mixed = F.pmod(F.col(ROW) + seed, F.lit(MODULUS))
+    for _ in range(2):
+        mixed = F.pmod(mixed * FACTOR, F.lit(MODULUS))
+    return rows.orderBy(mixed, ROW).limit(n)
+
+
+#: A multiplicative generator of pseudo-random numbers: its factor and prime modulus.
+FACTOR, MODULUS = 48271, 2147483647

@@ -84,7 +84,7 @@ def slab(omega, f: float, friction: float, depth: float, density: float = 1025.0
     return 1 / (density * depth * (friction + 1j * turn))
 
 
-def wind(omega, z, f: float, delta: float, mu: float, depth: float, boundary: str = "no-slip", density: float = 1025.0, corrected: bool = False):
+def wind(omega, z, f: float, delta: float, mu: float, depth: float, boundary: str = "no-slip", density: float = 1025.0, corrected: bool = False, method: str = "lilly"):
     """(response, its derivative by delta, by depth) over depths ``z`` and frequencies ``omega`` (radians a day).
 
     The viscosity K0 + K1 z has K0 = delta^2 |f| / 2 and K1 = mu |f| / 2; the layer is ``depth``
@@ -92,8 +92,13 @@ def wind(omega, z, f: float, delta: float, mu: float, depth: float, boundary: st
     functions whose exponents are combined first, so none overflows. Below the layer the
     response is NaN. Derivatives exist for constant viscosity without slip, else they are empty.
     With free slip and both scales I of order 0 stands at the bottom, as in published values;
-    ``corrected`` takes order 1, which is the one without a slope there.
+    ``corrected`` takes order 1, which is the one without a slope there. The other published
+    ``method``, "elipot", writes the same ratios unscaled; it has order 1 at a free bottom and no
+    derivatives.
     """
+    if method not in ("lilly", "elipot"):
+        raise ValueError("method must be lilly or elipot")
+    corrected = corrected or method == "elipot"
     z = np.atleast_1d(np.asarray(z, float))
     if (z < 0).any() or depth < 0 or delta < 0 or mu < 0 or density < 0:
         raise ValueError("depths, scales and density must not be negative")
@@ -116,6 +121,8 @@ def wind(omega, z, f: float, delta: float, mu: float, depth: float, boundary: st
         still = om == -f
         if still.any() and not slip:
             g[still] = _at_inertial(zz[still], k0, k1, depth, density)
+    if method == "elipot":
+        by_delta = by_depth = empty
     g[zz > depth] = np.nan
     return g, by_delta, by_depth
 

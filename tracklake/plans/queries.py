@@ -60,11 +60,11 @@ def ragged_index(spark, sf):
     return ragged.offsets(tracks(spark, sf).rows)
 
 
-@query(f"WITH {TRACKS} SELECT idx AS \"index\", row_idx FROM (SELECT row_number() OVER (ORDER BY row_idx, obs_idx) - 1 AS idx, row_idx FROM obs) WHERE idx % 7 = 0")
+@query(f"WITH {TRACKS} SELECT idx AS \"index\", row_idx FROM (SELECT row_number() OVER (ORDER BY row_idx, obs_idx) - 1 AS idx, row_idx FROM obs)")
 def obs_to_row(spark, sf):
     f = tracks(spark, sf)
     n = f.obs.count()
-    return ragged.checked(ragged.rows_of(spark.range(0, n, 7).select(F.col("id").alias("index")), f.rows))
+    return ragged.checked(ragged.rows_of(spark.range(n).select(F.col("id").alias("index")), f.rows))
 
 
 @query(f"WITH {TRACKS} SELECT row_idx, obs_idx, event_id FROM obs WHERE value BETWEEN 10 AND 20")
@@ -174,10 +174,10 @@ def chunk_arrays(spark, sf):
     return c.select("vec_id", F.col("chunk").cast("long").alias("chunk"), r(F.aggregate("part", F.lit(0.0), lambda a, x: a + x), 3).alias("total"))
 
 
-@query(f"WITH {TRACKS}, u AS (SELECT DISTINCT row_idx FROM obs) SELECT count(*) AS n FROM (SELECT row_idx FROM u LIMIT 5)")
+@query(f"WITH {TRACKS}, u AS (SELECT DISTINCT row_idx FROM obs) SELECT row_idx FROM (SELECT row_idx, ((row_idx + 42) * 48271 % 2147483647) * 48271 % 2147483647 AS k FROM u) ORDER BY k, row_idx LIMIT 5")
 def sample_rows(spark, sf):
-    """Five rows chosen by a seeded hash; which ones differ between engines, so their number is compared."""
-    return ragged.sample_rows(tracks(spark, sf).rows, 5, seed=42).agg(F.count(F.lit(1)).alias("n"))
+    """Five rows chosen by a seeded hash."""
+    return ragged.sample_rows(tracks(spark, sf).rows, 5, seed=42).select(ROW)
 
 
 # ---- kinematics ----
@@ -338,9 +338,11 @@ def line_colors(spark, sf):
     return lines.line_colors(tracks(spark, sf).obs, "value").select(ROW, "piece", OBS, r("color", 6).alias("color"))
 
 
-@query(f"WITH {TRACKS}, s AS (SELECT row_idx, obs_idx, sum(CASE WHEN abs(d) > 180 THEN 1 ELSE 0 END) OVER w AS piece FROM (SELECT *, lon - lag(lon) OVER w AS d FROM obs {_W}) {_W}) SELECT row_idx, CAST(piece AS BIGINT) AS piece, count(*) AS n FROM s GROUP BY 1, 2")
+@query(f"WITH {TRACKS}, s AS (SELECT row_idx, obs_idx, value, lon, lat, sum(CASE WHEN abs(d) > 180 THEN 1 ELSE 0 END) OVER w AS piece FROM (SELECT *, lon - lag(lon) OVER w AS d FROM obs {_W}) {_W}) SELECT row_idx, CAST(piece AS BIGINT) AS piece, unnest(range(0, count(*))) AS place, round(unnest(list(lon ORDER BY obs_idx)), 6) + 0.0 AS lon, round(unnest(list(lat ORDER BY obs_idx)), 6) + 0.0 AS lat, unnest(list(value ORDER BY obs_idx)) AS color FROM s GROUP BY 1, 2")
 def line_pieces(spark, sf):
-    return lines.pieces(tracks(spark, sf).obs).select(ROW, "piece", F.size("points").cast("long").alias("n"))
+    """Each piece's points in order, with their colors."""
+    p = lines.pieces(tracks(spark, sf).obs, color="value").select(ROW, "piece", F.posexplode("points").alias("place", "p"))
+    return p.select(ROW, "piece", F.col("place").cast("long").alias("place"), r("p.lon", 6).alias("lon"), r("p.lat", 6).alias("lat"), "p.color")
 
 
 # ---- binned statistics ----
@@ -420,18 +422,17 @@ def pairs_space_only(spark, sf):
     return p.select("row_1", "row_2", "obs_1", "obs_2", r("space", 1).alias("space"))
 
 
-@query(f"WITH {TRACKS} SELECT a.row_idx AS row_1, b.row_idx AS row_2, count(*) AS n FROM obs a JOIN obs b ON a.row_idx < b.row_idx AND a.us // 60000000 = b.us // 60000000 AND abs(a.lat - b.lat) < 45.1 AND {distance('a.lon', 'a.lat', 'b.lon', 'b.lat')} <= 5000000 GROUP BY 1, 2")
+@query(f"WITH {TRACKS} SELECT a.row_idx AS row_1, b.row_idx AS row_2, string_agg(a.obs_idx || '-' || b.obs_idx, ',' ORDER BY a.obs_idx, b.obs_idx) AS pairs FROM obs a JOIN obs b ON a.row_idx < b.row_idx AND a.us // 60000000 = b.us // 60000000 AND abs(a.lat - b.lat) < 45.1 AND {distance('a.lon', 'a.lat', 'b.lon', 'b.lat')} <= 5000000 GROUP BY 1, 2")
 def pairs_same_time(spark, sf):
     """No tolerance in time (to the minute): an equality key. Grouped by row pair."""
     o = tracks(spark, sf).obs.withColumn("minute", F.floor(F.col("us") / 60_000_000))
     g = pairs.grouped(pairs.chance_pairs(o, 5_000_000.0, 0.0, when="minute"))
-    return g.select("row_1", "row_2", F.size("pairs").cast("long").alias("n"))
+    return g.select("row_1", "row_2", F.array_join(F.transform("pairs", lambda p: F.concat_ws("-", p["obs_1"], p["obs_2"])), ",").alias("pairs"))
 
 
-@query(f"WITH {TRACKS}, b AS (SELECT row_idx, min(t) AS lo, max(t) AS hi FROM obs WHERE row_idx % 3 = 0 GROUP BY 1) SELECT a.row_idx AS row_1, c.row_idx AS row_2 FROM b a JOIN b c ON a.row_idx < c.row_idx AND a.lo <= c.hi + 60 AND c.lo <= a.hi + 60")
+@query(f"WITH {TRACKS}, b AS (SELECT row_idx, min(t) AS lo, max(t) AS hi FROM obs GROUP BY 1) SELECT a.row_idx AS row_1, c.row_idx AS row_2 FROM b a JOIN b c ON a.row_idx < c.row_idx AND a.lo <= c.hi + 60 AND c.lo <= a.hi + 60")
 def time_overlap_rows(spark, sf):
-    o = tracks(spark, sf).obs.filter(F.col(ROW) % 3 == 0)
-    return pairs.overlap_pairs(o, "t", 60.0)
+    return pairs.overlap_pairs(tracks(spark, sf).obs, "t", 60.0)
 
 
 @query(f"WITH {TRACKS}, a AS (SELECT * FROM obs WHERE row_idx = 1), b AS (SELECT * FROM obs WHERE row_idx = 2) SELECT a.row_idx, a.obs_idx FROM a, (SELECT greatest((SELECT min(t) FROM a), (SELECT min(t) FROM b)) - 10 AS lo, least((SELECT max(t) FROM a), (SELECT max(t) FROM b)) + 10 AS hi) WHERE t BETWEEN lo AND hi")
@@ -501,9 +502,10 @@ def row_values_to_obs(spark, sf):
     return tracks(spark, sf).joined(["rowsize"]).select(ROW, OBS, "rowsize")
 
 
-@query(f"WITH {TRACKS} SELECT x.row_idx AS row_1, y.row_idx AS row_2 FROM (SELECT DISTINCT row_idx FROM obs WHERE row_idx < 12) x JOIN (SELECT DISTINCT row_idx FROM obs WHERE row_idx < 12) y ON x.row_idx < y.row_idx")
+@query(f"WITH {TRACKS} SELECT x.row_idx AS row_1, y.row_idx AS row_2 FROM (SELECT DISTINCT row_idx FROM obs) x JOIN (SELECT DISTINCT row_idx FROM obs) y ON x.row_idx < y.row_idx")
 def row_combinations(spark, sf):
-    rows = tracks(spark, sf).rows.filter(F.col(ROW) < 12)
+    """All pairs of rows are the result here, as the square of the rows by definition."""
+    rows = tracks(spark, sf).rows.select(ROW)
     return rows.select(F.col(ROW).alias("row_1")).crossJoin(rows.select(F.col(ROW).alias("row_2"))).filter("row_1 < row_2")
 
 
@@ -530,12 +532,11 @@ def apply_multi(spark, sf):
 
 # ---- signals, wavelets, transfer functions ----
 
-_DFT = """e AS (SELECT vec_id AS row_idx, unnest(range(0, 16)) AS j, unnest(list_slice(embedding, 1, 16))::DOUBLE AS x FROM embeddings WHERE vec_id < 40)"""
+_DFT = """e AS (SELECT vec_id AS row_idx, unnest(range(0, 64)) AS j, unnest(embedding)::DOUBLE AS x FROM embeddings WHERE len(embedding) = 64)"""
 
 
 def _vectors(spark, sf) -> RaggedFrame:
-    e = table(spark, sf, "embeddings").filter("vec_id < 40").select(F.col("vec_id").alias(ROW), F.slice("embedding", 1, 16).alias("embedding"))
-    return _components(e)
+    return _components(table(spark, sf, "embeddings").select(F.col("vec_id").alias(ROW), "embedding"))
 
 
 def _components(e: DataFrame) -> RaggedFrame:
@@ -545,9 +546,9 @@ def _components(e: DataFrame) -> RaggedFrame:
 
 
 @query(
-    f"""WITH {_DFT}, m AS (SELECT row_idx, avg(x) AS m FROM e GROUP BY 1), c AS (SELECT e.row_idx, j, x - m AS x, m FROM e JOIN m USING (row_idx)), k AS (SELECT i AS k, CASE WHEN i = 0 THEN 1 WHEN i < 8 THEN 1 WHEN i = 8 THEN 0.5 END::DOUBLE AS g FROM range(0, 9) r(i)),
- f AS (SELECT row_idx, k, g, any_value(m) AS m, sum(x * cos(-2 * pi() * j * k / 16)) AS re, sum(x * sin(-2 * pi() * j * k / 16)) AS im FROM c, k GROUP BY ALL)
- SELECT row_idx, t AS obs_idx, round(any_value(m) + 2 * sum(g * (re * cos(2 * pi() * t * k / 16) - im * sin(2 * pi() * t * k / 16))) / 16, 6) + 0.0 AS x_re, round(2 * sum(g * (re * sin(2 * pi() * t * k / 16) + im * cos(2 * pi() * t * k / 16))) / 16, 6) + 0.0 AS x_im FROM f, range(0, 16) r(t) GROUP BY 1, 2"""
+    f"""WITH {_DFT}, m AS (SELECT row_idx, avg(x) AS m FROM e GROUP BY 1), c AS (SELECT e.row_idx, j, x - m AS x, m FROM e JOIN m USING (row_idx)), k AS (SELECT i AS k, CASE WHEN i = 0 THEN 1 WHEN i < 32 THEN 1 WHEN i = 32 THEN 0.5 END::DOUBLE AS g FROM range(0, 33) r(i)),
+ f AS (SELECT row_idx, k, g, any_value(m) AS m, sum(x * cos(-2 * pi() * j * k / 64)) AS re, sum(x * sin(-2 * pi() * j * k / 64)) AS im FROM c, k GROUP BY ALL)
+ SELECT row_idx, t AS obs_idx, round(any_value(m) + 2 * sum(g * (re * cos(2 * pi() * t * k / 64) - im * sin(2 * pi() * t * k / 64))) / 64, 6) + 0.0 AS x_re, round(2 * sum(g * (re * sin(2 * pi() * t * k / 64) + im * cos(2 * pi() * t * k / 64))) / 64, 6) + 0.0 AS x_im FROM f, range(0, 64) r(t) GROUP BY 1, 2"""
 )
 def analytic_signal(spark, sf):
     return apply.analytic(_vectors(spark, sf), "x").select(ROW, OBS, r("x_re", 6).alias("x_re"), r("x_im", 6).alias("x_im"))
@@ -574,19 +575,28 @@ def ellipse(spark, sf):
 
 
 @query(
-    f"""WITH {_DFT}, k AS (SELECT i AS k, CASE WHEN i <= 3 OR i >= 13 THEN 1 ELSE 0 END AS g FROM range(0, 16) r(i)), f AS (SELECT row_idx, k, g, sum(x * cos(-2 * pi() * j * k / 16)) AS re, sum(x * sin(-2 * pi() * j * k / 16)) AS im FROM e, k GROUP BY ALL)
- SELECT row_idx, t AS obs_idx, round(sum(g * (re * cos(2 * pi() * t * k / 16) - im * sin(2 * pi() * t * k / 16))) / 16, 6) + 0.0 AS x FROM f, range(0, 16) r(t) GROUP BY 1, 2"""
+    f"""WITH {_DFT}, k AS (SELECT i AS k, CASE WHEN i <= 3 OR i >= 61 THEN 1 ELSE 0 END AS g FROM range(0, 64) r(i)), f AS (SELECT row_idx, k, g, sum(x * cos(-2 * pi() * j * k / 64)) AS re, sum(x * sin(-2 * pi() * j * k / 64)) AS im FROM e, k GROUP BY ALL)
+ SELECT row_idx, t AS obs_idx, round(sum(g * (re * cos(2 * pi() * t * k / 64) - im * sin(2 * pi() * t * k / 64))) / 64, 6) + 0.0 AS x FROM f, range(0, 64) r(t) GROUP BY 1, 2"""
 )
 def transfer_fft(spark, sf):
     """A low-pass filter over all of a row."""
-    low = lambda omega: (np.abs(omega) <= 2 * math.pi * 3.5 / 16).astype(float)
+    low = lambda omega: (np.abs(omega) <= 2 * math.pi * 3.5 / 64).astype(float)
     return apply.filtered(_vectors(spark, sf), "x", low, 1.0).select(ROW, OBS, r("x_re", 6).alias("x"))
 
 
-@query(f"WITH {_DFT} SELECT row_idx, j AS obs_idx, round(x, 6) + 0.0 AS x FROM e")
+# windows of six over the mirrored signal: a filter by the response's own inverse transform, then the kernel's weighted mean
+_RESPONSE = (1.0, 0.75, 0.25, 0.0, 0.25, 0.75)
+
+
+@query(
+    f"""WITH {_DFT}, w AS (SELECT i AS j, CASE WHEN i < 3 THEN 3 - i ELSE i - 3 END AS k FROM range(0, 70) r(i)), p AS (SELECT row_idx, w.j AS p, x FROM w JOIN e ON e.j = least(w.k, 126 - w.k)),
+ h AS (SELECT n, sum(g * cos(2 * pi() * n * k / 6)) / 6 AS h FROM range(0, 6) a(n), (VALUES {", ".join(f"({k}, {g})" for k, g in enumerate(_RESPONSE))}) b(k, g) GROUP BY 1),
+ f AS (SELECT row_idx, s, o, sum(x * h) AS y FROM p, range(0, 65) a(s), range(0, 6) b(o), h WHERE p >= s AND p < s + 6 AND n = ((o - (p - s)) % 6 + 6) % 6 GROUP BY 1, 2, 3)
+ SELECT row_idx, s + o - 3 AS obs_idx, round(sum(y * wt) / sum(wt), 6) + 0.0 AS x FROM (SELECT *, 0.75::DOUBLE * (1 - pow((o + 1) * 2 / 7.0::DOUBLE - 1, 2)) AS wt FROM f) WHERE s + o BETWEEN 3 AND 66 GROUP BY 1, 2"""
+)
 def transfer_sliding(spark, sf):
-    """Sliding windows with a response of one give the signal back, whatever the kernel."""
-    out = apply.filtered_sliding(_vectors(spark, sf), "x", np.ones(6), 6, 1, kernel="epanechnikov")
+    """Sliding windows of six over the mirrored signal, filtered and averaged by an Epanechnikov kernel."""
+    out = apply.filtered_sliding(_vectors(spark, sf), "x", np.array(_RESPONSE), 6, 1, kernel="epanechnikov")
     return out.select(ROW, OBS, r("x_re", 6).alias("x"))
 
 
@@ -607,12 +617,6 @@ def wind_ekman(spark, sf):
     return w.select("z", "omega", r("re", 8).alias("re"), r("im", 8).alias("im"))
 
 
-@query()
-def wind_mixed(spark, sf):
-    """Response of a finite layer whose viscosity grows with depth."""
-    return apply.wind_table(spark, np.arange(-10, 10.5, 0.5), np.arange(0, 50, 5), f=2 * math.pi * 1.5, delta=20.0, mu=20.0, depth=50.0)
-
-
 @query("WITH p AS (SELECT g.g::DOUBLE AS gamma, b.b::DOUBLE AS beta FROM (VALUES (2), (3), (4)) g(g), (VALUES (1), (4), (10)) b(b)) SELECT gamma, beta, round(pow(beta / gamma, 1 / gamma), 9) AS modal, round(exp(lgamma((beta + 2) / gamma) - lgamma((beta + 1) / gamma)), 8) AS instantaneous, round(sqrt(gamma * beta), 9) AS width, round((gamma - 3) / sqrt(gamma * beta), 9) + 0.0 AS skew, round(3 - pow((gamma - 3) / sqrt(gamma * beta), 2) - 2 / (gamma * beta), 9) AS kurt FROM p")
 def morse_freqs(spark, sf):
     """Frequencies and properties of Morse wavelets; there are as many as parameters given."""
@@ -620,15 +624,23 @@ def morse_freqs(spark, sf):
     return spark.createDataFrame(out, "gamma double, beta double, modal double, instantaneous double, width double, skew double, kurt double")
 
 
-@query()
-def morse_transform(spark, sf):
-    f = _components(table(spark, sf, "embeddings").select(F.col("vec_id").alias(ROW), "embedding"))
-    return apply.wavelets(f, "x", 3.0, 4.0, [0.5, 1.0, 2.0], order=2)
+def _morse(n: str, freqs: list[float], order: int, gamma: float = 3.0, beta: float = 4.0) -> str:
+    """Tables ``psi`` (order, freq_idx, frequency, n, k, psi): Morse wavelets of length n in frequency, for each n of ``lengths``."""
+    modal, rr = (beta / gamma) ** (1 / gamma), (2 * beta + 1) / gamma
+    weight = [math.exp((math.lgamma(rr) + math.lgamma(k + 1) - math.lgamma(k + rr)) / 2) for k in range(order)]
+    rows = ", ".join(f"({o}, {i}, {w!r}::DOUBLE, {weight[o]!r}::DOUBLE)" for o in range(order) for i, w in enumerate(freqs))
+    return f"""psi AS (SELECT "order", freq_idx, frequency, n, k, CASE WHEN k = 0 THEN 0 ELSE wt * 2 * exp({modal**gamma!r}::DOUBLE - {beta * math.log(modal)!r}::DOUBLE + {beta!r}::DOUBLE * ln(om) - pow(om, {gamma!r}::DOUBLE)) * CASE WHEN "order" = 0 THEN 1 ELSE {rr!r}::DOUBLE - 2 * pow(om, {gamma!r}::DOUBLE) END END AS psi
+  FROM (SELECT *, 2 * pi() * greatest(k, 1) / n * {modal!r}::DOUBLE / frequency AS om FROM {n} lengths(n), (VALUES {rows}) w("order", freq_idx, frequency, wt), range(0, 5000) r(k) WHERE k < (n + 1) // 2 AND (n % 4 <> 1 OR k < n // 2)))"""
 
 
-@query()
-def morse_sphere(spark, sf):
-    return apply.wavelets_on_sphere(drifts(spark, sf), "lon", "lat", 3.0, 4.0, [0.5, 1.0])
+@query(
+    f"""WITH {_DFT}, {_morse("(VALUES (64))", [0.5, 1.0, 2.0], 2)}, x AS (SELECT row_idx, k, sum(x * cos(-2 * pi() * j * k / 64)) AS re, sum(x * sin(-2 * pi() * j * k / 64)) AS im FROM e, range(0, 32) r(k) GROUP BY 1, 2)
+ SELECT row_idx, "order"::BIGINT AS "order", freq_idx::BIGINT AS freq_idx, frequency, t AS obs_idx, round(sum(psi * (re * cos(2 * pi() * t * x.k / 64) - im * sin(2 * pi() * t * x.k / 64))) / 64, 6) + 0.0 AS re, round(sum(psi * (re * sin(2 * pi() * t * x.k / 64) + im * cos(2 * pi() * t * x.k / 64))) / 64, 6) + 0.0 AS im
+ FROM x JOIN psi ON x.k = psi.k, range(0, 64) r(t) GROUP BY ALL"""
+)
+def morse_transform(spark, sf):
+    w = apply.wavelets(_vectors(spark, sf), "x", 3.0, 4.0, [0.5, 1.0, 2.0], order=2)
+    return w.select(ROW, "order", "freq_idx", "frequency", OBS, r("re", 6).alias("re"), r("im", 6).alias("im"))
 
 
 @query()
@@ -677,11 +689,11 @@ def quicche_text(spark, sf):
     return f.joined(["drifter_id"]).select("drifter_id", OBS, F.coalesce(F.unix_micros("time"), F.lit(-1)).alias("us"), "battery_state")
 
 
-@query(f"WITH {TRACKS} SELECT 'AL' || lpad(row_idx::VARCHAR, 2, '0') || '2024' AS id, obs_idx, round(CAST(lat AS DECIMAL(20,2))::DOUBLE, 2) + 0.0 AS lat, CASE WHEN event_id % 4 = 0 THEN NULL ELSE round(floor(value) * 1825 / 3600, 6) END AS wind_speed, CASE WHEN event_id % 5 = 0 THEN NULL ELSE 100.0 * (900 + event_id % 100) END AS pressure FROM obs WHERE row_idx < 100")
+@query(f"WITH {TRACKS} SELECT 'AL' || lpad(row_idx::VARCHAR, 6, '0') AS id, obs_idx, round(CAST(lat AS DECIMAL(20,2))::DOUBLE, 2) + 0.0 AS lat, CASE WHEN event_id % 4 = 0 THEN NULL ELSE round(floor(value) * 1825 / 3600, 6) END AS wind_speed, CASE WHEN event_id % 5 = 0 THEN NULL ELSE 100.0 * (900 + event_id % 100) END AS pressure FROM obs")
 def hurdat2_text(spark, sf):
     """A header line before each storm's data lines; -999 and negative winds are missing."""
-    f = ragged.subset(tracks(spark, sf), {ROW: lambda c: c < 100})
-    storm = F.concat(F.lit("AL"), F.lpad(F.col(ROW).cast("string"), 2, "0"), F.lit("2024"))
+    f = tracks(spark, sf)
+    storm = F.concat(F.lit("AL"), F.lpad(F.col(ROW).cast("string"), 6, "0"))
     head = f.rows.withColumn("at", F.lit(-1).cast("long")).select(ROW, "at", F.concat_ws(", ", storm, F.lit("UNNAMED"), F.col("rowsize").cast("string"), F.lit("")).alias("value"))
     t = F.timestamp_micros("us")
     lat = F.col("lat").cast("decimal(20,2)")
@@ -725,11 +737,11 @@ def gdp_text(spark, sf):
 # ---- cleaning ----
 
 
-@query("SELECT doc_id, substr(source, 1, 4) AS source, coalesce(try_cast(regexp_extract(source, '([0-9]+)$', 1) AS DOUBLE), -1) AS number, CASE WHEN n_chars < 100 THEN NULL ELSE n_chars::DOUBLE END AS n_chars, regexp_replace(lang, 'n$', '') AS lang, trim(regexp_replace(substr(text, 1, 40), '[^\\x00-\\x7F]', '', 'g')) AS ascii FROM documents")
+@query("SELECT doc_id, substr(source, 1, 4) AS source, coalesce(try_cast(regexp_extract(source, '([0-9]+)$', 1) AS DOUBLE), -1) AS number, CASE WHEN n_chars < 100 THEN NULL ELSE n_chars::DOUBLE END AS n_chars, regexp_replace(lang, 'n$', '') AS lang, trim(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')) AS ascii FROM documents")
 def cleaning_strings(spark, sf):
     d = table(spark, sf, "documents")
     n = F.when(F.col("n_chars") < 100, F.lit(cleaning.FILL)).otherwise(F.col("n_chars").cast("double"))
-    return d.select("doc_id", cleaning.cut(F.col("source"), 4).alias("source"), cleaning.to_float(F.regexp_extract("source", "([0-9]+)$", 1), -1.0).alias("number"), cleaning.unfill(n).alias("n_chars"), cleaning.drop_suffix(F.col("lang"), "n").alias("lang"), cleaning.ascii_only(F.substring("text", 1, 40)).alias("ascii"))
+    return d.select("doc_id", cleaning.cut(F.col("source"), 4).alias("source"), cleaning.to_float(F.regexp_extract("source", "([0-9]+)$", 1), -1.0).alias("number"), cleaning.unfill(n).alias("n_chars"), cleaning.drop_suffix(F.col("lang"), "n").alias("lang"), cleaning.ascii_only(F.col("text")).alias("ascii"))
 
 
 @query("SELECT l_orderkey, l_linenumber, epoch_us(l_shipdate::TIMESTAMP) + CAST(round(l_quantity::DOUBLE / 100 * 86400000000) AS BIGINT) AS us FROM lineitem")
@@ -750,11 +762,11 @@ def drogue_presence(spark, sf):
     return o.select(ROW, OBS, cleaning.drogue_on(F.col("lost"), F.col("t")).alias("drogue_on"))
 
 
-@query(f"WITH {ORDERS} SELECT row_idx, obs_idx, l_quantity FROM obs WHERE obs_idx < 4")
+@query(f"WITH {ORDERS} SELECT row_idx, obs_idx, l_quantity FROM obs")
 def padded_to_ragged(spark, sf):
     """Arrays padded to one length, cut to their counts."""
     lists = ragged.to_regular(orders(spark, sf), "l_quantity", -1).join(orders(spark, sf).rows, ROW)
-    f = providers.padded(lists.withColumn("numobs", F.least("rowsize", F.lit(4))).drop("rowsize"))
+    f = providers.padded(lists.withColumnRenamed("rowsize", "numobs"))
     return f.obs.select(ROW, OBS, "l_quantity")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import json
+import uuid
 import warnings
 import zipfile
 from collections.abc import Callable, Iterator, Sequence
@@ -16,6 +17,7 @@ from pyspark.sql.window import Window
 
 from ..model import OBS, ROW, RaggedFrame
 from ..operators.ragged import ranked
+from ..scratch import materialize
 
 
 def from_files(
@@ -27,19 +29,22 @@ def from_files(
     meta: Sequence[str],
     data: Sequence[str],
     attrs: dict[str, str] | None = None,
+    unreadable: str = "empty",
 ) -> RaggedFrame:
     """A row for each index, in their order: ``read(index)`` gives its observations.
 
     Executors read the files, each once, under a declared schema. Row-level columns (``meta`` and
     coordinates of the row) take their first value. Wanted columns that the schema lacks are
-    named in a warning and left out. A file that cannot be read gives an empty row and a warning
-    in the executor's log.
+    named in a warning and left out. A file that cannot be read gives an empty row, whose
+    ``read_error`` says why, or fails the read (``unreadable="raise"``).
     """
+    if unreadable not in ("empty", "raise"):
+        raise ValueError("unreadable must be empty or raise")
     absent = [c for c in (*coords, *meta, *data) if c not in schema.names and c != "rowsize"]
     if absent:
         warnings.warn(f"not found: {', '.join(absent)}", stacklevel=2)
     wanted = T.StructType([f for f in schema.fields if f.name in {*coords, *meta, *data}])
-    full = T.StructType([T.StructField(ROW, T.LongType()), T.StructField(OBS, T.LongType()), *wanted.fields])
+    full = T.StructType([T.StructField(ROW, T.LongType()), T.StructField(OBS, T.LongType()), T.StructField("read_error", T.StringType()), *wanted.fields])
     items = list(indices)
     work = spark.createDataFrame([(i,) for i in range(len(items))], f"{ROW} long").repartition(max(1, min(len(items), 1000)), ROW)
 
@@ -49,17 +54,21 @@ def from_files(
                 try:
                     pdf = read(items[i])
                 except (OSError, ValueError) as e:
-                    warnings.warn(f"{items[i]}: {e}", stacklevel=1)
+                    if unreadable == "raise":
+                        raise
+                    yield pd.DataFrame({ROW: [i], "read_error": [f"{items[i]}: {e}"]}).reindex(columns=full.names).astype({OBS: "Int64"})
                     continue
                 pdf = pdf.reindex(columns=wanted.names).reset_index(drop=True)
+                pdf.insert(0, "read_error", None)
                 pdf.insert(0, OBS, range(len(pdf)))
                 pdf.insert(0, ROW, i)
                 yield pdf
 
-    obs = work.mapInPandas(run, full)
+    read_ = materialize(work.mapInPandas(run, full), "files")  # each file is read once
+    errors, obs = read_.filter(F.col(OBS).isNull()).select(ROW, "read_error"), read_.filter(F.col(OBS).isNotNull()).drop("read_error")
     held = [c for c in (*coords, *meta) if c in wanted.names and c not in data and c not in ("time",)]
     rows = obs.groupBy(ROW).agg(F.count(F.lit(1)).alias("rowsize"), *(F.min_by(c, OBS).alias(c) for c in held))
-    rows = work.join(rows, ROW, "left").withColumn("rowsize", F.coalesce("rowsize", F.lit(0)))
+    rows = work.join(rows, ROW, "left").withColumn("rowsize", F.coalesce("rowsize", F.lit(0))).join(errors, ROW, "left")
     return RaggedFrame(rows, obs.drop(*held), attrs or {})
 
 
@@ -93,8 +102,17 @@ def read_nested(spark: SparkSession, path: str) -> RaggedFrame:
 
 
 def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(value, file, at): lines of text files (gz too) with a place that keeps each file's order."""
-    return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
+    """(value, file, block, at): lines of text files (gz too) with their place in the file, from 0.
+
+    Spark reads a file in blocks, in any order. A block's lines are counted first, a row a block;
+    a line's place is the lines of the blocks before and its own in the block.
+    """
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("__id"))
+    blocks = raw.groupBy("file", "block").agg(F.min("__id").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = materialize(blocks.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n"), "blocks")
+    few = F.broadcast if blocks.count() <= 100_000 else (lambda d: d)
+    return raw.join(few(blocks), ["file", "block"]).select("value", "file", "block", (F.col("__before") + F.col("__id") - F.col("__first")).alias("at"))
 
 
 def zipped_lines(spark: SparkSession, path: str, ending: str) -> DataFrame:
@@ -109,9 +127,9 @@ def zipped_lines(spark: SparkSession, path: str, ending: str) -> DataFrame:
                         raise FileNotFoundError(f"no {ending} in {name}")
                     with z.open(members[0]) as f:
                         text = io.TextIOWrapper(f, "utf-8", "replace").read().splitlines()
-                yield pd.DataFrame({"value": text, "file": name, "at": range(len(text))})
+                yield pd.DataFrame({"value": text, "file": name, "block": 0, "at": range(len(text))})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "value string, file string, at long")
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "value string, file string, block long, at long")
 
 
 def fields(df: DataFrame, names: Sequence[str], pattern: str = r"\s+") -> DataFrame:
@@ -154,5 +172,14 @@ class Catalog:
         return self.get(name, build)
 
     def put(self, name: str, frame: RaggedFrame) -> None:
-        frame.rows.write.mode("overwrite").parquet(f"{self.path(name)}/rows")
-        frame.obs.write.mode("overwrite").parquet(f"{self.path(name)}/obs")
+        """Write beside the stored table and swap by a rename, so that a reader sees one or the other."""
+        new = f"{self.path(name)}.new-{uuid.uuid4().hex[:8]}"
+        frame.rows.write.parquet(f"{new}/rows")
+        frame.obs.write.parquet(f"{new}/obs")
+        sc = self.spark.sparkContext
+        to, old, part = (sc._jvm.org.apache.hadoop.fs.Path(x) for x in (self.path(name), f"{new}.old", new))
+        system = to.getFileSystem(sc._jsc.hadoopConfiguration())
+        if system.exists(to):
+            system.rename(to, old)
+        system.rename(part, to)
+        system.delete(old, True)

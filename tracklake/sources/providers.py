@@ -32,8 +32,7 @@ def _spot(df: DataFrame) -> RaggedFrame:
 
 def glad(spark: SparkSession, path: str, header: int = 5) -> RaggedFrame:
     """Drifters with ``header`` lines before the data, sorted by id and time."""
-    ranked = lines(spark, path).withColumn("n", F.row_number().over(Window.partitionBy("file").orderBy("at")))
-    return _spot(ranked.filter(F.col("n") > header).drop("n"))
+    return _spot(lines(spark, path).filter(F.col("at") >= header))
 
 
 def laser(spark: SparkSession, path: str, member: str = ".dat") -> RaggedFrame:
@@ -83,8 +82,13 @@ def hurdat2(spark: SparkSession, path: str | list[str], convert: bool = True, mi
     df = lines(spark, path).withColumn("value", F.regexp_replace("value", r"[ \r]", ""))
     parts = df.withColumn("p", F.split(F.regexp_replace("value", ",$", ","), ",")).withColumn("n", F.size("p"))
     head = (F.col("n") == 4) & F.col("value").rlike("^[A-Z]{2}[0-9]{6},")
-    here = Window.partitionBy("file").orderBy("at")
-    tagged = parts.withColumn("head", F.last(F.when(head, F.struct(F.col("p")[0].alias("id"), F.col("at").alias("h"))), ignorenulls=True).over(here))
+    # a block's lines follow its own headers, or the last one of the blocks before
+    mark = F.when(head, F.struct(F.col("p")[0].alias("id"), F.col("at").alias("h")))
+    last = parts.withColumn("mark", mark).groupBy("file", "block").agg(F.max_by("mark", F.when(F.col("mark").isNotNull(), F.col("at"))).alias("m"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    last = last.select("file", "block", F.last("m", ignorenulls=True).over(earlier).alias("before"))
+    here = Window.partitionBy("file", "block").orderBy("at")
+    tagged = parts.join(last, ["file", "block"]).withColumn("head", F.coalesce(F.last(mark, ignorenulls=True).over(here), F.col("before")))
     data = tagged.filter((F.col("n") == 21) & F.col("head").isNotNull() & F.col("value").rlike("^[0-9]{8},[0-9]{4},"))
     raw = {name: F.get("p", F.lit(i)) for i, name in enumerate(STORM)}
 
@@ -120,6 +124,30 @@ def padded(df: DataFrame, count: str = "numobs", keep: Sequence[str] = ()) -> Ra
     return RaggedFrame(rows, obs.select(ROW, F.col(OBS).cast("long").alias(OBS), *(F.col(f"o.{a}").alias(a) for a in arrays)))
 
 
+#: The kinds of storm archives by their names in files.
+KINDS = {"LAST_3_YEARS": "last3years", "SINCE_1980": "since1980"}
+
+
+def ibtracs_name(version: str = "v04r01", kind: str = "LAST_3_YEARS") -> str:
+    """Name of a storm archive's file: a version, and a kind or a basin."""
+    return f"IBTrACS.{KINDS.get(kind, kind)}.{version}.nc"
+
+
+def ibtracs(df: DataFrame, since: int | None = None, count: str = "numobs") -> RaggedFrame:
+    """Storms from records whose arrays are padded: a row a storm by its position, with its storm columns and counts.
+
+    Arrays along the storm's fixes (as long as the longest of the record's) are cut to the count;
+    shorter ones, as quadrants, and scalars are the storm's. ``since`` takes the seasons from a
+    year on. A storm of no fixes stays with a count of 0.
+    """
+    if since is not None:
+        df = df.filter(F.col("season") >= since)
+    arrays = [f.name for f in df.schema.fields if f.dataType.typeName() == "array"]
+    most = df.agg(*(F.max(F.size(a)).alias(a) for a in arrays)).first().asDict() if arrays else {}
+    longest = max((n or 0 for n in most.values()), default=0)
+    return padded(df, count, [a for a in arrays if (most[a] or 0) < longest])
+
+
 # ---- floats ----
 
 # Columns of the files and the marks of missing values, column by column.
@@ -203,11 +231,11 @@ def file_urls(xml: DataFrame, column: str = "value") -> DataFrame:
 def mosaic(spark: SparkSession, sensors: str, folder: str) -> RaggedFrame:
     """Buoys in the order of the sensor list; a file's sensor is the last part of its name."""
     listed = spark.read.option("header", True).csv(sensors)
-    order = listed.withColumn("__at", F.monotonically_increasing_id())
-    order = order.withColumn(ROW, F.row_number().over(Window.orderBy("__at")).cast("long") - 1).drop("__at").withColumnRenamed("Sensor ID", "id")
+    order = ranked(listed.withColumn("__at", F.monotonically_increasing_id()), "__at").drop("__at").withColumnRenamed("Sensor ID", "id")
+    few = F.broadcast if order.count() <= 100_000 else (lambda d: d)
     files = spark.read.option("header", True).csv(folder).select("*", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
     named = files.withColumn("id", F.regexp_extract(F.regexp_replace("file", r"%20", " "), r"_([^_/]+)\.csv$", 1))
-    obs = named.join(F.broadcast(order.select("id", ROW)), "id").withColumn(OBS, F.row_number().over(Window.partitionBy(ROW).orderBy("at")).cast("long") - 1)
+    obs = named.join(few(order.select("id", ROW)), "id").withColumn(OBS, F.row_number().over(Window.partitionBy(ROW).orderBy("at")).cast("long") - 1)
     obs = obs.select(ROW, OBS, F.try_to_timestamp("datetime").alias("time"), *(F.col(c).try_cast("double").alias(c) for c in obs.columns if c in ("latitude", "longitude")))
     dates = [c for c in order.columns if c.endswith(("Date", "Datetime"))]
     rows = order.withColumns({c: F.try_to_timestamp(c) for c in dates})
@@ -232,13 +260,15 @@ def directory(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return df.select(*(c.alias(n) for c, n in zip(cols, DIRECTORY, strict=True))).filter("ID IS NOT NULL").orderBy("Start_date", "ID")
 
 
-def gdp_source(spark: SparkSession, paths: str | list[str], metadata: DataFrame, use_fill_values: bool = True, latest: int = 2100) -> RaggedFrame:
+def gdp_source(spark: SparkSession, paths: str | list[str], metadata: DataFrame, use_fill_values: bool = True, latest: int = 2100, max_lines: int | None = None) -> RaggedFrame:
     """Raw fixes of drifters: anomalous lines out, fractional days to times, metadata joined, rows by start date.
 
     Without ``use_fill_values`` drifters that the metadata lack are left out; with it they stay
-    and carry the fills. The observation index is the line's place in its file.
+    and carry the fills. The observation index is the line's place in its file, from 0;
+    ``max_lines`` takes the first lines of each file alone.
     """
-    df = fields(lines(spark, paths), RAW)
+    raw = lines(spark, paths)
+    df = fields(raw if max_lines is None else raw.filter(F.col("at") < max_lines), RAW)
     num = lambda c, kind="double": F.col(c).try_cast(kind)
     good = F.lit(True)
     for c in ("posObsYear", "senObsYear"):
@@ -291,3 +321,8 @@ def drifters(rows: DataFrame, obs: DataFrame, data: Sequence[str] = HOURLY_DATA)
 def in_order(rows: DataFrame, ids: Sequence[int]) -> list[int]:
     """The wanted ids in the order of a metadata table, by its start date; few enough for the driver, which names them."""
     return [r.ID for r in rows.filter(F.col("ID").isin(list(ids))).orderBy("Start_date", "ID").select("ID").collect()]
+
+
+def by_date(rows: DataFrame, ids: DataFrame, date: str = "Start_date", key: str = "ID") -> DataFrame:
+    """The rows of a metadata table whose id is asked for, with their ``place`` from 0 by date, then id."""
+    return ranked(rows.join(ids.select(key).distinct(), key, "left_semi"), [date, key], "place")
