@@ -125,3 +125,19 @@ def test_pair_join_plan_has_no_nested_loop(spark):
     f = track(spark, [1], [2], [3])
     plan = pairs.chance_pairs(f.obs, 1000.0, 10.0)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_time_of_spherical_positions_grows_with_the_row(spark):
+    """A row of 400,000 fixes is walked in seconds, and twice as many take about twice as long."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    def took(n):
+        o = spark.range(n).select(F.lit(0).cast("long").alias("row_idx"), F.col("id").alias("obs_idx"), (F.col("id") * 3600.0).alias("time"), F.lit(0.3).alias("u"), F.lit(-0.1).alias("v"))
+        start = time.time()
+        kinematics.position(o, out=("lon", "lat")).write.format("noop").mode("overwrite").save()
+        return time.time() - start
+
+    took(1000)
+    assert took(400_000) < 3 * took(200_000) + 3 < 60

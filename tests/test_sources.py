@@ -174,3 +174,46 @@ def test_cleaning(spark):
     d = spark.createDataFrame([("1.5", "28.0N", "7 m", "2020-01-02T03:04:05+00:00"), ("nan", "94.8W", None, "x"), ("?", "12", "m", None)], "a string, b string, c string, d string")
     got = d.select(cleaning.to_float(F.col("a"), -1.0), cleaning.heading(F.col("b")), cleaning.drop_unit(F.col("c"), 2), cleaning.iso_time(F.col("d"))).collect()
     assert [tuple(r) for r in got] == [(1.5, 28.0, "7", dt.datetime(2020, 1, 2, 3, 4, 5)), (-1.0, -94.8, None, None), (-1.0, None, "", None)]
+
+
+def test_lines_keep_their_place_over_blocks(spark, tmp_path):
+    """A file that is read in many blocks: each line has its number, and a header's storm goes on in later blocks."""
+    texts = [f"line {k} " + "x" * (k % 90) for k in range(5000)]
+    (tmp_path / "a.txt").write_text("\n".join(texts))
+    (tmp_path / "b.txt").write_text("\n".join(texts[:7]))
+    storm = "AL012024, A, 3000,\n" + "\n".join(f"20240101, {k // 60 % 24:02d}{k % 60:02d},  , HU, 28.0N,  94.8W,  80, " + ", ".join(["-999"] * 14) for k in range(3000)) + "\nAL022024, B, 1,\n20240102, 0000,  , TS, 22.2N,  97.6W,  80, " + ", ".join(["-999"] * 14) + "\n"
+    (tmp_path / "h.dat").write_text(storm)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    try:
+        got = files.lines(spark, [str(tmp_path / "a.txt"), str(tmp_path / "b.txt")]).collect()
+        assert len({r.block for r in got}) > 5 and len(got) == 5007
+        assert all(r.value == texts[r.at] for r in got)
+        f = providers.hurdat2(spark, str(tmp_path / "h.dat"))
+        assert rows(f) == [("AL012024", 3000), ("AL022024", 1)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_unreadable_files(spark):
+    schema = T.StructType([T.StructField("x", T.DoubleType())])
+
+    def read(i):
+        if i == 2:
+            raise OSError("broken")
+        return pd.DataFrame({"x": [float(i)]})
+
+    f = files.from_files(spark, [1, 2], read, schema, [], [], ["x"])
+    assert [(r.rowsize, r.read_error) for r in f.rows.orderBy(ROW).collect()] == [(1, None), (0, "2: broken")]
+    with pytest.raises(Exception, match="broken"):
+        files.from_files(spark, [1, 2], read, schema, [], [], ["x"], unreadable="raise")
+    with pytest.raises(ValueError):
+        files.from_files(spark, [1], read, schema, [], [], ["x"], unreadable="no")
+
+
+def test_storm_archives(spark):
+    df = spark.createDataFrame([("a", 2001, 1, [1, 0], [7]), ("b", 2010, 2, [3, 4], [8]), ("c", 2011, 0, [0, 0], [9])], "sid string, season long, numobs long, wind array<int>, quadrant array<int>")
+    f = providers.ibtracs(df)
+    assert sorted((r.sid, r.rowsize, r.quadrant) for r in f.rows.collect()) == [("a", 1, [7]), ("b", 2, [8]), ("c", 0, [9])] and obs(f, "wind") == [(1,), (3,), (4,)]
+    assert sorted(r.sid for r in providers.ibtracs(df, since=2010).rows.collect()) == ["b", "c"]
+    assert providers.ibtracs_name() == "IBTrACS.last3years.v04r01.nc" and providers.ibtracs_name("v04r00", "NA") == "IBTrACS.NA.v04r00.nc"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 from collections.abc import Callable, Sequence
 from functools import partial, reduce
 
@@ -54,8 +55,10 @@ def bin_edges(df: DataFrame, coords: Sequence[str], bins, ranges) -> list[np.nda
     if len(spans) != len(coords):
         raise ValueError("a range must be given for each coordinate")
     xs = [_number(df, c) for c in coords]
+    lean = df.select(*(x.alias(f"x{i}") for i, x in enumerate(xs)))
+    xs = [F.col(f"x{i}") for i in range(len(xs))]
     bad = reduce(Column.__or__, (x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")) for x in xs))
-    found = df.agg(F.max(F.coalesce(bad, F.lit(True)).cast("int")), *(f(x) for x in xs for f in (F.min, F.max))).first()
+    found = lean.agg(F.max(F.coalesce(bad, F.lit(True)).cast("int")), *(f(x) for x in xs for f in (F.min, F.max))).first()
     if found[0]:
         raise ValueError("coordinates must be finite")
     out = []
@@ -159,7 +162,9 @@ def binned_statistics(
     shown = list(names or data)
     edges = bin_edges(df, coords, bins, ranges)
     keys = [f"bin_{i}" for i in range(len(coords))]
-    placed = df.withColumns({k: bin_index(_number(df, c), e, last_edge) for k, c, e in zip(keys, coords, edges, strict=True)}).dropna(subset=keys)
+    # each coordinate is computed once, whatever its expression: the bin is made of an array's only element
+    place = lambda c, e: F.transform(F.array(_number(df, c)), lambda x: bin_index(x, e, last_edge))[0]
+    placed = df.withColumns({k: place(c, e) for k, c, e in zip(keys, coords, edges, strict=True)})
     aggs, back, zero, calls = [], {}, [], []
     taken: set[str] = set()
     if not data:
@@ -216,16 +221,28 @@ def _called(placed: DataFrame, keys: list[str], columns: list[str], f: Callable,
         values = [frame[c].to_numpy(float) for c in columns]
         return pd.DataFrame([[*key, float(f(values[0] if len(values) == 1 else values))]], columns=[*keys, name])
 
-    return placed.filter(there).select(*keys, *columns).groupBy(*keys).applyInPandas(run, schema)
+    return placed.dropna(subset=keys).filter(there).select(*keys, *columns).groupBy(*keys).applyInPandas(run, schema)
 
 
 def grid(spark, edges: list[np.ndarray], times: list[bool]) -> DataFrame:
-    """All cells: bin numbers and centers. Its size is that of the answer, whatever the data."""
-    out = None
+    """All cells: bin numbers and centers. Its size is that of the answer, whatever the data.
+
+    Cells are numbered, and each dimension's bin and center follow from the number.
+    """
+    sizes = [len(e) - 1 for e in edges]
+    cells = math.prod(sizes)
+    out, stride = spark.range(0, cells, 1, max(1, cells // 100_000)), cells
     for i, (e, is_time) in enumerate(zip(edges, times, strict=True)):
+        stride //= sizes[i]
+        at = F.pmod(F.floor(F.col("id") / stride), F.lit(sizes[i])).cast("long")
+        out = out.withColumn(f"bin_{i}", at)
         center = (e[:-1] + e[1:]) / 2
+        if sizes[i] <= 1000:
+            value = F.get(F.array(*(F.lit(float(c)) for c in center)), F.col(f"bin_{i}").cast("int"))
+            out = out.withColumn(f"center_{i}", F.timestamp_seconds(F.floor(value)) if is_time else value)
+            continue
         one = spark.createDataFrame([(k, float(c)) for k, c in enumerate(center)], f"bin_{i} long, center_{i} double")
+        out = out.join(one, f"bin_{i}")
         if is_time:
-            one = one.withColumn(f"center_{i}", F.timestamp_seconds(F.floor(F.col(f"center_{i}"))))
-        out = one if out is None else out.crossJoin(one)
-    return out
+            out = out.withColumn(f"center_{i}", F.timestamp_seconds(F.floor(F.col(f"center_{i}"))))
+    return out.select(*(f"{n}_{i}" for i in range(len(edges)) for n in ("bin", "center")))

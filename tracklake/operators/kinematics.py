@@ -1,11 +1,15 @@
-"""Velocity, position, spin and distance along rows: window expressions, and folds for recurrences."""
+"""Velocity, position, spin and distance along rows: window expressions, and walks for recurrences."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import sphere
@@ -123,7 +127,7 @@ def position(df: DataFrame, u: str = "u", v: str = "v", time: str = "time", x0:
     """Add positions integrated from velocities, from (x0, y0) on.
 
     In the plane that is a running sum. On the sphere each great-circle step starts where the one
-    before ended, so a row's steps are folded in order, each row in one task.
+    before ended, so a row's steps are walked in order, each row in one task.
     """
     _check(scheme, coordinates)
     moved = _displacements(df, u, v, time, scheme)
@@ -133,25 +137,38 @@ def position(df: DataFrame, u: str = "u", v: str = "v", time: str = "time", x0:
 
 
 def plane_to_sphere(df: DataFrame, x: str = "x", y: str = "y", lon0: float = 0.0, lat0: float = 0.0, out: tuple[str, str] = ("lon", "lat")) -> DataFrame:
-    """Add longitude and latitude of plane positions in meters: great-circle steps from the origin, folded along the row."""
+    """Add longitude and latitude of plane positions in meters: great-circle steps from the origin, walked along the row."""
     w = along()
     moved = df.withColumns({"__dx": F.col(x) - F.coalesce(F.lag(x).over(w), F.lit(0.0)), "__dy": F.col(y) - F.coalesce(F.lag(y).over(w), F.lit(0.0))})
     return _folded(moved, "__dx", "__dy", lon0, lat0, out).drop("__dx", "__dy")
 
 
 def _folded(df: DataFrame, dx: str, dy: str, lon0: float, lat0: float, out: tuple[str, str]) -> DataFrame:
-    """Great-circle steps one after another: one record a row, a fold over its steps, and back to observations."""
-    others = [c for c in df.columns if c not in (ROW,)]
-    nested = df.groupBy(ROW).agg(F.array_sort(F.collect_list(F.struct(OBS, *(c for c in others if c != OBS)))).alias("o"))
-    start = F.struct(F.lit(float(lon0)).alias("lon"), F.lit(float(lat0)).alias("lat"), F.array().cast("array<struct<lon:double,lat:double>>").alias("path"))
-
-    def on(acc: Column, o: Column) -> Column:
-        to = sphere.step(acc["lon"], acc["lat"], F.hypot(o[dx], o[dy]), F.atan2(o[dy], o[dx]))
-        return F.struct(to["lon"].alias("lon"), to["lat"].alias("lat"), F.concat(acc["path"], F.array(F.struct(to["lon"].alias("lon"), to["lat"].alias("lat")))).alias("path"))
-
-    path = nested.withColumn("p", F.aggregate("o", start, on)["path"])
-    flat = path.select(ROW, F.explode(F.arrays_zip("o", "p")).alias("z"))
-    return flat.select(ROW, *(F.col(f"z.o.{c}").alias(c) for c in others), F.col("z.p.lon").alias(out[0]), F.col("z.p.lat").alias(out[1]))
+    """Great-circle steps one after another.
+
+    Only a row's steps go to its task, as numbers; the time is proportional to them. The
+    positions come back to the observations by a join, so no other column is gathered.
+    """
+    schema = T.StructType([T.StructField(ROW, T.LongType()), T.StructField(OBS, T.LongType()), T.StructField(out[0], T.DoubleType()), T.StructField(out[1], T.DoubleType())])
+    radius = sphere.EARTH_RADIUS_METERS
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(OBS)
+        x, y = pdf[dx].to_numpy(float), pdf[dy].to_numpy(float)
+        turn, arc = np.arctan2(y, x), np.hypot(x, y) / radius
+        east, north, sine, cosine = np.cos(turn), np.sin(turn), np.sin(arc), np.cos(arc)
+        lons, lats = np.empty(len(x)), np.empty(len(x))
+        lon, lat = math.radians(lon0), math.radians(lat0)
+        for i, (e, n, s, c) in enumerate(zip(east.tolist(), north.tolist(), sine.tolist(), cosine.tolist(), strict=True)):
+            a, b = math.sin(lat), math.cos(lat)
+            up = a * c + b * s * n
+            lon += math.atan2(e * s * b, c - a * up)
+            lat = math.asin(max(-1.0, min(1.0, up))) if up == up else math.nan
+            lons[i], lats[i] = lon, lat
+        return pd.DataFrame({ROW: pdf[ROW].to_numpy(), OBS: pdf[OBS].to_numpy(), out[0]: np.degrees(lons), out[1]: np.degrees(lats)})
+
+    steps = df.select(F.col(ROW).cast("long").alias(ROW), F.col(OBS).cast("long").alias(OBS), dx, dy)
+    return df.drop(*out).join(steps.groupBy(ROW).applyInPandas(walk, schema), [ROW, OBS])
 
 
 def sphere_to_plane(df: DataFrame, lon: str = "lon", lat: str = "lat", lon0: float = 0.0, lat0: float = 0.0, out: tuple[str, str] = ("x", "y")) -> DataFrame:

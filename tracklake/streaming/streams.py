@@ -40,50 +40,61 @@ def _haversine(lon1, lat1, lon2, lat2):
     return 2 * EARTH_RADIUS_METERS * np.arcsin(np.sqrt(np.minimum(h, 1))), angle
 
 
-def velocities(stream: DataFrame, key: str, lon: str = "lon", lat: str = "lat", time: str = "time") -> DataFrame:
+def velocities(stream: DataFrame, key: str, lon: str = "lon", lat: str = "lat", time: str = "time", late: str = "1 hour", keep: str = "30 days") -> DataFrame:
     """(key, time, u, v) by backward differences; a key's state is its last fix. The first fix of a key has null.
 
-    Fixes of a batch are sorted by time; one older than the state gives nothing.
+    Fixes of a batch are sorted by time; one that is not after the state gives nothing, nor does
+    one later than ``late``. A key without a fix for ``keep`` of event time is forgotten.
     """
     out = T.StructType([T.StructField(key, T.LongType()), T.StructField("time", T.TimestampType()), T.StructField("u", T.DoubleType()), T.StructField("v", T.DoubleType())])
     kept = T.StructType([T.StructField(n, T.DoubleType()) for n in ("lon", "lat", "t")])
+    keep_ms = int(pd.Timedelta(keep).total_seconds() * 1000)
 
     def run(who: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         pdf = pd.concat(frames).sort_values(time)
-        last = state.get if state.exists else None
-        rows = []
-        for x, y, when in zip(pdf[lon], pdf[lat], pdf[time], strict=True):
-            t = when.value / 1e9
-            if last is not None and t <= last[2]:
-                continue
-            if last is None:
-                rows.append((who[0], when, None, None))
-            else:
-                d, a = _haversine(last[0], last[1], x, y)
-                rows.append((who[0], when, float(d * np.cos(a)) / (t - last[2]), float(d * np.sin(a)) / (t - last[2])))
-            last = (float(x), float(y), float(t))
-        if last is not None:
-            state.update(last)
-        yield pd.DataFrame(rows, columns=out.names)
-
-    return stream.select(F.col(key).cast("long").alias(key), lon, lat, time).groupBy(key).applyInPandasWithState(run, out, kept, "append", "NoTimeout")
+        t, x, y = pdf[time].to_numpy("datetime64[ns]").astype(np.int64) / 1e9, pdf[lon].to_numpy(float), pdf[lat].to_numpy(float)
+        known = int(state.exists)
+        if known:
+            x0, y0, t0 = state.get
+            new = np.flatnonzero(t > t0)
+            t, x, y = np.append(t0, t[new]), np.append(x0, x[new]), np.append(y0, y[new])
+            when = pdf[time].iloc[new]
+        else:
+            when = pdf[time]
+        step = np.flatnonzero(np.append(True, t[1:] > t[:-1]))
+        t, x, y, when = t[step], x[step], y[step], when.iloc[step[known:] - known]
+        d, a = _haversine(x[:-1], y[:-1], x[1:], y[1:])
+        u, v = (np.append(np.full(1 - known, np.nan), d * f(a) / np.diff(t)) for f in (np.cos, np.sin))
+        state.update((float(x[-1]), float(y[-1]), float(t[-1])))
+        state.setTimeoutTimestamp(max(int(t[-1] * 1000), state.getCurrentWatermarkMs()) + keep_ms)
+        pdf = pd.DataFrame({key: who[0], "time": when.to_numpy(), "u": u, "v": v})
+        yield pdf.astype({"u": object, "v": object}).where(pdf.notna(), None)
+
+    src = stream.withWatermark(time, late).select(F.col(key).cast("long").alias(key), lon, lat, time)
+    return src.groupBy(key).applyInPandasWithState(run, out, kept, "append", "EventTimeTimeout")
 
 
 def count_windows(stream: DataFrame, key: str, value: str, length: int, time: str = "time") -> DataFrame:
-    """(key, chunk, mean) of every ``length`` observations of a key in order of arrival; a key's state is its open window."""
+    """(key, chunk, mean) of every ``length`` observations of a key; a key's state is its open window.
+
+    Observations of a batch are sorted by time, batches stand in order of arrival.
+    """
     out = T.StructType([T.StructField(key, T.LongType()), T.StructField("chunk", T.LongType()), T.StructField("mean", T.DoubleType())])
     kept = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("n", T.LongType()), T.StructField("sum", T.DoubleType())])
 
     def run(who: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         chunk, n, total = state.get if state.exists else (0, 0, 0.0)
-        rows = []
-        for x in pd.concat(frames).sort_values(time)[value]:
-            n, total = n + 1, total + float(x)
-            if n == length:
-                rows.append((who[0], chunk, total / length))
-                chunk, n, total = chunk + 1, 0, 0.0
-        state.update((chunk, n, total))
-        yield pd.DataFrame(rows, columns=out.names)
+        x = pd.concat(frames).sort_values(time)[value].to_numpy(float)
+        whole = (n + len(x)) // length
+        ends = length * np.arange(1, whole + 1) - n
+        sums = np.append(0.0, np.cumsum(x))
+        means = np.diff(np.append(-total, sums[ends])) / length
+        left = sums[-1] - sums[ends[-1]] if whole else total + sums[-1]
+        state.update((int(chunk + whole), int((n + len(x)) % length), float(left)))
+        yield pd.DataFrame({key: np.full(whole, who[0]), "chunk": chunk + np.arange(whole), "mean": means})
 
     return stream.select(F.col(key).cast("long").alias(key), value, time).groupBy(key).applyInPandasWithState(run, out, kept, "append", "NoTimeout")
 
