@@ -55,7 +55,7 @@ def velocities(stream: DataFrame, key: str, lon: str = "lon", lat: str = "lat",
             state.remove()
             return
         pdf = pd.concat(frames).sort_values(time)
-        t, x, y = pdf[time].to_numpy("datetime64[ns]").astype(np.int64) / 1e9, pdf[lon].to_numpy(float), pdf[lat].to_numpy(float)
+        t, x, y = pdf[time].to_numpy("datetime64[us]").astype(np.int64) / 1e6, pdf[lon].to_numpy(float), pdf[lat].to_numpy(float)
         known = int(state.exists)
         if known:
             x0, y0, t0 = state.get
