@@ -198,6 +198,8 @@ _GAP = re.compile(r"(?<=\S)(?= \S)")
 _SPACES = "\t\r\v\f\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
 #: Runs that a byte-level BPE keeps apart: letters, digits, marks other than the apostrophe, single newlines.
 _RUNS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]+|[!-&(-/:-@\[-`{-~]+|\n")
+#: Marks at the end of a word, each a run of its own.
+ENDS = frozenset(".,;:?!)\"")
 #: Bytes of pieces and ids that an encoder remembers, and the longest piece among them.
 _KEPT, _LONG = 16_000_000, 64
 _encoders: dict[str, Callable[[list[str]], list[bytes]]] = {}
@@ -243,18 +245,26 @@ def bpe_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
         def __init__(self, space: str, bare: Kept | None, before: dict[str, bytes]):
             self.space, self.bare, self.before = space, bare, before
 
+        def runs(self, piece: str) -> bytes:
+            runs = _RUNS.findall(piece)
+            if len(runs) == 1 and runs[0] == piece:
+                raw = piece if piece.isascii() and piece != "\n" else piece.encode().decode("latin-1").translate(chars)
+                return b"".join([packed[t.id] for t in tokenize(self.space + raw)])
+            if self.bare is not None and runs and "\n\n" not in piece and "".join(runs) == piece:
+                first, *rest = runs
+                return self[first] + b"".join(map(self.bare.__getitem__, rest))
+            return whole(" " + piece)
+
         def __missing__(self, piece: str) -> bytes:
             ids = self.before.get(piece)
             if ids is None:
-                runs = _RUNS.findall(piece)
-                if len(runs) == 1 and runs[0] == piece:
-                    raw = piece if piece.isascii() and piece != "\n" else piece.encode().decode("latin-1").translate(chars)
+                if piece.isalpha():  # one run of letters, of any script
+                    raw = piece if piece.isascii() else piece.encode().decode("latin-1").translate(chars)
                     ids = b"".join([packed[t.id] for t in tokenize(self.space + raw)])
-                elif self.bare is not None and runs and "\n\n" not in piece and "".join(runs) == piece:
-                    first, *rest = runs
-                    ids = self[first] + b"".join(map(self.bare.__getitem__, rest))
+                elif self.bare is not None and piece[-1:] in ENDS and piece[:-1].isalpha():
+                    ids = self[piece[:-1]] + self.bare[piece[-1]]
                 else:
-                    ids = whole(" " + piece)
+                    ids = self.runs(piece)
             if len(piece) <= _LONG:
                 self[piece] = ids
                 self.size += 2 * len(piece) + len(ids)
