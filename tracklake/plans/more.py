@@ -14,7 +14,7 @@ from ..functions import cleaning
 from ..model import OBS, ROW, RaggedFrame
 from ..operators import apply, pairs, ragged, signals, special, transfer
 from ..scratch import fresh_path
-from ..sources import files, providers
+from ..sources import files, grids, providers
 from ..streaming import streams
 from .queries import _W, _fixed, _lines, _morse, _text, query, r
 from .tables import DRIFTS, ORDERS, TRACKS, bearing, distance, drifts, orders, table, tracks
@@ -545,3 +545,37 @@ def wind_limit(spark, sf):
         w = apply.wind_table(spark, [-6.0], [0, 5, 20, 39], f=6.0, delta=20.0, mu=mu, depth=40.0).select(F.lit(mu).alias("mu"), "z", r(F.col("re") * 1e6, 4).alias("re"))
         out = w if out is None else out.unionByName(w)
     return out
+
+
+# ---- array files ----
+
+
+def _waves(spark, sf) -> RaggedFrame:
+    """Wave buoys: a frame of numbers with attributes."""
+    f = tracks(spark, sf)
+    o = f.obs.select(ROW, OBS, F.col("t").alias("time"), F.col("lat").alias("latitude"), "value", F.col("event_id").cast("int").alias("event"))
+    rows = f.rows.select(ROW, "rowsize", (F.col(ROW) * 10).cast("int").alias("trajectory"))
+    return RaggedFrame(rows, o, {"title": "waves"}).describe("latitude", units="degrees")
+
+
+_WAVES = f"WITH {TRACKS} SELECT row_number() OVER (PARTITION BY row_idx ORDER BY obs_idx) - 1 AS obs_idx, row_idx * 10 AS trajectory, count(*) OVER (PARTITION BY row_idx) AS rowsize, t AS time, round(lat, 9) + 0.0 AS latitude, value, event_id AS event, 'degrees' AS units, 'waves' AS title FROM obs"
+
+
+def _read_back(f: RaggedFrame) -> DataFrame:
+    j = f.joined(["trajectory", "rowsize"])
+    return j.select(OBS, F.col("trajectory").cast("long").alias("trajectory"), "rowsize", "time", r("latitude", 9).alias("latitude"), "value", F.col("event").cast("long").alias("event"), F.lit(f.attributes("latitude")["units"]).alias("units"), F.lit(f.attrs["title"]).alias("title"))
+
+
+@query(_WAVES)
+def netcdf_files(spark, sf):
+    """Written to classic files of forty rows each and read back by slices."""
+    paths = grids.write_netcdf(_waves(spark, sf), fresh_path(spark, "netcdf"), rows_in_file=40)
+    return _read_back(grids.read_netcdf(spark, paths))
+
+
+@query(_WAVES)
+def zarr_folder(spark, sf):
+    """Written to a Zarr folder in chunks and read back by chunks."""
+    path = fresh_path(spark, "zarr")
+    grids.write_zarr(_waves(spark, sf), path, chunk=4096, rows_dim="trajectory", obs_dim="index")
+    return _read_back(providers.spotters(spark, path))

@@ -15,6 +15,7 @@ from ..functions import cleaning
 from ..model import OBS, ROW, RaggedFrame
 from ..operators.ragged import ranked
 from .files import fields, lines, number_rows, zipped_lines
+from .grids import read_zarr
 
 # ---- surface drifters in white-space columns ----
 
@@ -326,3 +327,21 @@ def in_order(rows: DataFrame, ids: Sequence[int]) -> list[int]:
 def by_date(rows: DataFrame, ids: DataFrame, date: str = "Start_date", key: str = "ID") -> DataFrame:
     """The rows of a metadata table whose id is asked for, with their ``place`` from 0 by date, then id."""
     return ranked(rows.join(ids.select(key).distinct(), key, "left_semi"), [date, key], "place")
+
+
+# ---- published archives in array files ----
+
+
+def gdp1h(spark: SparkSession, uri: str) -> RaggedFrame:
+    """The hourly drifters from a Zarr folder with dimensions traj and obs."""
+    return read_zarr(spark, uri)
+
+
+def gdp6h(spark: SparkSession, uri: str) -> RaggedFrame:
+    """The six-hourly drifters from a Zarr folder with dimensions traj and obs."""
+    return read_zarr(spark, uri)
+
+
+def spotters(spark: SparkSession, uri: str) -> RaggedFrame:
+    """Wave buoys from a Zarr folder with dimensions trajectory and index."""
+    return read_zarr(spark, uri, "trajectory", "index")
