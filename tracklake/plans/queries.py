@@ -635,12 +635,12 @@ def _morse(n: str, freqs: list[float], order: int, gamma: float = 3.0, beta: flo
 
 @query(
     f"""WITH {_DFT}, {_morse("(VALUES (64))", [0.5, 1.0, 2.0], 2)}, x AS (SELECT row_idx, k, sum(x * cos(-2 * pi() * j * k / 64)) AS re, sum(x * sin(-2 * pi() * j * k / 64)) AS im FROM e, range(0, 32) r(k) GROUP BY 1, 2)
- SELECT row_idx, "order"::BIGINT AS "order", freq_idx::BIGINT AS freq_idx, frequency, t AS obs_idx, round(sum(psi * (re * cos(2 * pi() * t * x.k / 64) - im * sin(2 * pi() * t * x.k / 64))) / 64, 6) + 0.0 AS re, round(sum(psi * (re * sin(2 * pi() * t * x.k / 64) + im * cos(2 * pi() * t * x.k / 64))) / 64, 6) + 0.0 AS im
+ SELECT row_idx, "order"::BIGINT AS "order", freq_idx::BIGINT AS freq_idx, frequency, t AS obs_idx, round(sum(psi * (re * cos(2 * pi() * t * x.k / 64) - im * sin(2 * pi() * t * x.k / 64))) / 64, 8) + 0.0 AS re, round(sum(psi * (re * sin(2 * pi() * t * x.k / 64) + im * cos(2 * pi() * t * x.k / 64))) / 64, 8) + 0.0 AS im
  FROM x JOIN psi ON x.k = psi.k, range(0, 64) r(t) GROUP BY ALL"""
 )
 def morse_transform(spark, sf):
     w = apply.wavelets(_vectors(spark, sf), "x", 3.0, 4.0, [0.5, 1.0, 2.0], order=2)
-    return w.select(ROW, "order", "freq_idx", "frequency", OBS, r("re", 6).alias("re"), r("im", 6).alias("im"))
+    return w.select(ROW, "order", "freq_idx", "frequency", OBS, r("re", 8).alias("re"), r("im", 8).alias("im"))
 
 
 @query()
