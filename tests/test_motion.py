@@ -141,3 +141,13 @@ def test_time_of_spherical_positions_grows_with_the_row(spark):
 
     took(1000)
     assert took(400_000) < 3 * took(200_000) + 3 < 60
+
+
+def test_pairs_of_a_crowded_cell(spark, monkeypatch):
+    """A cell with more observations than one task takes: the same pairs."""
+    rows = [(i % 9, i // 9, 10.0 + (i % 13) * 1e-4, 45.0 + (i % 7) * 1e-4, float(i % 5)) for i in range(180)]
+    o = spark.createDataFrame(rows, "row_idx long, obs_idx long, lon double, lat double, time double")
+    find = lambda: sorted(map(tuple, pairs.chance_pairs(o, 60.0, 1.0).collect()))
+    want = find()
+    monkeypatch.setattr(pairs, "CROWD", 20)
+    assert want and find() == want

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -146,29 +146,33 @@ def plane_to_sphere(df: DataFrame, x: str = "x", y: str = "y", lon0: float = 0.0
 def _folded(df: DataFrame, dx: str, dy: str, lon0: float, lat0: float, out: tuple[str, str]) -> DataFrame:
     """Great-circle steps one after another.
 
-    Only a row's steps go to its task, as numbers; the time is proportional to them. The
-    positions come back to the observations by a join, so no other column is gathered.
+    Only a row's steps go to its task, as numbers in order; they pass through it in batches, in
+    time proportional to them, so a row of any length fits. The positions come back to the
+    observations by a join, so no other column is gathered.
     """
     schema = T.StructType([T.StructField(ROW, T.LongType()), T.StructField(OBS, T.LongType()), T.StructField(out[0], T.DoubleType()), T.StructField(out[1], T.DoubleType())])
     radius = sphere.EARTH_RADIUS_METERS
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(OBS)
-        x, y = pdf[dx].to_numpy(float), pdf[dy].to_numpy(float)
-        turn, arc = np.arctan2(y, x), np.hypot(x, y) / radius
-        east, north, sine, cosine = np.cos(turn), np.sin(turn), np.sin(arc), np.cos(arc)
-        lons, lats = np.empty(len(x)), np.empty(len(x))
-        lon, lat = math.radians(lon0), math.radians(lat0)
-        for i, (e, n, s, c) in enumerate(zip(east.tolist(), north.tolist(), sine.tolist(), cosine.tolist(), strict=True)):
-            a, b = math.sin(lat), math.cos(lat)
-            up = a * c + b * s * n
-            lon += math.atan2(e * s * b, c - a * up)
-            lat = math.asin(max(-1.0, min(1.0, up))) if up == up else math.nan
-            lons[i], lats[i] = lon, lat
-        return pd.DataFrame({ROW: pdf[ROW].to_numpy(), OBS: pdf[OBS].to_numpy(), out[0]: np.degrees(lons), out[1]: np.degrees(lats)})
+    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        row = lon = lat = None  # where the walk stands, from batch to batch
+        for pdf in frames:
+            x, y = pdf[dx].to_numpy(float), pdf[dy].to_numpy(float)
+            turn, arc = np.arctan2(y, x), np.hypot(x, y) / radius
+            lons, lats = np.empty(len(x)), np.empty(len(x))
+            steps = zip(pdf[ROW].tolist(), np.cos(turn).tolist(), np.sin(turn).tolist(), np.sin(arc).tolist(), np.cos(arc).tolist(), strict=True)
+            for i, (r, e, n, s, c) in enumerate(steps):
+                if r != row:
+                    row, lon, lat = r, math.radians(lon0), math.radians(lat0)
+                a, b = math.sin(lat), math.cos(lat)
+                up = a * c + b * s * n
+                lon += math.atan2(e * s * b, c - a * up)
+                lat = math.asin(max(-1.0, min(1.0, up))) if up == up else math.nan
+                lons[i], lats[i] = lon, lat
+            yield pd.DataFrame({ROW: pdf[ROW].to_numpy(), OBS: pdf[OBS].to_numpy(), out[0]: np.degrees(lons), out[1]: np.degrees(lats)})
 
     steps = df.select(F.col(ROW).cast("long").alias(ROW), F.col(OBS).cast("long").alias(OBS), dx, dy)
-    return df.drop(*out).join(steps.groupBy(ROW).applyInPandas(walk, schema), [ROW, OBS])
+    walked = steps.repartition(ROW).sortWithinPartitions(ROW, OBS).mapInPandas(walk, schema)
+    return df.drop(*out).join(walked, [ROW, OBS])
 
 
 def sphere_to_plane(df: DataFrame, lon: str = "lon", lat: str = "lat", lon0: float = 0.0, lat0: float = 0.0, out: tuple[str, str] = ("x", "y")) -> DataFrame:
