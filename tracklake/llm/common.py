@@ -17,6 +17,15 @@ TYPES = {"long": T.LongType(), "string": T.StringType(), "double": T.DoubleType(
 #: A word is a run of characters other than space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Bytes of a lower-cased text between which words stand: A-Z fall on a-z, other ASCII but letters and digits on a space.
+LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
+
+
+def ascii_words(data: bytes) -> list[bytes]:
+    """Runs of ASCII letters (lowered), digits and all characters beyond ASCII, of a text in UTF-8."""
+    return data.translate(LETTERS).split()
+
+
 def struct(fields: str) -> T.StructType:
     """A struct type of "name type, ..."; unlike a DDL string it needs no session."""
     return T.StructType([T.StructField(name, TYPES[kind]) for name, kind in map(str.split, fields.split(","))])
