@@ -114,8 +114,9 @@ def importance(
     weights = weighted(texts, gains(bucket_totals(texts, buckets), bucket_totals(wanted, buckets)))
     discard(texts, wanted)
     rows = materialize(df.select(F.col(doc_id).alias("id"), _digest(_text(text)).alias("digest")), "digests")
-    hot = weights.filter(F.col("copies") * HOT >= rows.count())
-    few, many = F.broadcast(hot.select("digest")), weights.filter(F.col("copies") * HOT < rows.count())
+    is_hot = F.col("copies") * HOT >= rows.count()
+    hot, many = weights.filter(is_hot), weights.filter(~is_hot)
+    few = F.broadcast(hot.select("digest"))
     joined = rows.join(F.broadcast(hot), "digest").unionByName(rows.join(few, "digest", "left_anti").join(many, "digest"))
     scored = materialize(joined.select("id", "digest", "n_words", "n_features", "weight", (F.col("weight") + noise(F.col("id"), seed)).alias("score")), "scores")
     discard(rows, weights)

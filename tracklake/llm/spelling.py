@@ -47,7 +47,8 @@ def word_counts(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lengt
                 if len(total) >= MOST:
                     yield _table(total)
                     total.clear()
-        yield _table(total)
+        if total:
+            yield _table(total)
 
     rows = df.select(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("id"), F.col(text).alias("text")).filter(F.col("text").isNotNull())
     return rows.mapInPandas(count, struct("word string, n long")).groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= times)
