@@ -22,7 +22,9 @@ def duck():
 
 def rows(df):
     df = df[sorted(df.columns)].astype(object)
-    return sorted(repr([None if pd.isna(x) else x for x in r]) for r in df.itertuples(index=False, name=None))
+    # pandas makes a column of integers one of floats where a value is missing, DuckDB does not
+    plain = lambda x: None if pd.isna(x) else int(x) if isinstance(x, float) and x.is_integer() else x
+    return sorted(repr([plain(x) for x in r]) for r in df.itertuples(index=False, name=None))
 
 
 @pytest.mark.parametrize("name", [n for n in ALL if n in SQL])

@@ -106,7 +106,8 @@ def test_raw_drifters(spark, tmp_path):
     (tmp_path / "dir.dat").write_text("1002 21 1 SVP 2000/02/01 00:00 1.0 2.0 2001/01/01 00:00 3.0 4.0 0000/00/00 00:00 1\n1001 22 1 SVP 2000/03/01 12:30 1.0 2.0 2001/01/01 00:00 3.0 4.0 2000/05/01 00:00 1\n")
     meta = providers.directory(spark, str(tmp_path / "dir.dat"))
     assert [(r.ID, r.Drogue_off_date) for r in meta.collect()] == [(1002, None), (1001, dt.datetime(2000, 5, 1))]
-    assert providers.in_order(meta, [1001, 1002]) == [1002, 1001]
+    asked = spark.createDataFrame([(1001,), (1002,)], "ID long")
+    assert [r.ID for r in providers.by_date(meta, asked).orderBy("place").collect()] == [1002, 1001]
     good = "{} 3 15.5 2000 10.0 20.0 3 15.25 2000 1.0 20.5 1 2 3 4 5"
     bad = ["1001 3 15.5 9999 1 2 3 15.5 2000 1 2 3 4 5 6 7", "1001 x 15.5 2000 1 2 3 15.5 2000 1 2 3 4 5 6 7", "1001 3 15.5 2000 1 2 3 15.5 2000 1a 2 3 4 5 6 7"]
     (tmp_path / "raw.dat").write_text("\n".join([good.format(1001), good.format(1002), *bad, good.format(1001), good.format(77)]))

@@ -551,31 +551,83 @@ def wind_limit(spark, sf):
 
 
 def _waves(spark, sf) -> RaggedFrame:
-    """Wave buoys: a frame of numbers with attributes."""
+    """Wave buoys: a frame of numbers, some of them missing, and names, with attributes."""
     f = tracks(spark, sf)
-    o = f.obs.select(ROW, OBS, F.col("t").alias("time"), F.col("lat").alias("latitude"), "value", F.col("event_id").cast("int").alias("event"))
+    event = F.when(F.col("event_id") % 7 != 0, F.col("event_id").cast("int"))
+    o = f.obs.select(ROW, OBS, F.col("t").alias("time"), F.col("lat").alias("latitude"), "value", event.alias("event"), "event_type")
     rows = f.rows.select(ROW, "rowsize", (F.col(ROW) * 10).cast("int").alias("trajectory"))
     return RaggedFrame(rows, o, {"title": "waves"}).describe("latitude", units="degrees")
 
 
-_WAVES = f"WITH {TRACKS} SELECT row_number() OVER (PARTITION BY row_idx ORDER BY obs_idx) - 1 AS obs_idx, row_idx * 10 AS trajectory, count(*) OVER (PARTITION BY row_idx) AS rowsize, t AS time, round(lat, 9) + 0.0 AS latitude, value, event_id AS event, 'degrees' AS units, 'waves' AS title FROM obs"
+_WAVES = f"WITH {TRACKS} SELECT row_number() OVER (PARTITION BY row_idx ORDER BY obs_idx) - 1 AS obs_idx, row_idx * 10 AS trajectory, count(*) OVER (PARTITION BY row_idx) AS rowsize, t AS time, round(lat, 9) + 0.0 AS latitude, value, CASE WHEN event_id % 7 <> 0 THEN event_id END AS event, event_type, 'degrees' AS units, 'waves' AS title FROM obs"
 
 
 def _read_back(f: RaggedFrame) -> DataFrame:
     j = f.joined(["trajectory", "rowsize"])
-    return j.select(OBS, F.col("trajectory").cast("long").alias("trajectory"), "rowsize", "time", r("latitude", 9).alias("latitude"), "value", F.col("event").cast("long").alias("event"), F.lit(f.attributes("latitude")["units"]).alias("units"), F.lit(f.attrs["title"]).alias("title"))
+    return j.select(OBS, F.col("trajectory").cast("long").alias("trajectory"), "rowsize", "time", r("latitude", 9).alias("latitude"), "value", F.col("event").cast("long").alias("event"), "event_type", F.lit(f.attributes("latitude")["units"]).alias("units"), F.lit(f.attrs["title"]).alias("title"))
 
 
 @query(_WAVES)
 def netcdf_files(spark, sf):
-    """Written to classic files of forty rows each and read back by slices."""
+    """Written to classic files of forty rows each and read back by stretches."""
     paths = grids.write_netcdf(_waves(spark, sf), fresh_path(spark, "netcdf"), rows_in_file=40)
     return _read_back(grids.read_netcdf(spark, paths))
 
 
+@query(_WAVES)
+def netcdf_records(spark, sf):
+    """The same with observations that may grow, as interleaved records, in files of ten thousand observations."""
+    folder = fresh_path(spark, "netcdf")
+    grids.write_netcdf(_waves(spark, sf), folder, obs_in_file=10_000, unlimited=True)
+    return _read_back(grids.read_netcdf(spark, folder))
+
+
+@query(f"WITH {TRACKS} SELECT count(*) AS n, count(DISTINCT row_idx) AS n_rows, round(sum(value), 4) AS total FROM obs")
+def netcdf_format(spark, sf):
+    """Read as a Spark format by itself, a file a task."""
+    folder = fresh_path(spark, "netcdf")
+    grids.write_netcdf(_waves(spark, sf), folder, rows_in_file=40)
+    df = spark.read.format("netcdf").load(folder)
+    return df.agg(F.count(F.lit(1)).alias("n"), F.countDistinct(ROW).alias("n_rows"), r(F.sum("value"), 4).alias("total"))
+
+
 @query(_WAVES)
 def zarr_folder(spark, sf):
     """Written to a Zarr folder in chunks and read back by chunks."""
     path = fresh_path(spark, "zarr")
     grids.write_zarr(_waves(spark, sf), path, chunk=4096, rows_dim="trajectory", obs_dim="index")
     return _read_back(providers.spotters(spark, path))
+
+
+@query(_WAVES)
+def zarr_blosc(spark, sf):
+    """Wave buoys in Blosc frames of Zstandard with shuffled bits."""
+    path = fresh_path(spark, "zarr")
+    grids.write_zarr(_waves(spark, sf), path, chunk=10_000, rows_dim="trajectory", obs_dim="index", compressor={"id": "blosc", "cname": "zstd", "clevel": 3, "shuffle": 2})
+    return _read_back(providers.spotters(spark, path))
+
+
+_ARCHIVED = _DRIFTER.replace(" FROM obs", ", round(t, 3) AS seconds FROM obs")
+
+
+def _archived(spark, sf, rows: DataFrame, obs: DataFrame, cname: str) -> str:
+    """Drifters as published: a Zarr folder of Blosc frames, times counted from a date."""
+    path = fresh_path(spark, "zarr")
+    f = RaggedFrame(rows, obs, {"title": "drifters"}).recounted().describe("time", units="seconds since 1970-01-01 00:00:00")
+    grids.write_zarr(f, path, chunk=8192, compressor={"id": "blosc", "cname": cname, "clevel": 5, "shuffle": 1})
+    return path
+
+
+@query(_ARCHIVED.format("CASE WHEN event_id % 5 = 0 THEN NULL ELSE round(value::FLOAT::DOUBLE, 3) END AS sst"))
+def gdp_hourly_archive(spark, sf):
+    """Hourly drifters from a published layout: Blosc frames of LZ4, decoded and cleaned."""
+    f = providers.gdp1h(spark, _archived(spark, sf, *_drifter_tables(spark, sf), "lz4"))
+    return _drifter(f, r(F.col("sst").cast("double"), 3).alias("sst"), r(F.unix_micros("time") / 1e6, 3).alias("seconds"))
+
+
+@query(_ARCHIVED.format("CASE WHEN event_id % 3 = 0 THEN NULL ELSE round((value + 1)::FLOAT::DOUBLE, 3) END AS temp"))
+def gdp_six_hourly_archive(spark, sf):
+    """Six-hourly drifters, in frames of zlib."""
+    rows, obs = _drifter_tables(spark, sf)
+    f = providers.gdp6h(spark, _archived(spark, sf, rows, obs.drop("sst"), "zlib"))
+    return _drifter(f, r(F.col("temp").cast("double"), 3).alias("temp"), r(F.unix_micros("time") / 1e6, 3).alias("seconds"))

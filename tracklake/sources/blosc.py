@@ -16,7 +16,7 @@ import numpy as np
 BYTES, COPIED, BITS, WHOLE = 0x01, 0x02, 0x04, 0x10
 CODECS = {0: "blosclz", 1: "lz4", 2: "snappy", 3: "zlib", 4: "zstd"}
 MOST_STREAMS, LEAST_STREAM = 16, 128
-HEADER = struct.Struct("<BBBBIII")
+HEADER, HEADER_SIZE = "<BBBBIII", 16
 ARROW = {"lz4": "lz4_raw", "snappy": "snappy", "zstd": "zstd"}
 
 
@@ -64,19 +64,19 @@ def unshuffled(block: bytes, size: int, flags: int) -> bytes:
 
 def decode(frame: bytes) -> bytes:
     """The bytes that a frame holds."""
-    if len(frame) < HEADER.size:
+    if len(frame) < HEADER_SIZE:
         raise ValueError("a Blosc frame has 16 bytes at least")
-    _, _, flags, size, length, block, packed = HEADER.unpack_from(frame)
+    _, _, flags, size, length, block, packed = struct.unpack_from(HEADER, frame)
     if packed > len(frame):
         raise ValueError(f"a Blosc frame of {packed} bytes ends after {len(frame)}")
     if flags & COPIED:
-        return bytes(frame[HEADER.size : HEADER.size + length])
+        return bytes(frame[HEADER_SIZE : HEADER_SIZE + length])
     codec = CODECS.get(flags >> 5, "?")
     if codec != "zlib" and codec not in ARROW:
         raise ValueError(f"no decoder for Blosc frames packed by {codec}")
     blocks = -(-length // block) if length else 0
     out = []
-    for i, at in enumerate(struct.unpack_from(f"<{blocks}I", frame, HEADER.size)):
+    for i, at in enumerate(struct.unpack_from(f"<{blocks}I", frame, HEADER_SIZE)):
         n = min(block, length - i * block)
         streams = _streams(flags, size, block, n)
         parts = []
@@ -99,7 +99,7 @@ def encode(raw: bytes, size: int = 1, codec: str = "lz4", shuffle: str = "bytes"
     if codec in ("zlib", "zstd") or size > MOST_STREAMS or block // size < LEAST_STREAM:
         flags |= WHOLE
     blocks = [raw[i : i + block] for i in range(0, len(raw), block)]
-    at, starts, body = HEADER.size + 4 * len(blocks), [], []
+    at, starts, body = HEADER_SIZE + 4 * len(blocks), [], []
     for b in blocks:
         starts.append(at)
         mixed, n = shuffled(b, size, flags), _streams(flags, size, block, len(b))
@@ -109,6 +109,6 @@ def encode(raw: bytes, size: int = 1, codec: str = "lz4", shuffle: str = "bytes"
             kept = packed if len(packed) < len(piece) else piece
             body.append(struct.pack("<I", len(kept)) + kept)
             at += len(body[-1])
-    if at >= HEADER.size + len(raw):
-        return HEADER.pack(2, 1, flags | COPIED, size, len(raw), block, HEADER.size + len(raw)) + raw
-    return HEADER.pack(2, 1, flags, size, len(raw), block, at) + struct.pack(f"<{len(starts)}I", *starts) + b"".join(body)
+    if at >= HEADER_SIZE + len(raw):
+        return struct.pack(HEADER, 2, 1, flags | COPIED, size, len(raw), block, HEADER_SIZE + len(raw)) + raw
+    return struct.pack(HEADER, 2, 1, flags, size, len(raw), block, at) + struct.pack(f"<{len(starts)}I", *starts) + b"".join(body)

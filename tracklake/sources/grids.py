@@ -7,23 +7,32 @@ their dimension. Files lie in a store that executors reach by its URI.
 from __future__ import annotations
 
 import json
-import struct
+import math
+import uuid
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401  pa.compute
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.window import Window
 
 from ..model import OBS, ROW, RaggedFrame
-from ..operators.ragged import offsets, ranked
-from ..scratch import materialize
-
-# The types of the classic format (code, NumPy type) and the tags of its header.
-NC_TYPES = {1: "i1", 2: "S1", 3: ">i2", 4: ">i4", 5: ">f4", 6: ">f8", 7: "u1", 8: ">u2", 9: ">u4", 10: ">i8", 11: ">u8"}
-NC_DIMENSION, NC_VARIABLE, NC_ATTRIBUTE = 10, 11, 12
+from ..operators.ragged import offsets, ranked, running_total
+from ..scratch import discard, materialize
+from . import blosc
+from .classic import TYPES, Header, column, decoded, file_bytes, type_of, widest
+
+#: Spark's column types.
+SPARK = {"int": T.IntegerType(), "long": T.LongType(), "float": T.FloatType(), "double": T.DoubleType(), "string": T.StringType(), "boolean": T.BooleanType()}
+BATCH = 1 << 16  # observations that go to Spark at a time
 SLICE = 1 << 20  # observations that a task reads at a time
 
 
@@ -37,108 +46,396 @@ def store(uri: str):
 # ---- NetCDF classic ----
 
 
-class Header:
-    """Dimensions, attributes and variables (dimensions, attributes, type, first byte) of a classic file (versions 1, 2 and 5)."""
-
-    def __init__(self, handle):
-        self.handle = handle
-        if handle.read(3) != b"CDF":
-            raise ValueError("not a NetCDF classic file")
-        self.version = handle.read(1)[0]
-        self._count()  # records
-        self.dims = [(self._name(), self._count()) for _ in range(self._list(NC_DIMENSION))]
-        self.attrs = self._attributes()
-        self.variables = {}
-        for _ in range(self._list(NC_VARIABLE)):
-            name = self._name()
-            dims = [self.dims[self._count()][0] for _ in range(self._count())]
-            attrs = self._attributes()
-            kind = NC_TYPES[self._number(">i", 4)]
-            self._count()
-            self.variables[name] = (dims, attrs, kind, self._number(">i" if self.version == 1 else ">q", 4 if self.version == 1 else 8))
-
-    def _number(self, code: str, size: int) -> int:
-        return struct.unpack(code, self.handle.read(size))[0]
-
-    def _count(self) -> int:
-        return self._number(">q", 8) if self.version == 5 else self._number(">i", 4)
-
-    def _padded(self, n: int) -> bytes:
-        return self.handle.read(n + -n % 4)[:n]
-
-    def _name(self) -> str:
-        return self._padded(self._count()).decode()
-
-    def _list(self, tag: int) -> int:
-        found, n = self._number(">i", 4), self._count()
-        if found not in (0, tag):
-            raise ValueError("broken header")
-        return n
-
-    def _attributes(self) -> dict:
-        out = {}
-        for _ in range(self._list(NC_ATTRIBUTE)):
-            name, kind, n = self._name(), NC_TYPES[self._number(">i", 4)], self._count()
-            raw = self._padded(n * np.dtype(kind).itemsize)
-            out[name] = raw.decode() if kind == "S1" else np.frombuffer(raw, kind).tolist()
-        return out
-
-
-def _spark_type(kind: str) -> T.DataType:
-    d = np.dtype(kind)
-    return {"f4": T.FloatType(), "f8": T.DoubleType()}.get(d.str[1:]) or (T.IntegerType() if d.kind == "i" and d.itemsize <= 4 else T.LongType())
-
-
-def read_netcdf(spark: SparkSession, paths: list[str], rows_dim: str = "rows", obs_dim: str = "obs") -> RaggedFrame:
-    """A ragged frame of classic files, one after another; each slice of a column is one range read by one task.
-
-    Rows are numbered through all files in their order. One-dimensional numeric variables along
-    the two dimensions become columns; other variables are left out. Attributes are those of the
-    first file.
+def survey(spark: SparkSession, paths: list[str], rows_dim: str = "rows", obs_dim: str = "obs") -> DataFrame:
+    """What is in each file, written: its place, counts, columns with types and attributes, ranges. Headers are read by tasks."""
+
+    def heads(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for file, path in zip(frame["file"], frame["path"], strict=True):
+                system, at = store(path)
+                with system.open_input_file(at) as f:
+                    h = Header(f, f.size())
+                columns = {role: {n: [v.type, v.attrs] for n, v in h.along(dim).items()} for role, dim in (("rows", rows_dim), ("obs", obs_dim))}
+                if "rowsize" not in columns["rows"]:
+                    raise ValueError(f"{path}: no rowsize along {rows_dim}")
+                ranges = {n: v.attrs["actual_range"] for n, v in h.along(obs_dim).items() if len(v.attrs.get("actual_range", ())) == 2}
+                yield pd.DataFrame({"file": [file], "path": [path], "n_rows": [h.dims[rows_dim]], "n_obs": [h.dims.get(obs_dim, 0)], "columns": [json.dumps(columns)], "ranges": [json.dumps(ranges)], "attrs": [json.dumps(h.attrs)]})
+
+    listed = spark.createDataFrame(list(enumerate(paths)), "file long, path string").repartition(max(1, min(len(paths), 10_000)), "file")
+    return materialize(listed.mapInPandas(heads, "file long, path string, n_rows long, n_obs long, columns string, ranges string, attrs string"), "headers")
+
+
+def _columns(files: DataFrame) -> dict[str, dict[str, tuple[str, dict]]]:
+    """By role and name, the one type of a column over all files, and its attributes in the first file that has it."""
+    parsed = F.from_json("columns", "rows map<string, string>, obs map<string, string>")
+    each = files.select("file", F.posexplode(F.array(F.map_entries(parsed["rows"]), F.map_entries(parsed["obs"]))).alias("role", "c")).select("file", "role", F.explode("c").alias("c")).select("file", "role", "c.*")
+    kind = F.from_json("value", "array<string>")[0]
+    # as many rows come to the driver as there are names and types of columns, however many files
+    found = each.groupBy("role", "key").agg(F.collect_set(kind).alias("kinds"), F.min_by("value", "file").alias("value"), F.min("file").alias("file")).orderBy("role", "file", "key").collect()
+    out: dict = {"rows": {}, "obs": {}}
+    for r in found:
+        out["rows" if r.role == 0 else "obs"][r.key] = (widest(r.kinds), json.loads(r.value)[1])
+    return out
+
+
+def _pieces(files: DataFrame, rows_dim: str) -> DataFrame:
+    """Stretches of observations, ``SLICE`` long at most, with the rows they belong to: (file, path, base, a, b, first, last, skip).
+
+    Row counts are read by tasks, a slice of rows each; a row longer than a stretch is in several.
+    """
+    cut = SLICE
+    based = running_total(files.select("file", "path", "n_rows", "ranges"), "file", "n_rows", "base")
+    slices = based.filter("n_rows > 0").select("file", "path", "base", "ranges", "n_rows", F.explode(F.sequence(F.lit(0), F.col("n_rows") - 1, F.lit(cut))).alias("row"))
+
+    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for file, path, base, ranges, n_rows, row in frame.itertuples(index=False):
+                sizes = _row_sizes(path, row, min(row + cut, n_rows))
+                ends = np.cumsum(sizes)
+                total, begin = int(ends[-1]), 0
+                starts = list(range(0, total, cut))
+                firsts = np.searchsorted(ends, starts, "right")
+                lasts = np.searchsorted(ends, [min(x + cut, total) - 1 for x in starts], "right")
+                skips = [x - int(ends[i] - sizes[i]) for x, i in zip(starts, firsts, strict=True)]
+                yield pd.DataFrame({"file": file, "path": path, "base": base, "ranges": ranges, "row": row, "total": total, "a": [begin, *starts], "b": [begin, *(min(x + cut, total) for x in starts)], "first": [-1, *(firsts + row)], "last": [-1, *(lasts + row)], "skip": [0, *skips]})
+
+    walked = materialize(slices.repartition("file", "row").mapInPandas(walk, "file long, path string, base long, ranges string, row long, total long, a long, b long, first long, last long, skip long"), "pieces")
+    before = Window.partitionBy("file").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    shift = walked.filter("first < 0").select("file", "row", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("shift"))
+    pieces = walked.filter("first >= 0").join(shift, ["file", "row"])
+    return pieces.select("file", "path", "base", "ranges", (F.col("a") + F.col("shift")).alias("a"), (F.col("b") + F.col("shift")).alias("b"), "first", "last", "skip")
+
+
+def _row_sizes(path: str, a: int, b: int) -> np.ndarray:
+    system, at = store(path)
+    with system.open_input_file(at) as f:
+        h = Header(f, f.size())
+        return np.frombuffer(h.read(["rowsize"], a, b)["rowsize"], h.variables["rowsize"].kind).astype(np.int64)
+
+
+@dataclass
+class Stretch(InputPartition):
+    """A stretch of rows or observations of a file; ``b`` of None is its end."""
+
+    path: str
+    base: int
+    a: int = 0
+    b: int | None = None
+    first: int = 0
+    last: int | None = None
+    skip: int = 0
+    ranges: dict = field(default_factory=dict)
+
+
+class ArrayReader(DataSourceReader):
+    """Reads stretches of classic files as Arrow batches, each by its own task."""
+
+    def __init__(self, options: dict, schema: T.StructType):
+        self.dim, self.rows_dim, self.role = options["dim"], options["rows_dim"], options["role"]
+        self.plan, self.paths = options["plan"], options["paths"]
+        self.types = {f.name: {v: k for k, v in SPARK.items()}[f.dataType] for f in schema.fields}
+        self.bounds: dict[str, tuple[float, float]] = {}
+
+    def partitions(self) -> list[Stretch]:
+        """The stretches, or without a plan one for each file, whose rows have numbers from file number times 2 ** 32."""
+        if self.plan is None:
+            return [Stretch(p, i << 32) for i, p in enumerate(self.paths)]
+        return [s for s in (Stretch(**x) for x in self.plan) if self._may_match(s)]
+
+    def _may_match(self, s: Stretch) -> bool:
+        low, high = self.bounds.get(ROW, (-math.inf, math.inf))
+        rows = (s.base + s.first, s.base + s.last) if s.last is not None else (-math.inf, math.inf)
+        return rows[0] <= high and rows[1] >= low and all(r[0] <= self.bounds[c][1] and r[1] >= self.bounds[c][0] for c, r in s.ranges.items() if c in self.bounds)
+
+    def read(self, s: Stretch | None) -> Iterator[pa.RecordBatch]:
+        if s is None:  # Spark asks once where there is no partition
+            return
+        system, at = store(s.path)
+        with system.open_input_file(at) as f:
+            h = Header(f, f.size())
+            b = h.dims.get(self.dim, 0) if s.b is None else s.b
+            mine = {n: v for n, v in h.along(self.dim).items() if n in self.types}
+            sizes = _row_sizes(s.path, s.first, h.dims[self.rows_dim] if s.last is None else s.last + 1) if self.role == "obs" else None
+            ends = None if sizes is None else np.cumsum(sizes) - s.skip
+            for x in range(s.a, b, BATCH):
+                y = min(b, x + BATCH)
+                n, place = y - x, np.arange(x, y)
+                raw = h.read(list(mine), x, y)
+                data = {c: column(v, raw[c], n, self.types[c]) for c, v in mine.items()}
+                if ends is None:
+                    data[ROW] = pa.array(s.base + place)
+                else:
+                    row = np.searchsorted(ends, place - s.a, "right")
+                    data[ROW] = pa.array(s.base + s.first + row)
+                    data[OBS] = pa.array(place - s.a - (ends[row] - sizes[row]))
+                yield pa.RecordBatch.from_arrays([data[c] if c in data else pa.nulls(n, TYPES[t]) for c, t in self.types.items()], names=list(self.types))
+
+
+class PruningReader(ArrayReader):
+    """The same, leaving out stretches that filters on rows, or on columns whose range a file states, rule out."""
+
+    def pushFilters(self, filters):  # noqa: N802  the interface's name
+        for f in filters:
+            column_, value = (f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None), getattr(f, "value", None)
+            values = list(value) if isinstance(f, In) else [value]
+            if column_ and values and all(isinstance(v, (int, float)) for v in values):
+                low, high = self.bounds.get(column_, (-math.inf, math.inf))
+                if isinstance(f, (EqualTo, In)):
+                    low, high = max(low, min(values)), min(high, max(values))
+                elif isinstance(f, (GreaterThan, GreaterThanOrEqual)):
+                    low = max(low, value)
+                elif isinstance(f, (LessThan, LessThanOrEqual)):
+                    high = min(high, value)
+                self.bounds[column_] = (low, high)
+            yield f  # Spark looks at each row all the same
+
+
+class ArrayFiles(DataSource):
+    """``spark.read.format("netcdf")`` and ``df.write.format("netcdf")`` for NetCDF classic files.
+
+    Reading takes ``load(path)`` of a file, or of a folder, whose files count in the order of their
+    names, with the options ``role`` (obs, as set, or rows), ``rows_dim`` and ``obs_dim``. Columns
+    are those of the first file. ``read_netcdf`` surveys all files first, numbers rows without
+    gaps and deals long files to many tasks. With the option ``prune`` set to true, which needs the
+    session's ``spark.sql.python.filterPushdown.enabled``, filters leave out files and stretches.
+
+    Writing takes one record a row with nested observations; see ``write_netcdf``.
     """
-    heads = []
-    for p in paths:
-        system, path = store(p)
+
+    @classmethod
+    def name(cls) -> str:
+        return "netcdf"
+
+    def _settings(self) -> dict:
+        o = self.options
+        role, rows_dim, obs_dim = o.get("role", "obs"), o.get("rows_dim", "rows"), o.get("obs_dim", "obs")
+        plan = o.get("plan")
+        return {"role": role, "rows_dim": rows_dim, "dim": rows_dim if role == "rows" else obs_dim, "plan": json.loads(plan) if plan else None, "paths": None if plan else listed(o["path"])}
+
+    def schema(self) -> T.StructType:
+        s = self._settings()
+        if not s["paths"]:
+            raise ValueError("no files")
+        system, path = store(s["paths"][0])
         with system.open_input_file(path) as f:
-            heads.append(Header(f))
-    first = heads[0]
-    names = {d: {n: v for n, v in first.variables.items() if v[0] == [d] and v[2] != "S1"} for d in (rows_dim, obs_dim)}
-    if "rowsize" not in names[rows_dim]:
-        raise ValueError("no rowsize along the rows")
-    work, at = [], {rows_dim: 0, obs_dim: 0}
-    for p, h in zip(paths, heads, strict=True):
-        for dim in (rows_dim, obs_dim):
-            n = dict(h.dims)[dim]
-            places = json.dumps({c: (h.variables[c][2], h.variables[c][3]) for c in names[dim]})
-            work += [(dim, p, places, i, min(i + SLICE, n), at[dim] + i) for i in range(0, n, SLICE)]
-            at[dim] += n
-    tasks = spark.createDataFrame(work, "dim string, path string, places string, a long, b long, at long")
-
-    def columns(dim: str) -> DataFrame:
-        schema = T.StructType([T.StructField("at", T.LongType()), *(T.StructField(c, _spark_type(v[2])) for c, v in names[dim].items())])
-
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                for t in frame.itertuples():
-                    system, path = store(t.path)
-                    out = {"at": np.arange(t.at, t.at + t.b - t.a)}
-                    with system.open_input_file(path) as f:
-                        for c, (kind, begin) in json.loads(t.places).items():
-                            f.seek(begin + t.a * np.dtype(kind).itemsize)
-                            out[c] = np.frombuffer(f.read((t.b - t.a) * np.dtype(kind).itemsize), kind).astype(np.dtype(kind).newbyteorder("="))
-                    yield pd.DataFrame(out)
-
-        mine = tasks.filter(F.col("dim") == dim).drop("dim")
-        return mine.repartition(max(1, sum(w[0] == dim for w in work)), "at").mapInPandas(run, schema)
-
-    frame = ragged_of(columns(rows_dim).withColumnRenamed("at", ROW), columns(obs_dim), {k: str(v) for k, v in first.attrs.items()})
-    for dim in (rows_dim, obs_dim):
-        for c, v in names[dim].items():
-            if c != "rowsize" and v[1]:
-                frame = frame.describe(c, **{k: x for k, x in v[1].items() if isinstance(x, str)})
+            h = Header(f, f.size())
+        return _schema(s["role"], {n: v.type for n, v in h.along(s["dim"]).items()})
+
+    def reader(self, schema: T.StructType) -> ArrayReader:
+        kind = PruningReader if self.options.get("prune") == "true" else ArrayReader
+        return kind(self._settings(), schema)
+
+    def writer(self, schema: T.StructType, overwrite: bool) -> ArrayWriter:
+        return ArrayWriter(self.options["path"], json.loads(self.options["layout"]), overwrite)
+
+
+def listed(path: str) -> list[str]:
+    """A file, or the files of a folder by name, as URIs of the same kind."""
+    from pyarrow import fs
+
+    system, at = store(path)
+    if system.get_file_info(at).type != fs.FileType.Directory:
+        return [path]
+    top = path.rstrip("/")
+    return [f"{top}/{x.base_name}" for x in sorted(system.get_file_info(fs.FileSelector(at)), key=lambda x: x.base_name) if x.type == fs.FileType.File and x.base_name.endswith(".nc")]
+
+
+def _schema(role: str, types: dict[str, str]) -> T.StructType:
+    keys = [ROW] if role == "rows" else [ROW, OBS]
+    return T.StructType([*(T.StructField(k, T.LongType()) for k in keys), *(T.StructField(n, SPARK[t]) for n, t in types.items())])
+
+
+def read_netcdf(spark: SparkSession, paths: str | list[str], rows_dim: str = "rows", obs_dim: str = "obs", columns: list[str] | None = None) -> RaggedFrame:
+    """A ragged frame of classic files, one after another; stretches of observations are read by tasks of their own.
+
+    ``paths`` is a file, a folder or a list in order. Rows are numbered through all files.
+    Variables along the two dimensions, one of which may grow, become columns (``columns`` takes
+    those named alone): numbers, and texts as characters. A column has one type over all files,
+    the widest of theirs; files without it have nulls. Fill values and missing values are null,
+    packed values are unpacked. Attributes are those of the first file, or of the first that has
+    the column. Where ``spark.sql.python.filterPushdown.enabled`` is set, filters on ``row_idx``,
+    and on columns with a stated ``actual_range``, leave out files and stretches.
+    """
+    paths = listed(paths) if isinstance(paths, str) else list(paths)
+    if not paths:
+        raise ValueError("no files")
+    spark.dataSource.register(ArrayFiles)
+    files = survey(spark, paths, rows_dim, obs_dim)
+    found = _columns(files)
+    prune = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
+
+    def load(role: str, plan: list[dict]) -> DataFrame:
+        types = {n: t for n, (t, _) in found[role].items() if columns is None or n in columns or n == "rowsize"}
+        df = spark.read.format("netcdf").schema(_schema(role, types)).options(role=role, rows_dim=rows_dim, obs_dim=obs_dim, plan=json.dumps(plan) if plan else "[]", prune=prune).load()
+        return df.withColumn("rowsize", F.col("rowsize").cast("long")) if role == "rows" else df
+
+    # a record for each slice and stretch, as many as Spark itself keeps partitions
+    plan = [dict(path=r.path, base=r.base, a=r.a, b=r.b, first=r["first"], last=r["last"], skip=r["skip"], ranges=json.loads(r.ranges)) for r in _pieces(files, rows_dim).orderBy("file", "a").collect()]
+    based = running_total(files.select("file", "path", "n_rows"), "file", "n_rows", "base").orderBy("file").collect()
+    slices = [dict(path=r.path, base=r.base, a=i, b=min(i + SLICE, r.n_rows), first=i, last=min(i + SLICE, r.n_rows) - 1) for r in based for i in range(0, r.n_rows, SLICE)]
+    attrs = json.loads(files.orderBy("file").first().attrs)
+    discard(files)
+    frame = RaggedFrame(load("rows", slices), load("obs", plan), {k: v if isinstance(v, str) else str(v) for k, v in attrs.items()})
+    for role in ("rows", "obs"):
+        for n, (_, a) in found[role].items():
+            texts = {k: x for k, x in a.items() if isinstance(x, str)}
+            if texts and n != "rowsize" and n in frame.rows.columns + frame.obs.columns:
+                frame = frame.describe(n, **texts)
     return frame
 
 
+class ArrayWriter(DataSourceArrowWriter):
+    """Writes partitions of nested rows as classic files; they appear under their names when all tasks are done."""
+
+    def __init__(self, folder: str, layout: dict, overwrite: bool):
+        self.folder, self.layout, self.overwrite, self.attempt = folder.rstrip("/"), layout, overwrite, uuid.uuid4().hex[:12]
+
+    def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        """Files of whole rows, as many of them as a file may have, or one longer row."""
+        part, made = TaskContext.get().partitionId(), []
+        most_rows, most, held, rows, n = self.layout["rows_in_file"], self.layout["obs_in_file"], [], 0, 0
+        system, top = store(self.folder)
+        temporary = f"{top}/_temporary/{self.attempt}"
+
+        def put() -> None:
+            system.create_dir(temporary, recursive=True)
+            name = f"part-{part:06d}-{len(made):06d}.nc"
+            mine = f"{name}.{uuid.uuid4().hex[:8]}"  # each attempt of a task has files of its own
+            with system.open_output_stream(f"{temporary}/{mine}") as out:
+                for piece in self._file(pa.Table.from_batches(held)):
+                    out.write(piece)
+            made.append((mine, name))
+
+        for batch in batches:
+            sizes = batch.column(batch.schema.get_field_index("rowsize")).to_numpy(zero_copy_only=False)
+            begin = 0
+            for i, k in enumerate(sizes):
+                if rows and (n + k > most or rows == most_rows):
+                    held.append(batch.slice(begin, i - begin))
+                    put()
+                    held.clear()
+                    rows, n, begin = 0, 0, i
+                rows, n = rows + 1, n + int(k)
+            held.append(batch.slice(begin))
+        if sum(b.num_rows for b in held):
+            put()
+        return Written(made)
+
+    def _file(self, table: pa.Table) -> Iterator[bytes]:
+        layout, variables = self.layout, []
+        obs = table["obs"].combine_chunks()
+        arrays = dict(zip((f.name for f in obs.type), obs.flatten(), strict=True))  # null where the row has no observations
+        for role, columns in (("rows", {c: table[c].combine_chunks() for c in layout["rows"]}), ("obs", {c: pa.compute.list_flatten(arrays[c]) for c in layout["obs"]})):
+            for name, values in columns.items():
+                kind, attrs = layout[role][name]
+                variables.append((name, role, *_stored(values, kind, attrs, role == "obs")))
+        dims = {"rows": table.num_rows, "obs": len(variables[-1][2]) if layout["obs"] else 0}
+        return file_bytes(layout["version"], layout["attrs"], dims, variables, "obs" if layout["unlimited"] else None)
+
+    def commit(self, messages: list) -> None:
+        """Give files their names, which sort by partition; what stood in the folder goes if it is to be overwritten."""
+        system, top = store(self.folder)
+        system.create_dir(top, recursive=True)
+        made = [m for w in messages if w is not None for m in w.files]
+        if self.overwrite:
+            for old in listed(self.folder):
+                system.delete_file(store(old)[1])
+        for mine, name in made:
+            system.move(f"{top}/_temporary/{self.attempt}/{mine}", f"{top}/{name}")
+        self.abort(messages)
+
+    def abort(self, messages: list) -> None:
+        from pyarrow import fs
+
+        system, top = store(self.folder)
+        for path in (f"{top}/_temporary/{self.attempt}", f"{top}/_temporary"):
+            if system.get_file_info(path).type == fs.FileType.Directory and (path.endswith(self.attempt) or not system.get_file_info(fs.FileSelector(path))):
+                system.delete_dir(path)
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    """The files of a task: (name while the job runs, name)."""
+
+    files: list[tuple[str, str]]
+
+
+def _stored(values: pa.Array, kind: str, attrs: dict, ranged: bool) -> tuple[np.ndarray, dict]:
+    """Values in the file's type, missing ones by the column's fill, and their attributes; numbers of observations state their range."""
+    attrs = dict(attrs)
+    if kind.startswith("S"):
+        return np.array([(x or "").encode() for x in values.to_pylist()], kind), attrs
+    fill = attrs.pop("_FillValue", math.nan)
+    dtype = np.dtype(kind)
+    if dtype.kind == "f":
+        x = values.cast(pa.float64()).fill_null(math.nan).to_numpy(zero_copy_only=False).astype(dtype)
+        real = x[np.isfinite(x)]
+    else:
+        whole = values.cast(pa.int64())
+        real = whole.drop_null().to_numpy(zero_copy_only=False).astype(dtype)
+        x = whole.fill_null(0 if math.isnan(fill) else int(fill)).to_numpy(zero_copy_only=False).astype(dtype)
+        if not math.isnan(fill):
+            attrs["_FillValue"] = np.array([fill], dtype)
+    if ranged and len(real):
+        attrs["actual_range"] = np.array([real.min(), real.max()], dtype)
+    return x, attrs
+
+
+def _layout(frame: RaggedFrame) -> tuple[int, dict, dict]:
+    """(version, row columns, observation columns) with a type and attributes each, decided over all values once.
+
+    Integers have 32 bits where all fit and 64 in version 5; nulls get a value beyond the column's
+    range. Texts are as wide as the widest. Doubles and floats have NaN for null.
+    """
+    version, out = 2, []
+    for df in (frame.rows, frame.obs):
+        fields_ = [f for f in df.schema.fields if f.name not in (ROW, OBS, "rowsize")]
+        whole = [f.name for f in fields_ if f.dataType.typeName() in ("byte", "short", "integer", "long", "boolean")]
+        texts = [f.name for f in fields_ if f.dataType.typeName() == "string"]
+        of = lambda c: F.col(f"`{c}`").cast("long")
+        ask = [x for i, c in enumerate(whole) for x in (F.min(of(c)).alias(f"low{i}"), F.max(of(c)).alias(f"high{i}"), F.bool_or(F.col(f"`{c}`").isNull()).alias(f"none{i}"))] + [F.max(F.octet_length(F.col(f"`{c}`"))).alias(f"wide{i}") for i, c in enumerate(texts)]
+        found = df.agg(*ask).first() if ask else {}
+        columns = {}
+        for f in fields_:
+            attrs = {k: str(v) for k, v in (f.metadata or {}).items()}
+            if f.name in whole:
+                i = whole.index(f.name)
+                low, high, none = found[f"low{i}"] or 0, found[f"high{i}"] or 0, found[f"none{i}"]
+                fill = (high + 1 if high < 2**62 else low - 1) if none else None
+                ends = [low, high] + ([fill] if fill is not None else [])
+                kind = "i4" if -(2**31) <= min(ends) and max(ends) < 2**31 else "i8"
+                version = 5 if kind == "i8" else version
+                columns[f.name] = (kind, attrs | ({"_FillValue": fill} if fill is not None else {}))
+            elif f.name in texts:
+                columns[f.name] = (f"S{max(1, found[f'wide{texts.index(f.name)}'] or 0)}", attrs)
+            elif f.dataType.typeName() in ("double", "float"):
+                columns[f.name] = ("f8" if f.dataType.typeName() == "double" else "f4", attrs)
+        out.append(columns)
+    return version, *out
+
+
+def write_netcdf(frame: RaggedFrame, folder: str, rows_in_file: int = 100_000, obs_in_file: int = 1 << 24, unlimited: bool = False) -> list[str]:
+    """Write a folder of classic files, each with whole rows in their order; returns their paths in order.
+
+    Rows are sorted by range over the tasks, with their observations as arrays; a file ends before
+    the row that would take it over ``rows_in_file`` rows or ``obs_in_file`` observations. With ``unlimited`` observations
+    may grow: they are interleaved records. Numbers, truth values (as 0 and 1) and texts are
+    written, each column in one type over all files; other columns are left out. Files appear
+    when all are written, or not at all. A folder that exists is replaced.
+    """
+    spark = frame.rows.sparkSession
+    spark.dataSource.register(ArrayFiles)
+    version, rows, obs = _layout(frame)
+    rowsize = F.coalesce(F.col("rowsize"), F.lit(0)).cast("long")
+    slim = RaggedFrame(frame.rows.select(ROW, rowsize.alias("rowsize"), *(F.col(f"`{c}`") for c in rows)), frame.obs.select(ROW, OBS, *(F.col(f"`{c}`") for c in obs)))
+    nested = slim.to_nested() if obs else slim.rows.withColumn("obs", F.struct(F.array().cast("array<int>").alias("none")))
+    size, n_rows, n_obs = (x or 0 for x in frame.rows.agg(F.max("rowsize"), F.count(F.lit(1)), F.sum("rowsize")).first())
+    parts = max(1, -(-n_rows // rows_in_file), -(-n_obs // obs_in_file))
+    layout = {"version": version, "attrs": {k: str(v) for k, v in frame.attrs.items()}, "rows": {"rowsize": ("i4" if size < 2**31 else "i8", {}), **rows}, "obs": obs, "rows_in_file": rows_in_file, "obs_in_file": obs_in_file, "unlimited": unlimited}
+    nested.repartitionByRange(parts, ROW).sortWithinPartitions(ROW).write.format("netcdf").mode("overwrite").option("layout", json.dumps(layout)).save(folder)
+    return listed(folder)
+
+
 def ragged_of(rows: DataFrame, flat: DataFrame, attrs: dict[str, str]) -> RaggedFrame:
     """A ragged frame of rows with their counts and flat observations numbered by ``at``: each finds its row by the counts."""
     placed = offsets(rows.withColumn("rowsize", F.col("rowsize").cast("long"))).filter("rowsize > 0").select(ROW, "start", "stop")
@@ -149,153 +446,150 @@ def ragged_of(rows: DataFrame, flat: DataFrame, attrs: dict[str, str]) -> Ragged
     return RaggedFrame(rows.withColumn("rowsize", F.col("rowsize").cast("long")), obs, attrs)
 
 
-def _classic(attrs: dict[str, str], dims: dict[str, int], columns: list[tuple[str, str, np.ndarray, dict]]) -> Iterator[bytes]:
-    """Bytes of a classic file (64-bit offsets) with these attributes, dimensions and (name, dimension, values, attributes)."""
-    text = lambda s: struct.pack(">i", len(s.encode())) + s.encode() + b"\0" * (-len(s.encode()) % 4)
-    kinds = {"f": 5, "d": 6, "i": 4}
+# ---- Zarr (version 2) ----
 
-    def attributes(a: dict[str, str]) -> bytes:
-        return struct.pack(">ii", NC_ATTRIBUTE if a else 0, len(a)) + b"".join(text(k) + struct.pack(">i", 2) + text(v) for k, v in a.items())
 
-    head = b"CDF\x02" + struct.pack(">i", 0) + struct.pack(">ii", NC_DIMENSION, len(dims)) + b"".join(text(d) + struct.pack(">i", n) for d, n in dims.items())
-    head += attributes(attrs) + struct.pack(">ii", NC_VARIABLE, len(columns))
-    numbers = {d: i for i, d in enumerate(dims)}
-    parts = [(text(n) + struct.pack(">ii", 1, numbers[d]) + attributes(a) + struct.pack(">ii", kinds[v.dtype.char], v.nbytes + -v.nbytes % 4), v) for n, d, v, a in columns]
-    at = len(head) + sum(len(p) + 8 for p, _ in parts)
-    for p, v in parts:
-        head += p + struct.pack(">q", at)
-        at += v.nbytes + -v.nbytes % 4
-    yield head
-    for _, v in parts:
-        raw = v.astype(v.dtype.newbyteorder(">")).tobytes()
-        yield raw + b"\0" * (-len(raw) % 4)
+def _json(system, path: str) -> dict:
+    """A JSON file's content; nothing where there is none."""
+    try:
+        with system.open_input_file(path) as f:
+            return json.loads(f.read())
+    except FileNotFoundError:
+        return {}
 
 
-def _plain(values: pd.Series, kind: str) -> np.ndarray:
-    """Values as the classic format has them: 32-bit integers, or doubles where they do not fit; missing ones are NaN."""
-    x = values.to_numpy(float)
-    if kind == "float":
-        return x.astype(np.float32)
-    if kind in ("double", "bigint", "long") and (kind == "double" or np.isnan(x).any() or (np.abs(x) > 2**31 - 1).any()):
-        return x
-    return x.astype(np.int32)
+def _zarr_arrays(uri: str) -> dict[str, tuple[dict, dict]]:
+    """(metadata, attributes) of the arrays of a folder by name: from its consolidated metadata, or array by array."""
+    from pyarrow import fs
 
+    system, path = store(uri)
+    whole = _json(system, f"{path}/.zmetadata").get("metadata", {})
+    if whole:
+        return {k.removesuffix("/.zarray"): (m, whole.get(k.removesuffix(".zarray") + ".zattrs", {})) for k, m in whole.items() if k.endswith("/.zarray")}
+    names = [x.base_name for x in system.get_file_info(fs.FileSelector(path)) if x.type == fs.FileType.Directory]
+    return {n: (m, _json(system, f"{path}/{n}/.zattrs")) for n in sorted(names) if (m := _json(system, f"{path}/{n}/.zarray"))}
+
+
+def unpacked(raw: bytes, meta: dict) -> np.ndarray | list[str]:
+    """The values of a chunk: packed by nothing, zlib, gzip, Zstandard, LZ4 or Blosc; texts may have lengths of their own."""
+    codec = (meta.get("compressor") or {}).get("id")
+    if codec in ("zlib", "gzip"):
+        raw = zlib.decompress(raw, 47)  # 47: zlib or gzip, as its head says
+    elif codec == "blosc":
+        raw = blosc.decode(raw)
+    elif codec == "zstd":
+        raw = pa.CompressedInputStream(pa.BufferReader(raw), "zstd").read()
+    elif codec == "lz4":
+        raw = pa.Codec("lz4_raw").decompress(raw[4:], int.from_bytes(raw[:4], "little"), asbytes=True)
+    elif codec:
+        raise ValueError(f"no decoder for chunks packed by {codec}")
+    if meta["dtype"] != "|O":
+        return np.frombuffer(raw, meta["dtype"])
+    out, at = [], 4
+    for _ in range(int.from_bytes(raw[:4], "little")):
+        n = int.from_bytes(raw[at : at + 4], "little")
+        out.append(raw[at + 4 : at + 4 + n].decode())
+        at += 4 + n
+    return out
 
-def write_netcdf(frame: RaggedFrame, folder: str, rows_in_file: int = 100_000) -> list[str]:
-    """Write a folder of classic files, each with whole rows in their order; returns their paths in order.
 
-    Rows are numbered from 0 and dealt to files by their number; a task holds one file's columns.
-    Numeric columns alone are written; integers beyond 32 bits become doubles, as the format asks.
-    """
-    spark = frame.rows.sparkSession
-    numbers = materialize(ranked(frame.rows, ROW, "__at"), "netcdf-rows")
-    numeric = lambda df: [f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float", "long", "integer", "short", "byte") and f.name not in (ROW, OBS, "rowsize", "__at")]
-    row_cols, obs_cols = numeric(frame.rows), numeric(frame.obs)
-    part = F.floor(F.col("__at") / rows_in_file).cast("long")
-    rows = numbers.select(part.alias("file"), "__at", ROW, F.col("rowsize").cast("long").alias("rowsize"), *row_cols)
-    obs = frame.obs.select(ROW, OBS, *obs_cols).join(numbers.select(F.col(ROW).alias("__row"), F.col("__at").alias("__of")), F.col(ROW) == F.col("__row")).withColumn("file", F.floor(F.col("__of") / rows_in_file).cast("long")).drop("__row")
-    kinds = dict(rows.dtypes) | dict(obs.dtypes)
-    attrs = {c: {k: str(v) for k, v in frame.attributes(c).items()} for c in (*row_cols, *obs_cols)}
-    general = {k: str(v) for k, v in frame.attrs.items()}
-    clean = lambda df, cs: df.withColumns({c: F.when(F.col(c).isNull(), float("nan")).otherwise(F.col(c).cast("double")) for c in cs})
-
-    def write(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        a, b = a.sort_values("__at"), b.sort_values(["__of", OBS])
-        columns = [("rowsize", "rows", a["rowsize"].to_numpy(np.int32), {}), *((c, "rows", _plain(a[c], kinds[c]), attrs[c]) for c in row_cols), *((c, "obs", _plain(b[c], kinds[c]), attrs[c]) for c in obs_cols)]
-        uri = f"{folder.rstrip('/')}/part-{key[0]:06d}.nc"
-        system, path = store(uri)
-        system.create_dir(path.rsplit("/", 1)[0], recursive=True)
-        with system.open_output_stream(f"{path}.part") as out:
-            for piece in _classic(general, {"rows": len(a), "obs": len(b)}, columns):
-                out.write(piece)
-        system.move(f"{path}.part", path)
-        return pd.DataFrame({"file": [key[0]], "path": [uri]})
+def packed(values: np.ndarray, compressor: dict | None) -> bytes:
+    """A chunk's bytes: as they are, by zlib, or as a Blosc frame."""
+    raw, how = values.tobytes(), compressor or {}
+    if not how:
+        return raw
+    if how["id"] == "zlib":
+        return zlib.compress(raw, how.get("level", 1))
+    if how["id"] == "blosc":
+        return blosc.encode(raw, values.dtype.itemsize, how.get("cname", "lz4"), {0: "none", 1: "bytes", 2: "bits"}[how.get("shuffle", 1)], how.get("clevel", 5))
+    raise ValueError(f"no encoder for chunks packed by {how['id']}")
 
-    written = clean(rows, row_cols).groupBy("file").cogroup(clean(obs, obs_cols).groupBy("file")).applyInPandas(write, "file long, path string")
-    return [r.path for r in materialize(written, "netcdf-files").orderBy("file").toLocalIterator()]
 
+def _zarr_type(meta: dict, attrs: dict) -> str:
+    if meta["dtype"] == "|O":
+        return "string"
+    return "double" if {"scale_factor", "add_offset"} & set(attrs) else type_of(meta["dtype"])
 
-# ---- Zarr (version 2) ----
 
+def _known(meta: dict) -> bool:
+    """One-dimensional arrays of numbers, truth values and texts; objects only as texts."""
+    return len(meta["shape"]) == 1 and (np.dtype(meta["dtype"]).kind in "biufSU" or [f.get("id") for f in meta.get("filters") or []] == ["vlen-utf8"])
 
-def _zarr_arrays(uri: str) -> dict[str, tuple[dict, dict]]:
-    """(metadata, attributes) of the arrays of a folder by name."""
-    from pyarrow import fs
 
-    system, path = store(uri)
-    out = {}
-    for item in system.get_file_info(fs.FileSelector(path)):
-        if item.type == fs.FileType.Directory:
-            kept = []
-            for name in (".zarray", ".zattrs"):
-                try:
-                    with system.open_input_file(f"{item.path}/{name}") as f:
-                        kept.append(json.loads(f.read()))
-                except FileNotFoundError:
-                    kept.append({})
-            if kept[0]:
-                out[item.base_name] = (kept[0], kept[1])
-    return out
+def _chunked(system, path: str, meta: dict, a: int, b: int) -> np.ndarray | list[str]:
+    """Values from ``a`` to before ``b``, of all chunks that they are in; an absent chunk has the fill value."""
+    size, out = meta["chunks"][0], []
+    for k in range(a // size, (b - 1) // size + 1):
+        try:
+            with system.open_input_file(f"{path}/{k}") as f:
+                values = unpacked(f.read(), meta)
+        except FileNotFoundError:
+            fill = meta["fill_value"]
+            values = [fill or ""] * size if meta["dtype"] == "|O" else np.full(size, float(fill.replace("Infinity", "inf")) if isinstance(fill, str) and np.dtype(meta["dtype"]).kind == "f" else fill or 0, meta["dtype"])
+        out.append(values[max(0, a - k * size) : b - k * size])
+    return out[0] if len(out) == 1 else sum(out, []) if meta["dtype"] == "|O" else np.concatenate(out)
+
+
+def _zarr_column(values, meta: dict, attrs: dict) -> pa.Array:
+    if meta["dtype"] == "|O":
+        return pa.array(values, pa.string())
+    kind = np.dtype(meta["dtype"]).kind
+    if kind in "SU":
+        return pa.array([x.decode(errors="replace") if kind == "S" else str(x) for x in values], pa.string())
+    return decoded(values, attrs, _zarr_type(meta, attrs))
 
 
-def read_zarr(spark: SparkSession, uri: str, rows_dim: str = "traj", obs_dim: str = "obs") -> RaggedFrame:
-    """A ragged frame of a Zarr folder with one-dimensional numeric arrays, uncompressed or by zlib or gzip; a chunk a task.
+def read_zarr(spark: SparkSession, uri: str, rows_dim: str = "traj", obs_dim: str = "obs", columns: list[str] | None = None) -> RaggedFrame:
+    """A ragged frame of a Zarr folder (version 2) with one-dimensional arrays; a chunk of the longest kind a task.
 
-    An array's dimension is its ``_ARRAY_DIMENSIONS`` attribute. A chunk that is absent has the
-    fill value. Arrays of one dimension share its chunk length.
+    Chunks may be packed by zlib, gzip, Zstandard, LZ4 or Blosc. Arrays hold numbers, truth values or
+    texts of fixed or own width; others are left out. An array's dimension is its
+    ``_ARRAY_DIMENSIONS`` attribute. A chunk that is absent has the fill value. Values that the
+    attributes ``_FillValue`` and ``missing_value`` name are null; packed values are unpacked.
     """
-    arrays = {n: a for n, a in _zarr_arrays(uri).items() if len(a[0]["shape"]) == 1 and np.dtype(a[0]["dtype"]).kind in "iuf"}
-    for n, (meta, _) in arrays.items():
-        if meta.get("filters") or (meta["compressor"] or {}).get("id", "zlib") not in ("zlib", "gzip"):
-            raise ValueError(f"{n}: only zlib and gzip are known here")
-
-    def columns(dim: str) -> DataFrame:
-        mine = {n: m for n, (m, a) in arrays.items() if a.get("_ARRAY_DIMENSIONS") == [dim]}
-        sizes = {(m["shape"][0], m["chunks"][0]) for m in mine.values()}
+    arrays = {n: a for n, a in _zarr_arrays(uri).items() if _known(a[0]) and (columns is None or n in columns or n == "rowsize")}
+
+    def table(dim: str) -> DataFrame:
+        mine = {n: (m, a) for n, (m, a) in arrays.items() if a.get("_ARRAY_DIMENSIONS") == [dim]}
+        sizes = {m["shape"][0] for m, _ in mine.values()}
         if len(sizes) != 1:
-            raise ValueError(f"arrays along {dim} must have one length and chunk length")
-        size, chunk = sizes.pop()
-        schema = T.StructType([T.StructField("at", T.LongType()), *(T.StructField(n, _spark_type(m["dtype"])) for n, m in mine.items())])
+            raise ValueError(f"arrays along {dim} must have one length")
+        size, chunk = sizes.pop(), max(m["chunks"][0] for m, _ in mine.values())
+        schema = T.StructType([T.StructField("at", T.LongType()), *(T.StructField(n, SPARK[_zarr_type(m, a)]) for n, (m, a) in mine.items())])
 
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             system, path = store(uri)
-            for frame in frames:
-                for k in frame["id"]:
-                    n = min(chunk, size - k * chunk)
-                    out = {"at": np.arange(k * chunk, k * chunk + n)}
-                    for name, m in mine.items():
-                        try:
-                            with system.open_input_file(f"{path}/{name}/{k}") as f:
-                                raw = f.read()
-                            raw = zlib.decompress(raw, 47) if m["compressor"] else raw  # 47: zlib or gzip, as its head says
-                            values = np.frombuffer(raw, m["dtype"])[:n]
-                        except FileNotFoundError:
-                            values = np.full(n, float("nan") if m["fill_value"] == "NaN" else m["fill_value"] or 0, m["dtype"])
-                        out[name] = values.astype(np.dtype(m["dtype"]).newbyteorder("="))
-                    yield pd.DataFrame(out)
+            for batch in batches:
+                for k in batch.column(0).to_pylist():
+                    a, b = k * chunk, min(size, (k + 1) * chunk)
+                    out = [pa.array(np.arange(a, b)), *(_zarr_column(_chunked(system, f"{path}/{n}", m, a, b), m, t) for n, (m, t) in mine.items())]
+                    yield from pa.Table.from_arrays(out, names=schema.names).to_batches(BATCH)
 
         chunks = -(-size // chunk)
-        return spark.range(0, chunks, 1, max(1, min(chunks, 10_000))).mapInPandas(run, schema)
+        return spark.range(0, chunks, 1, max(1, min(chunks, 10_000))).mapInArrow(run, schema)
 
     system, path = store(uri)
-    try:
-        with system.open_input_file(f"{path}/.zattrs") as f:
-            attrs = {k: str(v) for k, v in json.loads(f.read()).items()}
-    except FileNotFoundError:
-        attrs = {}
-    frame = ragged_of(columns(rows_dim).withColumnRenamed("at", ROW), columns(obs_dim), attrs)
+    attrs = {k: v if isinstance(v, str) else json.dumps(v) for k, v in _json(system, f"{path}/.zattrs").items()}
+    frame = ragged_of(table(rows_dim).withColumnRenamed("at", ROW), table(obs_dim), attrs)
     for n, (_, a) in arrays.items():
-        if n != "rowsize":
+        if n != "rowsize" and n in frame.rows.columns + frame.obs.columns:
             frame = frame.describe(n, **{k: v for k, v in a.items() if isinstance(v, str)})
     return frame
 
 
-def write_zarr(frame: RaggedFrame, uri: str, chunk: int = 1 << 20, rows_dim: str = "traj", obs_dim: str = "obs") -> None:
-    """Write a Zarr folder: numeric columns as arrays in zlib chunks, each chunk by one task; rows numbered from 0 in their order."""
+def write_zarr(frame: RaggedFrame, uri: str, chunk: int = 1 << 20, rows_dim: str = "traj", obs_dim: str = "obs", compressor: dict | None = None) -> None:
+    """Write a Zarr folder: numbers, truth values (as 0 and 1) and texts as arrays, each chunk by one task; rows numbered from 0 in their order.
+
+    ``compressor`` is that of the archive's metadata, zlib unless given: ``{"id": "blosc", "cname":
+    "lz4", "clevel": 5, "shuffle": 1}`` packs frames, and an empty one nothing. An integer null is
+    a value beyond the column's range, which the attribute ``_FillValue`` names; floats have NaN.
+    """
+    how = {"id": "zlib", "level": 1} if compressor is None else compressor
+    _, row_kinds, obs_kinds = _layout(frame)
     placed = offsets(ranked(frame.rows, ROW, "__at").withColumn("__row", F.col(ROW)).withColumn(ROW, F.col("__at")))
-    rows = placed.select(F.col(ROW).alias("at"), F.col("rowsize").cast("long").alias("rowsize"), *(c for c, t in frame.rows.dtypes if t in ("double", "float", "bigint", "int") and c not in (ROW, "rowsize")))
+    rows = placed.select(F.col(ROW).alias("at"), F.coalesce(F.col("rowsize"), F.lit(0)).cast("long").alias("rowsize"), *(F.col(f"`{c}`") for c in row_kinds))
     starts = placed.select(F.col("__row").alias(ROW), "start")
-    obs = frame.obs.join(starts, ROW).select((F.col("start") + F.col(OBS)).alias("at"), *(c for c, t in frame.obs.dtypes if t in ("double", "float", "bigint", "int") and c not in (ROW, OBS)))
+    obs = frame.obs.join(starts, ROW).select((F.col("start") + F.col(OBS)).alias("at"), *(F.col(f"`{c}`") for c in obs_kinds))
     system, path = store(uri)
 
     def put(name: str, content: dict) -> None:
@@ -305,32 +599,31 @@ def write_zarr(frame: RaggedFrame, uri: str, chunk: int = 1 << 20, rows_dim: str
 
     put(".zgroup", {"zarr_format": 2})
     put(".zattrs", frame.attrs)
-    codes = {"double": "<f8", "float": "<f4", "bigint": "<i8", "int": "<i4"}
-    for dim, df in ((rows_dim, rows), (obs_dim, obs)):
-        kinds = {c: codes[t] for c, t in df.dtypes if c != "at"}
+    for dim, df, kinds in ((rows_dim, rows, {"rowsize": ("i8", {}), **row_kinds}), (obs_dim, obs, obs_kinds)):
         size = df.count()
-
-        filled = df.withColumns({c: F.coalesce(c, F.lit(float("nan") if k[1] == "f" else 0).cast(dict(df.dtypes)[c])) for c, k in kinds.items()})
-        filled.groupBy(F.floor(F.col("at") / chunk).alias("k")).applyInPandas(_chunk_writer(uri, kinds, chunk), "n long").count()
-        for c, kind in kinds.items():
-            held = frame.attributes(c) if c in frame.rows.columns + frame.obs.columns else {}
-            put(f"{c}/.zarray", {"zarr_format": 2, "shape": [size], "chunks": [chunk], "dtype": kind, "compressor": {"id": "zlib", "level": 1}, "fill_value": "NaN" if kind[1] == "f" else 0, "order": "C", "filters": None})
-            put(f"{c}/.zattrs", {"_ARRAY_DIMENSIONS": [dim], **{k: str(v) for k, v in held.items()}})
+        df.groupBy(F.floor(F.col("at") / chunk).alias("k")).applyInArrow(_chunk_writer(uri, kinds, chunk, how), "n long").count()
+        for c, (kind, attrs) in kinds.items():
+            code = np.dtype(kind).str
+            fill = "NaN" if code[1] == "f" else "" if code[1] == "S" else 0
+            put(f"{c}/.zarray", {"zarr_format": 2, "shape": [size], "chunks": [chunk], "dtype": code, "compressor": how or None, "fill_value": fill, "order": "C", "filters": None})
+            put(f"{c}/.zattrs", {"_ARRAY_DIMENSIONS": [dim], **attrs})
 
 
-def _chunk_writer(uri: str, kinds: dict[str, str], chunk: int):
+def _chunk_writer(uri: str, kinds: dict[str, tuple[str, dict]], chunk: int, compressor: dict):
     """Writes a chunk's columns, each to its file, whole or not at all."""
 
-    def write(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def write(key: tuple, table: pa.Table) -> pa.Table:
         system, path = store(uri)
-        pdf = pdf.sort_values("at")
-        for c, kind in kinds.items():
-            raw = pdf[c].to_numpy(kind).tobytes() + bytes((chunk - len(pdf)) * np.dtype(kind).itemsize)
-            target = f"{path}/{c}/{key[0]}"
+        table = table.sort_by("at")
+        for c, (kind, attrs) in kinds.items():
+            values, _ = _stored(table[c].combine_chunks(), kind, attrs, False)
+            full = np.concatenate([values, np.zeros(chunk - len(values), values.dtype)])
+            target = f"{path}/{c}/{key[0].as_py()}"
             system.create_dir(f"{path}/{c}", recursive=True)
-            with system.open_output_stream(f"{target}.part") as out:
-                out.write(zlib.compress(raw, 1))
-            system.move(f"{target}.part", target)
-        return pd.DataFrame({"n": [len(pdf)]})
+            part = f"{target}.{uuid.uuid4().hex[:8]}.part"  # each attempt of a task has a file of its own
+            with system.open_output_stream(part) as out:
+                out.write(packed(full, compressor))
+            system.move(part, target)
+        return pa.table({"n": [table.num_rows]})
 
     return write

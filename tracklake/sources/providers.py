@@ -5,7 +5,9 @@ Files are given by path; nothing is downloaded. What a provider marks as missing
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -319,11 +321,6 @@ def drifters(rows: DataFrame, obs: DataFrame, data: Sequence[str] = HOURLY_DATA)
     return RaggedFrame(rows, obs).recounted()
 
 
-def in_order(rows: DataFrame, ids: Sequence[int]) -> list[int]:
-    """The wanted ids in the order of a metadata table, by its start date; few enough for the driver, which names them."""
-    return [r.ID for r in rows.filter(F.col("ID").isin(list(ids))).orderBy("Start_date", "ID").select("ID").collect()]
-
-
 def by_date(rows: DataFrame, ids: DataFrame, date: str = "Start_date", key: str = "ID") -> DataFrame:
     """The rows of a metadata table whose id is asked for, with their ``place`` from 0 by date, then id."""
     return ranked(rows.join(ids.select(key).distinct(), key, "left_semi"), [date, key], "place")
@@ -331,17 +328,60 @@ def by_date(rows: DataFrame, ids: DataFrame, date: str = "Start_date", key: str
 
 # ---- published archives in array files ----
 
+# How array files write times, and microseconds of their units.
+SINCE = re.compile(r"^(microsecond|millisecond|second|minute|hour|day)s? since (\d{4}-\d{1,2}-\d{1,2})(?:[T ](\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?))?")
+MICROS = {"microsecond": 1, "millisecond": 1_000, "second": 1_000_000, "minute": 60_000_000, "hour": 3_600_000_000, "day": 86_400_000_000}
+
 
-def gdp1h(spark: SparkSession, uri: str) -> RaggedFrame:
-    """The hourly drifters from a Zarr folder with dimensions traj and obs."""
-    return read_zarr(spark, uri)
+def decode_times(frame: RaggedFrame) -> RaggedFrame:
+    """Timestamps for numeric columns whose ``units`` count from a date ("seconds since 1970-01-01"); NaN becomes null.
+
+    Doubles are rounded to microseconds. Other columns, and units that do not count from a date, stay.
+    """
+    out = []
+    for df in (frame.rows, frame.obs):
+        for f in df.schema.fields:
+            found = SINCE.match(str(f.metadata.get("units", ""))) if f.dataType.typeName() in ("double", "float", "long", "integer") else None
+            if not found:
+                continue
+            start = datetime.fromisoformat("-".join(x.zfill(2) for x in found[2].split("-")) + "T" + (found[3] or "00:00").zfill(5)).replace(tzinfo=UTC)
+            epoch = round((start - datetime(1970, 1, 1, tzinfo=UTC)).total_seconds() * 1e6)
+            col = F.col(f"`{f.name}`")
+            micros = F.round(col * MICROS[found[1]]) if f.dataType.typeName() in ("double", "float") else col.cast("long") * MICROS[found[1]]
+            df = df.withColumn(f.name, F.when(~F.isnan(col.cast("double")), F.timestamp_micros(micros.cast("long") + epoch)))
+            df = df.withMetadata(f.name, {k: v for k, v in f.metadata.items() if k != "units"})
+        out.append(df)
+    return RaggedFrame(*out, frame.attrs)
+
+
+def _archive(frame: RaggedFrame, data: Sequence[str], times: bool) -> RaggedFrame:
+    """An archive's columns cleaned as those of the files it was made of, with its attributes; times as timestamps."""
+    clean = drifters(frame.rows, frame.obs, data)
+    out = RaggedFrame(clean.rows, clean.obs, frame.attrs)
+    names = {"ID": "id", "longitude": "lon", "latitude": "lat"}
+    for df in (frame.rows, frame.obs):
+        for f in df.schema.fields:
+            if f.metadata and names.get(f.name, f.name) in out.rows.columns + out.obs.columns:
+                out = out.describe(names.get(f.name, f.name), **f.metadata)
+    return decode_times(out) if times else out
+
+
+def gdp1h(spark: SparkSession, uri: str, times: bool = True) -> RaggedFrame:
+    """The hourly drifters from a Zarr folder with dimensions traj and obs.
+
+    Texts are cut, units stripped, fills null, longitude and latitude renamed and floats single,
+    as for the drifters' own files; columns that the archive lacks are left out. ``times`` makes
+    timestamps of columns whose units count from a date.
+    """
+    return _archive(read_zarr(spark, uri), HOURLY_DATA, times)
 
 
-def gdp6h(spark: SparkSession, uri: str) -> RaggedFrame:
-    """The six-hourly drifters from a Zarr folder with dimensions traj and obs."""
-    return read_zarr(spark, uri)
+def gdp6h(spark: SparkSession, uri: str, times: bool = True) -> RaggedFrame:
+    """The six-hourly drifters from a Zarr folder with dimensions traj and obs; otherwise as ``gdp1h``."""
+    return _archive(read_zarr(spark, uri), SIX_HOURLY_DATA, times)
 
 
-def spotters(spark: SparkSession, uri: str) -> RaggedFrame:
-    """Wave buoys from a Zarr folder with dimensions trajectory and index."""
-    return read_zarr(spark, uri, "trajectory", "index")
+def spotters(spark: SparkSession, uri: str, times: bool = True) -> RaggedFrame:
+    """Wave buoys from a Zarr folder with dimensions trajectory and index; ``times`` as in ``gdp1h``."""
+    frame = read_zarr(spark, uri, "trajectory", "index")
+    return decode_times(frame) if times else frame
