@@ -1,0 +1,116 @@
+"""Rows cut into blocks give what whole rows give."""
+
+import numpy as np
+import pytest
+from frames import of
+
+from tracklake.model import OBS, ROW, RaggedFrame
+from tracklake.operators import apply, signals, transfer
+
+RNG = np.random.default_rng(11)
+LENGTHS = (3000, 40, 2501, 40, 1)
+
+
+@pytest.fixture(scope="module")
+def long(spark):
+    rows = [np.cumsum(RNG.normal(size=n)) for n in LENGTHS]
+    f = of(spark, *(r.tolist() for r in rows))
+    return rows, f
+
+
+def cube(df, names):
+    pdf = df.toPandas().sort_values([ROW, "order", "freq_idx", OBS])
+    return {r: np.array([(p[f"{n}re"] + 1j * p[f"{n}im"]).to_numpy() for n in names]) for r, p in pdf.groupby(ROW)}
+
+
+@pytest.mark.parametrize("boundary", ["mirror", "zeros", "periodic"])
+@pytest.mark.parametrize(("gamma", "beta", "frequencies", "order", "block"), [(3.0, 10.0, [0.5, -0.8, 1.0], 2, 700), (3.0, 20.0, [0.7], 1, 64)])
+def test_wavelets_of_blocks(long, boundary, gamma, beta, frequencies, order, block):
+    rows, f = long
+    reach = signals.halo(gamma, beta, tuple(frequencies), order)
+    assert reach and 3000 > 2 * max(block, 4 * reach) and 40 < block  # the first row is cut
+    got = cube(apply.wavelets(f, "x", gamma, beta, frequencies, order, boundary=boundary, block=block), [""])
+    for i, x in enumerate(rows):
+        want = signals.morse_transform(x, gamma, beta, frequencies, order, boundary=boundary)
+        assert np.abs(got[i][0] - want.ravel()).max() < 1e-9 * max(1, np.abs(x).max())
+
+
+def test_a_block_is_a_task_of_its_own(long):
+    """The work of a row of n places is n / block groups, none of them with more than a block and two halos."""
+    _, f = long
+    reach, block = signals.halo(3.0, 20.0, (0.7,)), 400
+    cut = apply._cut_evenly(f, reach, max(block, 4 * reach))
+    sizes = apply._blocks(f, ["x"], cut, "mirror").groupBy(ROW, "part").count().collect()
+    size = max(block, 4 * reach)
+    long_ = [r for r in sizes if r.part >= 0]
+    assert {(r[ROW], r.part) for r in long_} == {(i, k) for i in (0, 2) if LENGTHS[i] > 2 * size for k in range(-(-LENGTHS[i] // size))}
+    assert long_ and max(r["count"] for r in long_) <= size + 2 * reach
+
+
+def test_wavelets_that_nyquist_cuts_off_have_no_halo():
+    assert signals.halo(3.0, 4.0, (2.5,), most=1 << 14) is None
+    near, far = signals.halo(3.0, 4.0, (0.5,), tolerance=1e-6), signals.halo(3.0, 4.0, (0.5,), tolerance=1e-8)
+    wave = np.abs(np.fft.ifft(signals.morse_spectrum(1 << 16, 3.0, 4.0, [0.5])))[0, 0]
+    for reach, tolerance in ((near, 1e-6), (far, 1e-8)):
+        assert wave[reach : len(wave) - reach].sum() <= 1.01 * tolerance * wave.sum()
+    assert near < far
+
+
+@pytest.mark.parametrize("boundary", ["mirror", "zeros", "periodic"])
+def test_positions_in_blocks(spark, boundary):
+    n = 3000
+    lon, lat = np.cumsum(RNG.normal(size=n) * 0.05) + 175, np.clip(np.cumsum(RNG.normal(size=n) * 0.03) + 20, -80, 80)
+    f = RaggedFrame(spark.createDataFrame([(0, n)], f"{ROW} long, rowsize long"), spark.createDataFrame([(0, i, float(a), float(b)) for i, (a, b) in enumerate(zip(lon, lat, strict=True))], f"{ROW} long, {OBS} long, lon double, lat double"))
+    got = cube(apply.wavelets_on_sphere(f, "lon", "lat", 3.0, 20.0, [0.6, 0.9], boundary=boundary, block=100), ["east_", "north_"])[0]
+    want = signals.morse_on_sphere(lon, lat, 3.0, 20.0, [0.6, 0.9], boundary=boundary)
+    assert max(np.abs(g - w.ravel()).max() for g, w in zip(got, want, strict=True)) < 1e-9 * 6.4e6
+    got = apply.inertial(f, relative_bandwidth=0.2, time_step=7200.0, block=300).toPandas().sort_values(OBS)
+    want = signals.inertial_oscillation(lon, lat, relative_bandwidth=0.2, time_step=7200.0)
+    assert np.abs(got.x - want[0]).max() < 1e-2 and np.abs(got.y - want[1]).max() < 1e-2 and np.abs(want[0]).max() > 10
+
+
+def test_inertial_oscillation_is_cut_and_the_same(spark):
+    """At a latitude with short wavelets the row is cut; a short row beside it is not."""
+    n = 12_000
+    t = np.arange(n)
+    lat = 45 + 0.1 * np.sin(2 * np.pi * t / 17) + 1e-4 * t
+    lon = 10 + 0.1 * np.cos(2 * np.pi * t / 17)
+    beta = signals.inertial_beta(0.3, None)
+    w = signals.inertial_frequency(lat)
+    freqs = signals.inertial_frequencies(n, w.min(), w.min(), w.max(), beta)
+    reach = signals.halo(3.0, beta, tuple(freqs.tolist()), tolerance=1e-9)
+    assert reach and n > 8 * reach
+    rows = spark.createDataFrame([(0, n), (1, 30)], f"{ROW} long, rowsize long")
+    obs = spark.createDataFrame([(r, i, float(lon[i]), float(lat[i])) for r, k in ((0, n), (1, 30)) for i in range(k)], f"{ROW} long, {OBS} long, lon double, lat double")
+    got = apply.inertial(RaggedFrame(rows, obs), relative_bandwidth=0.3, tolerance=1e-9, block=100).toPandas().sort_values([ROW, OBS])
+    for r, k in ((0, n), (1, 30)):
+        want = signals.inertial_oscillation(lon[:k], lat[:k], relative_bandwidth=0.3)
+        mine = got[got[ROW] == r]
+        assert np.allclose(mine.x, want[0], atol=2e-2, equal_nan=True) and np.allclose(mine.y, want[1], atol=2e-2, equal_nan=True)
+    assert got.x.abs().max() > 1000
+
+
+@pytest.mark.parametrize("step", [1, 3, 7])
+@pytest.mark.parametrize("kernel", ["uniform", "epanechnikov"])
+@pytest.mark.parametrize("window", [7, 10])
+def test_sliding_filter_of_blocks(long, step, kernel, window):
+    rows, f = long
+    f = RaggedFrame(f.rows.filter(f"{ROW} <> 4"), f.obs.filter(f"{ROW} <> 4"))
+    low = np.abs(np.fft.fftfreq(window)) < 0.25
+    got = apply.filtered_sliding(f, "x", low.astype(float), window, step, kernel=kernel, block=64).toPandas().sort_values([ROW, OBS])
+    for i, x in enumerate(rows[:4]):
+        want = transfer.apply_sliding_transfer(x, low.astype(float), window, step, kernel=kernel)[1]
+        mine = got[got[ROW] == i]
+        assert len(mine) == len(x) and np.allclose(mine.x_re + 1j * mine.x_im, want, equal_nan=True, atol=1e-9)
+
+
+def test_frequency_bounds_are_those_of_a_grid():
+    """The root agrees with a search of the whole grid."""
+    for gamma in (2.0, 3.0, 4.0):
+        for beta in (1.0, 4.0, 10.0, 27.0):
+            for eta in (0.05, 0.1, 0.5):
+                grid = np.linspace(0, np.pi, 10_000)[1:]
+                peak = (beta / gamma) ** (1 / gamma)
+                at = peak * np.pi / grid
+                level = beta * np.log(at / peak) - at**gamma + peak**gamma
+                assert np.isclose(signals.morse_high(gamma, beta, eta), grid[np.argmax(level > np.log(eta))], rtol=1e-12)

@@ -60,20 +60,40 @@ def apply_sliding_transfer(x, response, window: int | None = None, step: int = 1
             warnings.warn("dt has no effect on an array", stacklevel=2)
     if not isinstance(step, int) or step <= 0:
         raise ValueError("step must be a positive integer")
-    weights = kernel_weights(kernel, window)
     before = window // 2
     wide = np.pad(x, (before, window - before), mode="reflect")
-    starts = np.arange(0, len(wide) - window + 1, step)
+    filtered, average = _overlapped(wide, np.arange(0, len(wide) - window + 1, step), gain, kernel_weights(kernel, window))
+    out = np.zeros((n // step + 1, window), complex)
+    out[: len(filtered)] = filtered[: len(out)]
+    return out, average[before : before + n]
+
+
+def _overlapped(wide: np.ndarray, starts: np.ndarray, gain: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows from ``starts`` on, filtered, and their weighted average at each place."""
+    window = len(gain)
     filtered = np.fft.ifft(np.fft.fft(np.lib.stride_tricks.sliding_window_view(wide, window)[starts]) * gain)
     total, weight = np.zeros(len(wide), complex), np.zeros(len(wide))
-    places = starts[:, None] + np.arange(window)
-    np.add.at(total, places, filtered * weights)
-    np.add.at(weight, places, np.broadcast_to(weights, places.shape))
+    for k in range(window):  # a window starts at a place once, so each sum is over different places
+        total[starts + k] += filtered[:, k] * weights[k]
+        weight[starts + k] += weights[k]
     with np.errstate(divide="ignore", invalid="ignore"):
-        average = (total / weight)[before : before + n]
-    out = np.zeros((n // step + 1, window), complex)
-    out[: len(filtered)] = filtered[: len(out)]
-    return out, average
+        return filtered, total / weight
+
+
+def sliding_block(x: np.ndarray, at: int, first: int, length: int, n: int, response, window: int, step: int, dt: float | None, kernel: str) -> np.ndarray:
+    """The average of a row's places ``first`` to ``first + length``, from its values from place ``at`` on.
+
+    The row has ``n`` places; at its ends the values are mirrored as those of a whole row are.
+    Windows start where those of the whole row do.
+    """
+    gain = response(2 * math.pi * np.fft.fftfreq(window, dt)) if callable(response) else np.asarray(response)
+    before = window // 2
+    left, right = max(0, before - at) if at == 0 else 0, window - before if at + len(x) == n else 0
+    wide = np.pad(x, (left, right), mode="reflect")
+    origin = at - left + before  # of the first value of wide, in places of the whole mirrored row
+    starts = np.arange(-(-origin // step) * step, origin + len(wide) - window + 1, step) - origin
+    average = _overlapped(wide, starts, gain, kernel_weights(kernel, window))[1]
+    return average[first - at + left : first - at + left + length]
 
 
 def slab(omega, f: float, friction: float, depth: float, density: float = 1025.0) -> np.ndarray:
@@ -84,7 +104,7 @@ def slab(omega, f: float, friction: float, depth: float, density: float = 1025.0
     return 1 / (density * depth * (friction + 1j * turn))
 
 
-def wind(omega, z, f: float, delta: float, mu: float, depth: float, boundary: str = "no-slip", density: float = 1025.0, corrected: bool = False, method: str = "lilly"):
+def wind(omega, z, f: float, delta: float, mu: float, depth: float, boundary: str = "no-slip", density: float = 1025.0, corrected: bool = False, method: str = "scaled"):
     """(response, its derivative by delta, by depth) over depths ``z`` and frequencies ``omega`` (radians a day).
 
     The viscosity K0 + K1 z has K0 = delta^2 |f| / 2 and K1 = mu |f| / 2; the layer is ``depth``
@@ -93,12 +113,12 @@ def wind(omega, z, f: float, delta: float, mu: float, depth: float, boundary: st
     response is NaN. Derivatives exist for constant viscosity without slip, else they are empty.
     With free slip and both scales I of order 0 stands at the bottom, as in published values;
     ``corrected`` takes order 1, which is the one without a slope there. The other published
-    ``method``, "elipot", writes the same ratios unscaled; it has order 1 at a free bottom and no
-    derivatives.
+    ``method``, "unscaled", writes the same ratios without combining exponents; it has order 1 at a
+    free bottom and no derivatives.
     """
-    if method not in ("lilly", "elipot"):
-        raise ValueError("method must be lilly or elipot")
-    corrected = corrected or method == "elipot"
+    if method not in ("scaled", "unscaled"):
+        raise ValueError("method must be scaled or unscaled")
+    corrected = corrected or method == "unscaled"
     z = np.atleast_1d(np.asarray(z, float))
     if (z < 0).any() or depth < 0 or delta < 0 or mu < 0 or density < 0:
         raise ValueError("depths, scales and density must not be negative")
@@ -121,7 +141,7 @@ def wind(omega, z, f: float, delta: float, mu: float, depth: float, boundary: st
         still = om == -f
         if still.any() and not slip:
             g[still] = _at_inertial(zz[still], k0, k1, depth, density)
-    if method == "elipot":
+    if method == "unscaled":
         by_delta = by_depth = empty
     g[zz > depth] = np.nan
     return g, by_delta, by_depth

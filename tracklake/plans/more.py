@@ -531,7 +531,7 @@ def wind_constant(spark, sf):
     """A finite layer of constant viscosity without and with slip at its bottom, in 1e-6."""
     out = None
     for slip in (0, 1):
-        w = apply.wind_table(spark, [-9, -1, 2, 7], [0, 5, 20, 39], f=6.0, delta=20.0, mu=0.0, depth=40.0, boundary="free-slip" if slip else "no-slip", method="elipot" if slip else "lilly")
+        w = apply.wind_table(spark, [-9, -1, 2, 7], [0, 5, 20, 39], f=6.0, delta=20.0, mu=0.0, depth=40.0, boundary="free-slip" if slip else "no-slip", method="unscaled" if slip else "scaled")
         w = w.select(F.lit(slip).alias("slip"), "z", "omega", r(F.col("re") * 1e6, 5).alias("re"), r(F.col("im") * 1e6, 5).alias("im"))
         out = w if out is None else out.unionByName(w)
     return out
