@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from ..functions import cleaning, complexes, sphere
 from ..model import OBS, ROW, RaggedFrame, along
-from ..operators import apply, binning, kinematics, lines, pairs, ragged, signals
+from ..operators import apply, binning, intervals, kinematics, lines, pairs, ragged, signals
 from ..scratch import fresh_path
 from ..sources import files, providers
 from .tables import DRIFTS, ORDERS, TRACKS, bearing, distance, drifts, orders, table, tracks
@@ -435,6 +435,27 @@ def time_overlap_rows(spark, sf):
     return pairs.overlap_pairs(tracks(spark, sf).obs, "t", 60.0)
 
 
+@query(f"WITH {TRACKS}, b AS (SELECT row_idx, min(lon) AS w, max(lon) AS e, min(lat) AS s, max(lat) AS n FROM obs GROUP BY 1) SELECT a.row_idx AS row_1, c.row_idx AS row_2 FROM b a JOIN b c ON a.row_idx < c.row_idx AND a.w <= c.e + 1 AND c.w <= a.e + 1 AND a.s <= c.n + 1 AND c.s <= a.n + 1")
+def box_overlap_rows(spark, sf):
+    """Rows whose boxes of longitude and latitude overlap within a degree."""
+    return pairs.overlap_pairs(tracks(spark, sf).obs, ["lon", "lat"], 1.0)
+
+
+@query(
+    """WITH o AS (SELECT o_orderkey AS k, o_custkey AS c, min(l_shipdate) AS a, max(l_shipdate) AS b FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2)
+ SELECT x.k AS order_1, y.k AS order_2 FROM o x JOIN o y ON x.c = y.c AND x.k < y.k AND x.a <= y.b AND y.a <= x.b"""
+)
+def interval_join(spark, sf):
+    """Orders of one customer whose times on the way overlap: an interval join with a condition."""
+    li, o = table(spark, sf, "lineitem"), table(spark, sf, "orders")
+    day = lambda c: F.datediff(F.col(c), F.lit("1970-01-01")).cast("double")
+    span = o.join(li, F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_orderkey", "o_custkey").agg(F.min(day("l_shipdate")).alias("a"), F.max(day("l_shipdate")).alias("b"))
+    # customers stand far apart on one axis, so that only their own orders can meet
+    far = F.col("o_custkey").cast("double") * 1_000_000
+    x, y = (span.select(F.col("o_orderkey").alias(f"order_{k}"), (far + F.col("a")).alias(f"low_{k}"), (far + F.col("b")).alias(f"high_{k}")) for k in (1, 2))
+    return intervals.overlap_join(x, y, ("low_1", "high_1"), ("low_2", "high_2"), F.col("order_1") < F.col("order_2")).select("order_1", "order_2")
+
+
 @query(f"WITH {TRACKS}, a AS (SELECT * FROM obs WHERE row_idx = 1), b AS (SELECT * FROM obs WHERE row_idx = 2) SELECT a.row_idx, a.obs_idx FROM a, (SELECT greatest((SELECT min(t) FROM a), (SELECT min(t) FROM b)) - 10 AS lo, least((SELECT max(t) FROM a), (SELECT max(t) FROM b)) + 10 AS hi) WHERE t BETWEEN lo AND hi")
 def time_overlap(spark, sf):
     o = tracks(spark, sf).obs
