@@ -92,3 +92,40 @@ def test_one_aggregation_for_all(points):
     b = binning.binned_statistics(points, "x", ["v", "x"], bins=3, statistics=list(binning.NAMES))
     plan = b._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate [") == 1
+
+
+# ---- medians of crowded cells ----
+
+
+def crowd(spark, seed=1):
+    """A cell with most rows and many ties, one with a single value, even and odd counts, nulls, NaN and infinities."""
+    rng = np.random.default_rng(seed)
+    rows = [(0.5, float(x)) for x in rng.integers(0, 40, 401)] + [(0.5, None)] * 30 + [(0.5, float("nan"))] * 30
+    rows += [(1.5, 7.0)] * 200 + [(2.5, float(x)) for x in rng.normal(size=100)] + [(3.5, x) for x in (1.0, 2.0)] + [(4.5, None), (4.5, float("nan"))] * 40
+    rows += [(5.5, x) for x in [float("-inf")] * 30 + [1.0, 2.0] + [float("inf")] * 30] + [(6.5, -0.0), (6.5, 0.0)] * 40
+    return rows, spark.createDataFrame(rows, "x double, v double").repartition(5)
+
+
+@pytest.mark.parametrize("crowd_size", [1, 50, 150, 10**9])
+def test_medians_of_cells_of_any_size(spark, monkeypatch, crowd_size):
+    monkeypatch.setattr(binning, "CROWD", crowd_size)
+    rows, df = crowd(spark)
+    got = {r.bin_0: (r.v_count, r.v_median, r.v_max) for r in binning.binned_statistics(df, "x", "v", 8, (0, 8), ["count", "median", "max"]).collect()}
+    for cell in range(8):
+        real = [v for x, v in rows if x == cell + 0.5 and v is not None and v == v]
+        count, median, _ = got[cell]
+        assert count == len(real) and median == (float(np.median(real)) if real else None)
+
+
+def test_medians_of_two_columns_and_times(spark, monkeypatch):
+    monkeypatch.setattr(binning, "CROWD", 10)
+    df = spark.range(101).selectExpr("id % 2 + 0.5 AS x", "double(id) AS a", "timestamp_seconds(id * 10) AS t", "double(id % 7) AS b")
+    got = binning.binned_statistics(df, "x", ["a", "t", "b"], 2, (0, 2), ["median", "mean"]).orderBy("bin_0").collect()
+    assert [(r.a_median, r.t_median.timestamp(), r.b_median) for r in got] == [(50.0, 500.0, 3.0), (50.0, 500.0, 3.0)]
+
+
+def test_medians_by_key_spread_a_group(spark):
+    """All rows in one group: the range sort deals its values to several tasks."""
+    df = spark.range(20_000).selectExpr("1 AS k", "double(id) AS v")
+    assert [tuple(r) for r in binning.medians(df, ["k"], "v", "m").collect()] == [(1, 9999.5)]
+    assert binning.medians(df.limit(0), ["k"], "v", "m").collect() == []

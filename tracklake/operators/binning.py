@@ -13,6 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..scratch import materialize
+from .ragged import running_total
+
 DEFAULT_BINS = 10
 NAMES = ("count", "sum", "mean", "median", "std", "min", "max")
 Statistic = str | Callable | tuple[str, Callable]
@@ -39,9 +42,14 @@ def _plain(x) -> float:
 
 
 def bin_edges(df: DataFrame, coords: Sequence[str], bins, ranges) -> list[np.ndarray]:
-    """Edges of each dimension: given, or so many equal bins over a range; default ten from least to most.
+    """Edges of each dimension: given, or so many equal bins over a range; default ten from least to most."""
+    return _survey(df, coords, bins, ranges)[0]
+
 
-    One job finds all ranges that are not given, and whether a coordinate is not finite.
+def _survey(df: DataFrame, coords: Sequence[str], bins, ranges) -> tuple[list[np.ndarray], int]:
+    """Edges of each dimension, and the number of rows.
+
+    One job finds all ranges that are not given, whether a coordinate is not finite, and the count.
     """
     if bins is None or isinstance(bins, int):
         many = [bins] * len(coords)
@@ -58,7 +66,7 @@ def bin_edges(df: DataFrame, coords: Sequence[str], bins, ranges) -> list[np.nda
     lean = df.select(*(x.alias(f"x{i}") for i, x in enumerate(xs)))
     xs = [F.col(f"x{i}") for i in range(len(xs))]
     bad = reduce(Column.__or__, (x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")) for x in xs))
-    found = lean.agg(F.max(F.coalesce(bad, F.lit(True)).cast("int")), *(f(x) for x in xs for f in (F.min, F.max))).first()
+    found = lean.agg(F.max(F.coalesce(bad, F.lit(True)).cast("int")), *(f(x) for x in xs for f in (F.min, F.max)), F.count(F.lit(1))).first()
     if found[0]:
         raise ValueError("coordinates must be finite")
     out = []
@@ -72,7 +80,7 @@ def bin_edges(df: DataFrame, coords: Sequence[str], bins, ranges) -> list[np.nda
         if low == high:
             low, high = low - 0.5, high + 0.5
         out.append(np.linspace(low, high, int(b or DEFAULT_BINS) + 1))
-    return out
+    return out, found[-1]
 
 
 def bin_index(x: Column, edges: np.ndarray, last_edge: str = "inclusive") -> Column:
@@ -122,8 +130,6 @@ def _native(stat: str, x: Column) -> Column:
         return F.avg(clean)
     if stat == "std":
         return F.stddev_pop(clean)
-    if stat == "median":
-        return F.median(clean)
     out = F.min(clean) if stat == "min" else F.max(clean)
     return F.when(out != (float("inf") if stat == "min" else float("-inf")), out)
 
@@ -147,6 +153,9 @@ def binned_statistics(
     sums of empty cells are 0, other statistics null. Times give times (whole seconds), their
     spread seconds. Built-in statistics of all variables are one hash aggregation; functions get
     a cell's values together.
+
+    A median is that of the cell's values in one task, or, in cells of more than ``CROWD`` rows, of
+    a sort by range over all tasks: a cell of all rows needs no more memory than others.
     """
     coords = [coords] if isinstance(coords, str) else list(coords)
     data = [data] if isinstance(data, str) else list(data or [])
@@ -160,12 +169,26 @@ def binned_statistics(
             raise ValueError("statistics other than count need data")
     stats.sort(key=lambda s: NAMES.index(s) if isinstance(s, str) else len(NAMES))
     shown = list(names or data)
-    edges = bin_edges(df, coords, bins, ranges)
+    edges, n_rows = _survey(df, coords, bins, ranges)
     keys = [f"bin_{i}" for i in range(len(coords))]
     # each coordinate is computed once, whatever its expression: the bin is made of an array's only element
     place = lambda c, e: F.transform(F.array(_number(df, c)), lambda x: bin_index(x, e, last_edge))[0]
     placed = df.withColumns({k: place(c, e) for k, c, e in zip(keys, coords, edges, strict=True)})
     aggs, back, zero, calls = [], {}, [], []
+    crowded = _crowded(placed, keys) if "median" in stats and n_rows > CROWD else None
+    if crowded is not None:
+        placed = placed.join(crowded, keys, "left")
+    middles: list[tuple[str, Column]] = []
+
+    def native(s: str, x: Column, name: str) -> Column:
+        if s != "median":
+            return _native(s, x)
+        real = F.when(~F.isnan(x), x)
+        if crowded is None:
+            return F.median(real)
+        middles.append((name, real))
+        return F.median(F.when(F.col(CROWDED).isNull(), real))
+
     taken: set[str] = set()
     if not data:
         aggs.append(F.count(F.lit(1)).alias(statistic_name("count", taken)))
@@ -193,11 +216,11 @@ def binned_statistics(
             elif _is_time(df, variable):
                 if s == "sum":
                     raise ValueError("sum of times")
-                aggs.append(_native(s, _number(df, variable)).alias(name))
+                aggs.append(native(s, _number(df, variable), name).alias(name))
                 if s not in ("count", "std"):
                     back[name] = F.timestamp_seconds(F.floor(F.col(name)))
             else:
-                aggs.append(_native(s, _number(df, variable)).alias(name))
+                aggs.append(native(s, _number(df, variable), name).alias(name))
             if s in ("count", "sum") and not _is_complex(df, variable):
                 zero.append(name)
     many: set[str] = set()
@@ -207,12 +230,45 @@ def binned_statistics(
             calls.append((statistic_name(s[1] if "," in s[0] else s[0], many), columns, s[1]))
     out = grid(df.sparkSession, edges, [_is_time(df, c) for c in coords])
     if aggs:
-        out = out.join(placed.groupBy(*keys).agg(*aggs), keys, "left").withColumns(back)
+        found = placed.groupBy(*keys).agg(*aggs)
+        for name, real in middles:
+            apart = medians(placed.filter(F.col(CROWDED)).withColumn("value_of_cell", real), keys, "value_of_cell", "middle_of_cell")
+            found = found.join(apart, keys, "left").withColumn(name, F.coalesce(name, "middle_of_cell")).drop("middle_of_cell")
+        out = out.join(found, keys, "left").withColumns(back)
     for name, columns, f in calls:
         out = out.join(_called(placed, keys, columns, f, name), keys, "left")
     return out.fillna(0, subset=[z for z in zero if z in out.columns])
 
 
+CROWD = 250_000  # rows of a cell whose distinct values one task holds for a median
+CROWDED = "cell_is_crowded"
+
+
+def _crowded(placed: DataFrame, keys: list[str]) -> DataFrame | None:
+    """The cells with more than ``CROWD`` rows, written and marked; None where there is none."""
+    found = materialize(placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CROWD).select(*keys, F.lit(True).alias(CROWDED)).dropna(subset=keys), "crowded")
+    return found if found.limit(1).count() else None
+
+
+def medians(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
+    """(keys, out): the exact median of a column by keys, for groups of any size.
+
+    Equal values of a group are counted first, so a value of any number of rows is one record. The
+    counts are sorted by range of (keys, value), which spreads a group over tasks, and added up in
+    that order; the records in which a group's middle ranks fall hold its median. The mean
+    of both middle values stands for even counts. Nulls and NaN are left out; groups without other
+    values have no row.
+    """
+    counts = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*keys, F.col(value).cast("double").alias("x")).agg(F.count(F.lit(1)).alias("n"))
+    ordered = running_total(counts, [*keys, "x"], "n", "before")
+    ends = materialize(ordered.groupBy(*keys).agg(F.min("before").alias("first"), F.sum("n").alias("total")), "cells")
+    at = F.col("before") - F.col("first")
+    holds = lambda rank: (at <= rank) & (rank < at + F.col("n"))
+    low, high = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
+    middle = ordered.join(ends, keys).filter(holds(low) | holds(high))
+    return middle.groupBy(*keys).agg((0.5 * F.max(F.when(holds(low), F.col("x"))) + 0.5 * F.max(F.when(holds(high), F.col("x")))).alias(out))
+
+
 def _called(placed: DataFrame, keys: list[str], columns: list[str], f: Callable, name: str) -> DataFrame:
     there = reduce(Column.__or__, (F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in columns))
     schema = T.StructType([*(T.StructField(k, T.LongType()) for k in keys), T.StructField(name, T.DoubleType())])
