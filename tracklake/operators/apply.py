@@ -309,14 +309,17 @@ def filtered_sliding(frame: RaggedFrame, column: str, response, window: int | No
     return _blocks(frame, [column], long_rows, "zeros").mapInPandas(run, f"{ROW} long, {OBS} long, `{column}_re` double, `{column}_im` double")
 
 
-def wind_table(spark, omega: Sequence[float], z: Sequence[float], **layer) -> DataFrame:
-    """(z, omega, re, im): the wind response over a grid of depths and frequencies, a depth a task."""
-    grid = spark.createDataFrame([(float(d),) for d in z], "z double")
-    freqs = [float(x) for x in omega]
+def wind_response(df: DataFrame, omega: str, z: str, out: tuple[str, str] = ("re", "im"), **layer) -> DataFrame:
+    """``df`` with the wind response (real and imaginary part) at each row's frequency in radians a day and depth in meters.
 
-    def run(frames):
-        for pdf in frames:
-            g = transfer.wind(freqs, pdf["z"].to_numpy(), **layer)[0]
-            yield pd.DataFrame({"z": np.repeat(pdf["z"].to_numpy(), len(freqs)), "omega": freqs * len(pdf), "re": g.real.ravel(), "im": g.imag.ravel()})
+    Row by row, without a shuffle; ``layer`` is that of ``transfer.wind``. Null frequencies and
+    depths, and depths below the layer, have NaN. Columns named ``out`` are replaced.
+    """
+
+    @F.pandas_udf("re double, im double")
+    def response(om: pd.Series, zz: pd.Series) -> pd.DataFrame:
+        g = transfer.wind_at(om.to_numpy(float), zz.to_numpy(float), **layer)[0]
+        return pd.DataFrame({"re": g.real, "im": g.imag})
 
-    return grid.mapInPandas(run, "z double, omega double, re double, im double")
+    g = response(F.col(omega).cast("double"), F.col(z).cast("double"))
+    return df.drop(*out).withColumn("wind_at_row", g).withColumns({out[0]: F.col("wind_at_row.re"), out[1]: F.col("wind_at_row.im")}).drop("wind_at_row")

@@ -116,16 +116,20 @@ def wind(omega, z, f: float, delta: float, mu: float, depth: float, boundary: st
     ``method``, "unscaled", writes the same ratios without combining exponents; it has order 1 at a
     free bottom and no derivatives.
     """
+    om, zz = np.meshgrid(np.atleast_1d(omega), np.atleast_1d(np.asarray(z, float)))
+    return wind_at(om, zz, f, delta, mu, depth, boundary, density, corrected, method)
+
+
+def wind_at(omega: np.ndarray, z: np.ndarray, f: float, delta: float, mu: float, depth: float, boundary: str = "no-slip", density: float = 1025.0, corrected: bool = False, method: str = "scaled"):
+    """The same at pairs of frequencies and depths, arrays of one shape."""
     if method not in ("scaled", "unscaled"):
         raise ValueError("method must be scaled or unscaled")
     corrected = corrected or method == "unscaled"
-    z = np.atleast_1d(np.asarray(z, float))
     if (z < 0).any() or depth < 0 or delta < 0 or mu < 0 or density < 0:
         raise ValueError("depths, scales and density must not be negative")
     if boundary not in ("no-slip", "free-slip"):
         raise ValueError("boundary must be no-slip or free-slip")
-    om, zz = np.meshgrid(np.atleast_1d(omega) / EARTH_DAY_SECONDS, z)
-    f = f / EARTH_DAY_SECONDS
+    om, zz, f = np.asarray(omega, float) / EARTH_DAY_SECONDS, np.asarray(z, float), f / EARTH_DAY_SECONDS
     k0, k1 = delta**2 * abs(f) / 2, mu * abs(f) / 2
     turn = 1j * (om + f)
     slip = boundary == "free-slip"

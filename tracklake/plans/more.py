@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,8 +16,8 @@ from ..operators import apply, pairs, ragged, signals, special, transfer
 from ..scratch import fresh_path
 from ..sources import files, grids, providers
 from ..streaming import streams
-from .queries import _W, _fixed, _lines, _morse, _text, query, r
-from .tables import DRIFTS, ORDERS, TRACKS, bearing, distance, drifts, orders, table, tracks
+from .queries import _W, _fixed, _lines, _morse, _text, query, r, shaped
+from .tables import DRIFTS, MOORINGS, ORDERS, TRACKS, bearing, distance, drifts, moorings, orders, shapes, table, tracks, wavelet_shapes
 
 # ---- streams: the table as files that a stream reads to their end ----
 
@@ -269,7 +269,8 @@ def many_files(spark, sf):
             return pd.read_csv(f, names=["region", "nation", "name"])
 
     schema = T.StructType([T.StructField("region", T.StringType()), T.StructField("nation", T.LongType()), T.StructField("name", T.StringType())])
-    f = files.from_files(spark, range(5), read, schema, [], ["region"], ["nation", "name"])
+    ids = [x.r_regionkey for x in table(spark, sf, "region").select("r_regionkey").orderBy("r_regionkey").toLocalIterator()]
+    f = files.from_files(spark, ids, read, schema, [], ["region"], ["nation", "name"])
     return f.joined(["region", "rowsize"]).select(ROW, "region", OBS, "nation", "name", "rowsize")
 
 
@@ -328,11 +329,11 @@ def subset_whole_rows(spark, sf):
 
 
 @query(
-    f"""WITH {_morse("(VALUES (32), (45))", [0.4, 0.8, 1.6], 2)} SELECT n::BIGINT AS n, "order"::BIGINT AS "order", freq_idx::BIGINT AS freq_idx, k::BIGINT AS k, round(psi, 7) + 0.0 AS psi FROM psi WHERE k < n // 2"""
+    f"""WITH {TRACKS}, q AS (SELECT DISTINCT count(*) AS n FROM obs GROUP BY row_idx), {_morse("(SELECT n FROM q)", [0.4, 0.8, 1.6], 2)} SELECT n::BIGINT AS n, "order"::BIGINT AS "order", freq_idx::BIGINT AS freq_idx, k::BIGINT AS k, round(psi, 7) + 0.0 AS psi FROM psi WHERE k < n // 2"""
 )
 def morse_wavelets(spark, sf):
-    """Wavelets of two lengths in frequency, without the phase that centers them."""
-    lengths = spark.createDataFrame([(32,), (45,)], "n long")
+    """Wavelets in frequency for each length that rows have, without the phase that centers them."""
+    lengths = tracks(spark, sf).rows.select(F.col("rowsize").alias("n")).distinct()
 
     def run(frames):
         for pdf in frames:
@@ -346,51 +347,41 @@ def morse_wavelets(spark, sf):
     return lengths.mapInPandas(run, "n long, order long, freq_idx long, k long, psi double").withColumn("psi", r("psi", 7))
 
 
-_GB = "p AS (SELECT g.g::DOUBLE AS gamma, b.b::DOUBLE AS beta FROM (VALUES (2), (3), (4)) g(g), (VALUES (1), (4), (10)) b(b))"
-
-
-def _parameters(spark, function, schema: str) -> DataFrame:
-    """A function of (gamma, beta) over a table of them."""
-    p = spark.createDataFrame([(float(g), float(b)) for g in (2, 3, 4) for b in (1, 4, 10)], "gamma double, beta double")
-
-    def run(frames):
-        for pdf in frames:
-            rows = [x for g, b in zip(pdf["gamma"], pdf["beta"], strict=True) for x in function(float(g), float(b))]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
-
-    return p.mapInPandas(run, schema)
+_CUSTOMERS, _SUPPLIERS = ("customer", "c_custkey", "c_acctbal"), ("supplier", "s_suppkey", "s_acctbal")
 
 
 @query(
-    f"WITH {_GB}, a AS (SELECT *, pow(beta / gamma, 1 / gamma) AS modal, (2 * beta + 1) / gamma AS rr FROM p) SELECT gamma, beta, k::BIGINT AS k, round(sqrt(2 * pi() * gamma * pow(2, rr) * exp(lgamma(k) - lgamma(k + rr - 1))), 7) AS energy, round(2 / exp(beta * ln(modal) - pow(modal, gamma)), 7) AS bandpass,"
+    f"WITH {wavelet_shapes(*_CUSTOMERS)}, a AS (SELECT *, pow(beta / gamma, 1 / gamma) AS modal, (2 * beta + 1) / gamma AS rr FROM p) SELECT key, k::BIGINT AS k, round(sqrt(2 * pi() * gamma * pow(2, rr) * exp(lgamma(k) - lgamma(k + rr - 1))), 6) AS energy, round(2 / exp(beta * ln(modal) - pow(modal, gamma)), 6) AS bandpass,"
     " round(exp(lgamma((2 * beta + 2) / gamma) - lgamma((2 * beta + 1) / gamma)) / pow(2, 1 / gamma), 7) AS energy_freq FROM a, range(1, 4) x(k)"
 )
 def morse_amplitudes(spark, sf):
-    """Amplitudes by order and normalization, and energy frequencies."""
-    each = lambda g, b: [(g, b, k, round(signals.morse_amplitude(g, b, k, "energy"), 7), round(signals.morse_amplitude(g, b, k), 7), round(signals.morse_freq(g, b)[1], 7)) for k in (1, 2, 3)]
-    return _parameters(spark, each, "gamma double, beta double, k long, energy double, bandpass double, energy_freq double")
+    """Amplitudes by order and normalization, and energy frequencies, of each customer's wavelet."""
+    each = lambda key, g, b: [(key, k, round(signals.morse_amplitude(g, b, k, "energy"), 6), round(signals.morse_amplitude(g, b, k), 6), round(signals.morse_freq(g, b)[1], 7)) for k in (1, 2, 3)]
+    return shaped(shapes(spark, sf, *_CUSTOMERS), each, "key long, k long, energy double, bandpass double, energy_freq double")
 
 
 @query(
-    f"""WITH {_GB}, a AS (SELECT *, pow(beta / gamma, 1 / gamma) AS modal, sqrt(gamma * beta) AS width FROM p), o AS (SELECT gamma, beta, modal, width, i * pi() / 9999 AS om FROM a, range(1, 10000) r(i)),
- h AS (SELECT gamma, beta, any_value(width) AS width, min(om) AS high FROM o WHERE beta / gamma * ln(exp(1) * gamma / beta) + beta * ln(modal * pi() / om) - pow(modal * pi() / om, gamma) > ln(0.1) GROUP BY 1, 2),
+    f"""WITH {wavelet_shapes(*_SUPPLIERS)}, a AS (SELECT *, pow(beta / gamma, 1 / gamma) AS modal, sqrt(gamma * beta) AS width FROM p), o AS (SELECT key, gamma, beta, modal, width, i * pi() / 9999 AS om FROM a, range(1, 10000) r(i)),
+ h AS (SELECT key, any_value(width) AS width, min(om) AS high FROM o WHERE beta / gamma * ln(exp(1) * gamma / beta) + beta * ln(modal * pi() / om) - pow(modal * pi() / om, gamma) > ln(0.1) GROUP BY 1),
  f AS (SELECT *, greatest(2 * sqrt(2::DOUBLE) * width * 5 / 1000, 0) AS low, 1 + 1 / (4 * width) AS ratio FROM h)
- SELECT gamma, beta, i AS place, round(high / pow(ratio, i), 7) AS frequency FROM f, range(0, 2000) r(i) WHERE i <= floor(log10(high / low) / log10(ratio))"""
+ SELECT key, i AS place, round(high / pow(ratio, i), 7) AS frequency FROM f, range(0, 2000) r(i) WHERE i <= floor(log10(high / low) / log10(ratio))"""
 )
 def morse_logspace(spark, sf):
-    """Frequencies for signals of a thousand values, bound by the wavelets' decay and by five wavelets in the record."""
-    return _parameters(spark, lambda g, b: [(g, b, i, round(float(x), 7)) for i, x in enumerate(signals.morse_logspace(g, b, 1000))], "gamma double, beta double, place long, frequency double")
+    """Frequencies for signals of a thousand values, bound by the wavelets' decay and by five wavelets in the record, for each supplier's wavelet."""
+    each = lambda key, g, b: [(key, i, round(float(x), 7)) for i, x in enumerate(signals.morse_logspace(g, b, 1000))]
+    return shaped(shapes(spark, sf, *_SUPPLIERS), each, "key long, place long, frequency double")
 
 
-@query(f"WITH {_GB}, c AS (SELECT gamma, beta, (2 * beta + 1) / gamma - 1 AS c, i / 4.0::DOUBLE AS x, i FROM p, range(0, 9) r(i)) SELECT gamma, beta, i AS place, round(1 + c - x, 9) + 0.0 AS first, round((c + 1) * (c + 2) / 2 - (c + 2) * x + x * x / 2, 9) + 0.0 AS second FROM c")
+@query(f"WITH {wavelet_shapes(*_CUSTOMERS)}, c AS (SELECT key, (2 * beta + 1) / gamma - 1 AS c, i / 4.0::DOUBLE AS x, i FROM p, range(0, 9) r(i)) SELECT key, i AS place, round(1 + c - x, 7) + 0.0 AS first, round((c + 1) * (c + 2) / 2 - (c + 2) * x + x * x / 2, 7) + 0.0 AS second FROM c")
 def laguerre_values(spark, sf):
-    """Generalized Laguerre polynomials of degrees one and two."""
-    def each(g, b):
+    """Generalized Laguerre polynomials of degrees one and two, of each customer's wavelet."""
+    def each(key, g, b):
         x, c = np.arange(9) / 4, (2 * b + 1) / g - 1
         one, two = signals.laguerre(x, 1, c), signals.laguerre(x, 2, c)
-        return [(g, b, i, round(float(one[i]), 9) + 0.0, round(float(two[i]), 9) + 0.0) for i in range(9)]
+        return [(key, i, float(one[i]), float(two[i])) for i in range(9)]
 
-    return _parameters(spark, each, "gamma double, beta double, place long, first double, second double")
+    out = shaped(shapes(spark, sf, *_CUSTOMERS), each, "key long, place long, first double, second double")
+    return out.select("key", "place", r("first", 7).alias("first"), r("second", 7).alias("second"))
 
 
 def _sphere_sql() -> str:
@@ -430,39 +421,33 @@ def _mul(a: str, b: str) -> tuple[str, str]:
     return f"({a}r * {b}r - {a}i * {b}i)", f"({a}r * {b}i + {a}i * {b}r)"
 
 
-_BESSEL = _bessel("z", "m, sg")
+_BESSEL = _bessel("z", "key, m, sg")
+_PARTS = [f"{f}{n}{p}" for f in "ki" for n in (0, 1) for p in "ri"]
 
 
-@query(f"WITH z AS (SELECT a.m::DOUBLE AS m, b.s::DOUBLE AS sg FROM (VALUES (0.05), (0.4), (1.5), (6), (13), (15), (40)) a(m), (VALUES (-1), (0), (1)) b(s)), b AS ({_BESSEL}) SELECT m, sg, {', '.join(f'round({c}, 8) + 0.0 AS {c}' for c in ('k0r', 'k0i', 'k1r', 'k1i', 'i0r', 'i0i', 'i1r', 'i1i'))} FROM b")
-def bessel_values(spark, sf):
-    """Scaled Bessel functions I and K of complex arguments, near and far."""
-    z = spark.createDataFrame([(m, float(s)) for m in (0.05, 0.4, 1.5, 6.0, 13.0, 15.0, 40.0) for s in (-1, 0, 1)], "m double, sg double")
-    names = [f"{f}{n}{p}" for f in "ki" for n in (0, 1) for p in "ri"]
+def _bessel_rows(df: DataFrame, k, i) -> DataFrame:
+    """Bessel functions of z = m (1 + i sg), orders 0 and 1, row by row."""
 
     def run(frames):
         for pdf in frames:
             x = (pdf["m"] * (1 + 1j * pdf["sg"])).to_numpy()
-            out = [g(n, x) for g in (special.k_scaled, special.i_scaled) for n in (0, 1)]
-            yield pdf.assign(**dict(zip(names, (p for v in out for p in (v.real, v.imag)), strict=True)))
+            yield pdf.assign(**dict(zip(_PARTS, (p for g in (k, i) for n in (0, 1) for p in (lambda v: (v.real, v.imag))(g(n, x))), strict=True)))
 
-    b = z.mapInPandas(run, "m double, sg double, " + ", ".join(f"{n} double" for n in names))
-    return b.select("m", "sg", *(r(n, 8).alias(n) for n in names))
+    return df.mapInPandas(run, "key long, m double, sg double, " + ", ".join(f"{n} double" for n in _PARTS))
 
 
-@query(f"WITH z AS (SELECT a.m::DOUBLE AS m, b.s::DOUBLE AS sg FROM (VALUES (20), (30), (60)) a(m), (VALUES (-1), (1)) b(s)), b AS ({_BESSEL}) SELECT m, sg, {', '.join(f'round({c}, 10) + 0.0 AS {c}' for c in ('k0r', 'k0i', 'k1r', 'k1i', 'i0r', 'i0i', 'i1r', 'i1i'))} FROM b")
-def bessel_series(spark, sf):
-    """The thirty-term series for large arguments."""
-    z = spark.createDataFrame([(float(m), float(s)) for m in (20, 30, 60) for s in (-1, 1)], "m double, sg double")
-    names = [f"{f}{n}{p}" for f in "ki" for n in (0, 1) for p in "ri"]
+@query(f"WITH z AS (SELECT s_suppkey AS key, 0.05::DOUBLE + abs(s_acctbal) / 250 AS m, (s_suppkey % 3 - 1)::DOUBLE AS sg FROM supplier), b AS ({_BESSEL}) SELECT key, {', '.join(f'round({c}, 8) + 0.0 AS {c}' for c in _PARTS)} FROM b")
+def bessel_values(spark, sf):
+    """Scaled Bessel functions I and K of complex arguments, near and far, one a supplier."""
+    z = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("key"), (0.05 + F.abs("s_acctbal") / 250).alias("m"), (F.col("s_suppkey") % 3 - 1).cast("double").alias("sg"))
+    return _bessel_rows(z, special.k_scaled, special.i_scaled).select("key", *(r(n, 8).alias(n) for n in _PARTS))
 
-    def run(frames):
-        for pdf in frames:
-            x = (pdf["m"] * (1 + 1j * pdf["sg"])).to_numpy()
-            out = [g(n, x, 30) for g in (special.k_far, special.i_far) for n in (0, 1)]
-            yield pdf.assign(**dict(zip(names, (p for v in out for p in (v.real, v.imag)), strict=True)))
 
-    b = z.mapInPandas(run, "m double, sg double, " + ", ".join(f"{n} double" for n in names))
-    return b.select("m", "sg", *(r(n, 10).alias(n) for n in names))
+@query(f"WITH z AS (SELECT s_suppkey AS key, 20::DOUBLE + abs(s_acctbal) / 250 AS m, (s_suppkey % 2 * 2 - 1)::DOUBLE AS sg FROM supplier), b AS ({_BESSEL}) SELECT key, {', '.join(f'round({c}, 9) + 0.0 AS {c}' for c in _PARTS)} FROM b")
+def bessel_series(spark, sf):
+    """The thirty-term series for large arguments, one a supplier."""
+    z = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("key"), (20 + F.abs("s_acctbal") / 250).alias("m"), (F.col("s_suppkey") % 2 * 2 - 1).cast("double").alias("sg"))
+    return _bessel_rows(z, lambda n, x: special.k_far(n, x, 30), lambda n, x: special.i_far(n, x, 30)).select("key", *(r(n, 9).alias(n) for n in _PARTS))
 
 
 #: Layers: name, delta, mu, depth, free slip, order of I at a free bottom.
@@ -471,78 +456,75 @@ _LAYERS = {
     "madsen": (0.0, 30.0, 60.0, False, 0), "madsen_free": (0.0, 30.0, 60.0, True, 1), "madsen_deep": (0.0, 30.0, math.inf, False, 0),
 }
 _F = 2 * math.pi * 1.5
-_OMEGA, _Z = (-14.0, -6.0, -1.0, 0.0, 2.5, 8.0), (1.0, 5.0, 12.5, 30.0, 47.5)
 
 
-def _layers_sql(layers: dict, omega, z) -> str:
-    """Responses of layers whose viscosity grows with depth, by complex arithmetic on the quadratures."""
+def _layers_sql(layers: dict) -> str:
+    """Responses, at each mooring, of layers whose viscosity grows with depth, by complex arithmetic on the quadratures."""
     cases = ", ".join(f"('{n}', {d!r}::DOUBLE, {m!r}::DOUBLE, {0 if math.isinf(h) else h!r}::DOUBLE, {int(slip)}, {order})" for n, (d, m, h, slip, order) in layers.items())
-    grid = f"""g AS (SELECT c.*, z.z::DOUBLE AS z, w.w::DOUBLE AS omega, (w.w::DOUBLE + {_F!r}::DOUBLE) / 86164.091::DOUBLE AS turn, delta * delta * {_F!r}::DOUBLE / 86164.091::DOUBLE / 2 AS v0, mu * {_F!r}::DOUBLE / 86164.091::DOUBLE / 2 AS v1
-  FROM (VALUES {cases}) c(layer, delta, mu, depth, slip, ord), (VALUES {", ".join(f"({x!r})" for x in z)}) z(z), (VALUES {", ".join(f"({x!r})" for x in omega)}) w(w))"""
+    grid = f"""{MOORINGS}, g AS (SELECT c.*, key, z, omega, (omega + {_F!r}::DOUBLE) / 86164.091::DOUBLE AS turn, delta * delta * {_F!r}::DOUBLE / 86164.091::DOUBLE / 2 AS v0, mu * {_F!r}::DOUBLE / 86164.091::DOUBLE / 2 AS v1
+  FROM (VALUES {cases}) c(layer, delta, mu, depth, slip, ord), moorings)"""
     at = lambda d: f"greatest(2 * sqrt(abs(turn) * (v0 + v1 * {d}) / 2) / v1, 1e-9)"
     points = f"""x AS (SELECT *, sign(turn) AS sg, {at('0')} AS m0, {at('z')} AS mz, {at('depth')} AS mh FROM g),
- p AS (SELECT layer, z, omega, sg, which, CASE which WHEN 0 THEN m0 WHEN 1 THEN mz ELSE mh END AS m FROM x, range(0, 3) r(which)), b AS ({_bessel("p", "layer, z, omega, which, m, sg")})"""
+ p AS (SELECT layer, key, sg, which, CASE which WHEN 0 THEN m0 WHEN 1 THEN mz ELSE mh END AS m FROM x, range(0, 3) r(which)), b AS ({_bessel("p", "layer, key, which, m, sg")})"""
     names = [f"{f}{n}{c}" for f in "ki" for n in (0, 1) for c in "ri"]
-    wide = "v AS (SELECT layer, z, omega, " + ", ".join(f"max(CASE WHEN which = {w} THEN {n} END) AS {t}{n}" for w, t in ((0, "a"), (1, "z"), (2, "h")) for n in names) + " FROM b GROUP BY 1, 2, 3)"
+    wide = "v AS (SELECT layer, key, " + ", ".join(f"max(CASE WHEN which = {w} THEN {n} END) AS {t}{n}" for w, t in ((0, "a"), (1, "z"), (2, "h")) for n in names) + " FROM b GROUP BY 1, 2)"
     turned = lambda d, n: f"exp({d}) * cos(sg * ({d})) AS {n}r, exp({d}) * sin(sg * ({d})) AS {n}i"
     near = "CASE WHEN v0 > 0 THEN m0 ELSE 0 END"
-    j = f"""j AS (SELECT x.*, v.* EXCLUDE (layer, z, omega), CASE WHEN slip = 1 AND ord = 1 THEN hi1r ELSE hi0r END AS ihr, CASE WHEN slip = 1 AND ord = 1 THEN hi1i ELSE hi0i END AS ihi, CASE WHEN slip = 1 THEN hk1r ELSE hk0r END AS khr, CASE WHEN slip = 1 THEN hk1i ELSE hk0i END AS khi, CASE WHEN slip = 1 THEN 1 ELSE -1 END AS s,
+    j = f"""j AS (SELECT x.*, v.* EXCLUDE (layer, key), CASE WHEN slip = 1 AND ord = 1 THEN hi1r ELSE hi0r END AS ihr, CASE WHEN slip = 1 AND ord = 1 THEN hi1i ELSE hi0i END AS ihi, CASE WHEN slip = 1 THEN hk1r ELSE hk0r END AS khr, CASE WHEN slip = 1 THEN hk1i ELSE hk0i END AS khi, CASE WHEN slip = 1 THEN 1 ELSE -1 END AS s,
   {turned(f"{near} - mz", "e")}, {turned(f"{near} + mz - 2 * mh", "f")}, {turned("2 * m0 - 2 * mh", "q")}, {turned("m0 - mz", "y")},
-  CASE WHEN v0 > 0 THEN 1 / (1025 * sqrt(abs(turn) * v0)) * sqrt(0.5) ELSE 2 / (1025 * v1) END AS topr, CASE WHEN v0 > 0 THEN -sg / (1025 * sqrt(abs(turn) * v0)) * sqrt(0.5) ELSE 0 END AS topi FROM x JOIN v USING (layer, z, omega))"""
+  CASE WHEN v0 > 0 THEN 1 / (1025 * sqrt(abs(turn) * v0)) * sqrt(0.5) ELSE 2 / (1025 * v1) END AS topr, CASE WHEN v0 > 0 THEN -sg / (1025 * sqrt(abs(turn) * v0)) * sqrt(0.5) ELSE 0 END AS topi FROM x JOIN v USING (layer, key))"""
     two = lambda name, a, b, src: f"{_mul(a, b)[0]} AS {name}r, {_mul(a, b)[1]} AS {name}i"
     steps = f"""j1 AS (SELECT *, {two("a1", "ih", "zk0", "")}, {two("b1", "kh", "zi0", "")}, {two("c1", "ih", "ak1", "")}, {two("d1", "kh", "ai1", "")} FROM j),
  j2 AS (SELECT *, {two("a2", "e", "a1", "")}, {two("b2", "f", "b1", "")}, {two("d2", "q", "d1", "")}, {two("t2", "e", "zk0", "")} FROM j1),
  j3 AS (SELECT *, CASE WHEN depth = 0 THEN t2r ELSE a2r + s * b2r END AS nr, CASE WHEN depth = 0 THEN t2i ELSE a2i + s * b2i END AS ni, CASE WHEN depth = 0 THEN CASE WHEN v0 > 0 THEN ak1r ELSE 1 END WHEN v0 > 0 THEN c1r - s * d2r ELSE ihr END AS dr, CASE WHEN depth = 0 THEN CASE WHEN v0 > 0 THEN ak1i ELSE 0 END WHEN v0 > 0 THEN c1i - s * d2i ELSE ihi END AS di FROM j2),
  j4 AS (SELECT *, (nr * dr + ni * di) / (dr * dr + di * di) AS wr, (ni * dr - nr * di) / (dr * dr + di * di) AS wi FROM j3)"""
     re, im = _mul("top", "w")
-    return f"WITH {grid}, {points}, {wide}, {j}, {steps} SELECT layer, z, omega, round({re} * 1e6, 4) + 0.0 AS re, round({im} * 1e6, 4) + 0.0 AS im FROM j4"
+    return f"WITH {grid}, {points}, {wide}, {j}, {steps} SELECT layer, key, round({re} * 1e6, 4) + 0.0 AS re, round({im} * 1e6, 4) + 0.0 AS im FROM j4"
 
 
-@query(_layers_sql(_LAYERS, _OMEGA, _Z))
-def wind_layers(spark, sf):
-    """Layers whose viscosity grows with depth: with and without constant part, without and with slip, finite and infinite; in 1e-6."""
+def _winds(spark, sf, layers: list[tuple[Column, dict]], name: str, digits: int) -> DataFrame:
+    """Responses of layers at all moorings, in 1e-6."""
     out = None
-    for name, (delta, mu, depth, slip, order) in _LAYERS.items():
-        w = apply.wind_table(spark, _OMEGA, _Z, f=_F, delta=delta, mu=mu, depth=depth, boundary="free-slip" if slip else "no-slip", corrected=bool(order))
-        w = w.select(F.lit(name).alias("layer"), "z", "omega", r(F.col("re") * 1e6, 4).alias("re"), r(F.col("im") * 1e6, 4).alias("im"))
+    for label, layer in layers:
+        w = apply.wind_response(moorings(spark, sf), "omega", "z", **layer).select(label.alias(name), "key", r(F.col("re") * 1e6, digits).alias("re"), r(F.col("im") * 1e6, digits).alias("im"))
         out = w if out is None else out.unionByName(w)
     return out
 
 
-@query(_layers_sql({"mixed": _LAYERS["mixed"]}, np.arange(-10, 10.5, 0.5).tolist(), np.arange(0, 50, 5.0).tolist()).replace("SELECT layer, z, omega, round", "SELECT z, omega, round"))
-def wind_mixed(spark, sf):
-    """Response of a finite layer whose viscosity grows with depth, in 1e-6."""
-    w = apply.wind_table(spark, np.arange(-10, 10.5, 0.5), np.arange(0, 50, 5), f=_F, delta=20.0, mu=20.0, depth=50.0)
-    return w.select("z", "omega", r(F.col("re") * 1e6, 4).alias("re"), r(F.col("im") * 1e6, 4).alias("im"))
+@query(_layers_sql(_LAYERS))
+def wind_layers(spark, sf):
+    """Layers whose viscosity grows with depth: with and without constant part, without and with slip, finite and infinite; in 1e-6."""
+    layers = [(F.lit(n), {"f": _F, "delta": d, "mu": m, "depth": h, "boundary": "free-slip" if slip else "no-slip", "corrected": bool(order)}) for n, (d, m, h, slip, order) in _LAYERS.items()]
+    return _winds(spark, sf, layers, "layer", 4)
 
 
-_EVEN = "exp(-m * {d}) * cos(m * {d}), exp(-m * {d}) * sin(m * {d})"
+@query(_layers_sql({"mixed": _LAYERS["mixed"]}))
+def wind_mixed(spark, sf):
+    """Response of a finite layer whose viscosity grows with depth, in 1e-6."""
+    return _winds(spark, sf, [(F.lit("mixed"), {"f": _F, "delta": 20.0, "mu": 20.0, "depth": 50.0})], "layer", 4)
 
 
 @query(
-    """WITH g AS (SELECT b.slip, z.z::DOUBLE AS z, w.w::DOUBLE AS omega FROM (VALUES (0), (1)) b(slip), (VALUES (0), (5), (20), (39)) z(z), (VALUES (-9), (-1), (2), (7)) w(w)), c AS (SELECT *, 6.0::DOUBLE / 86164.091::DOUBLE AS f, (omega + 6) / 86164.091::DOUBLE AS turn FROM g),
+    f"""WITH {MOORINGS}, c AS (SELECT slip, key, z, omega, 6.0::DOUBLE / 86164.091::DOUBLE AS f, (omega + 6) / 86164.091::DOUBLE AS turn FROM moorings, (VALUES (0), (1)) b(slip)),
  s AS (SELECT *, sqrt(abs(turn) / (200 * f) / 2) AS m, sign(turn) AS sg FROM c),
  n AS (SELECT *, exp(-m * z) * cos(m * z) AS dr, -sg * exp(-m * z) * sin(m * z) AS di, exp(-m * (80 - z)) * cos(m * (80 - z)) AS ur, -sg * exp(-m * (80 - z)) * sin(m * (80 - z)) AS ui, exp(-2 * m * 40) * cos(2 * m * 40) AS fr, -sg * exp(-2 * m * 40) * sin(2 * m * 40) AS fi FROM s),
  q AS (SELECT *, CASE WHEN slip = 1 THEN dr + ur ELSE dr - ur END AS nr, CASE WHEN slip = 1 THEN di + ui ELSE di - ui END AS ni, CASE WHEN slip = 1 THEN 1 - fr ELSE 1 + fr END AS br, CASE WHEN slip = 1 THEN -fi ELSE fi END AS bi FROM n),
  h AS (SELECT *, (nr * br + ni * bi) / (br * br + bi * bi) AS hr, (ni * br - nr * bi) / (br * br + bi * bi) AS hi FROM q)
- SELECT slip, z, omega, round((hr + sg * hi) / (1025 * 200 * f * 2 * m) * 1e6, 5) + 0.0 AS re, round((hi - sg * hr) / (1025 * 200 * f * 2 * m) * 1e6, 5) + 0.0 AS im FROM h"""
+ SELECT slip, key, round((hr + sg * hi) / (1025 * 200 * f * 2 * m) * 1e6, 4) + 0.0 AS re, round((hi - sg * hr) / (1025 * 200 * f * 2 * m) * 1e6, 4) + 0.0 AS im FROM h"""
 )
 def wind_constant(spark, sf):
     """A finite layer of constant viscosity without and with slip at its bottom, in 1e-6."""
-    out = None
-    for slip in (0, 1):
-        w = apply.wind_table(spark, [-9, -1, 2, 7], [0, 5, 20, 39], f=6.0, delta=20.0, mu=0.0, depth=40.0, boundary="free-slip" if slip else "no-slip", method="unscaled" if slip else "scaled")
-        w = w.select(F.lit(slip).alias("slip"), "z", "omega", r(F.col("re") * 1e6, 5).alias("re"), r(F.col("im") * 1e6, 5).alias("im"))
-        out = w if out is None else out.unionByName(w)
-    return out
+    layer = {"f": 6.0, "delta": 20.0, "mu": 0.0, "depth": 40.0}
+    return _winds(spark, sf, [(F.lit(0), layer), (F.lit(1), layer | {"boundary": "free-slip", "method": "unscaled"})], "slip", 4)
 
 
-@query("WITH g AS (SELECT m.mu::DOUBLE AS mu, z.z::DOUBLE AS z, 6.0::DOUBLE / 86164.091::DOUBLE AS f FROM (VALUES (0), (20)) m(mu), (VALUES (0), (5), (20), (39)) z(z)) SELECT mu, z, round(CASE WHEN mu = 0 THEN (40 - z) / (1025 * 200 * f) ELSE ln((200 * f + mu * f / 2 * 40) / (200 * f + mu * f / 2 * z)) / (1025 * mu * f / 2) END * 1e6, 4) AS re FROM g")
+@query(f"WITH {MOORINGS}, g AS (SELECT mu, key, z, 6.0::DOUBLE / 86164.091::DOUBLE AS f FROM moorings, (VALUES (0::DOUBLE), (20::DOUBLE)) m(mu)) SELECT mu, key, round(CASE WHEN mu = 0 THEN (40 - z) / (1025 * 200 * f) ELSE ln((200 * f + mu * f / 2 * 40) / (200 * f + mu * f / 2 * z)) / (1025 * mu * f / 2) END * 1e6, 4) AS re FROM g")
 def wind_limit(spark, sf):
-    """Where the frequency cancels the rotation, in 1e-6."""
+    """Where the frequency cancels the rotation, at the moorings' depths, in 1e-6."""
     out = None
     for mu in (0.0, 20.0):
-        w = apply.wind_table(spark, [-6.0], [0, 5, 20, 39], f=6.0, delta=20.0, mu=mu, depth=40.0).select(F.lit(mu).alias("mu"), "z", r(F.col("re") * 1e6, 4).alias("re"))
+        still = moorings(spark, sf).withColumn("omega", F.lit(-6.0))
+        w = apply.wind_response(still, "omega", "z", f=6.0, delta=20.0, mu=mu, depth=40.0).select(F.lit(mu).alias("mu"), "key", r(F.col("re") * 1e6, 4).alias("re"))
         out = w if out is None else out.unionByName(w)
     return out
 

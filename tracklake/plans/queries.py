@@ -6,6 +6,7 @@ import math
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,7 +16,7 @@ from ..model import OBS, ROW, RaggedFrame, along
 from ..operators import apply, binning, intervals, kinematics, lines, pairs, ragged, signals
 from ..scratch import fresh_path
 from ..sources import files, providers
-from .tables import DRIFTS, ORDERS, TRACKS, bearing, distance, drifts, orders, table, tracks
+from .tables import DRIFTS, MOORINGS, ORDERS, TRACKS, bearing, distance, drifts, moorings, orders, shapes, table, tracks, wavelet_shapes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -628,21 +629,34 @@ def slab(spark, sf):
 
 
 @query(
-    """WITH g AS (SELECT z.z::DOUBLE AS z, w.w::DOUBLE AS omega FROM (VALUES (0), (5), (10), (40)) z(z), (VALUES (-5), (-1), (0), (2), (7)) w(w)), c AS (SELECT *, 6.0::DOUBLE / 86164.091::DOUBLE AS f, (omega + 6) / 86164.091::DOUBLE AS turn FROM g),
+    f"""WITH {MOORINGS}, c AS (SELECT *, 6.0::DOUBLE / 86164.091::DOUBLE AS f, (omega + 6) / 86164.091::DOUBLE AS turn FROM moorings),
  s AS (SELECT *, sqrt(abs(turn) / (200 * f) / 2) AS m, sign(turn) AS sg FROM c)
- SELECT z, omega, round(exp(-m * z) * (cos(m * z) - sin(sg * m * z)) / (1025 * 200 * f * 2 * m), 8) + 0.0 AS re, round(-sg * exp(-m * z) * (cos(m * z) + sg * sin(sg * m * z)) / (1025 * 200 * f * 2 * m), 8) + 0.0 AS im FROM s"""
+ SELECT key, round(exp(-m * z) * (cos(m * z) - sin(sg * m * z)) / (1025 * 200 * f * 2 * m), 8) + 0.0 AS re, round(-sg * exp(-m * z) * (cos(m * z) + sg * sin(sg * m * z)) / (1025 * 200 * f * 2 * m), 8) + 0.0 AS im FROM s"""
 )
 def wind_ekman(spark, sf):
-    """Response of an infinite layer of constant viscosity."""
-    w = apply.wind_table(spark, [-5, -1, 0, 2, 7], [0, 5, 10, 40], f=6.0, delta=20.0, mu=0.0, depth=math.inf)
-    return w.select("z", "omega", r("re", 8).alias("re"), r("im", 8).alias("im"))
+    """Response of an infinite layer of constant viscosity, at each mooring."""
+    w = apply.wind_response(moorings(spark, sf), "omega", "z", f=6.0, delta=20.0, mu=0.0, depth=math.inf)
+    return w.select("key", r("re", 8).alias("re"), r("im", 8).alias("im"))
 
 
-@query("WITH p AS (SELECT g.g::DOUBLE AS gamma, b.b::DOUBLE AS beta FROM (VALUES (2), (3), (4)) g(g), (VALUES (1), (4), (10)) b(b)) SELECT gamma, beta, round(pow(beta / gamma, 1 / gamma), 9) AS modal, round(exp(lgamma((beta + 2) / gamma) - lgamma((beta + 1) / gamma)), 8) AS instantaneous, round(sqrt(gamma * beta), 9) AS width, round((gamma - 3) / sqrt(gamma * beta), 9) + 0.0 AS skew, round(3 - pow((gamma - 3) / sqrt(gamma * beta), 2) - 2 / (gamma * beta), 9) AS kurt FROM p")
+@query(
+    f"WITH {wavelet_shapes('customer', 'c_custkey', 'c_acctbal')} SELECT key, round(pow(beta / gamma, 1 / gamma), 9) AS modal, round(exp(lgamma((beta + 2) / gamma) - lgamma((beta + 1) / gamma)), 8) AS instantaneous, round(sqrt(gamma * beta), 9) AS width, round((gamma - 3) / sqrt(gamma * beta), 9) + 0.0 AS skew, round(3 - pow((gamma - 3) / sqrt(gamma * beta), 2) - 2 / (gamma * beta), 9) AS kurt FROM p"
+)
 def morse_freqs(spark, sf):
-    """Frequencies and properties of Morse wavelets; there are as many as parameters given."""
-    out = [(float(g), float(b), round(signals.morse_freq(g, b)[0], 9), round(signals.morse_freq(g, b)[2], 8), *(round(x, 9) + 0.0 for x in signals.morse_properties(g, b))) for g in (2, 3, 4) for b in (1, 4, 10)]
-    return spark.createDataFrame(out, "gamma double, beta double, modal double, instantaneous double, width double, skew double, kurt double")
+    """Frequencies and properties of a Morse wavelet for each customer."""
+    each = lambda k, g, b: [(k, round(signals.morse_freq(g, b)[0], 9), round(signals.morse_freq(g, b)[2], 8), *(round(x, 9) + 0.0 for x in signals.morse_properties(g, b)))]
+    return shaped(shapes(spark, sf, "customer", "c_custkey", "c_acctbal"), each, "key long, modal double, instantaneous double, width double, skew double, kurt double")
+
+
+def shaped(df: DataFrame, function: Callable, schema: str) -> DataFrame:
+    """Records of a function of (key, gamma, beta), row by row."""
+
+    def run(frames):
+        for pdf in frames:
+            rows = [x for k, g, b in pdf[["key", "gamma", "beta"]].itertuples(index=False) for x in function(k, g, b)]
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+
+    return df.mapInPandas(run, schema)
 
 
 def _morse(n: str, freqs: list[float], order: int, gamma: float = 3.0, beta: float = 4.0) -> str:
@@ -669,6 +683,12 @@ def inertial(spark, sf):
     return apply.inertial(drifts(spark, sf), relative_bandwidth=0.5)
 
 
+@query("SELECT l_returnflag, l_linestatus, median(l_extendedprice) AS middle FROM lineitem GROUP BY 1, 2")
+def median_by_key(spark, sf):
+    """Exact medians of groups of any size, by a sort by range."""
+    return binning.medians(table(spark, sf, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice", "middle")
+
+
 # ---- sources: tables as a provider's text, read by its parser ----
 
 

@@ -60,3 +60,22 @@ def distance(lon1: str, lat1: str, lon2: str, lat2: str) -> str:
 def bearing(lon1: str, lat1: str, lon2: str, lat2: str) -> str:
     a, b, d = f"radians({lat1})", f"radians({lat2})", f"radians({lon2} - {lon1})"
     return f"atan2(cos({a}) * sin({b}) - sin({a}) * cos({b}) * cos({d}), sin({d}) * cos({b}))"
+
+
+#: Moorings, one a supplier: a frequency in radians a day and a depth in meters.
+MOORINGS = "moorings AS (SELECT s_suppkey AS key, s_acctbal / 500 - 4 AS omega, (s_suppkey * 7 % 39)::DOUBLE + 0.25::DOUBLE AS z FROM supplier)"
+
+
+def moorings(spark: SparkSession, sf: str) -> DataFrame:
+    s = table(spark, sf, "supplier")
+    return s.select(F.col("s_suppkey").alias("key"), (F.col("s_acctbal") / 500 - 4).alias("omega"), ((F.col("s_suppkey") * 7 % 39).cast("double") + 0.25).alias("z"))
+
+
+def wavelet_shapes(name: str, key: str, balance: str) -> str:
+    """SQL of a table p (key, gamma, beta): a wavelet's shape for each row of a table of accounts."""
+    return f"p AS (SELECT {key} AS key, (2 + {key} % 3)::DOUBLE AS gamma, 1 + abs({balance}) / 700 AS beta FROM {name})"
+
+
+def shapes(spark: SparkSession, sf: str, name: str, key: str, balance: str) -> DataFrame:
+    t = table(spark, sf, name)
+    return t.select(F.col(key).alias("key"), (2 + F.col(key) % 3).cast("double").alias("gamma"), (1 + F.abs(balance) / 700).alias("beta"))
