@@ -22,18 +22,19 @@ from .tables import DRIFTS, MOORINGS, ORDERS, TRACKS, bearing, distance, drifts,
 # ---- streams: the table as files that a stream reads to their end ----
 
 
-def _stream(df: DataFrame, label: str) -> DataFrame:
-    """A stream over ``df`` written as files; ``time`` is its timestamp."""
+def _stream(df: DataFrame, label: str, *dealt: str) -> DataFrame:
+    """A stream over ``df`` written as files by its time, or dealt out by other columns; ``time`` is its timestamp."""
     path = fresh_path(df.sparkSession, label)
-    df.repartitionByRange(4, "time").write.parquet(path)
+    (df.repartition(4, *dealt) if dealt else df.repartitionByRange(4, "time")).write.parquet(path)
     return streams.observations(df.sparkSession, path, df.schema, per_trigger=1000)
 
 
 def _ended(stream: DataFrame, label: str) -> DataFrame:
     """What a stream gives by the time its files are read, as a table."""
     path = fresh_path(stream.sparkSession, label)
-    q = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-state").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
+    with streams.timers(stream.sparkSession):
+        q = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-state").outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
@@ -69,14 +70,14 @@ def stream_bins(spark, sf):
 def stream_velocities(spark, sf):
     """Velocities from each fix and the one before it, which is the state."""
     o = drifts(spark, sf).obs.select(ROW, "lon", "lat", F.timestamp_micros("us").alias("time"))
-    v = _ended(streams.velocities(_stream(o, "stream"), ROW), "velocities")
+    v = _ended(streams.velocities(_stream(o, "stream", "lat"), ROW, late="0 seconds"), "velocities")
     return v.select(ROW, F.unix_micros("time").alias("us"), r("u", 5).alias("u"), r("v", 5).alias("v"))
 
 
 @query(f"WITH {TRACKS} SELECT row_idx, obs_idx // 5 AS chunk, round(avg(value), 9) AS mean FROM obs GROUP BY 1, 2 HAVING count(*) = 5")
 def stream_chunks(spark, sf):
     """Means of every five observations of a row."""
-    c = _ended(streams.count_windows(_stream(_timed(spark, sf, "value"), "stream"), ROW, "value", 5), "chunks")
+    c = _ended(streams.count_windows(_stream(_timed(spark, sf, "value"), "stream", "value"), ROW, "value", 5, late="0 seconds"), "chunks")
     return c.select(ROW, "chunk", r("mean", 9).alias("mean"))
 
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.sphere import EARTH_RADIUS_METERS
 from ..operators.pairs import Cells
@@ -40,63 +42,139 @@ def _haversine(lon1, lat1, lon2, lat2):
     return 2 * EARTH_RADIUS_METERS * np.arcsin(np.sqrt(np.minimum(h, 1))), angle
 
 
-def velocities(stream: DataFrame, key: str, lon: str = "lon", lat: str = "lat", time: str = "time", late: str = "1 hour", keep: str = "30 days") -> DataFrame:
-    """(key, time, u, v) by backward differences; a key's state is its last fix. The first fix of a key has null.
+# ---- observations in the order of their times ----
+
+#: The store that keeps lists and timers for a key.
+STORE = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextlib.contextmanager
+def timers(spark: SparkSession) -> Iterator[None]:
+    """A session in which streams with timers start; the setting is put back afterwards, as streams keep theirs."""
+    before = spark.conf.get(STORE[0])
+    spark.conf.set(*STORE)
+    try:
+        yield
+    finally:
+        spark.conf.set(STORE[0], before)
+
 
-    Fixes of a batch are sorted by time; one that is not after the state gives nothing, nor does
-    one later than ``late``. A key without a fix for ``keep`` of event time is forgotten.
+class InOrder(StatefulProcessor):
+    """Observations of a key in the order of their times, whatever batches they come in.
+
+    What arrives waits in a list until the watermark reaches its time; a timer then passes what is
+    due, sorted, to ``step`` with what the key remembers. A last timer, ``keep`` after the key's last
+    observation, forgets it, so that nothing is left of a key that has ended.
     """
-    out = T.StructType([T.StructField(key, T.LongType()), T.StructField("time", T.TimestampType()), T.StructField("u", T.DoubleType()), T.StructField("v", T.DoubleType())])
-    kept = T.StructType([T.StructField(n, T.DoubleType()) for n in ("lon", "lat", "t")])
-    keep_ms = int(pd.Timedelta(keep).total_seconds() * 1000)
-
-    def run(who: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        pdf = pd.concat(frames).sort_values(time)
-        t, x, y = pdf[time].to_numpy("datetime64[us]").astype(np.int64) / 1e6, pdf[lon].to_numpy(float), pdf[lat].to_numpy(float)
-        known = int(state.exists)
-        if known:
-            x0, y0, t0 = state.get
-            new = np.flatnonzero(t > t0)
-            t, x, y = np.append(t0, t[new]), np.append(x0, x[new]), np.append(y0, y[new])
-            when = pdf[time].iloc[new]
-        else:
-            when = pdf[time]
-        step = np.flatnonzero(np.append(True, t[1:] > t[:-1]))
-        t, x, y, when = t[step], x[step], y[step], when.iloc[step[known:] - known]
+
+    def __init__(self, waits: str, remembers: str, columns: list[str], keep_ms: int, step: Callable):
+        self.waits, self.remembers, self.columns, self.keep_ms, self.step = waits, remembers, columns, keep_ms, step
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.waits)
+        self.memory = handle.getValueState("memory", self.remembers)
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803  the interface's names
+        new = []
+        for pdf in rows:
+            t = pdf["time"].to_numpy("datetime64[us]").astype(np.int64)
+            new += list(zip(t.tolist(), *(pdf[c].astype(float).tolist() for c in self.columns), strict=True))
+        if new:
+            self.waiting.appendList(new)
+            self.handle.registerTimer(min(new)[0] // 1000 - 1)  # due as soon as the watermark is at its millisecond
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        now = timerValues.getCurrentWatermarkInMs()
+        rows = sorted(self.waiting.get()) if self.waiting.exists() else []
+        due = [r for r in rows if r[0] // 1000 <= now]
+        rest = rows[len(due) :]
+        memory = tuple(self.memory.get()) if self.memory.exists() else None
+        if due:
+            out, memory = self.step(int(key[0]), due, memory)
+            self.memory.update((due[-1][0], *memory[1:]))
+            if len(out):
+                yield out
+            self.waiting.clear()
+            if rest:
+                self.waiting.put(rest)
+        if rest:
+            self.handle.registerTimer(rest[0][0] // 1000 - 1)
+        elif memory is not None:
+            last = (due[-1][0] if due else memory[0]) // 1000
+            if last + self.keep_ms <= now:
+                self.memory.clear()
+            elif due:
+                self.handle.registerTimer(last + self.keep_ms)
+
+    def close(self) -> None:
+        return
+
+
+def _ms(span: str) -> int:
+    return int(pd.Timedelta(span).total_seconds() * 1000)
+
+
+def _moved(key_name: str):
+    """Velocities of what is due: a step from the fix that is remembered, then from each to the next later one."""
+
+    def step(key: int, due: list[tuple], memory: tuple | None) -> tuple[pd.DataFrame, tuple]:
+        rows = ([memory] if memory else []) + due
+        t, x, y = (np.array(c) for c in zip(*rows, strict=True))
+        later = np.flatnonzero(np.append(True, t[1:] > np.maximum.accumulate(t)[:-1]))
+        t, x, y = t[later], x[later], y[later]
         d, a = _haversine(x[:-1], y[:-1], x[1:], y[1:])
-        u, v = (np.append(np.full(1 - known, np.nan), d * f(a) / np.diff(t)) for f in (np.cos, np.sin))
-        state.update((float(x[-1]), float(y[-1]), float(t[-1])))
-        state.setTimeoutTimestamp(max(int(t[-1] * 1000), state.getCurrentWatermarkMs()) + keep_ms)
-        pdf = pd.DataFrame({key: who[0], "time": when.to_numpy(), "u": u, "v": v})
-        yield pdf.astype({"u": object, "v": object}).where(pdf.notna(), None)
+        u, v = (d * f(a) / np.diff(t / 1e6) for f in (np.cos, np.sin))
+        if not memory:
+            u, v = np.append(np.nan, u), np.append(np.nan, v)
+        out = pd.DataFrame({key_name: key, "time": t[len(t) - len(u) :].astype("datetime64[us]"), "u": u, "v": v})
+        return out.astype({"u": object, "v": object}).where(out.notna(), None), (int(t[-1]), float(x[-1]), float(y[-1]))
 
-    src = stream.withWatermark(time, late).select(F.col(key).cast("long").alias(key), lon, lat, time)
-    return src.groupBy(key).applyInPandasWithState(run, out, kept, "append", "EventTimeTimeout")
+    return step
 
 
-def count_windows(stream: DataFrame, key: str, value: str, length: int, time: str = "time") -> DataFrame:
-    """(key, chunk, mean) of every ``length`` observations of a key; a key's state is its open window.
+def velocities(stream: DataFrame, key: str, lon: str = "lon", lat: str = "lat", time: str = "time", late: str = "1 hour", keep: str = "30 days") -> DataFrame:
+    """(key, time, u, v) by backward differences, in the order of times; the first fix of a key has null.
 
-    Observations of a batch are sorted by time, batches stand in order of arrival.
+    A fix waits until the watermark, ``late`` behind the latest time, has reached it, so fixes may come
+    in any order within that span; later ones are dropped. Of several fixes of one time the one
+    with the least longitude counts. A key without a fix for ``keep`` of event time is forgotten.
+    Queries start inside ``timers``.
     """
-    out = T.StructType([T.StructField(key, T.LongType()), T.StructField("chunk", T.LongType()), T.StructField("mean", T.DoubleType())])
-    kept = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("n", T.LongType()), T.StructField("sum", T.DoubleType())])
+    out = T.StructType([T.StructField(key, T.LongType()), T.StructField("time", T.TimestampType()), T.StructField("u", T.DoubleType()), T.StructField("v", T.DoubleType())])
+    src = stream.withWatermark(time, late).select(F.col(key).cast("long").alias(key), F.col(time).alias("time"), F.col(lon).alias("lon"), F.col(lat).alias("lat"))
+    held = "t long, lon double, lat double"
+    return src.groupBy(key).transformWithStateInPandas(InOrder(held, held, ["lon", "lat"], _ms(keep), _moved(key)), out, "append", "eventTime")
+
 
-    def run(who: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        chunk, n, total = state.get if state.exists else (0, 0, 0.0)
-        x = pd.concat(frames).sort_values(time)[value].to_numpy(float)
+def _counted(key_name: str, length: int):
+    """Means of windows that what is due completes; the open window is remembered."""
+
+    def step(key: int, due: list[tuple], memory: tuple | None) -> tuple[pd.DataFrame, tuple]:
+        _, chunk, n, total = memory or (0, 0, 0, 0.0)
+        x = np.array([r[1] for r in due])
         whole = (n + len(x)) // length
         ends = length * np.arange(1, whole + 1) - n
         sums = np.append(0.0, np.cumsum(x))
         means = np.diff(np.append(-total, sums[ends])) / length
         left = sums[-1] - sums[ends[-1]] if whole else total + sums[-1]
-        state.update((int(chunk + whole), int((n + len(x)) % length), float(left)))
-        yield pd.DataFrame({key: np.full(whole, who[0]), "chunk": chunk + np.arange(whole), "mean": means})
+        out = pd.DataFrame({key_name: np.full(whole, key), "chunk": chunk + np.arange(whole), "mean": means})
+        return out, (due[-1][0], int(chunk + whole), int((n + len(x)) % length), float(left))
+
+    return step
 
-    return stream.select(F.col(key).cast("long").alias(key), value, time).groupBy(key).applyInPandasWithState(run, out, kept, "append", "NoTimeout")
+
+def count_windows(stream: DataFrame, key: str, value: str, length: int, time: str = "time", late: str = "1 hour", keep: str = "30 days") -> DataFrame:
+    """(key, chunk, mean) of every ``length`` observations of a key, in the order of times; a key remembers its open window.
+
+    Order, lateness and ``keep`` are those of ``velocities``; observations of one time stand by value.
+    A key that was forgotten starts anew with chunk 0.
+    """
+    out = T.StructType([T.StructField(key, T.LongType()), T.StructField("chunk", T.LongType()), T.StructField("mean", T.DoubleType())])
+    src = stream.withWatermark(time, late).select(F.col(key).cast("long").alias(key), F.col(time).alias("time"), F.col(value).alias("value"))
+    state = InOrder("t long, value double", "t long, chunk long, n long, total double", ["value"], _ms(keep), _counted(key, length))
+    return src.groupBy(key).transformWithStateInPandas(state, out, "append", "eventTime")
 
 
 def pairs(a: DataFrame, b: DataFrame, space: float, seconds: int, late: str = "1 hour") -> DataFrame:
