@@ -218,3 +218,69 @@ def test_storm_archives(spark):
     assert sorted((r.sid, r.rowsize, r.quadrant) for r in f.rows.collect()) == [("a", 1, [7]), ("b", 2, [8]), ("c", 0, [9])] and obs(f, "wind") == [(1,), (3,), (4,)]
     assert sorted(r.sid for r in providers.ibtracs(df, since=2010).rows.collect()) == ["b", "c"]
     assert providers.ibtracs_name() == "IBTrACS.last3years.v04r01.nc" and providers.ibtracs_name("v04r00", "NA") == "IBTrACS.NA.v04r00.nc"
+
+
+# ---- the catalog's stored layout ----
+
+
+@pytest.fixture
+def stored(spark, tmp_path):
+    """Rows of several lengths in a catalog of three buckets, and the same frame unstored."""
+    rows = spark.createDataFrame([(i, 1 + i % 5, i % 2 == 0) for i in range(40)], "row_idx long, rowsize long, even boolean")
+    obs = spark.createDataFrame([(i, k, 100.0 * i + 7.0 * k, float(i), float(k)) for i in range(40) for k in range(1 + i % 5)], "row_idx long, obs_idx long, time double, lon double, lat double")
+    frame = RaggedFrame(rows, obs, {"title": "t"}).describe("lon", units="degrees")
+    catalog = files.Catalog(spark, f"file://{tmp_path}/c", buckets=3)
+    return catalog, catalog.get("f", lambda: frame), frame
+
+
+def test_stored_frames_need_no_exchange(spark, stored):
+    from tracklake.model import OBS, ROW
+    from tracklake.operators import kinematics, ragged
+
+    _, kept, frame = stored
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        cases = {
+            "velocity": lambda f: kinematics.velocity(f.obs),
+            "segment": lambda f: ragged.segment(f.obs, "time", 10.0),
+            "prune": lambda f: ragged.prune(f, 3).obs,
+            "subset": lambda f: ragged.subset(f, {"even": True, "lat": (0, 2)}).obs,
+            "reduce": lambda f: f.obs.groupBy(ROW).agg(F.avg("lat").alias("lat")),
+            "joined": lambda f: f.joined(["even"]),
+        }
+        for name, make in cases.items():
+            mine, plain = make(kept), make(frame)
+            plan = mine._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange" not in plan, (name, plan)
+            assert sorted(map(repr, mine.select(*plain.columns).collect())) == sorted(map(repr, plain.collect())), name
+            assert "Exchange" in plain._jdf.queryExecution().executedPlan().toString()
+        assert kept.attrs == {"title": "t"} and kept.attributes("lon") == {"units": "degrees"} and OBS in kept.obs.columns
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_a_bucket_is_one_sorted_file(stored, tmp_path):
+    import pyarrow.parquet as pq
+
+    found = sorted((tmp_path / "c" / "f").glob("*/obs/*.parquet"))
+    assert len(found) == 3
+    for f in found:
+        t = pq.read_table(f).select(["row_idx", "obs_idx"]).to_pylist()
+        assert [tuple(x.values()) for x in t] == sorted(tuple(x.values()) for x in t)
+
+
+def test_versions(spark, stored, tmp_path):
+    """A reader of one version reads on while the next is written; the one before last goes; another session finds the last."""
+    catalog, kept, frame = stored
+    fewer = RaggedFrame(frame.rows.filter("row_idx < 10"), frame.obs.filter("row_idx < 10"))
+    catalog.put("f", fewer)
+    assert kept.obs.count() == frame.obs.count() and catalog.get("f", None).rows.count() == 10
+    catalog.put("f", frame)
+    assert len([x for x in (tmp_path / "c" / "f").iterdir() if x.is_dir()]) == 2
+    other = spark.newSession()
+    again = files.Catalog(other, catalog.folder).get("f", None)
+    assert again.obs.count() == frame.obs.count() and again.attrs == {"title": "t"}
+    with pytest.raises(Exception, match="broken"):
+        catalog.put("f", RaggedFrame(frame.rows, frame.obs.withColumn("lon", F.raise_error(F.lit("broken")).cast("double"))))
+    assert catalog.get("f", None).obs.count() == frame.obs.count()

@@ -12,9 +12,9 @@ from pyspark.sql import types as T
 
 from ..functions import cleaning
 from ..model import OBS, ROW, RaggedFrame
-from ..operators import apply, pairs, ragged, signals, special, transfer
-from ..scratch import fresh_path
-from ..sources import files, grids, providers
+from ..operators import apply, kinematics, pairs, ragged, signals, special, transfer
+from ..scratch import fresh_path, materialize
+from ..sources import files, grids, matlab, providers
 from ..streaming import streams
 from .queries import _W, _fixed, _lines, _morse, _text, query, r, shaped
 from .tables import DRIFTS, MOORINGS, ORDERS, TRACKS, bearing, distance, drifts, moorings, orders, shapes, table, tracks, wavelet_shapes
@@ -166,6 +166,35 @@ def subsurface_arrays(spark, sf):
     return f.obs.select(ROW, OBS, F.when(near, F.col("us")).alias("us"), r(F.col("pres").cast("double"), 3).alias("pres"), r(F.col("temp").cast("double"), 3).alias("temp"))
 
 
+@query(f"WITH {TRACKS} SELECT row_idx, obs_idx, us, round(lat::FLOAT::DOUBLE, 3) + 0.0 AS pres, round(value::FLOAT::DOUBLE, 3) AS temp, 'experiment ' || row_idx % 4 AS experiment FROM obs")
+def subsurface_file(spark, sf):
+    """Floats from four MATLAB files, plain and compressed in turn, an experiment each."""
+    folder = fresh_path(spark, "mat")
+    day = F.col("us") / 86_400_000_000 + cleaning.EPOCH_DAY
+    o = tracks(spark, sf).obs.select(ROW, OBS, (F.col(ROW) % 4).alias("file"), day.alias("dtnum"), "lon", F.col("lat").alias("p"), F.col("value").alias("t"))
+
+    def write(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        k = int(key[0])
+        floats = [g.sort_values(OBS) for _, g in pdf.groupby(ROW)]
+        variables = {c: [g[c].to_numpy(float) for g in floats] for c in ("dtnum", "lon", "p", "t")}
+        variables |= {"indexFlt": np.array([float(g[ROW].iloc[0]) for g in floats]), "indexExp": np.full(len(floats), k + 1.0), "expList": [f"experiment {k}"], "expName": [["name"] for _ in floats]}
+        system, path = grids.store(f"{folder}/part-{k}.mat")
+        system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+        with system.open_output_stream(path) as out:
+            matlab.write(out, variables, compress=k % 2 == 0)
+        return pd.DataFrame({"path": [f"{folder}/part-{k}.mat"]})
+
+    written = o.groupBy("file").applyInPandas(write, "path string")
+    paths = [x.path for x in materialize(written, "mat-files").orderBy("path").toLocalIterator()]
+    f = providers.subsurface_mat(spark, paths)
+    j = f.joined(["indexFlt", "expList"])
+    us = F.unix_micros("time")
+    true = tracks(spark, sf).obs.select(F.col(ROW).alias("indexFlt"), OBS, "us")
+    j = j.join(true, ["indexFlt", OBS])
+    near = F.abs(us - F.col("us")) <= 20  # a day number has about that resolution
+    return j.select(F.col("indexFlt").alias(ROW), OBS, F.when(near, F.col("us")).alias("us"), r(F.col("pres").cast("double"), 3).alias("pres"), r(F.col("temp").cast("double"), 3).alias("temp"), F.col("expList").alias("experiment"))
+
+
 _SHIP = "'ship of the long name ' || row_idx"
 
 
@@ -293,6 +322,16 @@ def catalog_rows(spark, sf):
     return f.rows.join(f.obs.groupBy(ROW).agg(F.sum("l_quantity").cast("double").alias("total")), ROW).select(ROW, "rowsize", "total")
 
 
+@query(f"WITH {TRACKS}, n AS (SELECT *, lag(lon) OVER w AS x, lag(lat) OVER w AS y FROM obs WINDOW w AS (PARTITION BY row_idx ORDER BY obs_idx)) SELECT row_idx, count(*) AS rowsize, round(sum({distance('x', 'y', 'lon', 'lat')}) / 1000, 3) AS km FROM n GROUP BY 1")
+def catalog_distance(spark, sf):
+    """The way of each row, over its stored buckets: window and reduction without an exchange."""
+    c = files.Catalog(spark, fresh_path(spark, "catalog"))
+    f = c.get("tracks", lambda: tracks(spark, sf), needs=["lon", "lat"])
+    w = kinematics.cumulative_distance(f.obs)
+    way = w.groupBy(ROW).agg(F.max("distance").alias("m"))
+    return f.rows.join(way, ROW).select(ROW, "rowsize", r(F.col("m") / 1000, 3).alias("km"))
+
+
 @query("SELECT o_orderkey AS row_idx, o_totalprice::DOUBLE AS price, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) AS rowsize FROM orders")
 def two_tables(spark, sf):
     """From a table of rows and one of observations; the counts come from the observations."""

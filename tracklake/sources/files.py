@@ -150,36 +150,85 @@ def number_rows(df: DataFrame, key: str, order: Sequence[str]) -> RaggedFrame:
 
 
 class Catalog:
-    """Tables that are built once and then read: Parquet under a folder, by name."""
+    """Ragged tables that are built once and then read: Parquet under a folder, by name.
 
-    def __init__(self, spark: SparkSession, folder: str):
+    Rows and observations are stored by buckets of ``row_idx``, sorted, a file a bucket. Windows along
+    rows, segments, joins and reductions by row over a stored table therefore move nothing between
+    tasks. Each ``put`` writes a version of its own; a pointer file, replaced in one step, says which
+    one counts. The version before stays for readers that are at it, older ones go.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, buckets: int | None = None):
         self.spark, self.folder = spark, folder.rstrip("/")
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}"
 
     def get(self, name: str, build: Callable[[], RaggedFrame], needs: Sequence[str] = (), force: bool = False) -> RaggedFrame:
-        """The stored frame; built if absent, unreadable, without a needed column, or ``force``."""
-        if not force:
-            try:
-                frame = RaggedFrame(self.spark.read.parquet(f"{self.path(name)}/rows"), self.spark.read.parquet(f"{self.path(name)}/obs"))
-                if not set(needs) - {*frame.rows.columns, *frame.obs.columns}:
-                    return frame
-            except Exception as e:  # noqa: BLE001  Spark reports absent and broken tables alike
-                if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                    warnings.warn(f"{name} is rebuilt: {str(e).splitlines()[0]}", stacklevel=2)
-        self.put(name, build())
-        return self.get(name, build)
+        """The stored frame; built if absent, without a needed column, or ``force``. Tables that cannot be read raise."""
+        known = None if force else self._pointer(name)
+        if known is None or set(needs) - {c for part in known["columns"].values() for c in part}:
+            self.put(name, build())
+            known = self._pointer(name)
+        frame = RaggedFrame(self._table(name, known, "rows"), self._table(name, known, "obs"), known["attrs"])
+        for column, attributes in known["described"].items():
+            frame = frame.describe(column, **attributes)
+        return frame
 
     def put(self, name: str, frame: RaggedFrame) -> None:
-        """Write beside the stored table and swap by a rename, so that a reader sees one or the other."""
-        new = f"{self.path(name)}.new-{uuid.uuid4().hex[:8]}"
-        frame.rows.write.parquet(f"{new}/rows")
-        frame.obs.write.parquet(f"{new}/obs")
-        sc = self.spark.sparkContext
-        to, old, part = (sc._jvm.org.apache.hadoop.fs.Path(x) for x in (self.path(name), f"{new}.old", new))
-        system = to.getFileSystem(sc._jsc.hadoopConfiguration())
-        if system.exists(to):
-            system.rename(to, old)
-        system.rename(part, to)
-        system.delete(old, True)
+        """Write a version and point to it; until then readers get the one before."""
+        before = self._pointer(name) or {}
+        version = uuid.uuid4().hex[:12]
+        known = {"version": version, "before": before.get("version"), "buckets": self.buckets, "attrs": frame.attrs, "columns": {}, "ddl": {}}
+        known["described"] = {f.name: f.metadata for df in (frame.rows, frame.obs) for f in df.schema.fields if f.metadata}
+        for part, df, keys in (("rows", frame.rows, [ROW]), ("obs", frame.obs, [ROW, OBS])):
+            where = f"{self.path(name)}/{version}/{part}"
+            df = df.withColumns({c: F.col(c).cast("long") for c in keys})
+            # rows are dealt to tasks as they are to buckets, so a bucket is one file
+            df.repartition(self.buckets, ROW).sortWithinPartitions(*keys).write.format("parquet").bucketBy(self.buckets, ROW).sortBy(*keys).option("path", where).saveAsTable(self._named(name, version, part))
+            known["columns"][part], known["ddl"][part] = df.columns, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+        self._point(name, known)
+        if before.get("before"):
+            for part in ("rows", "obs"):
+                self.spark.sql(f"DROP TABLE IF EXISTS {self._named(name, before['before'], part)}")
+            old = self._hadoop(f"{self.path(name)}/{before['before']}")
+            self._system(old).delete(old, True)
+
+    def _named(self, name: str, version: str, part: str) -> str:
+        return f"`ragged_{''.join(c if c.isalnum() else '_' for c in name)}_{version}_{part}`"
+
+    def _table(self, name: str, known: dict, part: str) -> DataFrame:
+        """A version's table, made known to this session if another one wrote it."""
+        table = self._named(name, known["version"], part)
+        keys = f"{ROW}, {OBS}" if part == "obs" else ROW
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({known['ddl'][part]}) USING parquet CLUSTERED BY ({ROW}) SORTED BY ({keys}) INTO {known['buckets']} BUCKETS LOCATION '{self.path(name)}/{known['version']}/{part}'")
+        return self.spark.table(table)
+
+    def _hadoop(self, path: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+    def _system(self, path):
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _pointer(self, name: str) -> dict | None:
+        at = self._hadoop(f"{self.path(name)}/current.json")
+        system = self._system(at)
+        if not system.exists(at):
+            return None
+        stream = system.open(at)
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
+
+    def _point(self, name: str, known: dict) -> None:
+        """Replace the pointer in one step."""
+        jvm = self.spark.sparkContext._jvm
+        new, at = self._hadoop(f"{self.path(name)}/current.{known['version']}.json"), self._hadoop(f"{self.path(name)}/current.json")
+        out = self._system(new).create(new, True)
+        out.write(bytearray(json.dumps(known).encode()))
+        out.close()
+        how = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        how[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(self._system(new).makeQualified(new), self._system(at).makeQualified(at), how)

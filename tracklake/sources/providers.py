@@ -6,18 +6,23 @@ Files are given by path; nothing is downloaded. What a provider marks as missing
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from datetime import UTC, datetime
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import cleaning
 from ..model import OBS, ROW, RaggedFrame
 from ..operators.ragged import ranked
+from ..scratch import materialize
+from . import matlab
 from .files import fields, lines, number_rows, zipped_lines
-from .grids import read_zarr
+from .grids import read_zarr, store
 
 # ---- surface drifters in white-space columns ----
 
@@ -220,6 +225,65 @@ def subsurface(df: DataFrame) -> RaggedFrame:
     return RaggedFrame(frame.rows, obs.withColumns({c: F.col(c).cast("float") for c in names.values() if c in obs.columns}))
 
 
+# Variables of the floats' MATLAB file, by observation and by float.
+FLOAT_DATA = ("dtnum", "lon", "lat", "p", "t", "u", "v")
+FLOAT_META = ("expName", "expOrg", "expPI", "fltType", "indexExp", "indexFlt")
+FLOATS_AT_ONCE = 1000  # floats that a task hands over together
+
+
+def subsurface_mat(spark: SparkSession, paths: str | list[str]) -> RaggedFrame:
+    """Floats from MATLAB files, each read by a task: cells of vectors by float, with what is known of each.
+
+    Rows stand in the order of files and of floats in them. An experiment's entry of ``expList`` goes to
+    its floats, by the order of their ``indexExp``. A variable that a file lacks, and an empty
+    cell, are null; a vector of another length than its times is cut or ends in nulls.
+    """
+    schema = T.StructType([T.StructField("file", T.LongType()), T.StructField("place", T.LongType()), *(T.StructField(c, T.ArrayType(T.DoubleType())) for c in FLOAT_DATA), *(T.StructField(c, T.StringType()) for c in ("expList", *FLOAT_META))])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for file, path in zip(frame["file"], frame["path"], strict=True):
+                system, at = store(path)
+                with system.open_input_file(at) as f:
+                    found = dict(matlab.read(f, frozenset((*FLOAT_DATA, *FLOAT_META, "expList"))))
+                n = len(found.get("dtnum", []))
+                each = [[_flat(x) for x in found[c]] if c in found else [None] * n for c in FLOAT_DATA]
+                known = {c: _texts(found.get(c), n) for c in FLOAT_META}
+                order = sorted({int(float(x)) for x in known["indexExp"] if x is not None})
+                listed = _texts(found.get("expList"), len(order))
+                rank = {k: i for i, k in enumerate(order)}
+                names = [listed[rank[int(float(x))]] if x is not None else None for x in known["indexExp"]]
+                for a in range(0, n, FLOATS_AT_ONCE):
+                    b = min(n, a + FLOATS_AT_ONCE)
+                    yield pd.DataFrame({"file": file, "place": range(a, b), **{c: x[a:b] for c, x in zip(FLOAT_DATA, each, strict=True)}, "expList": names[a:b], **{c: x[a:b] for c, x in known.items()}})
+
+    paths = [paths] if isinstance(paths, str) else paths
+    files_ = spark.createDataFrame(list(enumerate(paths)), "file long, path string").repartition(max(1, min(len(paths), 10_000)), "file")
+    read = materialize(files_.mapInPandas(run, schema), "floats")
+    numbers = ranked(read.select("file", "place"), ["file", "place"])
+    floats = read.join(numbers, ["file", "place"]).drop("file", "place")
+    whole = {c: F.coalesce(c, F.array().cast("array<double>")) for c in FLOAT_DATA}  # an empty vector ends in nulls
+    return subsurface(floats.withColumns({**whole, **{c: F.col(c).cast("long") for c in ("indexExp", "indexFlt")}}))
+
+
+def _flat(x) -> list[float] | None:
+    """A cell's numbers in column order."""
+    values = None if x is None or isinstance(x, str) else np.asarray(x, float).ravel(order="F").tolist()
+    return values or None
+
+
+def _texts(x, n: int) -> list[str | None]:
+    """One text for each of ``n`` cells or numbers: whole numbers without a point, of arrays the first element."""
+    cells = [None] * n if x is None else x if isinstance(x, list) else np.asarray(x).ravel(order="F").tolist() if not isinstance(x, str) else [x]
+    out = []
+    for c in cells:
+        while isinstance(c, (list, np.ndarray)):
+            c = (c.ravel(order="F").tolist() if isinstance(c, np.ndarray) else c) or [None]
+            c = c[0]
+        out.append(None if c is None else str(int(c)) if isinstance(c, float) and c.is_integer() else str(c))
+    return (out + [None] * n)[:n]
+
+
 # ---- buoys of one expedition: a list of sensors and a file for each ----
 
 
