@@ -14,7 +14,7 @@ from ..functions import cleaning
 from ..model import OBS, ROW, RaggedFrame
 from ..operators import apply, kinematics, pairs, ragged, signals, special, transfer
 from ..scratch import fresh_path, materialize
-from ..sources import files, grids, matlab, providers
+from ..sources import files, grids, growing, matlab, providers
 from ..streaming import streams
 from .queries import _W, _fixed, _lines, _morse, _text, query, r, shaped
 from .tables import DRIFTS, MOORINGS, ORDERS, TRACKS, bearing, distance, drifts, moorings, orders, shapes, table, tracks, wavelet_shapes
@@ -339,6 +339,18 @@ def two_tables(spark, sf):
     return files.from_dataframes(o, orders(spark, sf).obs).rows.select(ROW, "price", "rowsize")
 
 
+@query(f"""WITH {TRACKS}, f AS (SELECT row_idx, min(us) AS first, count(*) AS rowsize, row_number() OVER (ORDER BY min(us), row_idx) - 1 AS place FROM obs GROUP BY 1)
+ SELECT place AS row_idx, row_number() OVER (PARTITION BY o.row_idx ORDER BY us, event_id) - 1 AS obs_idx, o.row_idx AS id, rowsize, event_id FROM obs o JOIN f USING (row_idx)""")
+def ingest_batches(spark, sf):
+    """Observations that come in three batches of mixed times, merged into the rows that are there."""
+    o = tracks(spark, sf).obs.select(F.col(ROW).alias("id"), F.timestamp_micros("us").alias("time"), "event_id", "value")
+    table_ = growing.Growing(spark, fresh_path(spark, "growing"), buckets=16)
+    for k in (2, 0, 1):
+        table_.ingest(f"batch {k}", o.filter(F.col("event_id") % 3 == k))
+    f = table_.frame()
+    return f.joined(["id", "rowsize"]).select(ROW, OBS, "id", "rowsize", "event_id")
+
+
 # ---- functions of rows, pairs of tables ----
 
 

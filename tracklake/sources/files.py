@@ -18,6 +18,7 @@ from pyspark.sql.window import Window
 from ..model import OBS, ROW, RaggedFrame
 from ..operators.ragged import ranked
 from ..scratch import materialize
+from .pointer import Pointer
 
 
 def from_files(
@@ -167,10 +168,10 @@ class Catalog:
 
     def get(self, name: str, build: Callable[[], RaggedFrame], needs: Sequence[str] = (), force: bool = False) -> RaggedFrame:
         """The stored frame; built if absent, without a needed column, or ``force``. Tables that cannot be read raise."""
-        known = None if force else self._pointer(name)
+        known = None if force else self._pointer(name).get()
         if known is None or set(needs) - {c for part in known["columns"].values() for c in part}:
             self.put(name, build())
-            known = self._pointer(name)
+            known = self._pointer(name).get()
         frame = RaggedFrame(self._table(name, known, "rows"), self._table(name, known, "obs"), known["attrs"])
         for column, attributes in known["described"].items():
             frame = frame.describe(column, **attributes)
@@ -178,7 +179,8 @@ class Catalog:
 
     def put(self, name: str, frame: RaggedFrame) -> None:
         """Write a version and point to it; until then readers get the one before."""
-        before = self._pointer(name) or {}
+        pointer = self._pointer(name)
+        before = pointer.get() or {}
         version = uuid.uuid4().hex[:12]
         known = {"version": version, "before": before.get("version"), "buckets": self.buckets, "attrs": frame.attrs, "columns": {}, "ddl": {}}
         known["described"] = {f.name: f.metadata for df in (frame.rows, frame.obs) for f in df.schema.fields if f.metadata}
@@ -188,12 +190,14 @@ class Catalog:
             # rows are dealt to tasks as they are to buckets, so a bucket is one file
             df.repartition(self.buckets, ROW).sortWithinPartitions(*keys).write.format("parquet").bucketBy(self.buckets, ROW).sortBy(*keys).option("path", where).saveAsTable(self._named(name, version, part))
             known["columns"][part], known["ddl"][part] = df.columns, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-        self._point(name, known)
+        pointer.put(known)
         if before.get("before"):
             for part in ("rows", "obs"):
                 self.spark.sql(f"DROP TABLE IF EXISTS {self._named(name, before['before'], part)}")
-            old = self._hadoop(f"{self.path(name)}/{before['before']}")
-            self._system(old).delete(old, True)
+            pointer.delete([f"{self.path(name)}/{before['before']}"])
+
+    def _pointer(self, name: str) -> Pointer:
+        return Pointer(self.spark, f"{self.path(name)}/current.json")
 
     def _named(self, name: str, version: str, part: str) -> str:
         return f"`ragged_{''.join(c if c.isalnum() else '_' for c in name)}_{version}_{part}`"
@@ -204,31 +208,3 @@ class Catalog:
         keys = f"{ROW}, {OBS}" if part == "obs" else ROW
         self.spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({known['ddl'][part]}) USING parquet CLUSTERED BY ({ROW}) SORTED BY ({keys}) INTO {known['buckets']} BUCKETS LOCATION '{self.path(name)}/{known['version']}/{part}'")
         return self.spark.table(table)
-
-    def _hadoop(self, path: str):
-        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-
-    def _system(self, path):
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _pointer(self, name: str) -> dict | None:
-        at = self._hadoop(f"{self.path(name)}/current.json")
-        system = self._system(at)
-        if not system.exists(at):
-            return None
-        stream = system.open(at)
-        try:
-            return json.loads(bytes(stream.readAllBytes()).decode())
-        finally:
-            stream.close()
-
-    def _point(self, name: str, known: dict) -> None:
-        """Replace the pointer in one step."""
-        jvm = self.spark.sparkContext._jvm
-        new, at = self._hadoop(f"{self.path(name)}/current.{known['version']}.json"), self._hadoop(f"{self.path(name)}/current.json")
-        out = self._system(new).create(new, True)
-        out.write(bytearray(json.dumps(known).encode()))
-        out.close()
-        how = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        how[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(self._system(new).makeQualified(new), self._system(at).makeQualified(at), how)

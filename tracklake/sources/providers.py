@@ -327,14 +327,17 @@ def directory(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return df.select(*(c.alias(n) for c, n in zip(cols, DIRECTORY, strict=True))).filter("ID IS NOT NULL").orderBy("Start_date", "ID")
 
 
-def gdp_source(spark: SparkSession, paths: str | list[str], metadata: DataFrame, use_fill_values: bool = True, latest: int = 2100, max_lines: int | None = None) -> RaggedFrame:
+def gdp_source(spark: SparkSession, paths: str | list[str], metadata: DataFrame, use_fill_values: bool = True, latest: int = 2100, max_lines: int | None = None, chunk_size: int = 100_000, max_chunks: int | None = None) -> RaggedFrame:
     """Raw fixes of drifters: anomalous lines out, fractional days to times, metadata joined, rows by start date.
 
     Without ``use_fill_values`` drifters that the metadata lack are left out; with it they stay
     and carry the fills. The observation index is the line's place in its file, from 0;
-    ``max_lines`` takes the first lines of each file alone.
+    ``max_lines`` takes the first lines of each file alone, ``max_chunks`` as many chunks of
+    ``chunk_size`` lines of each; of both the smaller counts. ``sources.growing`` takes files batch by batch.
     """
     raw = lines(spark, paths)
+    if max_chunks is not None:
+        max_lines = min(max_lines, max_chunks * chunk_size) if max_lines is not None else max_chunks * chunk_size
     df = fields(raw if max_lines is None else raw.filter(F.col("at") < max_lines), RAW)
     num = lambda c, kind="double": F.col(c).try_cast(kind)
     good = F.lit(True)
