@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tracklake.llm import decontam, mix, ngrams, quality
 from tracklake.llm.queries import op5_mix_sources, op10_quality_rules
@@ -56,20 +57,68 @@ def test_em_finds_which_rules_to_trust():
     votes = np.where(right, truth[:, None], ~truth[:, None])
     said = rng.random(votes.shape) < 0.8
     patterns = Counter("".join("-" if not s else "1" if v else "0" for v, s in zip(row, mask, strict=True)) for row, mask in zip(votes, said, strict=True))
-    model = quality.fit(patterns, on_good=0.8, on_bad=0.8, trust=0.0001, anchors=False)
-    assert abs(model.prior - 0.8) < 0.03 and np.abs(model.on_good - accuracy).max() < 0.06 and np.abs(model.on_bad - accuracy).max() < 0.12
+    model = quality.fit(patterns)
+    assert abs(model.prior - 0.8) < 0.03 and len(model.good) == 2
+    assert np.abs(model.rates[model.good][0] - accuracy).max() < 0.06 and np.abs(model.rates[~model.good][0] - (1 - accuracy)).max() < 0.12
     assert quality.fit({}).prior == 0.8
 
 
+def test_the_verdict_is_no_count_of_bad_votes():
+    """Two rules that fail by themselves, often and independently, are noise; two that fail together mark bad text, and one of these is enough."""
+    rng = np.random.default_rng(1)
+    k, n = len(quality.RULES), 50_000
+    good = np.ones((n, k), bool)
+    noisy, kin = [0, 4], [2, 6, 8]
+    for i in noisy:
+        good[rng.random(n) < 0.15, i] = False
+    bad = rng.random(n) < 0.06
+    for i in kin:
+        good[bad & (rng.random(n) < 0.9), i] = False
+    votes = ["".join("1" if g else "0" for g in row) for row in good]
+    model = quality.fit(Counter(votes))
+    keep = {v: model.p_good(v) >= quality.THRESHOLD for v in set(votes)}
+    both_noisy = "".join("0" if i in noisy else "1" for i in range(k))
+    assert keep[both_noisy] and not keep["".join("0" if i in kin[:2] else "1" for i in range(k))]
+    kept = np.array([keep[v] for v in votes])
+    assert kept[~bad].mean() > 0.999 and kept[bad].mean() < 0.05
+    counted = np.array([v.count("0") < 2 for v in votes])
+    assert (kept != counted).mean() > 0.02 and kept[both_noisy == np.array(votes)].all()
+
+
+def test_labels_by_em_alone(spark):
+    """No text is fixed beforehand: what the classes decide keeps good texts and drops bad ones, and depends on what votes go together."""
+    texts = {r.doc_id: quality.features(r.text)[5] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    patterns = Counter(texts.values())
+    model = quality.fit(patterns)
+    keep = {v: model.p_good(v) >= quality.THRESHOLD for v in patterns}
+    of = lambda q: np.mean([keep[texts[i]] for i, y in labels.items() if y == q])
+    assert of(0) <= 0.05 and of(1) >= 0.99 and len(model.good) >= 3
+    shuffled = [list(col) for col in zip(*(v for v in texts.values()), strict=True)]
+    rng = np.random.default_rng(3)
+    for col in shuffled:
+        rng.shuffle(col)  # the same votes by rule, on other texts: nothing goes together any more
+    alone = quality.fit(Counter(map("".join, zip(*shuffled, strict=True))))
+    assert alone.prior > 0.99
+    assert {v: alone.p_good(v) >= quality.THRESHOLD for v in patterns} != keep
+
+
+def test_posterior_column_is_that_of_the_model(spark):
+    model = quality.fit({"111111111": 900, "110111110": 60, "101-11011": 30, "011-11-11": 40, "---------": 1})
+    votes = ["111111111", "110111110", "---------", "0--------", "101010-01"]
+    got = spark.createDataFrame([(v,) for v in votes], "v string").select("v", model.posterior(F.col("v")).alias("p")).collect()
+    assert all(abs(r.p - model.p_good(r.v)) < 1e-9 for r in got)
+
+
 def test_fitted_verdicts_beat_unfitted_ones(spark):
     """Rates are estimated, none stands at a bound, and what they decide is nearer to the labels."""
     rows = spark.read.parquet(f"{SF}/documents.parquet").join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").select("text", "quality").collect()
     patterns = Counter(quality.features(r.text)[5] for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect())
     model = quality.fit(patterns)
-    assert len(set(model.on_good.round(4))) >= 6 and model.on_good.max() < 0.999 and model.on_bad.max() < 0.9 and (model.on_bad > 0.3).any() and (model.on_bad < 0.2).any()
+    assert ((model.rates > 0) & (model.rates < 1)).all() and len(set(model.rates.ravel().round(4))) >= 10 and (~model.good).any()
 
     def right(m):
-        keep = {v: bool(np.log(m.prior / (1 - m.prior)) + sum(o.get(x, 0.0) for x, o in zip(v, m.log_odds(), strict=True)) >= 0) for v in patterns}
+        keep = {v: m.p_good(v) >= quality.THRESHOLD for v in patterns}
         return np.mean([keep[quality.features(r.text)[5]] == bool(r.quality) for r in rows]), np.mean([keep[quality.features(r.text)[5]] for r in rows if r.quality])
 
     fitted, start = right(model), right(quality.fit({}))

@@ -101,59 +101,110 @@ def _features(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([features(x) for x in texts], columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "votes"])
 
 
+#: What is believed of a class before any text: the chance that a rule calls its texts good, and for how many
+#: texts that belief counts, in good and in bad classes; and the share of good texts, worth ``SHARE_COUNT`` of them.
+GOOD_RATE, GOOD_COUNT, BAD_RATE, BAD_COUNT, GOOD_SHARE, SHARE_COUNT = 0.95, 10.0, 0.6, 2.0, 0.8, 10.0
+MOST_CLASSES, STARTS, ROUNDS = 6, 6, 400
+
+
 @dataclass
 class Model:
-    """Prior of good text, and for each rule the chance of a right vote on good and on bad text."""
+    """Classes of texts: the share of each, the chance that each rule calls its texts good, and whether they are good."""
+
+    share: np.ndarray
+    rates: np.ndarray
+    good: np.ndarray
+
+    @property
+    def prior(self) -> float:
+        """Share of good text."""
+        return float(self.share[self.good].sum())
 
-    prior: float
-    on_good: np.ndarray
-    on_bad: np.ndarray
+    def odds(self) -> list[tuple[float, list[tuple[float, float]]]]:
+        """For each class the logarithm of its share, and of the chances of a good and of a bad vote by each rule."""
+        return [(float(np.log(w)), [(float(np.log(x)), float(np.log(1 - x))) for x in r]) for w, r in zip(self.share, self.rates, strict=True)]
 
-    def log_odds(self) -> list[dict[str, float]]:
-        return [{GOOD: float(np.log(g / (1 - b))), BAD: float(np.log((1 - g) / b))} for g, b in zip(self.on_good, self.on_bad, strict=True)]
+    def p_good(self, votes: str) -> float:
+        """Probability of good text given votes."""
+        logs = np.array([w + sum(r[0] if v == GOOD else r[1] if v == BAD else 0.0 for v, r in zip(votes, rules, strict=True)) for w, rules in self.odds()])
+        p = np.exp(logs - logs.max())
+        return float(p[self.good].sum() / p.sum())
 
     def posterior(self, votes: Column) -> Column:
-        """Probability of good text given a column of votes."""
-        logit = F.lit(float(np.log(self.prior / (1 - self.prior))))
-        for i, odds in enumerate(self.log_odds()):
-            v = F.substring(votes, i + 1, 1)
-            logit = logit + F.when(v == GOOD, odds[GOOD]).when(v == BAD, odds[BAD]).otherwise(0.0)
-        return 1 / (1 + F.exp(-logit))
-
-
-def fit(patterns: dict[str, int], rounds: int = 200, prior: float = 0.8, on_good: float = 0.95, on_bad: float = 0.4, trust: float = 0.05, anchors: bool = True) -> Model:
-    """Expectation-maximisation over counts of vote patterns.
-
-    Texts on which the rules agree hold the two classes apart: what two rules call bad stays bad,
-    and what none calls bad of six or more that vote stays good, in every round. All rates move
-    freely; a prior of ``trust`` times the number of texts (for bad texts two fifths of that), at
-    ``on_good`` and ``on_bad``, goes with the counts, so that a rule which has never been seen to
-    fail a good text still can. Without votes the model is the one it starts from.
+        """The same of a column of votes."""
+        logs = []
+        for w, rules in self.odds():
+            e = F.lit(w)
+            for i, (yes, no) in enumerate(rules):
+                v = F.substring(votes, i + 1, 1)
+                e = e + F.when(v == GOOD, yes).when(v == BAD, no).otherwise(0.0)
+            logs.append(e)
+        # the classes' terms are made once for a row, as the only element of an array
+        return F.transform(F.array(F.array(*logs)), lambda x: self._share_of_good(x))[0]
+
+    def _share_of_good(self, logs: Column) -> Column:
+        parts = [F.exp(logs[k] - F.array_max(logs)) for k in range(len(self.good))]
+        kept = [p for p, g in zip(parts, self.good, strict=True) if g]
+        return sum(kept, F.lit(0.0)) / sum(parts, F.lit(0.0))
+
+
+def fit(patterns: dict[str, int], most: int = MOST_CLASSES, starts: int = STARTS) -> Model:
+    """Expectation-maximisation over counts of vote patterns: latent classes within which rules vote independently.
+
+    Bad text comes in kinds, in each of which several rules fail together; two classes would not do,
+    as rules of one kind depend on each other. So the number of classes, two to ``most``, is the one
+    with the least Bayesian information criterion, each fitted from several starts of which the
+    likeliest counts. No text is fixed to a class and no rule's rate is given: beliefs of a few texts
+    (``GOOD_COUNT``, ``BAD_COUNT``) say how a class starts and decide in small tables alone.
+
+    A class is bad if two rules or more fail its texts more often than not. What single rules do
+    by themselves is noise to this model, however often: a text on which two rules fail that fail
+    independently elsewhere stays good, and one failure of a rule that fails with others need not.
+    Without votes the model is what is believed beforehand.
     """
     k = len(RULES)
-    model = Model(prior, np.full(k, on_good), np.full(k, on_bad))
     if not patterns:
-        return model
+        return Model(np.array([GOOD_SHARE, 1 - GOOD_SHARE]), np.array([np.full(k, GOOD_RATE), np.full(k, BAD_RATE)]), np.array([True, False]))
     keys = sorted(patterns)
     n = np.array([patterns[x] for x in keys], float)
     v = np.array([list(x) for x in keys])
-    said, good = v != ABSTAIN, v == GOOD
-    bad = said & ~good
-    surely_bad, surely_good = bad.sum(1) >= 2, ~bad.any(1) & (said.sum(1) >= 6)
-    more, less = trust * n.sum(), 0.4 * trust * n.sum()
-    for _ in range(rounds):
-        odds = model.log_odds()
-        logit = np.log(model.prior / (1 - model.prior)) + (good * [o[GOOD] for o in odds] + bad * [o[BAD] for o in odds]).sum(1)
-        p = 1 / (1 + np.exp(-logit))
-        if anchors:
-            p = np.where(surely_bad, 0.0, np.where(surely_good, 1.0, p))
-        wg, wb = n * p, n * (1 - p)
-        right_good = ((wg[:, None] * good).sum(0) + more * on_good) / ((wg[:, None] * said).sum(0) + more)
-        right_bad = ((wb[:, None] * bad).sum(0) + less * on_bad) / ((wb[:, None] * said).sum(0) + less)
-        before, model = model, Model(float(np.clip(wg.sum() / n.sum(), 0.01, 0.99)), right_good, right_bad)
-        if max(abs(model.prior - before.prior), np.abs(model.on_good - before.on_good).max(), np.abs(model.on_bad - before.on_bad).max()) < 1e-7:
+    good, bad = (v == GOOD).astype(float), (v == BAD).astype(float)
+    best = None
+    for classes in range(2, most + 1):
+        runs = [_maximise(n, good, bad, classes, seed) for seed in range(starts)]
+        likelihood, share, rates = max(runs, key=lambda r: r[0])
+        criterion = -2 * likelihood + (classes * k + classes - 1) * np.log(n.sum())
+        if best is None or criterion < best[0]:
+            best = criterion, share, rates
+    _, share, rates = best
+    return Model(share, rates, (rates < 0.5).sum(1) < 2)
+
+
+def _maximise(n: np.ndarray, good: np.ndarray, bad: np.ndarray, classes: int, seed: int) -> tuple[float, np.ndarray, np.ndarray]:
+    """(penalised log-likelihood, shares, rates) of one run from a start that the seed gives: the first class is believed good."""
+    rng = np.random.default_rng(seed)
+    k = good.shape[1]
+    belief = np.array([np.full(k, GOOD_RATE), *(np.full(k, BAD_RATE) for _ in range(classes - 1))])
+    count = np.array([GOOD_COUNT] + [BAD_COUNT] * (classes - 1))
+    shares = np.array([GOOD_SHARE] + [(1 - GOOD_SHARE) / (classes - 1)] * (classes - 1))
+    share, rates = shares, belief.copy()
+    if classes > 2 or seed:
+        rates[1:] = rng.uniform(0.1, 0.95, (classes - 1, k))
+    before = -np.inf
+    for _ in range(ROUNDS):
+        logs = np.log(share) + good @ np.log(rates.T) + bad @ np.log(1 - rates.T)
+        top = logs.max(1, keepdims=True)
+        p = np.exp(logs - top)
+        total = p.sum(1, keepdims=True)
+        believed = (count[:, None] * (belief * np.log(rates) + (1 - belief) * np.log(1 - rates))).sum() + SHARE_COUNT * (shares * np.log(share)).sum()
+        likelihood = float(n @ (top + np.log(total))[:, 0] + believed)
+        if likelihood - before <= 1e-9 * abs(likelihood):
             break
-    return model
+        before = likelihood
+        q = p / total * n[:, None]
+        share = (q.sum(0) + SHARE_COUNT * shares) / (n.sum() + SHARE_COUNT)
+        rates = (q.T @ good + count[:, None] * belief) / (q.T @ (good + bad) + count[:, None])
+    return likelihood, share, rates
 
 
 def add_features(df: DataFrame, text: str | Column = "text", out: str = "quality") -> DataFrame:
@@ -168,7 +219,7 @@ def add_features(df: DataFrame, text: str | Column = "text", out: str = "quality
 
 
 def fit_on(df: DataFrame, votes: str | Column) -> Model:
-    """Fit the model to the votes of all rows; the driver gets one row a pattern, 3 ** len(RULES) at most."""
+    """Fit the model to the votes of all rows; the driver gets one record a pattern, 3 ** len(RULES) at most."""
     rows = df.groupBy((F.col(votes) if isinstance(votes, str) else votes).alias("v")).agg(F.count(F.lit(1)).alias("n")).collect()
     return fit({r.v: r.n for r in rows})
 
