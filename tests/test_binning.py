@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracklake.operators import binning
 
+# The published example of coordinates and values.
 X = [-0.2, 0.3, 0.6, 0.7, 1.2, 1.3, 1.8, 2.1, 2.7, 2.8, 3.1]
 V = [1, 2, 3, 4, 5, 6, 9, 20, 20, 20, 20]
 

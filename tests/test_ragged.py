@@ -10,6 +10,7 @@ from tracklake.operators import lines, ragged
 
 @pytest.fixture
 def small(spark):
+    # The published example of three rows.
     time = [[1, 2, 3, 4, 5], [4, 5], [2, 3, 4, 5]]
     lon = [[-121.0, -111.0, 51.0, 61.0, 71.0], [103.0, 113.0], [12.0, 22.0, 32.0, 42.0]]
     lat = [[-90.0, -45.0, 45.0, 90.0, 0.0], [10.0, 20.0], [10.0, 20.0, 30.0, 40.0]]

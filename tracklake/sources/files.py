@@ -95,6 +95,7 @@ def write_nested(frame: RaggedFrame, path: str) -> None:
 
 
 def read_nested(spark: SparkSession, path: str) -> RaggedFrame:
+    """The frame that ``write_nested`` wrote, with its attributes and those of its columns; rows without observations have none."""
     frame = RaggedFrame.from_nested(spark.read.parquet(path))
     side = json.loads(spark.read.text(f"{path.rstrip('/')}_attrs").first()[0])
     for column, attributes in side["columns"].items():
