@@ -262,3 +262,28 @@ def test_zarr_of_other_writers_by_hand(spark, tmp_path):
     f = grids.read_zarr(spark, f"{tmp_path}/z")
     assert [tuple(r) for r in f.obs.select(ROW, OBS, "a", "b", "c", "d").orderBy(ROW, OBS).collect()] == [(0, 0, 1.5, True, "x", 1.0), (0, 1, 2.5, False, "yz", None), (1, 0, 3.5, True, "", 3.0)]
     assert [r.name for r in f.rows.orderBy(ROW).collect()] == texts
+
+
+# ---- variables as vectors ----
+
+
+def test_roles_follow_from_lengths(spark):
+    long = [("rowsize", 0, 2.0), ("rowsize", 1, 0.0), ("rowsize", 2, 1.0)] + [("id", i, 10.0 + i) for i in range(3)] + [("x", i, i / 2) for i in range(3)] + [("y", i, None) for i in range(2)]
+    vectors = spark.createDataFrame(long, "name string, at long, value double")
+    with pytest.warns(UserWarning, match=r"y \(2\)"):
+        f = grids.from_vectors(vectors, {"id": "long"}, {"title": "t"})
+    assert set(f.rows.columns) == {ROW, "rowsize", "id", "x"} and f.attrs == {"title": "t"}  # as many values as rows: of the rows
+    more = vectors.unionByName(spark.createDataFrame([("rowsize", 3, 2.0), ("id", 3, 13.0), ("x", 3, 9.0), ("x", 4, 8.0)], vectors.schema))
+    with pytest.warns(UserWarning):
+        f = grids.from_vectors(more)
+    assert [(r[ROW], r.rowsize, r.id) for r in f.rows.orderBy(ROW).collect()] == [(0, 2, 10.0), (1, 0, 11.0), (2, 1, 12.0), (3, 2, 13.0)]
+    assert [(r[ROW], r[OBS], r.x) for r in f.obs.orderBy(ROW, OBS).collect()] == [(0, 0, 0.0), (0, 1, 0.5), (2, 0, 1.0), (3, 0, 9.0), (3, 1, 8.0)]
+    with pytest.raises(ValueError, match="rowsize"):
+        grids.from_vectors(vectors.filter("name = 'x'"))
+
+
+def test_attributes_that_were_not_set_are_empty(spark):
+    f = made(spark)
+    assert f.attributes("n") == f.attributes("id") == {} and f.attributes("x") == {"units": "m"}
+    with pytest.raises(ValueError, match="no column"):
+        f.attributes("other")

@@ -151,3 +151,22 @@ def test_pairs_of_a_crowded_cell(spark, monkeypatch):
     want = find()
     monkeypatch.setattr(pairs, "CROWD", 20)
     assert want and find() == want
+
+
+def test_rows_walked_side_by_side():
+    """Runs of many lengths, one of which goes on from the batch before, give what each gives alone; NaN ends its own row only."""
+
+    rng = np.random.default_rng(5)
+    sizes = [*rng.integers(1, 9, 40), 200, 150, 1, 90]
+    rng.shuffle(sizes)
+    rows = np.repeat(np.arange(len(sizes)), sizes)
+    turn, arc = rng.uniform(-3, 3, len(rows)), rng.uniform(0, 0.2, len(rows))
+    broken = np.flatnonzero(rows == 7)[0]
+    arc[broken] = np.nan
+    steps = np.cos(turn), np.sin(turn), np.sin(arc), np.cos(arc)
+    lons, lats = kinematics._side_by_side(rows, *steps, (0.1, 0.2), (1.0, -0.5))
+    for r in range(len(sizes)):
+        mine = rows == r
+        alone = kinematics._side_by_side(rows[mine], *(x[mine] for x in steps), (0.1, 0.2), (1.0, -0.5) if r == 0 else (0.1, 0.2))
+        assert np.allclose(lons[mine], alone[0], equal_nan=True, atol=1e-9) and np.allclose(lats[mine], alone[1], equal_nan=True, atol=1e-9)
+        assert np.isnan(lats[mine]).any() == (r == 7)

@@ -143,32 +143,66 @@ def plane_to_sphere(df: DataFrame, x: str = "x", y: str = "y", lon0: float = 0.0
     return _folded(moved, "__dx", "__dy", lon0, lat0, out).drop("__dx", "__dy")
 
 
+LANES = 16  # rows from which a step of all of them at once is quicker than one after another
+
+
+def _side_by_side(rows, e, n, s, c, origin: tuple[float, float], first: tuple[float, float]) -> tuple[np.ndarray, np.ndarray]:
+    """Longitudes and latitudes in radians along runs of equal ``rows``: each from the origin, the first run from ``first``.
+
+    A step goes by the cosine and sine of its direction (e, n) and of its arc (c, s).
+    """
+    starts = np.append(0, np.flatnonzero(rows[1:] != rows[:-1]) + 1)
+    sizes = np.diff(np.append(starts, len(rows)))
+    order = np.argsort(-sizes, kind="stable")
+    starts, sizes = starts[order], sizes[order]
+    lon, lat = np.full(len(starts), origin[0]), np.full(len(starts), origin[1])
+    lon[order == 0], lat[order == 0] = first
+    lons, lats = np.empty(len(rows)), np.empty(len(rows))
+    k, going = 0, len(starts)
+    with np.errstate(invalid="ignore"):
+        while going >= LANES:
+            at, up = starts[:going] + k, np.sin(lat[:going])
+            b = np.cos(lat[:going])
+            a, up = up, up * c[at] + b * s[at] * n[at]
+            lon[:going] += np.arctan2(e[at] * s[at] * b, c[at] - a * up)
+            lat[:going] = np.arcsin(np.clip(up, -1, 1))
+            lons[at], lats[at] = lon[:going], lat[:going]
+            k += 1
+            going = int(np.searchsorted(-sizes, -k))  # runs longer than k stand first
+    for j in range(going):
+        here, there = lon[j], lat[j]
+        span = slice(starts[j] + k, starts[j] + sizes[j])
+        for i, ei, ni, si, ci in zip(range(span.start, span.stop), e[span].tolist(), n[span].tolist(), s[span].tolist(), c[span].tolist(), strict=True):
+            a, b = math.sin(there), math.cos(there)
+            up = a * ci + b * si * ni
+            here += math.atan2(ei * si * b, ci - a * up)
+            there = math.asin(max(-1.0, min(1.0, up))) if up == up else math.nan
+            lons[i], lats[i] = here, there
+    return lons, lats
+
+
 def _folded(df: DataFrame, dx: str, dy: str, lon0: float, lat0: float, out: tuple[str, str]) -> DataFrame:
     """Great-circle steps one after another.
 
     Only a row's steps go to its task, as numbers in order; they pass through it in batches, in
-    time proportional to them, so a row of any length fits. The positions come back to the
+    time proportional to them, so a row of any length fits. Rows of a batch are walked side by
+    side, a step of all of them at once, as long as many of them go on. The positions come back to the
     observations by a join, so no other column is gathered.
     """
     schema = T.StructType([T.StructField(ROW, T.LongType()), T.StructField(OBS, T.LongType()), T.StructField(out[0], T.DoubleType()), T.StructField(out[1], T.DoubleType())])
-    radius = sphere.EARTH_RADIUS_METERS
+    radius, origin = sphere.EARTH_RADIUS_METERS, (math.radians(lon0), math.radians(lat0))
 
     def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        row = lon = lat = None  # where the walk stands, from batch to batch
+        last, stand = None, origin  # the row that the batch before ended in, and where
         for pdf in frames:
+            if not len(pdf):
+                continue
+            rows = pdf[ROW].to_numpy()
             x, y = pdf[dx].to_numpy(float), pdf[dy].to_numpy(float)
             turn, arc = np.arctan2(y, x), np.hypot(x, y) / radius
-            lons, lats = np.empty(len(x)), np.empty(len(x))
-            steps = zip(pdf[ROW].tolist(), np.cos(turn).tolist(), np.sin(turn).tolist(), np.sin(arc).tolist(), np.cos(arc).tolist(), strict=True)
-            for i, (r, e, n, s, c) in enumerate(steps):
-                if r != row:
-                    row, lon, lat = r, math.radians(lon0), math.radians(lat0)
-                a, b = math.sin(lat), math.cos(lat)
-                up = a * c + b * s * n
-                lon += math.atan2(e * s * b, c - a * up)
-                lat = math.asin(max(-1.0, min(1.0, up))) if up == up else math.nan
-                lons[i], lats[i] = lon, lat
-            yield pd.DataFrame({ROW: pdf[ROW].to_numpy(), OBS: pdf[OBS].to_numpy(), out[0]: np.degrees(lons), out[1]: np.degrees(lats)})
+            lons, lats = _side_by_side(rows, np.cos(turn), np.sin(turn), np.sin(arc), np.cos(arc), origin, stand if rows[0] == last else origin)
+            last, stand = rows[-1], (lons[-1], lats[-1])
+            yield pd.DataFrame({ROW: rows, OBS: pdf[OBS].to_numpy(), out[0]: np.degrees(lons), out[1]: np.degrees(lats)})
 
     steps = df.select(F.col(ROW).cast("long").alias(ROW), F.col(OBS).cast("long").alias(OBS), dx, dy)
     walked = steps.repartition(ROW).sortWithinPartitions(ROW, OBS).mapInPandas(walk, schema)

@@ -581,6 +581,18 @@ def wind_limit(spark, sf):
     return out
 
 
+@query(f"WITH {ORDERS}, k AS (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_orderkey) - 1 AS row_idx FROM orders WHERE o_orderkey IN (SELECT row_idx FROM obs)) SELECT k.row_idx, obs_idx, l_quantity::DOUBLE AS quantity, o_totalprice::DOUBLE AS price, count(*) OVER (PARTITION BY k.row_idx) AS rowsize FROM obs JOIN k ON obs.row_idx = o_orderkey")
+def vectors_by_length(spark, sf):
+    """Variables as vectors, told apart by their lengths: counts and prices of orders, quantities of all lines."""
+    f = orders(spark, sf)
+    prices = table(spark, sf, "orders").select(F.col("o_orderkey").alias(ROW), F.col("o_totalprice").cast("double").alias("price"))
+    rows = ragged.offsets(ragged.ranked(f.rows.select(ROW, "rowsize").join(prices, ROW), ROW, "at").withColumnRenamed(ROW, "order").withColumnRenamed("at", ROW))
+    lines = f.obs.withColumnRenamed(ROW, "order").join(rows.select("order", "start"), "order")
+    one = lambda df, name, at, value: df.select(F.lit(name).alias("name"), at.alias("at"), value.cast("double").alias("value"))
+    vectors = one(rows, "rowsize", F.col(ROW), F.col("rowsize")).unionByName(one(rows, "price", F.col(ROW), F.col("price"))).unionByName(one(lines, "quantity", F.col("start") + F.col(OBS), F.col("l_quantity")))
+    return grids.from_vectors(vectors).joined(["price", "rowsize"]).select(ROW, OBS, "quantity", "price", "rowsize")
+
+
 # ---- array files ----
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import math
 import uuid
+import warnings
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -446,6 +447,31 @@ def ragged_of(rows: DataFrame, flat: DataFrame, attrs: dict[str, str]) -> Ragged
     return RaggedFrame(rows.withColumn("rowsize", F.col("rowsize").cast("long")), obs, attrs)
 
 
+def from_vectors(vectors: DataFrame, types: dict[str, str] | None = None, attrs: dict[str, str] | None = None) -> RaggedFrame:
+    """A ragged frame of variables as vectors: records (name, at, value), ``at`` from 0, of which ``rowsize`` has the counts.
+
+    A variable's length says what it is along: as many values as rows, or as there are observations
+    in all. Others are named in a warning and left out. Values are doubles, or of ``types`` by
+    name. One job counts; a record a variable comes to the driver.
+    """
+    sizes = {r.name: (r.n, r.total) for r in vectors.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("name") == "rowsize", F.col("value"))).alias("total")).collect()}
+    if "rowsize" not in sizes:
+        raise ValueError("no rowsize")
+    n_rows, n_obs = sizes["rowsize"][0], int(sizes["rowsize"][1] or 0)
+    along_rows = sorted(n for n, (k, _) in sizes.items() if k == n_rows)
+    along_obs = sorted(n for n, (k, _) in sizes.items() if k == n_obs and n not in along_rows)
+    odd = {n: k for n, (k, _) in sizes.items() if n not in along_rows and n not in along_obs}
+    if odd:
+        warnings.warn(f"neither {n_rows} nor {n_obs} values: {', '.join(f'{n} ({k})' for n, k in sorted(odd.items()))}", stacklevel=2)
+    kinds = types or {}
+
+    def wide(names: list[str]) -> DataFrame:
+        out = vectors.filter(F.col("name").isin(names)).groupBy("at").pivot("name", names).agg(F.first("value"))
+        return out.select(F.col("at").cast("long").alias("at"), *(F.col(f"`{n}`").cast(kinds.get(n, "double")).alias(n) for n in names))
+
+    return ragged_of(wide(along_rows).withColumnRenamed("at", ROW), wide(along_obs), attrs or {})
+
+
 # ---- Zarr (version 2) ----
 
 
