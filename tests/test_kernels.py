@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from frames import of, values
 
+from tracklake.functions import complexes
 from tracklake.functions.sphere import EARTH_DAY_SECONDS
 from tracklake.operators import apply, signals, special, transfer
 
@@ -114,6 +115,13 @@ def test_rotary_and_ellipse():
     assert np.allclose(signals.ellipse(x, y)[0], kappa)
 
 
+def test_ellipse_of_a_straight_line(spark):
+    x, y = complexes.of(0.0, 0.0), complexes.of(0.1, 0.572)
+    row = spark.range(1).select(complexes.ellipse(x, y).alias("e")).withColumn("s", complexes.from_ellipse("e.kappa", "e.lambda", "e.theta", "e.phi")).first()
+    assert row.e["lambda"] == 1 and np.allclose([*row.s.x, *row.s.y], [0, 0, 0.1, 0.572])
+    assert signals.ellipse(np.zeros(1), np.full(1, 0.1 + 0.572j))[1] == 1
+
+
 @pytest.mark.parametrize("n", [1023, 1024])
 def test_morse_wavelets(n):
     freqs = signals.morse_logspace(3, 10, n, (0.05, math.pi), (3, 0), 4)

@@ -63,12 +63,14 @@ def ellipse(x: Column, y: Column) -> Column:
     """Struct (kappa, lambda, theta, phi) of an elliptical signal's components; angles are not unwrapped.
 
     A linearity of exactly 0 becomes 1e-12 with the sign of the rotation, as its sign carries meaning.
+    Motion on a straight line turns neither way and has a linearity of 1; 0 is a circle.
     """
     halves = to_rotary(x, y)
     p, n = modulus(halves["p"]), modulus(halves["n"])
     power = p * p + n * n
-    lam = F.try_divide(2 * p * n * F.signum(p - n), power)
-    lam = F.when(lam == 0, F.signum(p - n) * 1e-12).otherwise(lam)
+    turn = F.when(p < n, -1.0).otherwise(1.0)
+    lam = F.try_divide(2 * p * n * turn, power)
+    lam = F.when(lam == 0, turn * 1e-12).otherwise(lam)
     ap, an = angle(halves["p"]), angle(halves["n"])
     return F.struct(F.sqrt(power).alias("kappa"), lam.alias("lambda"), ((ap - an) / 2).alias("theta"), ((ap + an) / 2).alias("phi"))
 
