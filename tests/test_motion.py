@@ -138,7 +138,14 @@ def test_overlaps(spark):
 def test_pair_join_plan_has_no_nested_loop(spark):
     f = track(spark, [1], [2], [3])
     plan = pairs.chance_pairs(f.obs, 1000.0, 10.0)._jdf.queryExecution().executedPlan().toString()
-    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and "Broadcast" not in plan
+
+
+def test_observations_of_pairs_have_few_records(spark):
+    cells = pairs.Cells(300e3)
+    o = spark.range(2000).select((F.rand(1) * 360 - 180).alias("x"), (F.degrees(F.asin(F.rand(2) * 2 - 1))).alias("y"))
+    n = o.agg(F.avg(F.size(cells.near(F.col("x"), F.col("y"))))).first()[0]
+    assert n < 5  # nine with cells as wide as the distance
 
 
 def test_time_of_spherical_positions_grows_with_the_row(spark):
