@@ -125,6 +125,13 @@ def test_pairs_are_those_of_brute_force(spark, meters, gap):
     assert got == want and pairs.chance_pairs(f.obs, meters, gap).count() == len(want)
 
 
+def test_grouped_pairs_carry_only_what_is_asked_for(spark):
+    f = frame(spark, [{}] * 2, [[{"lon": 1.0, "lat": 2.0, "time": k} for k in range(2)]] * 2)
+    p = pairs.chance_pairs(f.obs, 1.0, 0.0)
+    assert [tuple(map(tuple, r.pairs)) for r in pairs.grouped(p, "obs_1", "obs_2").collect()] == [((0, 0), (1, 1))]
+    assert len(pairs.grouped(p).first().pairs[0]) == 4
+
+
 def test_overlaps(spark):
     f = frame(spark, [{}, {}], [[{"lon": float(k), "lat": float(k), "time": k} for k in range(4)], [{"lon": float(k), "lat": float(k), "time": k} for k in range(2, 6)]])
     a, b = f.obs.filter("row_idx = 0"), f.obs.filter("row_idx = 1")
