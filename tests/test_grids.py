@@ -7,6 +7,7 @@ import struct
 import numpy as np
 import pytest
 from frames import frame
+from pyspark.sql import functions as F
 
 from tracklake.model import OBS, ROW, RaggedFrame
 from tracklake.sources import grids
@@ -287,3 +288,23 @@ def test_attributes_that_were_not_set_are_empty(spark):
     assert f.attributes("n") == f.attributes("id") == {} and f.attributes("x") == {"units": "m"}
     with pytest.raises(ValueError, match="no column"):
         f.attributes("other")
+
+
+def test_places_find_their_rows_by_equality(spark):
+    """Long and empty rows; a place has one candidate, and no side is broadcast."""
+    sizes = [0, 70_000, 3, 0, 65_533, 1]
+    rows = spark.createDataFrame(list(enumerate(sizes)), "row_idx long, rowsize long")
+    obs = grids.ragged_of(rows, spark.range(sum(sizes)).withColumnRenamed("id", "at"), {}).obs
+    join = next(x for x in obs._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x)
+    assert "SortMergeJoin [at" in join
+    got = {r.row_idx: (r.n, r.low, r.high) for r in obs.groupBy("row_idx").agg(F.count("*").alias("n"), F.min("obs_idx").alias("low"), F.max("obs_idx").alias("high")).collect()}
+    assert got == {i: (n, 0, n - 1) for i, n in enumerate(sizes) if n}
+
+
+def test_planner_knows_the_size_of_zarr_arrays(spark, tmp_path):
+    rows = spark.range(1000).select(F.col("id").alias("row_idx"), F.lit(1).cast("long").alias("rowsize"), F.col("id").alias("key"))
+    obs = spark.range(1000).select(F.col("id").alias("row_idx"), F.lit(0).cast("long").alias("obs_idx"), F.col("id").cast("double").alias("x"))
+    grids.write_zarr(RaggedFrame(rows, obs), str(tmp_path / "sizes"), chunk=300)
+    back = grids.read_zarr(spark, str(tmp_path / "sizes"))
+    size = int(back.rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    assert size >= 1000 * 8 * 2 and sorted(r.x for r in back.obs.collect()) == [float(k) for k in range(1000)]

@@ -440,9 +440,11 @@ def write_netcdf(frame: RaggedFrame, folder: str, rows_in_file: int = 100_000, o
 def ragged_of(rows: DataFrame, flat: DataFrame, attrs: dict[str, str]) -> RaggedFrame:
     """A ragged frame of rows with their counts and flat observations numbered by ``at``: each finds its row by the counts."""
     placed = offsets(rows.withColumn("rowsize", F.col("rowsize").cast("long"))).filter("rowsize > 0").select(ROW, "start", "stop")
-    bucket = 1 << 16
-    spread = placed.withColumn("__b", F.explode(F.sequence(F.floor(F.col("start") / bucket), F.floor((F.col("stop") - 1) / bucket))))
-    found = flat.withColumn("__b", F.floor(F.col("at") / bucket)).join(spread, "__b").filter("at >= start AND at < stop")
+    # a record for each place, in pieces of bounded length; the planner sees rows only and would broadcast it
+    piece = 1 << 16
+    cut = placed.withColumn("__b", F.explode(F.sequence(F.floor(F.col("start") / piece), F.floor((F.col("stop") - 1) / piece))))
+    each = cut.select(ROW, "start", F.explode(F.sequence(F.greatest("start", F.col("__b") * piece), F.least(F.col("stop"), (F.col("__b") + 1) * piece) - 1)).alias("at"))
+    found = flat.join(each.hint("merge"), "at")
     obs = found.withColumn(OBS, F.col("at") - F.col("start")).select(ROW, OBS, *(c for c in flat.columns if c != "at"))
     return RaggedFrame(rows.withColumn("rowsize", F.col("rowsize").cast("long")), obs, attrs)
 
@@ -592,7 +594,10 @@ def read_zarr(spark: SparkSession, uri: str, rows_dim: str = "traj", obs_dim: st
                     yield from pa.Table.from_arrays(out, names=schema.names).to_batches(BATCH)
 
         chunks = -(-size // chunk)
-        return spark.range(0, chunks, 1, max(1, min(chunks, 10_000))).mapInArrow(run, schema)
+        # the planner takes the size of the numbers for that of the values, so there is a number for each value
+        each = chunk * len(schema)
+        numbers = spark.range(0, chunks * each, 1, max(1, min(chunks, 10_000))).filter(F.col("id") % each == 0).select(F.expr(f"id div {each}").alias("id"))
+        return numbers.mapInArrow(run, schema)
 
     system, path = store(uri)
     attrs = {k: v if isinstance(v, str) else json.dumps(v) for k, v in _json(system, f"{path}/.zattrs").items()}
