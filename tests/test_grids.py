@@ -306,5 +306,5 @@ def test_planner_knows_the_size_of_zarr_arrays(spark, tmp_path):
     obs = spark.range(1000).select(F.col("id").alias("row_idx"), F.lit(0).cast("long").alias("obs_idx"), F.col("id").cast("double").alias("x"))
     grids.write_zarr(RaggedFrame(rows, obs), str(tmp_path / "sizes"), chunk=300)
     back = grids.read_zarr(spark, str(tmp_path / "sizes"))
-    size = int(back.rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(back.rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     assert size >= 1000 * 8 * 2 and sorted(r.x for r in back.obs.collect()) == [float(k) for k in range(1000)]
