@@ -258,3 +258,18 @@ def test_recall_by_share_of_edits():
             want += good
             hit += good and any(i == n % 20 for i, *_ in index.search(text))
         assert hit == want and (want >= 55 or share == 0.4), share
+
+
+def test_shuffles_go_when_a_table_is_written(spark):
+    from pyspark.sql import functions as F
+
+    from tracklake.llm.common import materialize, released
+
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, store = spark.conf.get(name), spark.sparkContext._jsc.sc().env().mapOutputTracker()
+    n = store.shuffleStatuses().size()
+    with released(spark):
+        assert spark.conf.get(name) == "true"
+        kept = [materialize(spark.range(100).groupBy((F.col("id") % 7).alias("k")).count(), "released") for _ in range(3)]
+    assert spark.conf.get(name) == before and store.shuffleStatuses().size() <= n
+    assert [t.count() for t in kept] == [7, 7, 7]

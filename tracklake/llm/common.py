@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..scratch import discard, fresh_path, materialize, shared_dir
+from ..scratch import discard, fresh_path, materialize, released, shared_dir
 
-__all__ = ["discard", "fresh_path", "materialize", "shared_dir"]
+__all__ = ["discard", "fresh_path", "materialize", "released", "shared_dir"]
 
 TYPES = {"long": T.LongType(), "string": T.StringType(), "double": T.DoubleType(), "binary": T.BinaryType(), "boolean": T.BooleanType(), "int": T.IntegerType()}
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, materialize, partitions, release, struct, text_batches, unused
+from .common import discard, materialize, partitions, release, released, struct, text_batches, unused
 from .graph import components
 
 WIDTH, NUM, DEN = 5, 3, 4  # words of a shingle; least similarity 3/4
@@ -285,6 +285,12 @@ def _counted(blobs: DataFrame, after, schema) -> DataFrame:
     return blobs.groupBy("r").applyInPandas(_shared, BACK).groupBy("batch").applyInPandas(after, schema)
 
 
+def _written(df: DataFrame, label: str) -> DataFrame:
+    """A scratch table; the shuffles that made it are gone when it is written, so the disk holds those of one step."""
+    with released(df.sparkSession):
+        return materialize(df, label)
+
+
 def linked_sets(df: DataFrame, text: str = "text") -> DataFrame:
     """(sid, root) of the distinct shingle sets that may link to another; root names the group.
 
@@ -306,18 +312,20 @@ def linked_sets(df: DataFrame, text: str = "text") -> DataFrame:
     blocks = max(32, 4 * partitions(spark), -(-chars // BLOCK_CHARS))
     batch_chars = min(max(BATCH_CHARS, 96 * blocks), MOST_CHARS)  # so many that a piece of a batch stays worth a row
     sets = _counted(texts.mapInPandas(_from_texts(blocks, batch_chars), INCIDENCE), _survivors, SETS)
-    sets = materialize(sets.groupBy("sid").agg(F.first("n").alias("n"), F.first("hs").alias("hs")), "sets")
-    prefix = materialize(_counted(sets.mapInPandas(_from_sets(blocks, batch_chars), INCIDENCE), _prefixes, SETS), "prefixes")
+    sets = _written(sets.groupBy("sid").agg(F.first("n").alias("n"), F.first("hs").alias("hs")), "sets")
+    prefix = _written(_counted(sets.mapInPandas(_from_sets(blocks, batch_chars), INCIDENCE), _prefixes, SETS), "prefixes")
     # sizes of two similar sets lie in one band or in neighbouring ones
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(DEN / NUM))).cast("long")
     grams = prefix.select("sid", band.alias("band"), F.explode("hs").alias("h"))
-    first = materialize(grams.groupBy("h", "band").agg(F.min("sid").alias("v"), F.count(F.lit(1)).alias("n")), "grams")
+    first = _written(grams.groupBy("h", "band").agg(F.min("sid").alias("v"), F.count(F.lit(1)).alias("n")), "grams")
     inside = grams.join(first.filter("n > 1").drop("n"), ["h", "band"]).select(F.col("sid").alias("u"), "v")
     next_ = first.select("h", (F.col("band") - 1).alias("band"), F.col("v").alias("u"))
     across = first.select("h", "band", "v").join(next_, ["h", "band"]).select("u", "v")
-    coarse = materialize(components(inside.unionByName(across)).select(F.col("node").alias("sid"), "root"), "coarse")
-    groups = materialize(coarse.groupBy("root").agg(F.count(F.lit(1)).alias("size")), "sizes")
-    placed = materialize(coarse.join(groups, "root").withColumn("parts", F.ceil(F.col("size") / BLOCK).cast("int")), "placed")
+    coarse = _written(components(inside.unionByName(across)).select(F.col("node").alias("sid"), "root"), "coarse")
+    discard(prefix, first)
+    groups = _written(coarse.groupBy("root").agg(F.count(F.lit(1)).alias("size")), "sizes")
+    placed = _written(coarse.join(groups, "root").withColumn("parts", F.ceil(F.col("size") / BLOCK).cast("int")), "placed")
+    discard(coarse, groups)
     many = max(1, -(-placed.count() // BLOCK))
     nothing = F.lit(-1).cast("long")
     dealt = lambda parts: F.pmod(F.xxhash64("sid"), F.col(parts)).cast("long")
@@ -325,12 +333,12 @@ def linked_sets(df: DataFrame, text: str = "text") -> DataFrame:
     key = key.otherwise(F.struct(F.col("root").alias("a"), dealt("parts").alias("i"), nothing.alias("j")))
     pivots = placed.filter("parts > 1").groupBy("root", "parts", F.pmod(F.xxhash64("sid", F.lit(1)), F.lit(PIVOTS)).alias("k")).agg(F.min("sid").alias("sid"))
     pivots = pivots.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1))).select("sid", F.struct(F.col("root").alias("a"), "i", nothing.alias("j")).alias("key"))
-    links = materialize(_multiplied(placed.select("sid", key.alias("key")).unionByName(pivots).distinct(), sets), "links")
+    links = _written(_multiplied(placed.select("sid", key.alias("key")).unionByName(pivots).distinct(), sets), "links")
     large = placed.filter("parts > 1").drop("size")
     if not large.isEmpty():
         links = links.unionByName(_multiplied(_others(large, links), sets))
     out = components(links).select(F.col("node").alias("sid"), "root")
-    discard(sets, prefix, first, coarse, groups, placed)
+    discard(sets, placed)
     return out
 
 
@@ -345,11 +353,11 @@ def _multiplied(keyed: DataFrame, sets: DataFrame) -> DataFrame:
 def _others(large: DataFrame, links: DataFrame) -> DataFrame:
     """(sid, key): pairs of blocks in which each set that does not hang together with most of its group meets the whole group."""
     labels = components(links).withColumnsRenamed({"node": "of", "root": "label"})
-    labelled = materialize(large.join(labels, large["sid"] == labels["of"], "left").select("sid", "root", F.coalesce("label", "sid").alias("label")), "labelled")
+    labelled = _written(large.join(labels, large["sid"] == labels["of"], "left").select("sid", "root", F.coalesce("label", "sid").alias("label")), "labelled")
     sizes = labelled.groupBy("root", "label").agg(F.count(F.lit(1)).alias("m"))
     main = sizes.groupBy("root").agg(F.max_by("label", F.struct("m", "label")).alias("main"), F.max("m").alias("most"), F.sum("m").alias("all"))
     blocks = lambda n: F.ceil(n / BLOCK).cast("long")
-    main = materialize(main.select("root", "main", blocks(F.col("most")).alias("mine"), blocks(F.col("all") - F.col("most")).alias("rest")).filter("rest > 0"), "main")
+    main = _written(main.select("root", "main", blocks(F.col("most")).alias("mine"), blocks(F.col("all") - F.col("most")).alias("rest")).filter("rest > 0"), "main")
     met = labelled.join(main, "root").withColumn("own", F.col("label") == F.col("main"))
     place = F.pmod(F.xxhash64("sid"), F.when(F.col("own"), F.col("mine")).otherwise(F.col("rest"))).cast("long")
     met = met.withColumn("i", place)
@@ -382,12 +390,12 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     kind = df.schema[doc_id].dataType.simpleString()
     groups = linked_sets(df, text)
     ids = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("th")).mapInArrow(_named, f"doc_id {kind}, th bigint, n_shingles bigint, sid bigint")
-    ids = materialize(ids, "named")
+    ids = _written(ids, "named")
     keyed = ids.join(groups.withColumnRenamed("sid", "node"), F.col("sid") == F.col("node"), "left").withColumn("group", F.coalesce("root", "sid"))
-    keyed = materialize(keyed.select("doc_id", "th", "n_shingles", "sid", "group"), "grouped")
+    keyed = _written(keyed.select("doc_id", "th", "n_shingles", "sid", "group"), "grouped")
     # written, so that the hot group's side of the join has an exchange of its own, which Spark can split
     least = keyed.filter("group IS NOT NULL").groupBy(F.col("group").alias("of")).agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("members")).filter("members > 1")
-    least = materialize(least, "least")
+    least = _written(least, "least")
     out = keyed.join(least, F.col("group") == F.col("of"), "left")
     discard(ids)
     return out.select("doc_id", "n_shingles", F.when(F.col("of").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), "sid", "group", "th")
@@ -403,15 +411,15 @@ def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     """
     from pyspark.sql.window import Window
 
-    found = materialize(near_duplicates(df, doc_id, text), "found")
+    found = _written(near_duplicates(df, doc_id, text), "found")
     # every group has one row to keep: the first by (doc_id, set, text), nulls last
     best = found.filter("group IS NOT NULL").groupBy(F.col("group").alias("g")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sid", "th")).alias("b"), F.count(F.lit(1)).alias("m"))
-    best = materialize(best.filter("m > 1").drop("m"), "best")
+    best = _written(best.filter("m > 1").drop("m"), "best")
     goes = found.join(best, F.col("group") == F.col("g")).filter(~(F.col("doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("th") == F.col("b.th"))))
     again = found.filter("sid IS NOT NULL").groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
     key, of, th, out = (unused(df, n) for n in ("near_key", "near_id", "near_th", "near_out"))
     touched = goes.select("doc_id", "th", F.lit(True).alias("o")).unionByName(again.select("doc_id", "th", F.lit(False).alias("o")))
-    touched = materialize(touched.groupBy("doc_id", "th").agg(F.max("o").alias("o")).select(F.col("doc_id").alias(of), F.col("th").alias(th), F.col("o").alias(out)), "touched")
+    touched = _written(touched.groupBy("doc_id", "th").agg(F.max("o").alias("o")).select(F.col("doc_id").alias(of), F.col("th").alias(th), F.col("o").alias(out)), "touched")
     few = F.broadcast if touched.count() <= FEW else (lambda d: d)
     joined = df.withColumn(key, F.xxhash64(text)).join(few(touched), F.col(doc_id).eqNullSafe(F.col(of)) & (F.col(key) == F.col(th)), "left")
     single = joined.filter(F.col(out).isNull()).select(*df.columns)
