@@ -166,25 +166,29 @@ def subsurface_arrays(spark, sf):
     return f.obs.select(ROW, OBS, F.when(near, F.col("us")).alias("us"), r(F.col("pres").cast("double"), 3).alias("pres"), r(F.col("temp").cast("double"), 3).alias("temp"))
 
 
+MAT_OBS = 1 << 18  # observations of a MATLAB file, about: more floats go to more files
+
+
 @query(f"WITH {TRACKS} SELECT row_idx, obs_idx, us, round(lat::FLOAT::DOUBLE, 3) + 0.0 AS pres, round(value::FLOAT::DOUBLE, 3) AS temp, 'experiment ' || row_idx % 4 AS experiment FROM obs")
 def subsurface_file(spark, sf):
-    """Floats from four MATLAB files, plain and compressed in turn, an experiment each."""
+    """Floats of four experiments from MATLAB files of bounded size, plain and compressed in turn."""
     folder = fresh_path(spark, "mat")
     day = F.col("us") / 86_400_000_000 + cleaning.EPOCH_DAY
     o = tracks(spark, sf).obs.select(ROW, OBS, (F.col(ROW) % 4).alias("file"), day.alias("dtnum"), "lon", F.col("lat").alias("p"), F.col("value").alias("t"))
 
     def write(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        k = int(key[0])
+        k, name = int(key[0]), f"part-{key[0]}-{key[1]}.mat"
         floats = [g.sort_values(OBS) for _, g in pdf.groupby(ROW)]
         variables = {c: [g[c].to_numpy(float) for g in floats] for c in ("dtnum", "lon", "p", "t")}
         variables |= {"indexFlt": np.array([float(g[ROW].iloc[0]) for g in floats]), "indexExp": np.full(len(floats), k + 1.0), "expList": [f"experiment {k}"], "expName": [["name"] for _ in floats]}
-        system, path = grids.store(f"{folder}/part-{k}.mat")
+        system, path = grids.store(f"{folder}/{name}")
         system.create_dir(path.rsplit("/", 1)[0], recursive=True)
         with system.open_output_stream(path) as out:
             matlab.write(out, variables, compress=k % 2 == 0)
-        return pd.DataFrame({"path": [f"{folder}/part-{k}.mat"]})
+        return pd.DataFrame({"path": [f"{folder}/{name}"]})
 
-    written = o.groupBy("file").applyInPandas(write, "path string")
+    files_of_each = -(-table(spark, sf, "events").count() // (4 * MAT_OBS)) or 1
+    written = o.withColumn("part", F.pmod(F.xxhash64(ROW), F.lit(files_of_each))).groupBy("file", "part").applyInPandas(write, "path string")
     paths = [x.path for x in materialize(written, "mat-files").orderBy("path").toLocalIterator()]
     f = providers.subsurface_mat(spark, paths)
     j = f.joined(["indexFlt", "expList"])

@@ -247,7 +247,6 @@ def subsurface_mat(spark: SparkSession, paths: str | list[str]) -> RaggedFrame:
                 with system.open_input_file(at) as f:
                     found = dict(matlab.read(f, frozenset((*FLOAT_DATA, *FLOAT_META, "expList"))))
                 n = len(found.get("dtnum", []))
-                each = [[_flat(x) for x in found[c]] if c in found else [None] * n for c in FLOAT_DATA]
                 known = {c: _texts(found.get(c), n) for c in FLOAT_META}
                 order = sorted({int(float(x)) for x in known["indexExp"] if x is not None})
                 listed = _texts(found.get("expList"), len(order))
@@ -255,7 +254,8 @@ def subsurface_mat(spark: SparkSession, paths: str | list[str]) -> RaggedFrame:
                 names = [listed[rank[int(float(x))]] if x is not None else None for x in known["indexExp"]]
                 for a in range(0, n, FLOATS_AT_ONCE):
                     b = min(n, a + FLOATS_AT_ONCE)
-                    yield pd.DataFrame({"file": file, "place": range(a, b), **{c: x[a:b] for c, x in zip(FLOAT_DATA, each, strict=True)}, "expList": names[a:b], **{c: x[a:b] for c, x in known.items()}})
+                    each = {c: [_flat(x) for x in found[c][a:b]] if c in found else [None] * (b - a) for c in FLOAT_DATA}  # lists of these floats alone
+                    yield pd.DataFrame({"file": file, "place": range(a, b), **each, "expList": names[a:b], **{c: x[a:b] for c, x in known.items()}})
 
     paths = [paths] if isinstance(paths, str) else paths
     files_ = spark.createDataFrame(list(enumerate(paths)), "file long, path string").repartition(max(1, min(len(paths), 10_000)), "file")
