@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -115,19 +116,20 @@ def andro_text(spark, sf):
 
 
 def _files(df: DataFrame, label: str, name: str, ending: str = ".csv") -> str:
-    """A folder with a text file for each value of ``name``: its header and the lines of ``value`` in order of ``at``."""
+    """A folder with a text file for each value of ``name``: its header and the lines of ``value`` in order of ``at``. A task writes many."""
     folder = fresh_path(df.sparkSession, label)
 
-    def write(pdf: pd.DataFrame) -> pd.DataFrame:
-        from pyarrow import fs
-
-        system, path = fs.FileSystem.from_uri(f"{folder}/x_{pdf[name].iloc[0]}{ending}")
-        system.create_dir(path.rsplit("/", 1)[0], recursive=True)
-        with system.open_output_stream(path) as out:
-            out.write("\n".join(pdf.sort_values("at")["value"]).encode())
-        return pdf[[name]].head(1)
+    def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, path = grids.store(folder)
+        system.create_dir(path, recursive=True)
+        for pdf in frames:
+            for of, text in zip(pdf[name], pdf["text"], strict=True):
+                with system.open_output_stream(f"{path}/x_{of}{ending}") as out:
+                    out.write(text.encode())
+            yield pdf[[name]]
 
-    df.select(name, "at", "value").groupBy(name).applyInPandas(write, T.StructType([T.StructField(name, df.schema[name].dataType)])).count()
+    ordered = F.array_sort(F.collect_list(F.struct("at", "value")))
+    df.groupBy(name).agg(F.array_join(ordered["value"], "\n").alias("text")).mapInPandas(write, T.StructType([T.StructField(name, df.schema[name].dataType)])).count()
     return folder
 
 

@@ -135,9 +135,10 @@ def zipped_lines(spark: SparkSession, path: str, ending: str) -> DataFrame:
 
 
 def fields(df: DataFrame, names: Sequence[str], pattern: str = r"\s+") -> DataFrame:
-    """Split ``value`` into string columns; missing ones at the end are null."""
-    parts = F.split(F.trim("value"), pattern)
-    return df.withColumn("__p", parts).select(*(c for c in df.columns if c != "value"), *(F.get("__p", F.lit(i)).alias(n) for i, n in enumerate(names)))
+    """Split ``value`` into string columns; missing ones at the end are null. A generator splits a line once, whatever filters ask of its parts."""
+    held = [c for c in df.columns if c != "value"]
+    parts = df.select(*held, F.explode(F.array(F.split(F.trim("value"), pattern))).alias("__p"))
+    return parts.select(*held, *(F.get("__p", F.lit(i)).alias(n) for i, n in enumerate(names)))
 
 
 def number_rows(df: DataFrame, key: str, order: Sequence[str]) -> RaggedFrame:

@@ -349,6 +349,8 @@ def gdp_source(spark: SparkSession, paths: str | list[str], metadata: DataFrame,
     kept = df.filter(good)
     when = lambda p: cleaning.fraction_date(num(f"{p}ObsYear"), num(f"{p}ObsMonth"), num(f"{p}ObsDay"))
     obs = kept.select(num("id", "long").alias("id"), F.col("at").alias("obs_index"), num("latitude", "float").alias("latitude"), num("longitude", "float").alias("longitude"), when("pos").alias("position_datetime"), when("sen").alias("sensor_datetime"), *(num(c, "float").alias(c) for c in RAW[9:]))
+    # written once, as ids, places and counts are taken from it: files are not opened again for each. Small files make small parts, which are put together
+    obs = materialize(obs.hint("rebalance"), "fixes")
     meta = metadata.select(*(F.col(c).alias(c.lower()) for c in DIRECTORY))
     found = obs.select("id").distinct().join(meta, "id", "left" if use_fill_values else "inner")
     if use_fill_values:
