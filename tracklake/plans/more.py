@@ -26,7 +26,8 @@ from .tables import DRIFTS, MOORINGS, ORDERS, TRACKS, bearing, distance, drifts,
 def _stream(df: DataFrame, label: str, *dealt: str) -> DataFrame:
     """A stream over ``df`` written as files by its time, or dealt out by other columns; ``time`` is its timestamp."""
     path = fresh_path(df.sparkSession, label)
-    (df.repartition(4, *dealt) if dealt else df.repartitionByRange(4, "time")).write.parquet(path)
+    n = max(4, df.sparkSession.sparkContext.defaultParallelism)
+    (df.repartition(n, *dealt) if dealt else df.repartitionByRange(n, "time")).write.parquet(path)
     return streams.observations(df.sparkSession, path, df.schema, per_trigger=1000)
 
 
