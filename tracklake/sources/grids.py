@@ -35,6 +35,8 @@ from .classic import TYPES, Header, column, decoded, file_bytes, type_of, widest
 SPARK = {"int": T.IntegerType(), "long": T.LongType(), "float": T.FloatType(), "double": T.DoubleType(), "string": T.StringType(), "boolean": T.BooleanType()}
 BATCH = 1 << 16  # observations that go to Spark at a time
 SLICE = 1 << 20  # observations that a task reads at a time
+FILES_AT_ONCE = 64  # headers that a task reads
+MOST_TASKS = 1000  # tasks that read files without a survey
 
 
 def store(uri: str):
@@ -62,7 +64,8 @@ def survey(spark: SparkSession, paths: list[str], rows_dim: str = "rows", obs_di
                 ranges = {n: v.attrs["actual_range"] for n, v in h.along(obs_dim).items() if len(v.attrs.get("actual_range", ())) == 2}
                 yield pd.DataFrame({"file": [file], "path": [path], "n_rows": [h.dims[rows_dim]], "n_obs": [h.dims.get(obs_dim, 0)], "columns": [json.dumps(columns)], "ranges": [json.dumps(ranges)], "attrs": [json.dumps(h.attrs)]})
 
-    listed = spark.createDataFrame(list(enumerate(paths)), "file long, path string").repartition(max(1, min(len(paths), 10_000)), "file")
+    tasks = min(len(paths), max(4 * spark.sparkContext.defaultParallelism, -(-len(paths) // FILES_AT_ONCE)))
+    listed = spark.createDataFrame(list(enumerate(paths)), "file long, path string").repartition(max(1, tasks), "file")
     return materialize(listed.mapInPandas(heads, "file long, path string, n_rows long, n_obs long, columns string, ranges string, attrs string"), "headers")
 
 
@@ -128,29 +131,54 @@ class Stretch(InputPartition):
     ranges: dict = field(default_factory=dict)
 
 
+@dataclass
+class Stretches(InputPartition):
+    """Neighbouring stretches that one task reads, one after another."""
+
+    parts: list[Stretch]
+
+
+def _shared(stretches: list[Stretch], share: int) -> list[Stretches]:
+    """Neighbours together, as long as they have no more than ``share`` rows or observations."""
+    out, total = [], 0
+    for s in stretches:
+        n = s.b - s.a
+        if out and total + n <= share:
+            out[-1].parts.append(s)
+            total += n
+        else:
+            out.append(Stretches([s]))
+            total = n
+    return out
+
+
 class ArrayReader(DataSourceReader):
-    """Reads stretches of classic files as Arrow batches, each by its own task."""
+    """Reads stretches of classic files as Arrow batches; a task has a long one or several short ones."""
 
     def __init__(self, options: dict, schema: T.StructType):
         self.dim, self.rows_dim, self.role = options["dim"], options["rows_dim"], options["role"]
-        self.plan, self.paths = options["plan"], options["paths"]
+        self.plan, self.paths, self.share = options["plan"], options["paths"], options["share"]
         self.types = {f.name: {v: k for k, v in SPARK.items()}[f.dataType] for f in schema.fields}
         self.bounds: dict[str, tuple[float, float]] = {}
 
-    def partitions(self) -> list[Stretch]:
+    def partitions(self) -> list[Stretches]:
         """The stretches, or without a plan one for each file, whose rows have numbers from file number times 2 ** 32."""
         if self.plan is None:
-            return [Stretch(p, i << 32) for i, p in enumerate(self.paths)]
-        return [s for s in (Stretch(**x) for x in self.plan) if self._may_match(s)]
+            each = max(1, -(-len(self.paths) // MOST_TASKS))
+            files = [Stretch(p, i << 32) for i, p in enumerate(self.paths)]
+            return [Stretches(files[i : i + each]) for i in range(0, len(files), each)]
+        return _shared([s for s in (Stretch(**x) for x in self.plan) if self._may_match(s)], self.share)
 
     def _may_match(self, s: Stretch) -> bool:
         low, high = self.bounds.get(ROW, (-math.inf, math.inf))
         rows = (s.base + s.first, s.base + s.last) if s.last is not None else (-math.inf, math.inf)
         return rows[0] <= high and rows[1] >= low and all(r[0] <= self.bounds[c][1] and r[1] >= self.bounds[c][0] for c, r in s.ranges.items() if c in self.bounds)
 
-    def read(self, s: Stretch | None) -> Iterator[pa.RecordBatch]:
-        if s is None:  # Spark asks once where there is no partition
-            return
+    def read(self, partition: Stretches | None) -> Iterator[pa.RecordBatch]:
+        for s in partition.parts if partition else ():  # Spark asks once where there is no partition
+            yield from self._batches(s)
+
+    def _batches(self, s: Stretch) -> Iterator[pa.RecordBatch]:
         system, at = store(s.path)
         with system.open_input_file(at) as f:
             h = Header(f, f.size())
@@ -211,7 +239,7 @@ class ArrayFiles(DataSource):
         o = self.options
         role, rows_dim, obs_dim = o.get("role", "obs"), o.get("rows_dim", "rows"), o.get("obs_dim", "obs")
         plan = o.get("plan")
-        return {"role": role, "rows_dim": rows_dim, "dim": rows_dim if role == "rows" else obs_dim, "plan": json.loads(plan) if plan else None, "paths": None if plan else listed(o["path"])}
+        return {"role": role, "rows_dim": rows_dim, "dim": rows_dim if role == "rows" else obs_dim, "plan": json.loads(plan) if plan else None, "share": int(o.get("share", 0)), "paths": None if plan else listed(o["path"])}
 
     def schema(self) -> T.StructType:
         s = self._settings()
@@ -267,7 +295,8 @@ def read_netcdf(spark: SparkSession, paths: str | list[str], rows_dim: str = "ro
 
     def load(role: str, plan: list[dict]) -> DataFrame:
         types = {n: t for n, (t, _) in found[role].items() if columns is None or n in columns or n == "rowsize"}
-        df = spark.read.format("netcdf").schema(_schema(role, types)).options(role=role, rows_dim=rows_dim, obs_dim=obs_dim, plan=json.dumps(plan) if plan else "[]", prune=prune).load()
+        share = min(SLICE, -(-sum(x["b"] - x["a"] for x in plan) // (4 * spark.sparkContext.defaultParallelism)))  # small files go to few tasks, but to all cores
+        df = spark.read.format("netcdf").schema(_schema(role, types)).options(share=share, role=role, rows_dim=rows_dim, obs_dim=obs_dim, plan=json.dumps(plan) if plan else "[]", prune=prune).load()
         return df.withColumn("rowsize", F.col("rowsize").cast("long")) if role == "rows" else df
 
     # a record for each slice and stretch, as many as Spark itself keeps partitions
@@ -432,6 +461,7 @@ def write_netcdf(frame: RaggedFrame, folder: str, rows_in_file: int = 100_000, o
     nested = slim.to_nested() if obs else slim.rows.withColumn("obs", F.struct(F.array().cast("array<int>").alias("none")))
     size, n_rows, n_obs = (x or 0 for x in frame.rows.agg(F.max("rowsize"), F.count(F.lit(1)), F.sum("rowsize")).first())
     parts = max(1, -(-n_rows // rows_in_file), -(-n_obs // obs_in_file))
+    parts = min(parts, max(4 * spark.sparkContext.defaultParallelism, -(-n_obs // SLICE)))  # a task writes many small files
     layout = {"version": version, "attrs": {k: str(v) for k, v in frame.attrs.items()}, "rows": {"rowsize": ("i4" if size < 2**31 else "i8", {}), **rows}, "obs": obs, "rows_in_file": rows_in_file, "obs_in_file": obs_in_file, "unlimited": unlimited}
     nested.repartitionByRange(parts, ROW).sortWithinPartitions(ROW).write.format("netcdf").mode("overwrite").option("layout", json.dumps(layout)).save(folder)
     return listed(folder)
