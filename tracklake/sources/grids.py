@@ -49,6 +49,11 @@ def store(uri: str):
 # ---- NetCDF classic ----
 
 
+def _tasks(spark: SparkSession, n: int) -> int:
+    """How many tasks look into ``n`` files: their names are few bytes, by which Spark would take one."""
+    return max(1, min(n, max(4 * spark.sparkContext.defaultParallelism, -(-n // FILES_AT_ONCE))))
+
+
 def survey(spark: SparkSession, paths: list[str], rows_dim: str = "rows", obs_dim: str = "obs") -> DataFrame:
     """What is in each file, written: its place, counts, columns with types and attributes, ranges. Headers are read by tasks."""
 
@@ -64,8 +69,7 @@ def survey(spark: SparkSession, paths: list[str], rows_dim: str = "rows", obs_di
                 ranges = {n: v.attrs["actual_range"] for n, v in h.along(obs_dim).items() if len(v.attrs.get("actual_range", ())) == 2}
                 yield pd.DataFrame({"file": [file], "path": [path], "n_rows": [h.dims[rows_dim]], "n_obs": [h.dims.get(obs_dim, 0)], "columns": [json.dumps(columns)], "ranges": [json.dumps(ranges)], "attrs": [json.dumps(h.attrs)]})
 
-    tasks = min(len(paths), max(4 * spark.sparkContext.defaultParallelism, -(-len(paths) // FILES_AT_ONCE)))
-    listed = spark.createDataFrame(list(enumerate(paths)), "file long, path string").repartition(max(1, tasks), "file")
+    listed = spark.createDataFrame(list(enumerate(paths)), "file long, path string").repartition(_tasks(spark, len(paths)), "file")
     return materialize(listed.mapInPandas(heads, "file long, path string, n_rows long, n_obs long, columns string, ranges string, attrs string"), "headers")
 
 
@@ -103,7 +107,7 @@ def _pieces(files: DataFrame, rows_dim: str) -> DataFrame:
                 skips = [x - int(ends[i] - sizes[i]) for x, i in zip(starts, firsts, strict=True)]
                 yield pd.DataFrame({"file": file, "path": path, "base": base, "ranges": ranges, "row": row, "total": total, "a": [begin, *starts], "b": [begin, *(min(x + cut, total) for x in starts)], "first": [-1, *(firsts + row)], "last": [-1, *(lasts + row)], "skip": [0, *skips]})
 
-    walked = materialize(slices.repartition("file", "row").mapInPandas(walk, "file long, path string, base long, ranges string, row long, total long, a long, b long, first long, last long, skip long"), "pieces")
+    walked = materialize(slices.repartition(_tasks(files.sparkSession, slices.count()), "file", "row").mapInPandas(walk, "file long, path string, base long, ranges string, row long, total long, a long, b long, first long, last long, skip long"), "pieces")
     before = Window.partitionBy("file").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
     shift = walked.filter("first < 0").select("file", "row", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("shift"))
     pieces = walked.filter("first >= 0").join(shift, ["file", "row"])
