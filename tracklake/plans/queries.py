@@ -700,7 +700,8 @@ def _text(df: DataFrame, label: str) -> str:
     """Write lines as text files in the scratch folder; with row_idx and at, a row's lines stay together and in order."""
     path = fresh_path(df.sparkSession, label)
     if "at" in df.columns:
-        df = df.repartition(ROW).sortWithinPartitions(ROW, "at")
+        # by a value that no input is dealt by: a union of two tables dealt by row passes for one, but its parts stay apart
+        df = df.repartition(F.xxhash64(ROW)).sortWithinPartitions(ROW, "at")
     df.select("value").write.text(path)
     return path
 
