@@ -378,10 +378,19 @@ def pairs_two_tables(spark, sf):
     return p.select("row_1", "row_2", "obs_1", "obs_2", r("space", 1).alias("space"), r("gap", 6).alias("gap"))
 
 
+def _above_mean(x: np.ndarray) -> np.ndarray:
+    """Values above the mean of those that there are, added up one by one in their order.
+
+    That is how SQL adds; numpy's sum by halves is rounded otherwise, and a value that is the mean itself falls on either side.
+    """
+    known = x[~np.isnan(x)]
+    return x > np.cumsum(known)[-1] / len(known) if len(known) else np.zeros(len(x), bool)
+
+
 @query(f"WITH {TRACKS}, m AS (SELECT *, avg(value) OVER (PARTITION BY row_idx) AS m FROM obs) SELECT row_idx, obs_idx FROM m WHERE value > m")
 def subset_whole_rows(spark, sf):
     """A criterion that sees a row's whole vector: values above its mean."""
-    return ragged.subset(tracks(spark, sf), {"value": ragged.WholeRow(lambda x: x > x.mean())}).obs.select(ROW, OBS)
+    return ragged.subset(tracks(spark, sf), {"value": ragged.WholeRow(_above_mean)}).obs.select(ROW, OBS)
 
 
 # ---- wavelets: shapes and positions ----
